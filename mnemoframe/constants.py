@@ -104,10 +104,11 @@ DURATION = (
     r"(?i)\bfor\s+(?:about\s+|around\s+|almost\s+|over\s+|nearly\s+)?"
     + _AMOUNT + r"\s+(day|week|month|year)s?\b"
 )
-MONTH_DAY = (
-    r"(?i)\b(january|february|march|april|may|june|july|august|september|october|"
-    r"november|december|jan|feb|mar|apr|jun|jul|aug|sep|sept|oct|nov|dec)\s+(\d{1,2})\b"
+MONTH_NAMES = (
+    "january|february|march|april|may|june|july|august|september|october|"
+    "november|december|jan|feb|mar|apr|jun|jul|aug|sep|sept|oct|nov|dec"
 )
+MONTH_DAY = r"(?i)\b(" + MONTH_NAMES + r")\s+(\d{1,2})\b"
 
 # --- fixed values: quantities --------------------------------------------------
 MONEY_RANGE = r"(?i)\$(\d+(?:\.\d+)?)\s*[–—\-]\s*(\d+(?:\.\d+)?)\s*([kmbt])?"

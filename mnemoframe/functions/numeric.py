@@ -2,127 +2,146 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemoframe import constants as C
+from mnemoframe.functions.text import bind, strip
 
-_DOUBLE = "double"
+# a code point that is no character; replaced by a blank should a text contain it
+MARK = "\uffff"
 
 
 def _multiplier(letter: Column) -> Column:
     out = F.lit(1.0)
     for key, factor in C.MULTIPLIERS.items():
-        out = F.when(F.lower(letter) == key, F.lit(factor)).otherwise(out)
+        out = F.when(letter == key, F.lit(factor)).otherwise(out)
     return out
 
 
-def _matches(text: Column, pattern: str, n_groups: int) -> Column:
-    """array<struct(raw, start, g1..gn)> of every match; ``start`` counts from 0.
+def _matches(text: Column, kind: str, pattern: str) -> Column:
+    """array<struct(kind, raw, start)> of every match; ``start`` counts from 0.
 
-    Splitting on the same pattern gives the gaps between matches, so the start of
-    a match is the total length of all gaps up to it and all matches before it.
+    Marking every match and splitting at the mark gives the gaps between matches, so
+    the start of a match is the total length of all gaps up to it and all matches
+    before it.  (Splitting at the pattern itself would compile it for every row.)
     """
-    raw = F.regexp_extract_all(text, F.lit(pattern), 0)
-    gaps = F.split(text, pattern, -1)
-    groups = [F.regexp_extract_all(text, F.lit(pattern), i + 1) for i in range(n_groups)]
-
     def total_length(items: Column) -> Column:
         return F.aggregate(items, F.lit(0), lambda acc, x: acc + F.length(x))
 
-    def build(m: Column, i: Column) -> Column:
-        start = total_length(F.slice(gaps, 1, i + 1)) + total_length(F.slice(raw, 1, i))
-        return F.struct(
-            m.alias("raw"), start.alias("start"),
-            *[F.get(g, i).alias(f"g{n + 1}") for n, g in enumerate(groups)],
-        )
+    def place(found: Column) -> Column:
+        raw, gaps = found["raw"], found["gaps"]
+        return F.transform(raw, lambda m, i: F.struct(
+            F.lit(kind).alias("kind"), m.alias("raw"),
+            (total_length(F.slice(gaps, 1, i + 1)) + total_length(F.slice(raw, 1, i)))
+            .alias("start")))
 
-    return F.transform(raw, build)
+    return bind(
+        F.struct(
+            F.regexp_extract_all(text, F.lit(pattern), 0).alias("raw"),
+            F.split(F.regexp_replace(text, pattern, MARK), MARK, -1).alias("gaps")),
+        place)
 
 
-def guess_owner(text: Column, start: Column, raw: Column) -> Column:
-    """First capitalised, not all-capital word of the sentence around a match,
-    extended by up to two following words that are capitalised or digits."""
-    before = F.substring(text, F.lit(1), start)
-    after = F.substring(text, start + F.length(raw) + 1, F.length(text))
-    opening = F.substring_index(F.substring_index(before, ".", -1), "\n", -1)
+def _patterns(strict_units: bool) -> dict[str, str]:
+    """In output order.  By default a multiplier letter may start a longer word, as
+    in '$5 tacos'; strict units ask for a word boundary after it."""
+    boundary = r"(?![A-Za-z])" if strict_units else ""
+    return {
+        "range": C.MONEY_RANGE.replace("([kmbt])?", f"([kmbt]{boundary})?"),
+        "money": C.MONEY.replace("([kmbt])?", f"([kmbt]{boundary})?"),
+        "percent": C.PERCENT,
+        "counted": C.COUNTED_UNIT,
+    }
+
+
+def quantity_matches(text: Column, strict_units: bool = False) -> Column:
+    """All quantity matches of a text: ranges, single amounts, percentages, counts."""
+    patterns = _patterns(strict_units)
+    body = F.translate(F.coalesce(text, F.lit("")), MARK, " ")
+    nothing = F.array().cast("array<struct<kind:string,raw:string,start:int>>")
+
+    possible = {
+        "$": F.contains(body, F.lit("$")), "%": F.contains(body, F.lit("%")),
+        "digit": F.lit(True)}
+
+    def found(kind: str, needed: str) -> Column:
+        return F.when(
+            possible[needed], _matches(body, kind, patterns[kind])).otherwise(nothing)
+
+    def drop_range_heads(money: Column) -> Column:
+        # an amount inside a range can only be the one at the range's own '$'
+        starts = F.transform(money["ranges"], lambda m: m["start"])
+        return F.concat(money["ranges"], F.filter(
+            money["singles"], lambda m: ~F.array_contains(starts, m["start"])))
+
+    money = bind(
+        F.struct(found("range", "$").alias("ranges"), found("money", "$").alias("singles")),
+        drop_range_heads)
+    return F.concat(money, found("percent", "%"), found("counted", "digit"))
+
+
+def describe_quantities(
+    df: DataFrame, text: str, match: str, strict_units: bool = False
+) -> DataFrame:
+    """Add value, unit, exactness, owner, property and can_sum_exactly per match row.
+
+    The steps are separate projections so that each is evaluated once.
+
+    Owner: the first capitalised, not all-capital word of the sentence around the
+    match, with up to two following words that are capitalised or digits.
+    Property: the first word of a fixed list in the 40 characters before the match.
+    """
+    patterns = _patterns(strict_units)
+    raw, start, kind = F.col("raw_value"), F.col("_start"), F.col("_kind")
+    parts = df.withColumns({
+        "raw_value": F.col(f"{match}.raw"), "_start": F.col(f"{match}.start"),
+        "_kind": F.col(f"{match}.kind"), "_body": F.coalesce(text, F.lit(""))})
+    parts = parts.withColumns({
+        "_before": F.substring(F.col("_body"), F.lit(1), start),
+        "_after": F.substring(F.col("_body"), start + F.length(raw) + 1, F.length("_body")),
+        "_number": F.regexp_extract(raw, r"(\d+(?:\.\d+)?)", 1).cast("double"),
+        "_upper": F.regexp_extract(raw, patterns["range"], 2).try_cast("double"),
+        "_letter": F.lower(F.when(kind == "range", F.regexp_extract(raw, patterns["range"], 3))
+                           .when(kind == "money", F.regexp_extract(raw, patterns["money"], 2))),
+        "_counted": F.lower(F.regexp_extract(raw, patterns["counted"], 2)),
+    })
+    opening = F.substring_index(F.substring_index("_before", ".", -1), "\n", -1)
     closing = (
-        F.when(F.contains(after, F.lit(".")), F.substring_index(after, ".", 1))
-        .when(F.contains(after, F.lit("\n")), F.substring_index(after, "\n", 1))
-        .otherwise(F.lit(""))
-    )
-    sentence = F.regexp_replace(F.concat(opening, raw, closing), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
-    words = F.transform(
-        F.split(sentence, r"[\s\p{Z}]+"), lambda w: F.btrim(w, F.lit(C.OWNER_EDGE_CHARS))
-    )
-    names = F.transform(
-        words, lambda w: w.rlike(r"^\p{Lu}") & (F.length(w) >= 2) & w.rlike(r"[\p{Ll}\p{Lt}]")
-    )
-    at = F.array_position(names, F.lit(True)).cast("int")  # 1-based, 0 when absent
-
-    def continues(word: Column) -> Column:
-        return F.coalesce(word.rlike(r"^\p{Lu}") | word.rlike(r"^\p{Nd}+$"), F.lit(False))
-
-    first, second, third = (F.get(words, at - 1 + k) for k in range(3))
-    return F.when(
-        at > 0,
-        F.concat_ws(
-            " ", first,
-            F.when(continues(second), second),
-            F.when(continues(second) & continues(third), third),
-        ),
-    )
-
-
-def guess_property(text: Column, start: Column) -> Column:
-    """First word of the fixed list found in the 40 characters before a match."""
-    begin = F.greatest(start - 40, F.lit(0))
-    nearby = F.lower(F.substring(text, begin + 1, start - begin))
-    hit = F.lit(None).cast("string")
+        F.when(F.contains("_after", F.lit(".")), F.substring_index("_after", ".", 1))
+        .when(F.contains("_after", F.lit("\n")), F.substring_index("_after", "\n", 1))
+        .otherwise(F.lit("")))
+    sentence = strip(F.concat(opening, raw, closing))
+    nearby = F.lower(F.substring(
+        F.col("_before"), F.greatest(start - 40, F.lit(0)) + 1, F.lit(40)))
+    parts = parts.withColumns({
+        "_words": F.transform(
+            F.split(F.regexp_replace(sentence, r"[\s\p{Z}]+", " "), " "),
+            lambda w: F.btrim(w, F.lit(C.OWNER_EDGE_CHARS))),
+        "_nearby": nearby,
+    })
+    is_name = lambda w: w.rlike(r"^\p{Lu}.*[\p{Ll}\p{Lt}]")
+    parts = parts.withColumn(
+        "_at", F.array_position(F.transform("_words", is_name), F.lit(True)).cast("int"))
+    continues = r"^(\p{Lu}|\p{Nd}+$)"
+    parts = parts.withColumns({
+        f"_w{k}": F.when(F.col("_at") > 0, F.get("_words", F.col("_at") - 1 + k))
+        for k in range(3)})
+    second = F.coalesce(F.col("_w1").rlike(continues), F.lit(False))
+    third = second & F.coalesce(F.col("_w2").rlike(continues), F.lit(False))
+    prop = F.lit(None).cast("string")
     for word in reversed(C.PROPERTY_WORDS):
-        hit = F.when(F.contains(nearby, F.lit(word)), F.lit(word)).otherwise(hit)
-    return hit
-
-
-def find_quantities(text: Column, strict_units: bool = False) -> Column:
-    """array<struct(raw_value, value, unit, exactness, owner, property, can_sum_exactly)>.
-
-    Money ranges come first, then single amounts, percentages and counted units.
-    By default a multiplier letter may be the start of a longer word, as in
-    '$5 tacos'; ``strict_units`` asks for a word boundary after it.
-    """
-    boundary = r"(?![A-Za-z])" if strict_units else ""
-    range_pattern = C.MONEY_RANGE.replace("([kmbt])?", f"([kmbt]{boundary})?")
-    money_pattern = C.MONEY.replace("([kmbt])?", f"([kmbt]{boundary})?")
-    body = F.coalesce(text, F.lit(""))
-
-    def entry(m, value, unit, exactness, prop, summable) -> Column:
-        return F.struct(
-            m["raw"].alias("raw_value"), value.alias("value"), unit.alias("unit"),
-            F.lit(exactness).alias("exactness"),
-            guess_owner(body, m["start"], m["raw"]).alias("owner"),
-            prop.alias("property"), F.lit(summable).alias("can_sum_exactly"),
-        )
-
-    ranges = _matches(body, range_pattern, 3)
-    range_starts = F.transform(ranges, lambda m: m["start"])
-    # a single amount inside a range can only be the one at the range's own '$'
-    singles = F.filter(
-        _matches(body, money_pattern, 2), lambda m: ~F.array_contains(range_starts, m["start"])
-    )
-    found = F.concat(
-        F.transform(ranges, lambda m: entry(
-            m,
-            (m["g1"].cast(_DOUBLE) + m["g2"].cast(_DOUBLE)) / 2 * _multiplier(m["g3"]),
-            F.lit("USD"), "range", guess_property(body, m["start"]), False)),
-        F.transform(singles, lambda m: entry(
-            m, m["g1"].cast(_DOUBLE) * _multiplier(m["g2"]),
-            F.lit("USD"), "exact", guess_property(body, m["start"]), True)),
-        F.transform(_matches(body, C.PERCENT, 1), lambda m: entry(
-            m, m["g1"].cast(_DOUBLE), F.lit("%"), "exact",
-            guess_property(body, m["start"]), False)),
-        F.transform(_matches(body, C.COUNTED_UNIT, 2), lambda m: entry(
-            m, m["g1"].cast(_DOUBLE), F.lower(m["g2"]), "exact", F.lower(m["g2"]), True)),
-    )
-    # every pattern needs a digit, so digit-free text skips all of them
-    return F.when(body.rlike(r"\d"), found)
+        prop = F.when(F.contains("_nearby", F.lit(word)), F.lit(word)).otherwise(prop)
+    scale = _multiplier(F.col("_letter"))
+    return parts.withColumns({
+        "value": F.when(kind == "range", (F.col("_number") + F.col("_upper")) / 2 * scale)
+        .when(kind == "money", F.col("_number") * scale).otherwise(F.col("_number")),
+        "unit": F.when(kind.isin("range", "money"), "USD").when(kind == "percent", "%")
+        .otherwise(F.col("_counted")),
+        "exactness": F.when(kind == "range", "range").otherwise("exact"),
+        "owner": F.when(F.col("_at") > 0, F.concat_ws(
+            " ", "_w0", F.when(second, F.col("_w1")), F.when(third, F.col("_w2")))),
+        "property": F.when(kind == "counted", F.col("_counted")).otherwise(prop),
+        "can_sum_exactly": kind.isin("money", "counted"),
+    }).drop("_start", "_kind", "_body", "_before", "_after", "_number", "_upper", "_letter",
+            "_counted", "_words", "_nearby", "_at", "_w0", "_w1", "_w2")

@@ -18,21 +18,28 @@ def find_temporal_refs(text: Column) -> Column:
     body = F.coalesce(text, F.lit(""))
     low = F.lower(body)
 
-    def every(pattern: str) -> Column:
-        return F.regexp_extract_all(body, F.lit(pattern), 0)
+    nothing = F.array().cast("array<string>")
+
+    def every(pattern: str, *needed: str) -> Column:
+        """All matches; a plain substring test spares most texts the pattern."""
+        possible = F.contains(low, F.lit(needed[0]))
+        for word in needed[1:]:
+            possible = possible | F.contains(low, F.lit(word))
+        return F.when(
+            possible, F.regexp_extract_all(body, F.lit(pattern), 0)).otherwise(nothing)
 
     phrases = F.filter(
         F.array(*[F.lit(p) for p in C.FIXED_PHRASE_DAYS]), lambda p: F.contains(low, p)
     )
-    found = F.concat(
-        _mentions(every(C.ISO_DATE), "iso"),
-        _mentions(every(C.UNITS_AGO), "relative"),
-        _mentions(every(C.LAST_NEXT), "relative"),
-        _mentions(every(C.DURATION), "duration"),
+    months = sorted({m[:3] for m in C.MONTH_NAMES.split("|")})
+    return first_distinct(F.concat(
+        _mentions(every(C.ISO_DATE, "-"), "iso"),
+        _mentions(every(C.UNITS_AGO, "ago"), "relative"),
+        _mentions(every(C.LAST_NEXT, "last", "next"), "relative"),
+        _mentions(every(C.DURATION, "for"), "duration"),
         _mentions(phrases, "relative"),
-        _mentions(every(C.MONTH_DAY), "month_day"),
-    )
-    return first_distinct(found, lambda m: F.concat_ws("|", F.lower(m["text"]), m["kind"]))
+        _mentions(every(C.MONTH_DAY, *months), "month_day"),
+    ), lambda m: F.concat_ws("|", F.lower(m["text"]), m["kind"]))
 
 
 def _lookup(value: Column, table: dict) -> Column:

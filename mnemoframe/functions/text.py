@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,11 +24,14 @@ def strip(text: Column) -> Column:
 
 
 def any_contained(text: Column, needles) -> Column:
-    """True when any of the fixed substrings occurs in the text."""
-    found = F.lit(False)
-    for needle in needles:
-        found = found | F.contains(text, F.lit(needle))
-    return found
+    """True when any of the fixed substrings occurs in the text; one scan."""
+    pattern = "|".join(re.escape(n).replace("\\ ", " ").replace("\\'", "'") for n in needles)
+    return text.rlike(pattern)
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def first_distinct(items: Column, key) -> Column:
@@ -34,8 +39,11 @@ def first_distinct(items: Column, key) -> Column:
 
     ``key`` is a Column function applied to one element.
     """
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    def keep(found: Column) -> Column:
+        return bind(F.transform(found, key), lambda keys: F.filter(
+            found, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1))
+
+    return bind(items, keep)
 
 
 # ------------------------------------------------------------ normal forms, tokens
@@ -108,7 +116,7 @@ def query_mode(question: Column) -> Column:
 
 def detect_required_data(question: Column) -> Column:
     low = F.lower(F.coalesce(question, F.lit("")))
-    has_why = F.array_contains(F.split(low, r"\s+"), "why")
+    has_why = F.array_contains(F.split(F.regexp_replace(low, r"\s+", " "), " "), "why")
     return F.array_compact(
         F.array(
             F.when(low.rlike(C.NUMERIC_QUESTION), F.lit("numeric_value")),

@@ -180,9 +180,11 @@ def similar_concepts(
     right = placed.select(
         "scope_id", "id", "v", F.explode(F.sequence(F.lit(0), "block")).alias("i"),
         F.col("block").alias("j"))
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     keys = ["scope_id", "i", "j"]
     scope_type = dict(concepts.dtypes)["scope_id"]
     # pairs inside a block meet once; across blocks the order of ids may be reversed
+    # columns get new identities, because both sides come from the same rows
     forward = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
         _close_pairs(limit), f"scope_id {scope_type}, a string, b string, similarity double")
     across = left.filter("i < j").groupBy(*keys)

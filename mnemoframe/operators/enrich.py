@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemoframe import constants as C
-from mnemoframe.functions.numeric import find_quantities
+from mnemoframe.functions.numeric import describe_quantities, quantity_matches
 from mnemoframe.functions.temporal import find_temporal_refs, resolve_mentions
 from mnemoframe.functions.text import strip
 
@@ -33,9 +33,11 @@ def _sources(observations: DataFrame, memories: DataFrame | None) -> DataFrame:
 
 def temporal_refs(observations: DataFrame, memories: DataFrame | None = None) -> DataFrame:
     """One row per mention with its resolution."""
-    mentioned = _sources(observations, memories).select(
-        "scope_id", "seq", "src_id", "src_type", "anchor",
-        F.posexplode(find_temporal_refs(F.col("content"))).alias("pos", "m"),
+    mentioned = (
+        # no filter on the array: it would be evaluated a second time
+        _sources(observations, memories)
+        .select("scope_id", "seq", "src_id", "src_type", "anchor",
+                F.posexplode(find_temporal_refs(F.col("content"))).alias("pos", "m"))
     ).select("*", F.col("m.text").alias("text"), F.col("m.kind").alias("kind"))
     return resolve_mentions(mentioned, "text", "kind", "anchor").select(
         "scope_id", "seq", "src_id", "src_type", "pos",
@@ -48,17 +50,19 @@ def quantities(
     observations: DataFrame, memories: DataFrame | None = None, strict_units: bool = False
 ) -> DataFrame:
     """One row per quantity mention with owner, property and summability."""
-    found = _sources(observations, memories).select(
-        "scope_id", "seq", "src_id", "src_type",
-        F.posexplode(find_quantities(F.col("content"), strict_units)).alias("pos", "q"),
-    )
-    return found.select(
+    found = (
+        _sources(observations, memories).filter(F.col("content").rlike(r"\d"))
+        .select("scope_id", "seq", "src_id", "src_type", "content",
+                F.posexplode(quantity_matches(F.col("content"), strict_units))
+                .alias("pos", "m")))
+    described = describe_quantities(found, "content", "m", strict_units)
+    return described.select(
         "scope_id", "seq", "src_id", "src_type", "pos",
         F.concat_ws("/", "src_id", F.concat(F.lit("quantity_claim#"), F.col("pos")))
         .alias("ref_id"),
-        "q.*",
-        F.col("q.owner").alias("item_or_event"),
-        F.when(F.coalesce("q.owner", F.lit("")) != "", 0.8).otherwise(0.5).alias("confidence"),
+        "raw_value", "value", "unit", "exactness", "owner", "property", "can_sum_exactly",
+        F.col("owner").alias("item_or_event"),
+        F.when(F.coalesce("owner", F.lit("")) != "", 0.8).otherwise(0.5).alias("confidence"),
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # rows one window task may have to sort for a single group
@@ -107,29 +107,21 @@ def next_in_group(
 
     ``seq`` is unique in a group, so a chunk of ``chunk_rows`` consecutive numbers
     bounds every window.  The last row of a chunk takes the first ``seq`` of the
-    next chunk that has rows of the group.
+    next chunk that has rows of the group.  Reads ``df`` more than once.
     """
-    chunk = F.floor(F.col(seq) / chunk_rows)
-    chunked = df.withColumn("_chunk", chunk)
+    if (df.agg(F.max(seq)).first()[0] or 0) < chunk_rows:
+        return df.withColumn(name, F.lead(seq).over(Window.partitionBy(*keys).orderBy(seq)))
+    chunked = df.withColumn("_chunk", F.floor(F.col(seq) / chunk_rows))
     inside = F.lead(seq).over(Window.partitionBy(*keys, "_chunk").orderBy(seq))
-    firsts = (
-        chunked.filter(F.col("_chunk") > 0).groupBy(*keys, "_chunk")
-        .agg(F.min(seq).alias("_first_seq"))
-    )
-    # only groups that reach past the first chunk have rows here
+    firsts = chunked.filter(F.col("_chunk") > 0).groupBy(*keys, "_chunk").agg(
+        F.min(seq).alias("_first_seq"))
+    # one row per chunk of the groups that reach past the first chunk
+    earlier = F.lag("_chunk").over(Window.partitionBy(*keys).orderBy("_chunk"))
     following = firsts.select(
-        *keys, F.col("_chunk").alias("_next_chunk"), "_first_seq",
-        F.coalesce(
-            F.lag("_chunk").over(Window.partitionBy(*keys).orderBy("_chunk")), F.lit(0)
-        ).alias("_chunk"),
-    ).drop("_next_chunk")
+        *keys, "_first_seq", F.coalesce(earlier, F.lit(0)).alias("_chunk"))
     return (
         chunked.withColumn("_inside", inside)
         .join(following, [*keys, "_chunk"], "left")
         .withColumn(name, F.coalesce("_inside", "_first_seq"))
         .drop("_chunk", "_inside", "_first_seq")
     )
-
-
-def order_columns(*columns) -> list[Column]:
-    return [F.col(c) if isinstance(c, str) else c for c in columns]

@@ -27,7 +27,7 @@ from mnemoframe.functions.text import (
     token_overlap,
     tokenize,
 )
-from mnemoframe.operators.groups import next_in_group
+from mnemoframe.operators.groups import materialize, next_in_group
 from mnemoframe.settings import DEFAULTS, Settings
 
 MIN_OVERLAP = 0.4
@@ -52,7 +52,7 @@ def _comparable(memories: DataFrame) -> DataFrame:
 
 def _search_block(key, survivors: pd.DataFrame, later: pd.DataFrame) -> pd.DataFrame:
     """Earliest conflicting row of one block for every survivor of another block."""
-    columns = ["scope_id", "mem_type", "seq", "killer_seq", "overlap"]
+    columns = ["scope_id", "mem_type", "seq", "killer_seq", "overlap", "replaces"]
     if survivors.empty or later.empty:
         return pd.DataFrame(columns=columns)
     later = later.sort_values("seq", ignore_index=True)
@@ -64,6 +64,7 @@ def _search_block(key, survivors: pd.DataFrame, later: pd.DataFrame) -> pd.DataF
     bounds = np.searchsorted(codes[by_code], np.arange(len(words) + 1))
     code_of = {w: i for i, w in enumerate(words)}
     later_seq, later_sig = later["seq"].to_numpy(), later["sig"].to_numpy()
+    later_replaces = later["replaces"].to_numpy()
     found = []
     for s in survivors.itertuples(index=False):
         known = [code_of[t] for t in s.tokens if t in code_of]
@@ -78,14 +79,21 @@ def _search_block(key, survivors: pd.DataFrame, later: pd.DataFrame) -> pd.DataF
         )
         at = int(match.argmax())
         if match[at]:
-            found.append((s.scope_id, s.mem_type, s.seq, later_seq[at], overlap[at]))
+            found.append((s.scope_id, s.mem_type, s.seq, later_seq[at], overlap[at],
+                          later_replaces[at]))
     return pd.DataFrame(found, columns=columns)
 
 
+def _fresh(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns under new identities, so both sides of a self-join stay apart."""
+    return df.select(*[F.col(c).alias(c) for c in columns])
+
+
 def _far_conflicts(unsettled: DataFrame, rows: DataFrame, block_rows: int) -> DataFrame:
     """Search the rest of each group for rows the look-ahead could not settle."""
     survivors = unsettled.withColumn("s_block", F.floor(F.col("seq") / block_rows))
-    later = rows.withColumn("l_block", F.floor(F.col("seq") / block_rows))
+    later = _fresh(rows, *_GROUP, "seq", "sig", "tokens", "replaces").withColumn(
+        "l_block", F.floor(F.col("seq") / block_rows))
     pairs = (
         survivors.select(*_GROUP, "s_block").distinct()
         .join(later.select(*_GROUP, "l_block").distinct(), _GROUP)
@@ -93,13 +101,14 @@ def _far_conflicts(unsettled: DataFrame, rows: DataFrame, block_rows: int) -> Da
     )
     left = survivors.join(pairs, [*_GROUP, "s_block"]).select(
         *_GROUP, "s_block", "l_block", "seq", "sig", "tokens", "seen_to", "stop_at")
-    right = later.join(pairs, [*_GROUP, "l_block"]).select(
-        *_GROUP, "s_block", "l_block", "seq", "sig", "tokens")
+    right = _fresh(
+        later.join(pairs, [*_GROUP, "l_block"]),
+        *_GROUP, "s_block", "l_block", "seq", "sig", "tokens", "replaces")
     keys = [*_GROUP, "s_block", "l_block"]
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = (
         f"scope_id {types['scope_id']}, mem_type string, seq {types['seq']}, "
-        f"killer_seq {types['seq']}, overlap double"
+        f"killer_seq {types['seq']}, overlap double, replaces boolean"
     )
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
         _search_block, schema)
@@ -112,81 +121,90 @@ def first_successors(
     """One row per memory that a later one acts on: its first successor.
 
     Columns: scope_id, mem_type, older_seq, newer_seq, kind ('duplicate' or
-    'conflict'), overlap.
+    'conflict'), overlap, replaces (the newer text signals a replacement).
     """
-    rows = _comparable(memories)
+    rows = materialize(_comparable(memories))
+    linked = rows.drop("tokens", "replaces")
     merge_on = (
         settings.enable_consolidation
         and settings.consolidation_confidence_threshold <= DUPLICATE_CONFIDENCE
     )
     if merge_on:
-        rows = next_in_group(rows, ["scope_id", "mem_type", "sig"], "seq", "duplicate_seq")
+        linked = next_in_group(linked, ["scope_id", "mem_type", "sig"], "seq", "duplicate_seq")
     else:
-        rows = rows.withColumn("duplicate_seq", F.lit(None).cast("long"))
-    best = rows.filter(F.col("duplicate_seq").isNotNull()).select(
-        "scope_id", "mem_type", F.col("seq").alias("older_seq"),
-        F.col("duplicate_seq").alias("newer_seq"), F.lit("duplicate").alias("kind"),
-        F.lit(1.0).alias("overlap"),
-    )
+        linked = linked.withColumn("duplicate_seq", F.lit(None).cast("long"))
+    duplicate = (
+        F.lit("duplicate").alias("kind"), F.lit(1.0).alias("overlap"),
+        F.lit(False).alias("replaces"))
     if not settings.enable_contradiction_detection:
-        return best
+        return linked.filter("duplicate_seq is not null").select(
+            "scope_id", "mem_type", F.col("seq").alias("older_seq"),
+            F.col("duplicate_seq").alias("newer_seq"), *duplicate)
 
-    keyed = rows.filter(F.col("subject") != "")
-    chunked = keyed.withColumn("chunk", F.floor(F.col("seq") / block_rows))
-    following = (
-        Window.partitionBy(*_GROUP, "chunk").orderBy("seq").rowsBetween(1, look_ahead)
-    )
-    ahead = F.collect_list(F.struct("seq", "sig", "tokens")).over(following)
+    chunk = F.floor(F.col("seq") / block_rows)
+    following = Window.partitionBy(*_GROUP, "chunk").orderBy("seq").rowsBetween(1, look_ahead)
     conflict = F.get(F.filter(
         "ahead",
         lambda n: (n["sig"] != F.col("sig"))
         & (token_overlap(n["tokens"], F.col("tokens")) >= MIN_OVERLAP),
     ), F.lit(0))
-    looked = (
-        chunked.withColumn("ahead", ahead)
-        .withColumns({
-            "hit": conflict,
-            "n_ahead": F.size("ahead"),
-            "seen_to": F.coalesce(F.get(F.col("ahead.seq"), F.size("ahead") - 1), F.col("seq")),
-        })
-        .drop("ahead")
-        .withColumns({
-            "near_seq": F.col("hit.seq"),
-            "overlap": token_overlap(F.col("hit.tokens"), F.col("tokens")),
-        })
-        .drop("hit")
-    )
-    near = looked.filter(
-        F.col("near_seq").isNotNull()
-        & (F.col("duplicate_seq").isNull() | (F.col("near_seq") < F.col("duplicate_seq")))
-    ).select(
-        "scope_id", "mem_type", F.col("seq").alias("older_seq"),
-        F.col("near_seq").alias("newer_seq"), F.lit("conflict").alias("kind"), "overlap",
-    )
-    # groups that go on past a chunk; none for scopes shorter than one chunk
-    last_chunk = (
-        chunked.filter(F.col("chunk") > 0).groupBy(*_GROUP)
-        .agg(F.max("chunk").alias("last_chunk"))
-    )
-    unsettled = (
-        looked.filter(
-            F.col("near_seq").isNull()
-            & (F.col("duplicate_seq").isNull() | (F.col("duplicate_seq") > F.col("seen_to")))
-        )
-        .join(last_chunk, _GROUP, "left")
-        .filter((F.col("n_ahead") == look_ahead) | (F.col("last_chunk") > F.col("chunk")))
-        .withColumn("stop_at", F.coalesce("duplicate_seq", F.lit(2**62)))
+    near = (
+        rows.filter("subject != ''").withColumn("chunk", chunk)
+        .withColumn("ahead", F.collect_list(
+            F.struct("seq", "sig", "tokens", "replaces")).over(following))
+        .select(
+            "scope_id", "seq", "chunk", F.size("ahead").alias("n_ahead"),
+            F.get(F.col("ahead.seq"), F.size("ahead") - 1).alias("last_seen"), "tokens",
+            conflict.alias("hit"))
+        .select(
+            "scope_id", "seq", "chunk", "n_ahead",
+            F.coalesce("last_seen", "seq").alias("seen_to"),
+            F.col("hit.seq").alias("near_seq"), F.col("hit.replaces").alias("replaces"),
+            token_overlap(F.col("hit.tokens"), F.col("tokens")).alias("overlap"))
     )
-    far = _far_conflicts(unsettled, keyed, block_rows).select(
+    # narrow: numbers and flags only
+    looked = materialize(linked.join(near, ["scope_id", "seq"], "left"))
+
+    open_ended = F.coalesce("duplicate_seq", F.lit(2**62))
+    candidates = looked.filter(
+        F.col("n_ahead").isNotNull() & F.col("near_seq").isNull()
+        & (open_ended > F.col("seen_to")))
+    if (looked.agg(F.max("chunk")).first()[0] or 0) > 0:
+        # groups may go on past the chunk where the window stopped
+        last_chunk = looked.groupBy(*_GROUP).agg(F.max("chunk").alias("last_chunk"))
+        unsettled = candidates.join(last_chunk, _GROUP).filter(
+            (F.col("n_ahead") == look_ahead) | (F.col("last_chunk") > F.col("chunk")))
+    else:
+        unsettled = candidates.filter(F.col("n_ahead") == look_ahead)
+    by_near = F.col("near_seq") < open_ended
+    settled = looked.select(
         "scope_id", "mem_type", F.col("seq").alias("older_seq"),
-        F.col("killer_seq").alias("newer_seq"), F.lit("conflict").alias("kind"), "overlap",
-    )
-    return (
-        best.unionByName(near).unionByName(far)
-        .groupBy("scope_id", "mem_type", "older_seq")
-        .agg(F.min(F.struct("newer_seq", "kind", "overlap")).alias("first"))
-        .select("scope_id", "mem_type", "older_seq", "first.*")
-    )
+        F.least("near_seq", "duplicate_seq").alias("newer_seq"),
+        F.when(by_near, "conflict").otherwise("duplicate").alias("kind"),
+        F.when(by_near, F.col("overlap")).otherwise(1.0).alias("overlap"),
+        F.coalesce(by_near & F.col("replaces"), F.lit(False)).alias("replaces"),
+    ).filter("newer_seq is not null")
+    if unsettled.isEmpty():
+        return settled
+
+    searched = unsettled.select("scope_id", "seq", "seen_to", open_ended.alias("stop_at")).join(
+        rows, ["scope_id", "seq"])
+    far = _far_conflicts(searched, rows.filter("subject != ''"), block_rows).groupBy(
+        "scope_id", "mem_type", F.col("seq").alias("older_seq")
+    ).agg(F.min(F.struct("killer_seq", "overlap", "replaces")).alias("f")).select(
+        "scope_id", "mem_type", "older_seq", F.col("f.killer_seq").alias("newer_seq"),
+        F.lit("conflict").alias("kind"), F.col("f.overlap").alias("overlap"),
+        F.col("f.replaces").alias("replaces"))
+    # a far conflict comes before the duplicate of the same memory, so it replaces it
+    far = materialize(far)
+    return settled.join(
+        far.select("scope_id", "older_seq"), ["scope_id", "older_seq"], "left_anti"
+    ).unionByName(far)
+
+
+def memory_id(mem_type: str, seq: str):
+    """Ids follow from type and number, so no join is needed to name a memory."""
+    return F.concat_ws("#", mem_type, seq)
 
 
 def reconcile(
@@ -199,43 +217,34 @@ def reconcile(
     status.  ``requests`` (scope_id, mem_id, action, seq) made before a successor
     appeared keep that successor from acting.
     """
-    found = first_successors(memories, settings, **tuning)
-    names = memories.select("scope_id", "seq", "mem_id", "content")
-    newer = names.select(
-        "scope_id", F.col("seq").alias("newer_seq"), F.col("mem_id").alias("newer_id"),
-        text_signals_supersession(F.col("content")).alias("replaces"))
-    older = names.select(
-        "scope_id", F.col("seq").alias("older_seq"), F.col("mem_id").alias("older_id"))
-    confidence = F.when(F.col("kind") == "duplicate", F.lit(DUPLICATE_CONFIDENCE)).otherwise(
+    duplicate = F.col("kind") == "duplicate"
+    confidence = F.when(duplicate, F.lit(DUPLICATE_CONFIDENCE)).otherwise(
         F.least(F.lit(1.0), F.lit(0.7) + F.col("overlap") / 5))
     sure = F.col("confidence") >= settings.contradiction_confidence_threshold
     relation = (
-        F.when(F.col("kind") == "duplicate", "consolidated_into")
+        F.when(duplicate, "consolidated_into")
         .when(sure & F.col("replaces"), "supersedes")
-        .otherwise("contradicts")
-    )
+        .otherwise("contradicts"))
     status = (
         F.when(F.col("rel") == "consolidated_into", C.ARCHIVED)
         .when(F.col("rel") == "supersedes", C.SUPERSEDED)
-        .otherwise(C.NEEDS_REVIEW)
-    )
+        .otherwise(C.NEEDS_REVIEW))
     changes = (
-        found.join(newer, ["scope_id", "newer_seq"]).join(older, ["scope_id", "older_seq"])
-        .withColumn("confidence", confidence)
-        .withColumn("rel", relation).withColumn("new_status", status)
-    )
+        first_successors(memories, settings, **tuning)
+        .withColumns({
+            "older_id": memory_id("mem_type", "older_seq"),
+            "newer_id": memory_id("mem_type", "newer_seq"),
+            "confidence": confidence})
+        .withColumn("rel", relation).withColumn("new_status", status))
     if requests is not None:
-        first_request = (
-            _effective_requests(memories, requests)
-            .groupBy("scope_id", F.col("mem_id").alias("older_id"))
-            .agg(F.min("seq").alias("request_seq"))
-        )
+        first_request = _effective_requests(memories, requests).groupBy(
+            "scope_id", F.col("mem_id").alias("older_id")
+        ).agg(F.min("seq").alias("request_seq"))
         changes = changes.join(first_request, ["scope_id", "older_id"], "left").filter(
             F.col("request_seq").isNull() | (F.col("newer_seq") < F.col("request_seq")))
     return changes.select(
         "scope_id", "mem_type", "older_seq", "older_id", "newer_seq", "newer_id",
-        "kind", "overlap", "confidence", "rel", "new_status",
-    )
+        "kind", "overlap", "confidence", "rel", "new_status")
 
 
 def _effective_requests(memories: DataFrame, requests: DataFrame) -> DataFrame:

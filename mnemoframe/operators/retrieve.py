@@ -22,15 +22,15 @@ from mnemoframe.functions.text import (
     strip,
     tokenize,
 )
-from mnemoframe.functions.vectors import EMBED_DIM, cosine_similarity, hash_embedding
+from mnemoframe.functions.vectors import EMBED_DIM, cosine_similarity_arrow, hash_embedding
 from mnemoframe.operators.groups import top_k
 from mnemoframe.settings import DEFAULTS, Settings
 
 # scores are rounded before ranking so that summation order never decides a tie
 SCORE_DIGITS = 9
 VECTOR_WEIGHT = 0.6
-# questions whose vectors may be sent to every task: 20k x 64 doubles is about 10 MB
-MAX_SHARED_QUESTIONS = 20_000
+# questions whose vectors may be sent to every task: 2,000 x 64 doubles is about 1 MB
+MAX_SHARED_QUESTIONS = 2_000
 
 
 # ------------------------------------------------------------ planning
@@ -129,7 +129,7 @@ def keyword_search(memories: DataFrame, plans: DataFrame, limit: int = 10) -> Da
 def _shared_questions(plans: DataFrame, max_questions: int) -> pd.DataFrame | None:
     """The question vectors when they are few enough to send to every task."""
     head = plans.select("query_id", "scope_id", "embedding", "types", "show_superseded")
-    rows = head.limit(max_questions + 1).toPandas()
+    rows = head.limit(max_questions + 1).toArrow().to_pandas()
     return rows if len(rows) <= max_questions else None
 
 
@@ -218,7 +218,7 @@ def vector_search(
             _visible_to("status", "show_superseded", "mem_type", "types")
         ).select(
             "query_id", "scope_id", "mem_id",
-            F.round(cosine_similarity(F.col("embedding"), F.col("question_vector")),
+            F.round(cosine_similarity_arrow(F.col("embedding"), F.col("question_vector")),
                     SCORE_DIGITS).alias("score"),
         ).filter("score > 0")
     return top_k(scored, ["query_id"], [F.desc("score"), F.asc("mem_id")], limit)
@@ -252,7 +252,8 @@ def score_candidates(candidates: DataFrame, memories: DataFrame, plans: DataFram
     tokens = F.array_distinct(tokenize(F.col("content")))
     hits = F.size(F.array_intersect("keywords", tokens))
     keyword = F.when(F.size("keywords") > 0, hits / F.size("keywords")).otherwise(0.0)
-    vector = F.round(cosine_similarity(F.col("embedding"), F.col("question_vector")), SCORE_DIGITS)
+    vector = F.round(
+        cosine_similarity_arrow(F.col("embedding"), F.col("question_vector")), SCORE_DIGITS)
     return (
         candidates.join(stored, ["scope_id", "mem_id"]).join(asked, ["query_id", "scope_id"])
         .filter(~_never_shown() & ((F.col("status") != C.SUPERSEDED) | F.col("show_superseded")))

@@ -13,9 +13,11 @@ all memories is the authority that repairs it.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from mnemoframe.functions.text import content_signature, subject_key
 from mnemoframe.operators.groups import materialize
@@ -41,14 +43,13 @@ class ReconcileSink:
         self.request_schema = f"scope_id {scope}, mem_id string, action string, seq long"
 
     def _read(self, name: str, schema) -> DataFrame:
-        """A table without the partitions of micro-batches that are not finished."""
-        path = f"{self.folder}/{name}"
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        files = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(hadoop):
-            return self.spark.createDataFrame([], schema).withColumn(
-                "batch_id", F.lit(0).cast("long"))
-        return self.spark.read.parquet(path)
+        """A table with its micro-batch number; empty before the first write."""
+        fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+        full = StructType([*fields.fields, StructField("batch_id", LongType())])
+        try:
+            return self.spark.read.schema(full).parquet(f"{self.folder}/{name}")
+        except AnalysisException:  # no such folder yet
+            return self.spark.createDataFrame([], full)
 
     def _write(self, df: DataFrame, name: str, batch_id: int) -> None:
         df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").option(
