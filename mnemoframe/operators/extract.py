@@ -149,26 +149,16 @@ def extraction_key(model: Column, namespace: Column, content: Column) -> Column:
     return content_key(model, namespace, strip(content))
 
 
-def edge_rows(df: DataFrame, rel: str, src: str, src_type, dst: str, dst_type) -> DataFrame:
-    """Project a DataFrame to the relations layout."""
-    return df.select(
-        "scope_id",
-        F.col(src).alias("src_id"), src_type.alias("src_type"),
-        F.col(dst).alias("dst_id"), dst_type.alias("dst_type"),
-        F.lit(rel).alias("rel"), "seq",
-    )
-
-
 def provenance_edges(memories: DataFrame) -> DataFrame:
     """derived_from (memory -> observation) and supports (observation -> memory)."""
-    both = memories.select(
-        "scope_id", "seq",
-        F.explode(F.array(
-            F.struct(F.col("mem_id").alias("src_id"), F.col("mem_type").alias("src_type"),
-                     F.col("obs_id").alias("dst_id"), F.lit(C.OBSERVATION).alias("dst_type"),
-                     F.lit("derived_from").alias("rel")),
-            F.struct(F.col("obs_id"), F.lit(C.OBSERVATION),
-                     F.col("mem_id"), F.col("mem_type"), F.lit("supports")),
-        )).alias("e"),
-    )
+    def edge(src, src_type, dst, dst_type, rel):
+        return F.struct(
+            src.alias("src_id"), src_type.alias("src_type"), dst.alias("dst_id"),
+            dst_type.alias("dst_type"), F.lit(rel).alias("rel"))
+
+    memory = (F.col("mem_id"), F.col("mem_type"))
+    observation = (F.col("obs_id"), F.lit(C.OBSERVATION))
+    both = memories.select("scope_id", "seq", F.explode(F.array(
+        edge(*memory, *observation, "derived_from"),
+        edge(*observation, *memory, "supports"))).alias("e"))
     return both.select("scope_id", "e.*", "seq")

@@ -8,7 +8,6 @@ from mnemoframe import constants as C
 from mnemoframe import schemas
 from mnemoframe.operators import concepts as concept_ops
 from mnemoframe.operators import enrich, extract, policy, reconcile, stats
-from mnemoframe.plans import oracle as O
 from mnemoframe.plans import views as V
 from mnemoframe.plans.catalog import query
 from mnemoframe.settings import DEFAULTS
@@ -314,19 +313,6 @@ def policy_yield(spark, d):
 
 # ------------------------------------------------------------ concepts
 
-O.define("concept_mentions", rf"""
-SELECT scope_id, seq, mem_id, mem_type, pos, name, {O.norm('name')} AS normalized FROM (
-  SELECT scope_id, seq, mem_id, mem_type, names[pos] AS name, pos FROM (
-    SELECT *, generate_subscripts(names, 1) AS pos FROM (
-      SELECT *, (list_filter(raw, lambda x, i: list_position(norms, norms[i]) = i))[1:6] AS names
-      FROM (SELECT *, list_transform(raw, lambda n: {O.norm('n')}) AS norms FROM (
-        SELECT *, list_filter(list_transform(caps || {O.keywords('content')},
-          lambda n: trim(n, {O.quote(C.OWNER_EDGE_CHARS)})),
-          lambda n: length(n) >= 2 AND {O.norm('n')} <> '') AS raw
-        FROM (SELECT *, regexp_extract_all(content, {O.quote(C.CAPITALISED_PHRASE)}, 1) AS caps
-          FROM mem_orders))))))""")
-
-
 @query("C1 C5", """
 SELECT scope_id, normalized, 'memory_concept#' || md5(normalized) AS concept_id,
   arg_min(name, seq * 100 + pos) AS name,

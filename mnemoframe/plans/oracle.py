@@ -439,3 +439,17 @@ SELECT *, mode = 'deep' AS show_superseded FROM (
     SELECT conv_id::VARCHAR AS query_id, conv_id AS scope_id, {strip('arg_min(text, turn)')} AS question
     FROM conversations WHERE role = 'user' GROUP BY conv_id) WHERE question <> '')""")
 retrieval_sql("conv", "mem_conv", "plan_conv")
+
+# ------------------------------------------------------------ concepts
+
+define("concept_mentions", rf"""
+SELECT scope_id, seq, mem_id, mem_type, pos, name, {norm('name')} AS normalized FROM (
+  SELECT scope_id, seq, mem_id, mem_type, names[pos] AS name, pos FROM (
+    SELECT *, generate_subscripts(names, 1) AS pos FROM (
+      SELECT *, (list_filter(raw, lambda x, i: list_position(norms, norms[i]) = i))[1:6] AS names
+      FROM (SELECT *, list_transform(raw, lambda n: {norm('n')}) AS norms FROM (
+        SELECT *, list_filter(list_transform(caps || {keywords('content')},
+          lambda n: trim(n, {quote(C.OWNER_EDGE_CHARS)})),
+          lambda n: length(n) >= 2 AND {norm('n')} <> '') AS raw
+        FROM (SELECT *, regexp_extract_all(content, {quote(C.CAPITALISED_PHRASE)}, 1) AS caps
+          FROM mem_orders))))))""")
