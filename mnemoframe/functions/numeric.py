@@ -6,12 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemoframe import constants as C
-from mnemoframe.functions.text import bind, strip
+from mnemoframe.functions.text import bind
 
 # a code point that is no character; replaced by a blank should a text contain it
 MARK = "\uffff"
 
 
+# a word that starts upper-case and has a lower-case letter, and the two words after it
+_BLANK, _SOLID = r"[\s\p{Z}]", r"[^\s\p{Z}]"
+NAME_AND_NEXT = (
+    rf"(?<!{_SOLID})[,.;:!?()\[\]\"']*(\p{{Lu}}{_SOLID}*?[\p{{Ll}}\p{{Lt}}]{_SOLID}*)"
+    rf"(?:{_BLANK}+({_SOLID}+))?(?:{_BLANK}+({_SOLID}+))?"
+)
+
+
 def _multiplier(letter: Column) -> Column:
     out = F.lit(1.0)
     for key, factor in C.MULTIPLIERS.items():
@@ -58,7 +66,9 @@ def _patterns(strict_units: bool) -> dict[str, str]:
 def quantity_matches(text: Column, strict_units: bool = False) -> Column:
     """All quantity matches of a text: ranges, single amounts, percentages, counts."""
     patterns = _patterns(strict_units)
-    body = F.translate(F.coalesce(text, F.lit("")), MARK, " ")
+    body = F.coalesce(text, F.lit(""))
+    # hardly ever true, and the test is far cheaper than the replacement
+    body = F.when(F.contains(body, F.lit(MARK)), F.translate(body, MARK, " ")).otherwise(body)
     nothing = F.array().cast("array<struct<kind:string,raw:string,start:int>>")
 
     possible = {
@@ -101,34 +111,30 @@ def describe_quantities(
         "_before": F.substring(F.col("_body"), F.lit(1), start),
         "_after": F.substring(F.col("_body"), start + F.length(raw) + 1, F.length("_body")),
         "_number": F.regexp_extract(raw, r"(\d+(?:\.\d+)?)", 1).cast("double"),
-        "_upper": F.regexp_extract(raw, patterns["range"], 2).try_cast("double"),
+        "_upper": F.when(
+            kind == "range", F.regexp_extract(raw, patterns["range"], 2).cast("double")),
         "_letter": F.lower(F.when(kind == "range", F.regexp_extract(raw, patterns["range"], 3))
                            .when(kind == "money", F.regexp_extract(raw, patterns["money"], 2))),
-        "_counted": F.lower(F.regexp_extract(raw, patterns["counted"], 2)),
+        "_counted": F.when(
+            kind == "counted", F.lower(F.regexp_extract(raw, patterns["counted"], 2))),
     })
     opening = F.substring_index(F.substring_index("_before", ".", -1), "\n", -1)
     closing = (
         F.when(F.contains("_after", F.lit(".")), F.substring_index("_after", ".", 1))
         .when(F.contains("_after", F.lit("\n")), F.substring_index("_after", "\n", 1))
         .otherwise(F.lit("")))
-    sentence = strip(F.concat(opening, raw, closing))
     nearby = F.lower(F.substring(
         F.col("_before"), F.greatest(start - 40, F.lit(0)) + 1, F.lit(40)))
     parts = parts.withColumns({
-        "_words": F.transform(
-            F.split(F.regexp_replace(sentence, r"[\s\p{Z}]+", " "), " "),
-            lambda w: F.btrim(w, F.lit(C.OWNER_EDGE_CHARS))),
-        "_nearby": nearby,
-    })
-    is_name = lambda w: w.rlike(r"^\p{Lu}.*[\p{Ll}\p{Lt}]")
-    parts = parts.withColumn(
-        "_at", F.array_position(F.transform("_words", is_name), F.lit(True)).cast("int"))
-    continues = r"^(\p{Lu}|\p{Nd}+$)"
+        "_sentence": F.concat(opening, raw, closing), "_nearby": nearby})
+    # only the start of the sentence up to the name is ever scanned
     parts = parts.withColumns({
-        f"_w{k}": F.when(F.col("_at") > 0, F.get("_words", F.col("_at") - 1 + k))
+        f"_w{k}": F.btrim(
+            F.regexp_extract("_sentence", NAME_AND_NEXT, k + 1), F.lit(C.OWNER_EDGE_CHARS))
         for k in range(3)})
-    second = F.coalesce(F.col("_w1").rlike(continues), F.lit(False))
-    third = second & F.coalesce(F.col("_w2").rlike(continues), F.lit(False))
+    continues = r"^(\p{Lu}|\p{Nd}+$)"
+    second = F.col("_w1").rlike(continues)
+    third = second & F.col("_w2").rlike(continues)
     prop = F.lit(None).cast("string")
     for word in reversed(C.PROPERTY_WORDS):
         prop = F.when(F.contains("_nearby", F.lit(word)), F.lit(word)).otherwise(prop)
@@ -139,9 +145,9 @@ def describe_quantities(
         "unit": F.when(kind.isin("range", "money"), "USD").when(kind == "percent", "%")
         .otherwise(F.col("_counted")),
         "exactness": F.when(kind == "range", "range").otherwise("exact"),
-        "owner": F.when(F.col("_at") > 0, F.concat_ws(
+        "owner": F.when(F.col("_w0") != "", F.concat_ws(
             " ", "_w0", F.when(second, F.col("_w1")), F.when(third, F.col("_w2")))),
         "property": F.when(kind == "counted", F.col("_counted")).otherwise(prop),
         "can_sum_exactly": kind.isin("money", "counted"),
     }).drop("_start", "_kind", "_body", "_before", "_after", "_number", "_upper", "_letter",
-            "_counted", "_words", "_nearby", "_at", "_w0", "_w1", "_w2")
+            "_counted", "_sentence", "_nearby", "_w0", "_w1", "_w2")

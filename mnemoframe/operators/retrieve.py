@@ -31,6 +31,8 @@ SCORE_DIGITS = 9
 VECTOR_WEIGHT = 0.6
 # questions whose vectors may be sent to every task: 2,000 x 64 doubles is about 1 MB
 MAX_SHARED_QUESTIONS = 2_000
+# with many scopes a batch falls into small pieces, and a join on the scope is better
+MAX_SHARED_SCOPES = 16
 
 
 # ------------------------------------------------------------ planning
@@ -127,10 +129,11 @@ def keyword_search(memories: DataFrame, plans: DataFrame, limit: int = 10) -> Da
 
 
 def _shared_questions(plans: DataFrame, max_questions: int) -> pd.DataFrame | None:
-    """The question vectors when they are few enough to send to every task."""
+    """The question vectors when few enough, in few scopes, to send to every task."""
     head = plans.select("query_id", "scope_id", "embedding", "types", "show_superseded")
     rows = head.limit(max_questions + 1).toArrow().to_pandas()
-    return rows if len(rows) <= max_questions else None
+    few = len(rows) <= max_questions and rows["scope_id"].nunique() <= MAX_SHARED_SCOPES
+    return rows if few else None
 
 
 def _unit_rows(vectors) -> np.ndarray:
