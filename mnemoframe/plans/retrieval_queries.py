@@ -518,7 +518,8 @@ O.define("agentic_stages", " UNION ALL ".join(
     f"FROM agentic_pool GROUP BY query_id" for i, (k, direct) in enumerate(_STAGES)))
 O.define("agentic_decision", """
 SELECT query_id, iterations, with_direct, conf FROM (
-  SELECT *, coalesce(least(1.0, 0.5 * top + 0.5 * least(strong / 3.0, 1.0)), 0.0) AS conf FROM agentic_stages)
+  SELECT *, CASE WHEN top IS NULL THEN 0.0
+    ELSE least(1.0, 0.5 * top + 0.5 * least(strong / 3.0, 1.0)) END AS conf FROM agentic_stages)
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY
   CASE WHEN conf >= 0.75 AND n >= 3 THEN stage WHEN stage = 4 THEN 90 ELSE 100 END, stage) = 1""")
 

@@ -11,8 +11,21 @@ from pyspark.sql import types as T
 from mnemoframe import constants as C
 
 
+_TYPES = {
+    "string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(),
+    "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(),
+    "array<string>": T.ArrayType(T.StringType()),
+    "map<string,string>": T.MapType(T.StringType(), T.StringType()),
+    "array<turn>": T.ArrayType(T.StructType([
+        T.StructField("session_id", T.StringType()),
+        T.StructField("turn_index", T.IntegerType())])),
+}
+
+
 def _table(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """'name type, name type' -> StructType; needs no running session."""
+    pairs = [field.split(" ") for field in spec.strip().split(", ")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 TURN = _table("role string, content string, has_answer boolean")
@@ -94,7 +107,7 @@ RUN_RECORDS = _table(
     "ingest_n_obs int, ingest_n_claims int, extractor_resolved_model string, "
     "pack_errors array<string>, retrieved_object_ids array<string>, "
     "used_memory_ids array<string>, evidence_ids array<string>, "
-    "context_turn_ids array<struct<session_id:string,turn_index:int>>, "
+    "context_turn_ids array<turn>, "
     "context_session_ids array<string>, retrieval_summary string, assembled_context string, "
     "hypothesis string, reader_requested_model string, reader_resolved_model string, "
     "reader_prompt_tokens int, reader_completion_tokens int, reader_total_tokens int, "
