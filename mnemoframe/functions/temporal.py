@@ -6,18 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemoframe import constants as C
-from mnemoframe.functions.text import first_distinct
+from mnemoframe.functions.text import bind, first_distinct
 
 
 def _mentions(found: Column, kind: str) -> Column:
     return F.transform(found, lambda m: F.struct(m.alias("text"), F.lit(kind).alias("kind")))
 
 
-def find_temporal_refs(text: Column) -> Column:
-    """array<struct(text, kind)> in pattern order, each (lower text, kind) once."""
-    body = F.coalesce(text, F.lit(""))
-    low = F.lower(body)
-
+def _found_mentions(body: Column, low: Column) -> Column:
     nothing = F.array().cast("array<string>")
 
     def every(pattern: str, *needed: str) -> Column:
@@ -29,17 +25,25 @@ def find_temporal_refs(text: Column) -> Column:
             possible, F.regexp_extract_all(body, F.lit(pattern), 0)).otherwise(nothing)
 
     phrases = F.filter(
-        F.array(*[F.lit(p) for p in C.FIXED_PHRASE_DAYS]), lambda p: F.contains(low, p)
-    )
+        F.array(*[F.lit(p) for p in C.FIXED_PHRASE_DAYS]), lambda p: F.contains(low, p))
     months = sorted({m[:3] for m in C.MONTH_NAMES.split("|")})
-    return first_distinct(F.concat(
+    return F.concat(
         _mentions(every(C.ISO_DATE, "-"), "iso"),
         _mentions(every(C.UNITS_AGO, "ago"), "relative"),
         _mentions(every(C.LAST_NEXT, "last", "next"), "relative"),
         _mentions(every(C.DURATION, "for"), "duration"),
         _mentions(phrases, "relative"),
         _mentions(every(C.MONTH_DAY, *months), "month_day"),
-    ), lambda m: F.concat_ws("|", F.lower(m["text"]), m["kind"]))
+    )
+
+
+def find_temporal_refs(text: Column) -> Column:
+    """array<struct(text, kind)> in pattern order, each (lower text, kind) once."""
+    body = F.coalesce(text, F.lit(""))
+    both = F.struct(body.alias("body"), F.lower(body).alias("low"))
+    found = bind(both, lambda t: _found_mentions(t["body"], t["low"]))
+    return first_distinct(
+        found, lambda m: F.concat_ws("|", F.lower(m["text"]), m["kind"]))
 
 
 def _lookup(value: Column, table: dict) -> Column:

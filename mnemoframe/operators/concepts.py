@@ -36,7 +36,9 @@ def _mentions(memories: DataFrame, settings: Settings) -> DataFrame:
         names = deterministic_concepts(F.col("content"), settings.max_concepts_per_memory)
     return (
         memories.select(
-            "scope_id", "seq", "mem_id", "mem_type", F.posexplode(names).alias("pos", "name"))
+            "scope_id", "seq", "mem_id", "mem_type",
+            F.posexplode_outer(names).alias("pos", "name"))
+        .filter("name is not null")
         .withColumn("normalized", normalize_concept(F.col("name")))
         .filter("normalized != ''")
     )

@@ -34,10 +34,12 @@ def _sources(observations: DataFrame, memories: DataFrame | None) -> DataFrame:
 def temporal_refs(observations: DataFrame, memories: DataFrame | None = None) -> DataFrame:
     """One row per mention with its resolution."""
     mentioned = (
-        # no filter on the array: it would be evaluated a second time
+        # the outer form keeps Spark from adding a filter on the array, which would
+        # evaluate the whole search a second time
         _sources(observations, memories)
         .select("scope_id", "seq", "src_id", "src_type", "anchor",
-                F.posexplode(find_temporal_refs(F.col("content"))).alias("pos", "m"))
+                F.posexplode_outer(find_temporal_refs(F.col("content"))).alias("pos", "m"))
+        .filter("m is not null")
     ).select("*", F.col("m.text").alias("text"), F.col("m.kind").alias("kind"))
     return resolve_mentions(mentioned, "text", "kind", "anchor").select(
         "scope_id", "seq", "src_id", "src_type", "pos",
@@ -53,8 +55,9 @@ def quantities(
     found = (
         _sources(observations, memories).filter(F.col("content").rlike(r"\d"))
         .select("scope_id", "seq", "src_id", "src_type", "content",
-                F.posexplode(quantity_matches(F.col("content"), strict_units))
-                .alias("pos", "m")))
+                F.posexplode_outer(quantity_matches(F.col("content"), strict_units))
+                .alias("pos", "m"))
+        .filter("m is not null"))
     described = describe_quantities(found, "content", "m", strict_units)
     return described.select(
         "scope_id", "seq", "src_id", "src_type", "pos",

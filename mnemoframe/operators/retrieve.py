@@ -112,7 +112,9 @@ def keyword_matches(memories: DataFrame, plans: DataFrame) -> DataFrame:
         F.size("keywords").alias("n_keywords"), F.explode("keywords").alias("token"))
     stored = memories.filter(~_never_shown()).select(
         "scope_id", "mem_id", "mem_type", "status",
-        F.explode(F.array_distinct(tokenize(F.col("content")))).alias("token"))
+        # the outer form keeps Spark from tokenizing once more in a filter of its own
+        F.explode_outer(F.array_distinct(tokenize(F.col("content")))).alias("token"),
+    ).filter("token is not null")
     matched = stored.join(asked, ["scope_id", "token"]).filter(
         _visible_to("status", "show_superseded", "mem_type", "types"))
     return matched.groupBy("query_id", "scope_id", "mem_id").agg(
