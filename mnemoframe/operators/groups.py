@@ -8,6 +8,7 @@ handled in parallel and only one summary row per chunk is combined.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,12 +19,27 @@ MAX_GROUP_ROWS = 1_000_000
 NATIVE_TOP_K = 1_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+
+    One is made up only on a local master, where all tasks run on this machine;
+    a cluster that names none gets an error instead of files no other node can read.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named and context.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not named:
+        named = tempfile.mkdtemp(prefix="mnemoframe-")
+        context.setCheckpointDir(named)
+    return named
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; make one only when none is set (tests)."""
     context = spark.sparkContext
+    folder = shared_folder(spark)
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="mnemoframe-ckpt-"))
+        context.setCheckpointDir(folder)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -32,6 +48,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write the rows as Parquet in the shared folder and read them back.
+
+    Like ``materialize``, but compressed and with column pruning for the readers.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def largest_group(df: DataFrame, keys: list[str]) -> int:
     """Row count of the largest group; a map-side combined count, one row back."""
     counts = df.groupBy(*keys).count()

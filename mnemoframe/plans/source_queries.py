@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from mnemoframe.operators import cache, runs, sample
-from mnemoframe.operators.groups import ensure_checkpoint_dir
+from mnemoframe.operators.groups import shared_folder
 from mnemoframe.plans import report_queries  # noqa: F401  (defines the records table)
 from mnemoframe.plans import views as V
 from mnemoframe.plans.catalog import query
@@ -16,10 +15,8 @@ from mnemoframe.sources import conversations, fingerprint, store
 
 
 def scratch(spark) -> str:
-    """A fresh folder in the shared folder of the cluster, or a local one in tests."""
-    ensure_checkpoint_dir(spark)
-    base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    return f"{base}/scratch-{uuid.uuid4().hex}"
+    """A fresh folder in the shared folder of the cluster."""
+    return f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
 def _write_split(spark, d) -> str:
