@@ -6,7 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoframe.llm import exact_dedup, mixing, pii, token_counts, url_filter
+from mnemoframe.llm import (
+    exact_dedup,
+    html_text,
+    mixing,
+    pii,
+    quality,
+    token_counts,
+    toxicity,
+    url_filter,
+)
 from mnemoframe.llm.catalog import query
 
 # the rules of the query, as its contract gives them
@@ -29,6 +38,35 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query()
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def _judged(scored: DataFrame, modulus: int, remainder: int, cut: float) -> DataFrame:
+    return scored.select(
+        "doc_id", quality.held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "score",
+        (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+@query()
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(
+        quality.narrow(docs), table(spark, sf_dir, "labels"),
+        ~quality.held_out(F.col("doc_id"), 5, 0))
+    return _judged(quality.score(docs, model), 5, 0, 0.3)
+
+
+@query()
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(
+        toxicity.narrow(docs), table(spark, sf_dir, "labels"),
+        ~quality.held_out(F.col("doc_id"), 3, 1))
+    return _judged(toxicity.score(docs, model), 3, 1, 0.7)
+
+
 @query(r"""
 WITH rules(verdict, host, path) AS (VALUES
   ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
