@@ -126,7 +126,7 @@ class Model:
 
 def fit(
     rows: np.ndarray, features: np.ndarray, values: np.ndarray, toxic: np.ndarray,
-    n_features: int, ridge: float = 1e-4, rounds: int = 600,
+    n_features: int, ridge: float = 1e-4, rounds: int = 2000,
 ) -> tuple[np.ndarray, float]:
     """Logistic regression on sparse values by accelerated gradient steps."""
     n = len(toxic)
@@ -149,7 +149,7 @@ def fit(
 
 def train(
     docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "toxic",
-    max_labels: int = 20_000, max_features: int = 4096,
+    max_labels: int = 20_000, max_features: int = 2048,
 ) -> Model:
     """A model learned from labelled documents; ``docs`` has doc_id and text."""
     chosen = labelled(docs, labels, label, learnable, max_labels)
