@@ -10,6 +10,7 @@ from mnemoframe.llm import (
     exact_dedup,
     html_text,
     mixing,
+    near_dedup,
     pii,
     quality,
     token_counts,
@@ -110,6 +111,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query()
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.group(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents"))
