@@ -41,6 +41,8 @@ CONTAINERS = frozenset(
 LEFT_OUT = frozenset(
     "aside button dialog footer form head iframe menu nav noscript object select svg template "
     "textarea".split())
+# these hold no article: one that begins in them shows that their end is missing
+NO_ARTICLE = frozenset("button footer form head header menu nav select textarea".split())
 SILENT = frozenset("script style title".split())
 ROLES = frozenset(
     "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation "
@@ -102,8 +104,9 @@ class PageLines(HTMLParser):
     def _enter(self, tag: str, attributes: list) -> None:
         if tag in ("article", "main", "body") and not _set_aside(tag, attributes):
             # what a part before the article left open does not reach into it
-            while self.open and self.open[-1][1] and self.open[-1][0] in LEFT_OUT | {"header"}:
-                self.open.pop()
+            left = [at for at, (name, aside, _) in enumerate(self.open) if aside and name in NO_ARTICLE]
+            if left:
+                del self.open[left[0]:]
         above_aside, above_article = (self.open[-1][1], self.open[-1][2]) if self.open else (
             False, False)
         article = above_article or tag in ("article", "main")

@@ -4,13 +4,13 @@ Every source gets a target number of words: its weight's share of all words, at
 ``max_repeats`` times what it has; what is cut off goes to the others by weight.  A source
 is repeated whole as often as its target allows.  The remaining budget is fitted on the
 counts of its documents by exact length: each length gives its proportional share, rounded
-down, then more documents until at most ``DP_WORDS`` words are missing, and a bounded-knapsack
-dynamic programme closes the gap.  Which documents of a length are taken is decided by a
+down, then more documents until few words are missing, and a bounded-knapsack dynamic
+programme over at most ``DP_BITS`` bits closes the gap; a small source is fitted by it alone.  Which documents of a length are taken is decided by a
 seeded hash of doc_id, so reruns agree.
 
 Only lengths and counts reach the fitting: one row per source and length, and one row per
-source in the driver.  Ranks within a length are taken in hash buckets of about
-``BUCKET_ROWS`` rows, so copies that share one length do not meet in one task.
+source in the driver.  Ranks within a length are taken in hash buckets, as many as each has
+rows beyond ``BUCKET_ROWS`` documents, so copies that share one length do not meet in one task.
 
 Null text has size 0; null source is a source of its own, last in order; documents of size 0
 take 0 words.  Rows with equal doc_id are ranked by their place in the files.
@@ -26,11 +26,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemoframe.llm.rows import with_row_key
+from mnemoframe.llm.rows import free_name, scanned, with_row_key
 from mnemoframe.operators.groups import stored
 
-DP_WORDS = 1 << 14
-BUCKET_ROWS = 4096
+DP_BITS = 1 << 29
+BUCKET_ROWS = 256
 SIZE_SCHEMA = "doc_id long, source string, row_file long, row_number long, size long"
 PLAN_SCHEMA = "source string, size long, n long, extra long, whole long"
 
@@ -65,22 +65,28 @@ def targets(
 
 
 def _closest(budget: int, lengths: list[int], counts: list[int]) -> dict[int, int]:
-    """Bounded knapsack: documents by length whose sum is the largest within the budget.
+    """Bounded knapsack: documents by length whose sum is nearest to the budget, below in ties.
 
     Sums that can be reached are the bits of an integer, one integer kept per item; an item
     is a power of two of documents of one length.  Stops as soon as the budget is reached.
     """
-    full = (1 << (budget + 1)) - 1
+    above = max([n for n in lengths if n <= 2 * budget], default=0)
+    full = (1 << (budget + above + 1)) - 1
     reach, steps = 1, []
     for length, count in zip(lengths, counts):
-        part, left = 1, min(count, budget // length)
+        part, left = 1, min(count, (budget + above) // length)
         while left > 0 and not reach >> budget & 1:
             part = min(part, left)
             steps.append((length, part, reach))
             reach |= (reach << (length * part)) & full
             left -= part
             part *= 2
-    at, taken = reach.bit_length() - 1, {}
+    at = (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
+    over = reach >> (budget + 1)
+    next_up = budget + (over & -over).bit_length() if over else None
+    if next_up is not None and next_up - budget < budget - at:
+        at = next_up
+    taken: dict[int, int] = {}
     for length, part, before in reversed(steps):
         if not before >> at & 1:
             at -= length * part
@@ -89,28 +95,31 @@ def _closest(budget: int, lengths: list[int], counts: list[int]) -> dict[int, in
 
 
 def fit(budget: int, lengths: list[int], counts: list[int]) -> list[int]:
-    """How many documents of each length to take; their words come as near as found below."""
+    """How many documents of each length to take, so that their words come near the budget."""
     total = sum(n * c for n, c in zip(lengths, counts))
     if budget >= total:
         return list(counts)
-    take = [c * budget // total if n else 0 for n, c in zip(lengths, counts)]
+    items = sum(c.bit_length() for c in counts)
+    window = max(1 << 14, DP_BITS // items)
+    take = [0] * len(lengths)
+    if budget > window:
+        take = [c * budget // total if n else 0 for n, c in zip(lengths, counts)]
     left = budget - sum(n * t for n, t in zip(lengths, take))
     by_rest = sorted(
         (i for i in range(len(lengths)) if lengths[i]),
         key=lambda i: (-(counts[i] * budget % total), -lengths[i]))
     for once in (True, False):  # one more of each length by largest remainder, then what fits
         for i in by_rest if once else sorted(by_rest, key=lambda i: -lengths[i]):
-            wanted = -(-(left - DP_WORDS) // lengths[i])
+            wanted = -(-(left - window) // lengths[i])
             more = min(counts[i] - take[i], left // lengths[i], max(0, wanted), 1 if once else wanted)
             if more > 0:
                 take[i] += more
                 left -= more * lengths[i]
     place = {n: i for i, n in enumerate(lengths)}
-    small = [i for i in sorted(by_rest, key=lambda i: -lengths[i]) if lengths[i] <= left]
-    budget_left = min(left, DP_WORDS)
+    order = sorted(by_rest, key=lambda i: -lengths[i])
     for n, more in _closest(
-            budget_left, [lengths[i] for i in small],
-            [counts[i] - take[i] for i in small]).items():
+            min(left, window), [lengths[i] for i in order],
+            [counts[i] - take[i] for i in order]).items():
         take[place[n]] += more
     return take
 
@@ -124,7 +133,7 @@ def mix(
     Columns: doc_id, source, row_file, row_number, size, source_size, target, copies, taken.
     """
     spark = docs.sparkSession
-    keyed, (file, row) = with_row_key(docs)
+    keyed, (file, row) = with_row_key(scanned(docs))
     narrow = keyed.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
         F.col(file).alias("row_file"), F.col(row).alias("row_number"),
@@ -161,7 +170,7 @@ def mix(
     ranked_by = F.xxhash64(F.lit(seed).cast("long"), F.col("doc_id"))
     on = ((F.coalesce("source", F.lit("")) == F.col("plan_source"))
           & (F.col("source").isNull() == F.col("plan_null")) & (F.col("size") == F.col("plan_size")))
-    n_buckets = F.ceil(F.col("n") / F.lit(BUCKET_ROWS))
+    n_buckets = F.when(F.col("n") > BUCKET_ROWS, F.ceil(F.sqrt("n"))).otherwise(1)
     rows = sized.join(plans, on).withColumn("hash", ranked_by).withColumn(
         "bucket", F.floor((F.col("hash") / F.lit(2.0 ** 64) + 0.5) * n_buckets))
     key = ["plan_source", "plan_null", "plan_size"]
@@ -182,7 +191,11 @@ def mix(
 
 
 def mixed_rows(docs: DataFrame, **parameters) -> DataFrame:
-    """The documents of the mix with all their columns, repeated rows numbered in ``copy``."""
+    """The documents of the mix with all their columns, repeated rows numbered in ``copy``.
+
+    A column of that name stays; the number's name then begins with an underscore.
+    """
+    docs = scanned(docs)
     chosen = mix(docs, **parameters).filter("copies > 0")
     keyed, (file, row) = with_row_key(docs)
     keys = chosen.select(F.col("row_file").alias(file), F.col("row_number").alias(row), "copies")
@@ -191,4 +204,4 @@ def mixed_rows(docs: DataFrame, **parameters) -> DataFrame:
     return own.join(
         keys.alias("mix"), (F.col(f"own.{file}") == F.col(f"mix.{file}"))
         & (F.col(f"own.{row}") == F.col(f"mix.{row}"))
-    ).select(*[F.col(f"own.`{c}`") for c in docs.columns], numbers.alias("copy"))
+    ).select(*[F.col(f"own.`{c}`") for c in docs.columns], numbers.alias(free_name(docs, "copy")))

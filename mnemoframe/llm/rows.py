@@ -17,22 +17,23 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def scanned(df: DataFrame) -> DataFrame:
+    """The same rows as a Parquet scan: written to the shared folder if they are none yet."""
+    try:
+        df.select("_metadata.row_index")
+    except AnalysisException:
+        return stored(df)
+    return df
+
+
 def with_row_key(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """Add two columns that name each row: its file (hashed) and its place in the file.
 
-    The same in every reading, also after an executor is lost.  A frame that is no
-    plain Parquet scan is first written to the shared folder.
+    ``df`` is ``scanned``.  The key is the same in every reading, also after an executor is
+    lost.
     """
     file, row = free_name(df, "row_file"), free_name(df, "row_number")
-
-    def keyed(frame: DataFrame) -> DataFrame:
-        return frame.select(
-            *frame.columns,
-            F.xxhash64(F.col("_metadata.file_path")).alias(file),
-            F.col("_metadata.row_index").alias(row))
-
-    try:
-        out = keyed(df)
-    except AnalysisException:
-        out = keyed(stored(df))
-    return out, [file, row]
+    return df.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        F.xxhash64(F.col("_metadata.file_path")).alias(file),
+        F.col("_metadata.row_index").alias(row)), [file, row]
