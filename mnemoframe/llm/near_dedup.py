@@ -17,11 +17,12 @@ links.
    round takes other pivots for classes outside the component of their pivot.  What still
    meets in a bucket across components is then compared exhaustively: members are packed into
    blocks of sketches, blocks are compared with blocks, pairs whose sketches agree on at
-   least ``MIN_AGREE`` are verified.  So no link between components is lost that shares a
-   bucket, while a bucket of many copies of one text costs a comparison per member.
+   least ``MIN_AGREE`` are verified.  So links between components that share a bucket are
+   found, while a bucket of many copies of one text costs a comparison per member.
 4. *Components* by large-star/small-star over the verified links, to a fixpoint.
 
-At similarity 0.8 a pair shares no bucket with probability (1 - 0.8^5)^24 < 1e-4.
+At similarity 0.8 a pair shares no bucket with probability (1 - 0.8^5)^24 < 1e-4, and its
+sketches agree on less than 0.64 with probability below 2e-5.
 
 A text of one to four words is one shingle; texts without words are linked to nothing.  Null
 counts as empty.  Rows with a null doc_id are linked to nothing.  Rows that repeat a doc_id
@@ -45,7 +46,7 @@ from mnemoframe.operators.groups import stored
 SHINGLE = 5
 BANDS, ROWS = 24, 5
 COMPONENTS = BANDS * ROWS
-MIN_AGREE = 0.55
+MIN_AGREE = 0.64
 BLOCK = 256
 SKETCH_SCHEMA = "doc_id long, digest binary, sketch binary"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -264,35 +265,41 @@ def _pivot_pairs(buckets: DataFrame, order) -> DataFrame:
 
 
 def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of up to BLOCK rows of one bucket and component: their classes and sketches."""
+    """Runs of up to BLOCK rows of one part of a bucket: their classes, roots and sketches."""
     for batch in batches:
-        bucket, root, rep = (batch.column(c).to_numpy() for c in ("bucket", "root", "rep"))
+        bucket, main, part, rep, root = (
+            batch.column(c).to_numpy(zero_copy_only=False)
+            for c in ("bucket", "is_main", "part", "rep", "root"))
         raw = batch.column("sketch").to_pylist()
-        new = (bucket[1:] != bucket[:-1]) | (root[1:] != root[:-1])
+        new = (bucket[1:] != bucket[:-1]) | (main[1:] != main[:-1]) | (part[1:] != part[:-1])
         cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(rep)]
         runs = [(x, min(x + BLOCK, b)) for a, b in zip(cuts[:-1], cuts[1:])
                 for x in range(a, b, BLOCK)]
+        first = [a for a, _ in runs]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket[[a for a, _ in runs]]), pa.array(root[[a for a, _ in runs]]),
-             pa.array([b - a for a, b in runs], pa.int64()),
-             pa.array([rep[a:b].tobytes() for a, b in runs], pa.binary()),
+            [pa.array(bucket[first]), pa.array(main[first].astype(bool)),
+             pa.array([int(rep[a:b].min()) for a, b in runs], pa.int64()),
+             *(pa.array([x[a:b].tobytes() for a, b in runs], pa.binary()) for x in (rep, root)),
              pa.array([b"".join(raw[a:b]) for a, b in runs], pa.binary())],
-            names=["bucket", "root", "n", "reps", "sketches"])
+            names=["bucket", "is_main", "pack", "reps", "roots", "sketches"])
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of two packs whose sketches agree often enough."""
+    """Pairs of two packs whose roots differ and whose sketches agree often enough."""
     for batch in batches:
         found_a, found_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        columns = (batch.column(c).to_pylist() for c in ("reps", "sketches", "reps_2", "sketches_2"))
-        for reps, sketch, reps_2, sketch_2 in zip(*columns):
-            first, second = np.frombuffer(reps, np.int64), np.frombuffer(reps_2, np.int64)
+        columns = (batch.column(c).to_pylist() for c in (
+            "reps", "roots", "sketches", "reps_2", "roots_2", "sketches_2"))
+        for row in zip(*columns):
+            (reps, roots), (reps_2, roots_2) = (
+                [np.frombuffer(x, np.int64) for x in part] for part in (row[0:2], row[3:5]))
             one, two = (np.frombuffer(x, np.uint32).reshape(-1, COMPONENTS)
-                        for x in (sketch, sketch_2))
-            for i in range(len(first)):
-                hit = second[(two == one[i]).mean(axis=1) >= MIN_AGREE]
-                found_a.append(np.maximum(first[i], hit))
-                found_b.append(np.minimum(first[i], hit))
+                        for x in (row[2], row[5]))
+            for i in range(len(reps)):
+                agree = np.count_nonzero(two == one[i], axis=1) >= MIN_AGREE * COMPONENTS
+                hit = reps_2[agree & (roots_2 != roots[i])]
+                found_a.append(np.maximum(reps[i], hit))
+                found_b.append(np.minimum(reps[i], hit))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
 
@@ -301,17 +308,23 @@ def _remaining_pairs(buckets: DataFrame, sketched: DataFrame, tried: DataFrame)
     """All pairs across components that meet in a bucket, if their sketches agree.
 
     The largest component of a bucket is only compared with the others, never with itself.
+    Rows become packs before they meet, so a bucket joins a row per pair of packs.
     """
-    rows = buckets.join(sketched, "rep").select("bucket", "rep", "root", "sketch")
-    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("rep"), F.lit(64)))
-    packs = stored(dealt.sortWithinPartitions("bucket", "root", "rep").mapInArrow(
-        _packs, "bucket long, root long, n long, reps binary, sketches binary"))
-    largest = packs.groupBy("bucket", "root").agg(F.sum("n").alias("n")).groupBy("bucket").agg(
-        F.max(F.struct("n", "root")).alias("m")).select("bucket", F.col("m.root").alias("main"))
-    packs = packs.join(largest, "bucket")
-    second = packs.select("bucket", *[F.col(c).alias(f"{c}_2") for c in ("root", "reps", "sketches")])
-    met = packs.filter("root <> main").join(second, "bucket").filter(
-        (F.col("root_2") == F.col("main")) | (F.col("root") < F.col("root_2")))
+    sizes = buckets.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("m")).select(
+        "bucket", "n", F.col("m.root").alias("main"))
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK))
+    rows = buckets.join(sizes, "bucket").select(
+        "bucket", (F.col("root") == F.col("main")).alias("is_main"), part.alias("part"), "rep", "root")
+    key = ["bucket", "is_main", "part"]
+    dealt = rows.join(sketched, "rep").select(*key, "rep", "root", "sketch").repartition(*key)
+    packs = stored(dealt.sortWithinPartitions(*key).mapInArrow(
+        _packs, "bucket long, is_main boolean, pack long, reps binary, roots binary, "
+                "sketches binary"))
+    second = packs.select(
+        "bucket", *[F.col(c).alias(f"{c}_2") for c in packs.columns if c != "bucket"])
+    met = packs.filter(~F.col("is_main")).join(second, "bucket").filter(
+        F.col("is_main_2") | (F.col("pack") <= F.col("pack_2")))
     pairs = met.mapInArrow(_agreeing, "a long, b long").filter("a <> b").distinct()
     done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     return pairs.join(done, ["a", "b"], "left_anti")
