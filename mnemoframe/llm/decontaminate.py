@@ -28,7 +28,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType, StructField, StructType
 
 from mnemoframe.llm.arrays import Words, lower_words, mix
+from mnemoframe.llm.rows import in_small_batches
 
 MAX_INDEX_BYTES = 16 << 20
 SAMPLED = 4
@@ -390,7 +390,7 @@ def find(
     item_text_col: str = "text", max_index_bytes: int = MAX_INDEX_BYTES,
 ) -> DataFrame:
     """One row per document and item in it: doc_id, item_id, edits, item_chars."""
-    narrow = docs.select(
+    narrow = in_small_batches(docs).select(
         F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = StructType([
         narrow.schema["doc_id"], StructField("item_id", benchmark.schema[item_id_col].dataType),
@@ -424,6 +424,7 @@ def clean_rows(
     max_index_bytes: int = MAX_INDEX_BYTES,
 ) -> DataFrame:
     """The rows that no item contaminates, with all their columns; texts move nowhere."""
+    docs = in_small_batches(docs)
     for index in _indexes(
             benchmark, item_id_col, item_text_col, max_ratio, target_recall, max_index_bytes):
         docs = docs.filter(_is_clean(index)(F.col(text_col).cast("string")))
@@ -431,11 +432,10 @@ def clean_rows(
 
 
 def _is_clean(index: Index):
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
         out = np.ones(len(texts), dtype=bool)
-        rows = pa.array(texts, pa.large_string(), from_pandas=True)
-        out[[row for row, _, _ in contaminated(index, rows)]] = False
-        return pd.Series(out)
+        out[[row for row, _, _ in contaminated(index, texts)]] = False
+        return pa.array(out)
 
     return clean

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemoframe.llm.arrays import code_points, utf8
-from mnemoframe.llm.rows import scanned, with_row_key
+from mnemoframe.llm.rows import in_small_batches, scanned, with_row_key
 from mnemoframe.operators.groups import stored
 
 WHITE = b" \t\n\x0b\x0c\r"
@@ -204,7 +204,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Columns: doc_id, row_file, row_number, keep_id, group_size, kept, text_sha256.
     """
-    keyed, (file, row) = with_row_key(scanned(docs))
+    keyed, (file, row) = with_row_key(scanned(in_small_batches(docs)))
     narrow = keyed.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(file).alias("row_file"),
         F.col(row).alias("row_number"), F.col(text_col).cast("string").alias("text"))

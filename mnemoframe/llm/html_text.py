@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemoframe.llm.rows import in_small_batches
+
 SIGMA = 2.0
 LINK_SHARE = 0.5
 
@@ -217,7 +219,7 @@ def extract(
                 [batch.column("page_id"), batch.column("url"), texts, n_chars],
                 names=["page_id", "url", "text", "n_chars"])
 
-    narrow = pages.select(
+    narrow = in_small_batches(pages).select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
         F.col(html_col).cast("string").alias("html"))
     return narrow.mapInArrow(extracted, "page_id long, url string, text string, n_chars long")

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemoframe.llm.rows import free_name, scanned, with_row_key
+from mnemoframe.llm.rows import free_name, in_small_batches, scanned, with_row_key
 from mnemoframe.operators.groups import stored
 
 DP_BITS = 1 << 29
@@ -133,7 +133,7 @@ def mix(
     Columns: doc_id, source, row_file, row_number, size, source_size, target, copies, taken.
     """
     spark = docs.sparkSession
-    keyed, (file, row) = with_row_key(scanned(docs))
+    keyed, (file, row) = with_row_key(scanned(in_small_batches(docs)))
     narrow = keyed.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
         F.col(file).alias("row_file"), F.col(row).alias("row_number"),

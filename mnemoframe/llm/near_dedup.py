@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemoframe.llm.arrays import Words, lower_words, mix
+from mnemoframe.llm.rows import in_small_batches
 from mnemoframe.operators.groups import stored
 
 SHINGLE = 5
@@ -339,7 +340,7 @@ def group(
     group; the document whose id that is stays.  Both are the own doc_id, null included,
     where nothing is linked.
     """
-    narrow = docs.select(
+    narrow = in_small_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = stored(narrow.mapInArrow(_sketched, SKETCH_SCHEMA))
     linkable = rows.filter(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())

@@ -24,6 +24,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemoframe.llm.rows import in_small_batches
+
 MEMO = 400_000
 SPACE = "▁"
 _PRETOKEN = re.compile(r" +[^ \n]*|\n[^ \n]*")
@@ -91,7 +93,7 @@ def count_tokens(
                 [batch.column("doc_id"), n_bytes, pa.array(n_tokens, pa.int64())],
                 names=["doc_id", "n_bytes", "n_tokens"])
 
-    narrow = docs.select(
+    narrow = in_small_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(counted, SCHEMA).withColumn(
         "over_limit", F.col("n_tokens") > F.lit(limit))
