@@ -281,8 +281,13 @@ def date_only(moment: Column) -> Column:
 
 
 def parse_iso_timestamp(text: Column) -> Column:
-    """ISO-8601 text, with or without an offset or 'Z'; null when malformed."""
-    return F.try_to_timestamp(text)
+    """ISO-8601 text, with or without a time and an offset or 'Z'; null when malformed.
+
+    The local date and time of the text are kept; an offset does not move them.
+    """
+    whole = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?))?(?:Z|[+-]\d{2}:?\d{2})?$"
+    day, time = F.regexp_extract(text, whole, 1), F.regexp_extract(text, whole, 2)
+    return F.when(text.rlike(whole), F.try_to_timestamp(F.concat_ws(" ", day, F.nullif(time, F.lit("")))))
 
 
 def shorten(text: Column, width: int) -> Column:

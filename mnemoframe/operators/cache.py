@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +38,9 @@ def enrich_once(
 
 
 def attach(inputs: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame:
-    return inputs.join(cache.select(key, "payload"), key, "left")
+    """Add the payload; a key that concurrent fills stored twice counts once."""
+    held = cache.groupBy(key).agg(F.min("payload").alias("payload"))
+    return inputs.join(held, key, "left")
 
 
 def refresh(
@@ -46,11 +49,12 @@ def refresh(
 ) -> DataFrame:
     """Fill the cache table at ``path`` for ``inputs`` and return inputs with payloads."""
     schema = f"key string, payload {payload_type}"
+    known = spark.createDataFrame([], schema)
     try:
         known = spark.read.schema(schema).parquet(path)
-        known.isEmpty()
-    except Exception:  # no table yet
-        known = spark.createDataFrame([], schema)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":  # any other fault must not look like no cache
+            raise
     new = enrich_once(misses(inputs, known, text), text, provider, payload_type)
     new.write.mode("append").parquet(path)
     return attach(inputs, spark.read.schema(schema).parquet(path))

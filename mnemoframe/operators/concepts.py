@@ -195,24 +195,28 @@ def similar_concepts(
     return same.unionByName(forward).unionByName(backward)
 
 
-def merge_groups(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
+def merge_groups(pairs: DataFrame) -> DataFrame:
     """Connected components: every concept with the smallest id of its group.
 
-    Labels move one hop per round over the edge list; each round is checkpointed.
+    Each round takes the smallest root among the neighbours, then the root of that root, so
+    labels travel twice as far each time; the loop ends when nothing moves.
     """
     edges = materialize(pairs.select("scope_id", "a", "b").unionByName(
         pairs.select("scope_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = materialize(edges.select("scope_id", F.col("a").alias("concept_id")).distinct()
-                         .withColumn("root", F.col("concept_id")))
-    for _ in range(max_rounds):
+    labels = edges.select("scope_id", F.col("a").alias("concept_id")).distinct().withColumn(
+        "root", F.col("concept_id"))
+    moving = True
+    while moving:
+        labels = materialize(labels)
         offered = edges.join(
             labels.withColumnRenamed("concept_id", "b"), ["scope_id", "b"]
         ).groupBy("scope_id", F.col("a").alias("concept_id")).agg(F.min("root").alias("offer"))
         moved = materialize(
-            labels.join(offered, ["scope_id", "concept_id"], "left")
-            .withColumn("new_root", F.least("root", "offer")))
-        done = moved.filter("new_root < root").isEmpty()
-        labels = moved.select("scope_id", "concept_id", F.col("new_root").alias("root"))
-        if done:
-            return labels
-    raise RuntimeError("concept groups did not settle")
+            labels.join(offered, ["scope_id", "concept_id"])
+            .select("scope_id", "concept_id", "root", F.least("root", "offer").alias("near")))
+        moving = not moved.filter("near < root").isEmpty()
+        further = moved.select(
+            "scope_id", F.col("concept_id").alias("near"), F.col("near").alias("far"))
+        labels = moved.join(further, ["scope_id", "near"]).select(
+            "scope_id", "concept_id", F.least("near", "far").alias("root"))
+    return labels

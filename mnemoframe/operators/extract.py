@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 
 from mnemoframe import constants as C
 from mnemoframe.functions.text import classify_observation, content_key, strip
+from mnemoframe.operators.groups import number_in_group
 from mnemoframe.settings import DEFAULTS, Settings
 
 DEFAULT_CONFIDENCE = 0.85
-# room for memories of one observation when a provider returns several
-PROVIDER_STRIDE = 1 << 16
 
 
 def _typed(candidates: DataFrame, settings: Settings) -> DataFrame:
@@ -108,7 +107,10 @@ def parse_payload(payload: Column) -> Column:
 def extract_from_payload(
     observations: DataFrame, payload: str, settings: Settings = DEFAULTS
 ) -> DataFrame:
-    """Zero or more memories per observation from a provider's JSON column."""
+    """Zero or more memories per observation from a provider's JSON column.
+
+    Memories are numbered densely in the order of the log, before the confidence gate.
+    """
     exploded = (
         observations.filter(strip(F.col("content")) != "")
         .select("*", F.posexplode(parse_payload(F.col(payload))).alias("_pos", "_m"))
@@ -116,10 +118,10 @@ def extract_from_payload(
             "kind": F.col("_m.kind"),
             "memory_content": F.col("_m.content"),
             "confidence": F.col("_m.confidence"),
-            "mem_seq": F.col("seq") * PROVIDER_STRIDE + F.col("_pos"),
         })
     )
-    return _typed(exploded, settings)
+    order = [F.col("seq"), F.col("_pos")]
+    return _typed(number_in_group(exploded, ["scope_id"], order, "mem_seq"), settings)
 
 
 def provider_payload(

@@ -1,8 +1,7 @@
 """Group-wise ordering that stays safe when one group holds much of the data.
 
-A plain window sorts every group in one task.  The helpers here look at the
-largest group first and, past a limit, work in two levels: bounded chunks are
-handled in parallel and only one summary row per chunk is combined.
+A plain window sorts every group in one task.  The helpers here work in two levels:
+bounded chunks are handled in parallel and only one summary row per chunk is combined.
 """
 
 from __future__ import annotations
@@ -13,8 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# rows one window task may have to sort for a single group
-MAX_GROUP_ROWS = 1_000_000
+# consecutive numbers that one window of ``next_in_group`` may hold
+CHUNK_ROWS = 1 << 16
 # Spark limits a top-k before the shuffle by itself up to this k
 NATIVE_TOP_K = 1_000
 
@@ -58,31 +57,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Row count of the largest group; a map-side combined count, one row back."""
-    counts = df.groupBy(*keys).count()
-    return counts.agg(F.max("count")).first()[0] or 0
-
-
-def number_in_group(
-    df: DataFrame, keys: list[str], order: list, name: str, max_rows: int = MAX_GROUP_ROWS
-) -> DataFrame:
+def number_in_group(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
     """Add the dense 1-based position of each row in its group.
 
-    ``order`` must be total within a group.  Groups up to ``max_rows`` use a plain
-    window.  Beyond that the rows are range-partitioned on keys and order; each
-    range numbers its own rows and only groups that cross a range boundary need
-    an offset, so the offset table has at most two rows per range.
+    ``order`` must be total within a group.  The rows are range-partitioned on keys and
+    order; each range numbers its own rows and only groups that cross a range boundary need
+    an offset, so the offset table has at most two rows per range and no group, however
+    large, meets in one task.
     """
-    if largest_group(df, keys) <= max_rows:
-        by_order = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(by_order).cast("long"))
     n_ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_ranges = max(n_ranges, 2 * df.sparkSession.sparkContext.defaultParallelism)
     # fixed once, because range boundaries are sampled
-    ranged = materialize(
-        df.repartitionByRange(n_ranges, *keys, *order).withColumn("_range", F.spark_partition_id())
-    )
+    ranged = stored(
+        df.repartitionByRange(n_ranges, *keys, *order).withColumn("_range", F.spark_partition_id()))
     local = ranged.withColumn(
         "_local", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
     )
@@ -127,24 +114,21 @@ def top_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank
 
 
 def next_in_group(
-    df: DataFrame, keys: list[str], seq: str, name: str, chunk_rows: int = MAX_GROUP_ROWS
+    df: DataFrame, keys: list[str], seq: str, name: str, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Add the next higher ``seq`` in the group, or null for the last row.
 
     ``seq`` is unique in a group, so a chunk of ``chunk_rows`` consecutive numbers
     bounds every window.  The last row of a chunk takes the first ``seq`` of the
-    next chunk that has rows of the group.  Reads ``df`` more than once.
+    next chunk that has rows of the group.  Reads ``df`` twice.
     """
-    if (df.agg(F.max(seq)).first()[0] or 0) < chunk_rows:
-        return df.withColumn(name, F.lead(seq).over(Window.partitionBy(*keys).orderBy(seq)))
     chunked = df.withColumn("_chunk", F.floor(F.col(seq) / chunk_rows))
     inside = F.lead(seq).over(Window.partitionBy(*keys, "_chunk").orderBy(seq))
-    firsts = chunked.filter(F.col("_chunk") > 0).groupBy(*keys, "_chunk").agg(
-        F.min(seq).alias("_first_seq"))
-    # one row per chunk of the groups that reach past the first chunk
+    firsts = chunked.groupBy(*keys, "_chunk").agg(F.min(seq).alias("_first_seq"))
+    # one row per chunk of a group
     earlier = F.lag("_chunk").over(Window.partitionBy(*keys).orderBy("_chunk"))
-    following = firsts.select(
-        *keys, "_first_seq", F.coalesce(earlier, F.lit(0)).alias("_chunk"))
+    following = firsts.withColumn("_earlier", earlier).filter("_earlier is not null").select(
+        *keys, "_first_seq", F.col("_earlier").alias("_chunk"))
     return (
         chunked.withColumn("_inside", inside)
         .join(following, [*keys, "_chunk"], "left")

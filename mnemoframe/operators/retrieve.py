@@ -88,12 +88,12 @@ def with_embedding(
 
 
 def _never_shown() -> Column:
-    return F.col("status").isin(*C.ALWAYS_HIDDEN)
+    return F.coalesce(F.col("status").isin(*C.ALWAYS_HIDDEN), F.lit(False))
 
 
 def _visible_to(status: str, show: str, mem_type: str, types: str) -> Column:
     return (
-        ((F.col(status) != C.SUPERSEDED) | F.col(show))
+        (F.coalesce(F.col(status) != C.SUPERSEDED, F.lit(True)) | F.col(show))
         & F.array_contains(F.col(types), F.col(mem_type))
     )
 

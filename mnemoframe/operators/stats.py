@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,41 +107,39 @@ def holm_adjust(df: DataFrame, p: str, family: list[str] | None = None) -> DataF
     }).drop("_m", "_i", "_scaled")
 
 
-# cumulative Poisson(1) probabilities: how often a row enters a replicate
-def _poisson_cuts(largest: int = 12) -> list[float]:
-    total, term, cuts = 0.0, math.exp(-1.0), []
-    for i in range(largest):
-        total += term
-        cuts.append(total)
-        term /= i + 1
-    return cuts
-
-
 def bootstrap_delta(
-    pairs: DataFrame, replicates: int = 1000, level: float = 0.95, salt: int = 0
+    pairs: DataFrame, replicates: int = 20_000, level: float = 0.95, salt: int = 0
 ) -> DataFrame:
     """Paired bootstrap interval of the accuracy difference (second - first).
 
-    ``pairs`` has question_id, first and second (0/1).  Each row enters a replicate
-    Poisson(1) times; the count follows from a hash, so a rerun gives the same
-    interval.  Rows with equal outcomes and replicates are summed before the shuffle.
+    ``pairs`` has question_id, first and second (0/1).  A difference depends only on how
+    many rows of each of the four outcomes a resample holds, so the rows are counted once
+    and each replicate draws the four counts: n draws with replacement are one multinomial
+    draw.  A replicate's generator is seeded by its number, so a rerun gives the same
+    interval whatever the partitioning.
     """
-    spread = pairs.withColumn(
-        "replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    buckets = 2**31
-    u = F.pmod(
-        F.xxhash64("question_id", "replicate", F.lit(salt)), F.lit(buckets)) / float(buckets)
-    weight = F.lit(0)
-    for cut in _poisson_cuts():
-        weight = weight + F.when(u >= cut, 1).otherwise(0)
-    deltas = spread.withColumn("w", weight).groupBy("replicate").agg(
-        (F.sum(F.col("w") * (F.col("second") - F.col("first"))) / F.sum("w")).alias("delta"))
+    cells = pairs.groupBy(
+        F.col("first").cast("int").alias("first"), F.col("second").cast("int").alias("second")
+    ).agg(F.count("*").alias("n")).collect()  # four rows at most
+    counts = np.array([c["n"] for c in cells], dtype=np.int64)
+    gains = np.array([c["second"] - c["first"] for c in cells], dtype=np.int64)
+    total = int(counts.sum())
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            drawn = [
+                np.random.default_rng([salt, number]).multinomial(total, counts / total)
+                for number in batch["id"]]
+            yield pd.DataFrame({"delta": [float(d @ gains) / total for d in drawn]})
+
+    spark = pairs.sparkSession
+    observed = float(counts @ gains) / total if total else None
     tail = (1 - level) / 2
-    observed = pairs.agg(F.avg(F.col("second") - F.col("first")).alias("delta"))
-    bounds = deltas.agg(
+    deltas = spark.range(replicates if total else 0).mapInPandas(draw, "delta double")
+    return deltas.agg(
         F.percentile("delta", F.lit(tail)).alias("low"),
-        F.percentile("delta", F.lit(1 - tail)).alias("high"))
-    return observed.join(F.broadcast(bounds), F.lit(True))
+        F.percentile("delta", F.lit(1 - tail)).alias("high"),
+    ).select(F.lit(observed).cast("double").alias("delta"), "low", "high")
 
 
 # ------------------------------------------------------------ gold-label measures

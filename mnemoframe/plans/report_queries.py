@@ -14,7 +14,7 @@ O.define("records", """
 SELECT run_id, 'd' || doc_id || CASE WHEN abst THEN '_abs' ELSE '' END AS question_id,
   lang AS question_type, abst AS is_abstention,
   CASE WHEN draw % 29 = 0 THEN 'error' ELSE 'done' END AS status,
-  text[1:400] AS question, source AS gold_answer, text AS assembled_context,
+  text AS question, source AS gold_answer, text AS assembled_context,
   'Answer: ' || source AS hypothesis,
   CASE WHEN doc_id % 13 <> 0 THEN CASE run_id WHEN 'flat' THEN quality = 1 ELSE toxic = 0 END END AS judge_correct,
   CASE WHEN NOT abst THEN draw % 4 <> 0 END AS turn_hit,
@@ -163,20 +163,25 @@ def _words(x: str) -> str:
             f"lambda w: length(w) > 2 AND NOT list_contains({O.listed(C.COVERAGE_STOP_WORDS)}, w)))")
 
 
+_THINNED = ("lower(gold_answer) || "
+            "regexp_replace(lower(assembled_context), '[a-z0-9]*e[a-z0-9]*', ' ', 'g')")
+
+
 @query("G9 T16", f"""
 SELECT run_id, question_type, count(*) AS n, count(*) FILTER (label = 'A') AS "n_A",
   count(*) FILTER (label = 'B') AS "n_B", count(*) FILTER (label = 'C') AS "n_C",
   count(*) FILTER (label = 'D') AS "n_D", count(*) FILTER (coverage < 0.5) AS n_low_coverage
 FROM (SELECT *, chr((65 + length(question_id) % 4)::INT) AS label,
     CASE WHEN len(g) = 0 THEN 1.0 ELSE len(list_intersect(g, c)) / len(g) END AS coverage
-  FROM (SELECT *, {_words('question')} AS g, {_words('lower(gold_answer) || assembled_context[300:]')} AS c
+  FROM (SELECT *, {_words('question')} AS g, {_words(_THINNED)} AS c
     FROM records WHERE {_ANS} AND turn_hit AND NOT judge_correct)) GROUP BY ALL""")
 def triage_counts(spark, d):
     failed = runs.evidence_present_wrong(V.run_records(spark, d))
     labelled = failed.select(
         "run_id", "question_type", F.col("question").alias("gold_answer"),
-        F.concat(F.lower("gold_answer"), F.substring("assembled_context", 300, 2**30))
-        .alias("context"),
+        # the text without its words that have an e
+        F.concat(F.lower("gold_answer"), F.regexp_replace(
+            F.lower("assembled_context"), "[a-z0-9]*e[a-z0-9]*", " ")).alias("context"),
         F.char(65 + F.length("question_id") % 4).alias("label"))
     return runs.triage_counts(labelled)
 
@@ -275,12 +280,12 @@ def holm_adjusted(spark, d):
 
 @query("Q5")
 def bootstrap_interval(spark, d):
-    """Hash-driven resampling has no SQL twin; checked for coverage in the tests."""
+    """Seeded resampling has no SQL twin; checked for coverage in the tests."""
     pairs = _aligned(spark, d).select(
         "question_id", F.coalesce(F.col("flat.judge_correct").cast("int"), F.lit(0))
         .alias("first"),
         F.coalesce(F.col("retain.judge_correct").cast("int"), F.lit(0)).alias("second"))
-    return stats.bootstrap_delta(pairs, replicates=200)
+    return stats.bootstrap_delta(pairs)
 
 
 # ------------------------------------------------------------ sampling

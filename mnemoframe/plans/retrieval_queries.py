@@ -336,8 +336,7 @@ class _ConversationContext:
         self.observations, memories, plans = _conversations(spark, d)
         self.memories, self.plans = V.materialize(memories), V.materialize(plans)
         self.relations = extract.provenance_edges(self.memories)
-        limits = DEFAULTS.but(retrieval_limit=3)
-        hits = retrieve.flat_retrieve(self.memories, self.plans, limits)
+        hits = retrieve.flat_retrieve(self.memories, self.plans)
         self.results = V.materialize(
             retrieve.retrieval_results(self.plans, hits, self.relations))
         self.answers = V.materialize(
@@ -355,15 +354,15 @@ class _ConversationContext:
 
 
 O.define("conv_kw3", """
-SELECT * FROM conv_kw QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, mem_id) <= 3""")
+SELECT * FROM conv_kw QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, mem_id) <= 40""")
 O.define("conv_vec3", """
-SELECT * FROM conv_vec QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, mem_id) <= 3""")
+SELECT * FROM conv_vec QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, mem_id) <= 40""")
 O.define("conv_top3", """
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, mem_id) AS rank FROM (
   SELECT query_id, scope_id, mem_id, max(score) AS score FROM (
     SELECT * FROM conv_kw3
     UNION ALL SELECT query_id, scope_id, mem_id, 0.6 * score FROM conv_vec3) GROUP BY ALL)
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, mem_id) <= 3""")
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, mem_id) <= 40""")
 O.define("conv_seen", """
 SELECT DISTINCT t.query_id, o.scope_id, o.seq, o.session_id, o.turn_index FROM conv_top3 t
 JOIN mem_conv m ON m.scope_id = t.scope_id AND m.mem_id = t.mem_id

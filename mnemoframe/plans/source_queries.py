@@ -190,7 +190,19 @@ def run_manifest(spark, d):
 SELECT count(*) AS n, sha256(string_agg(question_id, chr(10) ORDER BY question_id)) AS sha256 FROM sampled""")
 def sample_fingerprint(spark, d):
     ids = sample.stratified_sample(V.run_records(spark, d).filter("run_id = 'flat'"), 50)
-    return fingerprint.id_set_fingerprint(ids, "question_id").drop("matches")
+    return fingerprint.sample_fingerprint(ids, "question_id").drop("matches")
+
+
+_PIECES = " || ':' || ".join(
+    f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::UBIGINT::HUGEINT)" for i in range(4))
+
+
+@query("S15", f"""
+SELECT count(*) AS n, sha256({_PIECES}) AS sha256
+FROM (SELECT sha256(doc_id::VARCHAR) AS h FROM documents)""")
+def id_set_fingerprint(spark, d):
+    ids = V.table(spark, d, "documents")
+    return fingerprint.id_set_fingerprint(ids, "doc_id").drop("matches")
 
 
 @query("S15")

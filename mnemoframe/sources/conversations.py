@@ -62,8 +62,8 @@ def parse_session_date(text: Column) -> Column:
     """'2023/05/20 (Sat) 02:21', '2023/05/20 02:21' or '2023/05/20'; else null."""
     plain = F.regexp_replace(text, r" \([A-Za-z]{3}\) ", " ")
     return F.coalesce(
-        F.try_to_timestamp(plain, F.lit("yyyy/MM/dd HH:mm")),
-        F.try_to_timestamp(text, F.lit("yyyy/MM/dd")),
+        F.try_to_timestamp(plain, F.lit("yyyy/M/d H:m")),
+        F.try_to_timestamp(text, F.lit("yyyy/M/d")),
     )
 
 

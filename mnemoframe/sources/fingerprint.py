@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# a joined list is hashed in one piece; a sample slice is far smaller than this
-MAX_FINGERPRINT_IDS = 1_000_000
-
 
 def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(
@@ -15,17 +12,29 @@ def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
         F.sha2("content", 256).alias("sha256"))
 
 
-def id_set_fingerprint(ids: DataFrame, column: str, expected: str | None = None) -> DataFrame:
+def sample_fingerprint(ids: DataFrame, column: str, expected: str | None = None) -> DataFrame:
     """SHA-256 of the newline-joined sorted ids, compared with a pinned value.
 
-    Meant for drawn samples.  The hash runs over one string, so a set that is too
-    large for one is refused instead of being cut.
+    For a drawn sample, whose size is a parameter of the drawing; the ids meet in one string.
     """
-    n = ids.count()
-    if n > MAX_FINGERPRINT_IDS:
-        raise ValueError(f"{n} ids are too many for one fingerprint")
     joined = F.concat_ws("\n", F.array_sort(F.collect_list(column)))
-    hashed = ids.agg(F.count("*").alias("n"), F.sha2(joined, 256).alias("sha256"))
+    return _compared(ids.agg(F.count("*").alias("n"), F.sha2(joined, 256).alias("sha256")), expected)
+
+
+def id_set_fingerprint(ids: DataFrame, column: str, expected: str | None = None) -> DataFrame:
+    """A fingerprint of any number of ids in any order, compared with a pinned value.
+
+    Four sums over pieces of the ids' SHA-256 digests, hashed; sums are combined map-side.
+    """
+    digest = F.sha2(F.col(column).cast("string"), 256)
+    pieces = [
+        F.sum(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)"))
+        for i in range(4)]
+    joined = F.concat_ws(":", *[F.coalesce(p, F.lit(0)).cast("string") for p in pieces])
+    return _compared(ids.agg(F.count("*").alias("n"), F.sha2(joined, 256).alias("sha256")), expected)
+
+
+def _compared(hashed: DataFrame, expected: str | None) -> DataFrame:
     return hashed.withColumn(
         "matches", F.lit(None).cast("boolean") if expected is None
         else F.col("sha256") == expected)

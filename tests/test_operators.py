@@ -6,6 +6,7 @@ import random
 from datetime import datetime
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mnemoframe import schemas
@@ -115,8 +116,9 @@ def test_two_level_numbering_and_next(spark):
     rows = spark.range(2000).select(
         F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("k"),
         (F.col("id") * 7919 % 2000).alias("o"))
-    plain = groups.number_in_group(rows, ["k"], ["o"], "s")
-    split = groups.number_in_group(rows, ["k"], ["o"], "s", max_rows=10)
+    plain = rows.withColumn("s", F.row_number().over(
+        Window.partitionBy("k").orderBy("o")).cast("long"))
+    split = groups.number_in_group(rows, ["k"], ["o"], "s")
     assert sorted(plain.collect()) == sorted(split.collect())
     near = groups.next_in_group(plain, ["k"], "s", "n")
     chunked = groups.next_in_group(plain, ["k"], "s", "n", chunk_rows=16)
@@ -339,7 +341,10 @@ def test_store_round_trip_and_fingerprints(spark, tmp_path):
     assert stamped.created_at == stamped.updated_at == 1704067200.0
     ids = spark.createDataFrame([("b",), ("a",)], "id string")
     want = hashlib.sha256(b"a\nb").hexdigest()
-    assert fingerprint.id_set_fingerprint(ids, "id", want).first().matches is True
+    assert fingerprint.sample_fingerprint(ids, "id", want).first().matches is True
+    found = fingerprint.id_set_fingerprint(ids, "id").first().sha256
+    again = fingerprint.id_set_fingerprint(ids.repartition(3), "id", found).first()
+    assert again.matches and again.n == 2
     file = tmp_path / "f.bin"
     file.write_bytes(b"hello")
     assert fingerprint.file_fingerprints(spark, str(file)).first().sha256 == hashlib.sha256(
