@@ -6,7 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mnemoframe import constants as C
-from mnemoframe.functions.text import extract_keywords, first_distinct, normalize_concept
+from mnemoframe.functions.text import (
+    extract_keywords,
+    first_distinct,
+    normalize_concept,
+    unicode_pattern,
+)
 
 _EDGES = ".,;:!?()[]\"'"
 _LEADS = "|".join(C.SENTENCE_LEADS)
@@ -23,10 +28,10 @@ def deterministic_concepts(content: Column, max_concepts: int = 6) -> Column:
     """Capitalised phrases without leading sentence words, then keywords."""
     body = F.coalesce(content, F.lit(""))
     phrases = F.transform(
-        F.regexp_extract_all(body, F.lit(C.CAPITALISED_PHRASE), 1),
+        F.regexp_extract_all(body, F.lit(unicode_pattern(C.CAPITALISED_PHRASE)), 1),
         # one pattern drops any number of leading sentence-position words
         lambda p: F.regexp_replace(
-            F.regexp_replace(p, r"\s+", " "), rf"^(?i)(?:(?:{_LEADS})(?: |$))+", ""
+            F.regexp_replace(p, unicode_pattern(r"\s+"), " "), rf"^(?i)(?:(?:{_LEADS})(?: |$))+", ""
         ),
     )
     names = F.filter(

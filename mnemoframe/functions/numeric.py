@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemoframe import constants as C
-from mnemoframe.functions.text import bind
+from mnemoframe.functions.text import bind, unicode_pattern
 
 # a code point that is no character; replaced by a blank should a text contain it
 MARK = "\uffff"
+# lengths that are summed together when positions are counted
+RUN = 128
 
 
 # a word that starts upper-case and has a lower-case letter, and the two words after it
@@ -34,20 +36,37 @@ def _matches(text: Column, kind: str, pattern: str) -> Column:
     the start of a match is the total length of all gaps up to it and all matches
     before it.  (Splitting at the pattern itself would compile it for every row.)
     """
-    def total_length(items: Column) -> Column:
-        return F.aggregate(items, F.lit(0), lambda acc, x: acc + F.length(x))
+    def total(items: Column) -> Column:
+        return F.aggregate(items, F.lit(0), lambda acc, x: acc + x)
+
+    def measured(found: Column) -> Column:
+        # each match with the gap before it
+        lengths = F.zip_with(
+            found["raw"], F.slice(found["gaps"], F.lit(1), F.size(found["raw"])),
+            lambda m, gap: F.length(m) + F.length(gap))
+        return bind(lengths, lambda steps: F.struct(
+            found["raw"].alias("raw"), steps.alias("steps"),
+            # sums of whole runs of steps, so that a place costs at most a run and the runs
+            F.transform(
+                F.sequence(F.lit(0), F.floor(F.size(steps) / RUN).cast("int")),
+                lambda r: total(F.slice(steps, r * RUN + 1, F.lit(RUN)))).alias("runs")))
 
     def place(found: Column) -> Column:
-        raw, gaps = found["raw"], found["gaps"]
-        return F.transform(raw, lambda m, i: F.struct(
-            F.lit(kind).alias("kind"), m.alias("raw"),
-            (total_length(F.slice(gaps, 1, i + 1)) + total_length(F.slice(raw, 1, i)))
-            .alias("start")))
+        def start(m: Column, i: Column) -> Column:
+            run = F.floor(i / RUN).cast("int")
+            end = total(F.slice(found["runs"], F.lit(1), run)) + total(
+                F.slice(found["steps"], run * RUN + 1, i % RUN + 1))
+            return F.struct(
+                F.lit(kind).alias("kind"), m.alias("raw"), (end - F.length(m)).alias("start"))
+
+        return F.transform(found["raw"], start)
 
     return bind(
-        F.struct(
-            F.regexp_extract_all(text, F.lit(pattern), 0).alias("raw"),
-            F.split(F.regexp_replace(text, pattern, MARK), MARK, -1).alias("gaps")),
+        bind(
+            F.struct(
+                F.regexp_extract_all(text, F.lit(pattern), 0).alias("raw"),
+                F.split(F.regexp_replace(text, pattern, MARK), MARK, -1).alias("gaps")),
+            measured),
         place)
 
 
@@ -56,10 +75,10 @@ def _patterns(strict_units: bool) -> dict[str, str]:
     in '$5 tacos'; strict units ask for a word boundary after it."""
     boundary = r"(?![A-Za-z])" if strict_units else ""
     return {
-        "range": C.MONEY_RANGE.replace("([kmbt])?", f"([kmbt]{boundary})?"),
-        "money": C.MONEY.replace("([kmbt])?", f"([kmbt]{boundary})?"),
-        "percent": C.PERCENT,
-        "counted": C.COUNTED_UNIT,
+        "range": unicode_pattern(C.MONEY_RANGE.replace("([kmbt])?", f"([kmbt]{boundary})?")),
+        "money": unicode_pattern(C.MONEY.replace("([kmbt])?", f"([kmbt]{boundary})?")),
+        "percent": unicode_pattern(C.PERCENT),
+        "counted": unicode_pattern(C.COUNTED_UNIT),
     }
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemoframe import constants as C
-from mnemoframe.functions.text import bind, first_distinct
+from mnemoframe.functions.text import bind, first_distinct, unicode_pattern
 
 
 def _mentions(found: Column, kind: str) -> Column:
@@ -22,7 +22,7 @@ def _found_mentions(body: Column, low: Column) -> Column:
         for word in needed[1:]:
             possible = possible | F.contains(low, F.lit(word))
         return F.when(
-            possible, F.regexp_extract_all(body, F.lit(pattern), 0)).otherwise(nothing)
+            possible, F.regexp_extract_all(body, F.lit(unicode_pattern(pattern)), 0)).otherwise(nothing)
 
     phrases = F.filter(
         F.array(*[F.lit(p) for p in C.FIXED_PHRASE_DAYS]), lambda p: F.contains(low, p))

@@ -15,6 +15,21 @@ _NON_WORD_RUN = r"[^\p{L}\p{N}_]+"
 BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000"
 
 
+_WORD = r"[\p{L}\p{N}_]"
+
+
+def unicode_pattern(pattern: str) -> str:
+    """A pattern whose word boundaries, word characters and blanks are those of Unicode.
+
+    On the JVM a bare \\b, \\w and \\s know ASCII only.  The first boundary of a pattern comes
+    before a word character; the others are spelled out in full.
+    """
+    boundary = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+    return (
+        pattern.replace(r"[\w", r"[\p{L}\p{N}_").replace(r"\b", rf"(?<!{_WORD})", 1)
+        .replace(r"\b", boundary).replace(r"\s", r"[\s\p{Z}\x1c-\x1f\x85]"))
+
+
 def _strings(words) -> Column:
     return F.array(*[F.lit(w) for w in words])
 

@@ -11,24 +11,34 @@ from mnemoframe.functions.temporal import find_temporal_refs, resolve_mentions
 from mnemoframe.functions.text import strip
 
 
-def _sources(observations: DataFrame, memories: DataFrame | None) -> DataFrame:
-    """The rows both enrichments read: observations, claims and episodics.
+def _texts(observations: DataFrame, memories: DataFrame | None) -> DataFrame:
+    """Each text that enrichment reads, with the rows it is the text of.
 
-    The anchor is occurred_at, else observed_at.  Claims carry neither.
+    These are observations, claims and episodics.  A memory that repeats the text of its
+    observation shares its row here, so a text is searched once.  The anchor of a row is
+    occurred_at, else observed_at; claims carry neither.
     """
-    observed = observations.select(
-        "scope_id", "seq", F.col("obs_id").alias("src_id"),
-        F.lit(C.OBSERVATION).alias("src_type"), "content",
-        F.coalesce("occurred_at", "observed_at").alias("anchor"),
-    )
+    def source(seq, src_id, src_type, anchor):
+        return F.struct(
+            F.col(seq).alias("seq"), F.col(src_id).alias("src_id"),
+            src_type.alias("src_type"), anchor.alias("anchor"))
+
+    observed = observations.select("scope_id", "obs_id", "content", source(
+        "seq", "obs_id", F.lit(C.OBSERVATION), F.coalesce("occurred_at", "observed_at"))
+        .alias("source"))
     if memories is None:
-        return observed
+        return observed.select("scope_id", "content", F.array("source").alias("sources"))
     remembered = memories.filter(F.col("mem_type") != C.PROCEDURAL).select(
-        "scope_id", "seq", F.col("mem_id").alias("src_id"),
-        F.col("mem_type").alias("src_type"), "content",
-        F.col("occurred_at").alias("anchor"),
-    )
-    return observed.unionByName(remembered)
+        "scope_id", F.coalesce("obs_id", "mem_id").alias("obs_id"), "content",
+        source("seq", "mem_id", F.col("mem_type"), F.col("occurred_at")).alias("source"))
+    # a group is an observation and what was extracted from it
+    return observed.unionByName(remembered).groupBy("scope_id", "obs_id", "content").agg(
+        F.collect_list("source").alias("sources")).drop("obs_id")
+
+
+def _per_source(mentions: DataFrame) -> DataFrame:
+    return mentions.select("*", F.explode("sources").alias("_source")).select(
+        "*", "_source.*").drop("sources", "_source")
 
 
 def temporal_refs(observations: DataFrame, memories: DataFrame | None = None) -> DataFrame:
@@ -36,12 +46,12 @@ def temporal_refs(observations: DataFrame, memories: DataFrame | None = None) ->
     mentioned = (
         # the outer form keeps Spark from adding a filter on the array, which would
         # evaluate the whole search a second time
-        _sources(observations, memories)
-        .select("scope_id", "seq", "src_id", "src_type", "anchor",
+        _texts(observations, memories)
+        .select("scope_id", "sources",
                 F.posexplode_outer(find_temporal_refs(F.col("content"))).alias("pos", "m"))
         .filter("m is not null")
-    ).select("*", F.col("m.text").alias("text"), F.col("m.kind").alias("kind"))
-    return resolve_mentions(mentioned, "text", "kind", "anchor").select(
+    ).select("scope_id", "sources", "pos", F.col("m.text").alias("text"), F.col("m.kind").alias("kind"))
+    return resolve_mentions(_per_source(mentioned), "text", "kind", "anchor").select(
         "scope_id", "seq", "src_id", "src_type", "pos",
         F.concat_ws("/", "src_id", F.concat(F.lit("temporal_ref#"), F.col("pos"))).alias("ref_id"),
         "text", "kind", "resolved_at", "anchor_day", "resolution_method", "confidence",
@@ -53,13 +63,13 @@ def quantities(
 ) -> DataFrame:
     """One row per quantity mention with owner, property and summability."""
     found = (
-        _sources(observations, memories).filter(F.col("content").rlike(r"\d"))
-        .select("scope_id", "seq", "src_id", "src_type", "content",
+        _texts(observations, memories).filter(F.col("content").rlike(r"\d"))
+        .select("scope_id", "sources", "content",
                 F.posexplode_outer(quantity_matches(F.col("content"), strict_units))
                 .alias("pos", "m"))
         .filter("m is not null"))
     described = describe_quantities(found, "content", "m", strict_units)
-    return described.select(
+    return _per_source(described).select(
         "scope_id", "seq", "src_id", "src_type", "pos",
         F.concat_ws("/", "src_id", F.concat(F.lit("quantity_claim#"), F.col("pos")))
         .alias("ref_id"),

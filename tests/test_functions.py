@@ -142,3 +142,40 @@ def test_shorten(spark):
     for text in ("Fund III target is", "one two three four five six", "abcdefghijklmnopqrstuvwxyz",
                  "short", "a  b\nc"):
         assert one(spark, lambda c: T.shorten(c, 20), text) == textwrap.shorten(text, 20)
+
+
+@pytest.mark.parametrize("text, want", [
+    ("Yesterday Núñez met Anna Müller in São Paulo", ["Yesterday Núñez", "Anna Müller", "São Paulo"]),
+    ("the Éclair of Zoë Kravitz", ["Zoë Kravitz"]), ("über Alles", ["Alles"]), ("aÖBb Rest", ["Rest"])])
+def test_concepts_with_accents(spark, text, want):
+    assert one(spark, concepts.deterministic_concepts, text)[:len(want)] == want
+
+
+@pytest.mark.parametrize("text, want", [
+    ("two days ago", ["two days ago"]), ("two days agoü", []), ("ütwo days ago", []),
+    ("two days ago", ["two days ago"])])
+def test_times_next_to_other_letters(spark, text, want):
+    assert [m["text"] for m in one(spark, temporal.find_temporal_refs, text)] == want
+
+
+def test_quantities_next_to_other_letters_and_many_of_them(spark):
+    found = one(spark, numeric.quantity_matches, "12 peopleü 7 people ü5 users")
+    assert [m["raw"] for m in found] == ["7 people"]
+    text = "é $5 and 3% " * 700
+    for m in one(spark, numeric.quantity_matches, text):
+        assert text[m["start"]:].startswith(m["raw"])
+
+
+@pytest.mark.parametrize("text, want", [
+    ("2023/5/2 (Tue) 2:01", datetime(2023, 5, 2, 2, 1)), ("2023/05/20 02:21", datetime(2023, 5, 20, 2, 21)),
+    ("2023/12/1", datetime(2023, 12, 1)), ("2023-05-02", None), (None, None)])
+def test_session_dates_in_all_forms(spark, text, want):
+    assert one(spark, parse_session_date, text) == want
+
+
+@pytest.mark.parametrize("text, want", [
+    ("2023", None), ("12:30", None), ("2023-05-02", datetime(2023, 5, 2)), ("x", None), (None, None),
+    ("2023-05-02T23:30:00+09:00", datetime(2023, 5, 2, 23, 30)), ("2023-02-30", None),
+    ("2023-05-02T01:00:00Z", datetime(2023, 5, 2, 1)), ("2023-05-02 01:02", datetime(2023, 5, 2, 1, 2))])
+def test_iso_timestamps(spark, text, want):
+    assert one(spark, T.parse_iso_timestamp, text) == want
