@@ -13,16 +13,18 @@ links.
    the class with its smallest doc_id goes on alone.
 2. *Bands.*  ``BANDS`` bands of ``ROWS`` components are bucketed by hash.
 3. *Links.*  In each bucket, every class is compared with one pivot, not with all others, and
-   pairs are verified on the texts.  Verified links join classes to components.  A second
-   round takes other pivots for classes outside the component of their pivot.  What still
-   meets in a bucket across components is then compared exhaustively: members are packed into
-   blocks of sketches, blocks are compared with blocks, pairs whose sketches agree on at
-   least ``MIN_AGREE`` are verified.  So links between components that share a bucket are
-   found, while a bucket of many copies of one text costs a comparison per member.
+   pairs are verified on the texts.  Verified links join classes to components.  For buckets
+   in which several components meet, members are packed into blocks of sketches and blocks
+   are compared with blocks.  First each class outside its bucket's largest component tries
+   the partner whose sketch agrees most with its own (from ``BEST_AGREE`` on); then all pairs
+   that still lie across components and agree on ``MIN_AGREE`` are verified.  A bucket of
+   many copies of one text costs a comparison per member.
 4. *Components* by large-star/small-star over the verified links, to a fixpoint.
 
-At similarity 0.8 a pair shares no bucket with probability (1 - 0.8^5)^24 < 1e-4, and its
-sketches agree on less than 0.64 with probability below 2e-5.
+At similarity 0.8 a pair shares no bucket with probability (1 - 0.8^5)^24 < 1e-4.  Pivots are
+verified whatever their sketches say.  The sketches of a pair at 0.8 agree on less than 0.64
+with probability below 2e-5 and on less than 0.72 with probability 0.014 (at 0.85: 1e-4); a
+document is missed only if that befalls all its links and its best partner is none of them.
 
 A text of one to four words is one shingle; texts without words are linked to nothing.  Null
 counts as empty.  Rows with a null doc_id are linked to nothing.  Rows that repeat a doc_id
@@ -34,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +50,9 @@ from mnemoframe.operators.groups import stored
 SHINGLE = 5
 BANDS, ROWS = 24, 5
 COMPONENTS = BANDS * ROWS
-MIN_AGREE = 0.64
+# share of sketch components that must agree: of a class's best partner, and of all others
+BEST_AGREE, MIN_AGREE = 0.64, 0.72
+HELD_SETS = 1024
 BLOCK = 256
 SKETCH_SCHEMA = "doc_id long, digest binary, sketch binary"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -160,13 +165,17 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     _, at_a, at_b = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     if not len(at_a):
         return 0.0
+    if a[1].max() == b[1].max() == 1:
+        return len(at_a) / (len(a[0]) + len(b[0]) - len(at_a))
     only_a, only_b = np.ones(len(a[0]), dtype=bool), np.ones(len(b[0]), dtype=bool)
     only_a[at_a], only_b[at_b] = False, False
     pairs = np.concatenate([
         np.column_stack([a[1][at_a], b[1][at_b]]),
         np.column_stack([a[1][only_a], np.zeros(only_a.sum(), dtype=np.int64)]),
         np.column_stack([np.zeros(only_b.sum(), dtype=np.int64), b[1][only_b]])])
-    kinds, counts = np.unique(pairs, axis=0, return_counts=True)
+    span = int(pairs.max()) + 1
+    codes, counts = np.unique(pairs[:, 0] * span + pairs[:, 1], return_counts=True)
+    kinds = np.column_stack(np.divmod(codes, span))
     common = kinds[:, 0] * kinds[:, 1] > 0
     ratio = np.maximum(kinds[None, :, 0] / kinds[common][:, :1],
                        kinds[None, :, 1] / kinds[common][:, 1:])
@@ -189,30 +198,35 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     both = left.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
+        held: dict[str, tuple] = {}  # texts that many pairs share are cut up once
+
+        def set_of(text: str) -> tuple:
+            if text not in held:
+                if len(held) >= HELD_SETS:
+                    held.pop(next(iter(held)))
+                held[text] = weighted_sets([text])[0]
+            return held[text]
+
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            keep = []
-            for at in range(0, len(batch), 64):
-                own = weighted_sets(batch.column("text_a").slice(at, 64).to_pylist())
-                for k, mine in enumerate(own, at):
-                    if b[k] != last:  # rows of one pivot mostly come together
-                        last = b[k]
-                        held = weighted_sets([batch.column("text_b")[k].as_py()])[0]
-                    keep.append(similarity(mine, held) >= threshold - 1e-12)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]).filter(
-                pa.array(keep, pa.bool_()))
+            texts = zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())
+            keep = [similarity(set_of(a), set_of(b)) >= threshold - 1e-12 for a, b in texts]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(verified, "a long, b long")
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
 def _is_settled(edges: DataFrame) -> bool:
     """Whether every node has one root and no root has a root."""
-    sizes = edges.agg(F.count("*").alias("n"), F.countDistinct("u").alias("nodes")).first()
-    if sizes["n"] != sizes["nodes"]:
-        return False
-    roots = edges.select(F.col("v").alias("u")).distinct()
-    return edges.join(roots, "u", "left_semi").isEmpty()
+    nodes = edges.groupBy("u").agg(F.count("*").alias("n"))
+    roots = edges.select(F.col("v").alias("u"), F.lit(0).cast("long").alias("n")).distinct()
+    # a node with two roots, or one that is a root as well
+    odd = nodes.unionByName(roots).groupBy("u").agg(
+        F.count("*").alias("kinds"), F.max("n").alias("n")).filter("kinds > 1 or n > 1")
+    return odd.isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -226,7 +240,7 @@ def components(links: DataFrame) -> DataFrame:
         .filter("u <> v").distinct())
     while not _is_settled(edges):
         # a node's larger neighbours point to the smallest of its neighbours and itself
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = _both_ways(edges)
         low = both.groupBy("u").agg(F.min("v").alias("low")).select(
             "u", F.least("u", "low").alias("low"))
         edges = stored(
@@ -240,10 +254,12 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _pivots(buckets: DataFrame, order) -> DataFrame:
-    """Per bucket, the class with the smallest ``order`` and its component."""
-    return buckets.groupBy("bucket").agg(F.min(F.struct(order, "rep", "root")).alias("m")).select(
-        "bucket", F.col("m.rep").alias("pivot"), F.col("m.root").alias("pivot_root"))
+def _near_roots(links: DataFrame) -> DataFrame:
+    """(node, root) after two hops to the smallest neighbour; a start, not yet the components."""
+    low = _both_ways(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).groupBy("u").agg(
+        F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("near"))
+    further = low.select(F.col("node").alias("near"), F.col("near").alias("root"))
+    return low.join(further, "near").select("node", "root")
 
 
 def _with_root(buckets: DataFrame, roots: DataFrame) -> DataFrame:
@@ -258,13 +274,6 @@ def _mixed(buckets: DataFrame) -> DataFrame:
     return buckets.join(mixed, "bucket")
 
 
-def _pivot_pairs(buckets: DataFrame, order) -> DataFrame:
-    """Every class with the pivots of its buckets, where they are not joined yet."""
-    return (
-        buckets.join(_pivots(buckets, order), "bucket").filter("root <> pivot_root")
-        .select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
-
-
 def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of up to BLOCK rows of one part of a bucket: their classes, roots and sketches."""
     for batch in batches:
@@ -285,10 +294,13 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["bucket", "is_main", "pack", "reps", "roots", "sketches"])
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of two packs whose roots differ and whose sketches agree often enough."""
+def _agreements(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of two packs whose roots differ and whose sketches agree often enough.
+
+    With ``best``, only the partner that agrees most of each class of the first pack.
+    """
     for batch in batches:
-        found_a, found_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        found = [np.zeros((0, 3), dtype=np.int64)]
         columns = (batch.column(c).to_pylist() for c in (
             "reps", "roots", "sketches", "reps_2", "roots_2", "sketches_2"))
         for row in zip(*columns):
@@ -297,19 +309,25 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one, two = (np.frombuffer(x, np.uint32).reshape(-1, COMPONENTS)
                         for x in (row[2], row[5]))
             for i in range(len(reps)):
-                agree = np.count_nonzero(two == one[i], axis=1) >= MIN_AGREE * COMPONENTS
-                hit = reps_2[agree & (roots_2 != roots[i])]
-                found_a.append(np.maximum(reps[i], hit))
-                found_b.append(np.minimum(reps[i], hit))
+                agree = np.count_nonzero(two == one[i], axis=1)
+                agree[roots_2 == roots[i]] = 0
+                hit = agree.argmax(keepdims=True) if best else np.arange(len(agree))
+                hit = hit[agree[hit] >= (BEST_AGREE if best else MIN_AGREE) * COMPONENTS]
+                if len(hit):
+                    found.append(np.column_stack(
+                        [np.full(len(hit), reps[i]), reps_2[hit], agree[hit]]))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
+            [pa.array(c) for c in np.concatenate(found).T], names=["a", "b", "agree"])
 
 
-def _remaining_pairs(buckets: DataFrame, sketched: DataFrame, tried: DataFrame) -> DataFrame:
-    """All pairs across components that meet in a bucket, if their sketches agree.
+def _packed_pairs(
+    buckets: DataFrame, sketched: DataFrame, tried: DataFrame, best: bool
+) -> DataFrame:
+    """Pairs across components that meet in a bucket, if their sketches agree.
 
-    The largest component of a bucket is only compared with the others, never with itself.
-    Rows become packs before they meet, so a bucket joins a row per pair of packs.
+    All of them; with ``best``, one for each class outside the largest component of its
+    bucket.  Members of that component are never compared with one another.  Rows become
+    packs before they meet, so a bucket joins a row per pair of packs.
     """
     sizes = buckets.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(
         F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("m")).select(
@@ -324,9 +342,14 @@ def _remaining_pairs(buckets: DataFrame, sketched: DataFrame, tried: DataFrame)
                 "sketches binary"))
     second = packs.select(
         "bucket", *[F.col(c).alias(f"{c}_2") for c in packs.columns if c != "bucket"])
-    met = packs.filter(~F.col("is_main")).join(second, "bucket").filter(
-        F.col("is_main_2") | (F.col("pack") <= F.col("pack_2")))
-    pairs = met.mapInArrow(_agreeing, "a long, b long").filter("a <> b").distinct()
+    met = packs.filter(~F.col("is_main")).join(second, "bucket")
+    if not best:
+        met = met.filter(F.col("is_main_2") | (F.col("pack") <= F.col("pack_2")))
+    pairs = met.mapInArrow(partial(_agreements, best=best), "a long, b long, agree long")
+    if best:
+        pairs = pairs.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("m")).select(
+            "a", F.col("m.b").alias("b"))
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     return pairs.join(done, ["a", "b"], "left_anti")
 
@@ -350,20 +373,23 @@ def group(
         linkable.withColumnRenamed("doc_id", "rep").join(classes, ["digest", "rep"])
         .dropDuplicates(["rep", "digest"]).select("rep", "sketch"))
     banded = stored(sketched.mapInArrow(_bucketed, "rep long, bucket long").distinct())
-    crowded = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    crowded = banded.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.min("rep").alias("pivot")).filter("n > 1").drop("n")
     buckets = stored(banded.join(crowded, "bucket"))
     wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
     texts = stored(narrow.join(wanted, "doc_id").select(F.col("doc_id").alias("rep"), "text"))
 
-    pairs = stored(_pivot_pairs(buckets.withColumn("root", F.col("rep")), F.col("rep").alias("o")))
+    pairs = stored(buckets.filter("rep <> pivot").select(
+        F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
+    buckets = buckets.drop("pivot")
     tried, links = pairs, stored(_verify(pairs, texts, threshold))
-    mixed = stored(_mixed(_with_root(buckets, components(links))))
-    pairs = stored(_pivot_pairs(mixed, F.xxhash64("rep").alias("o")))
+    mixed = stored(_mixed(_with_root(buckets, _near_roots(links))))
+    pairs = stored(_packed_pairs(mixed, sketched, tried, best=True))
     tried = tried.unionByName(pairs)
     links = stored(links.unionByName(_verify(pairs, texts, threshold)))
     mixed = stored(_mixed(_with_root(buckets, components(links))))
-    last = stored(_remaining_pairs(mixed, sketched, tried))
-    links = links.unionByName(_verify(last, texts, threshold))
+    pairs = stored(_packed_pairs(mixed, sketched, tried, best=False))
+    links = links.unionByName(_verify(pairs, texts, threshold))
 
     members = stored(linkable.join(classes, "digest").groupBy("doc_id", "rep").agg(F.lit(1)).select(
         "doc_id", "rep"))
