@@ -31,6 +31,9 @@ def _texts(observations: DataFrame, memories: DataFrame | None) -> DataFrame:
     remembered = memories.filter(F.col("mem_type") != C.PROCEDURAL).select(
         "scope_id", F.coalesce("obs_id", "mem_id").alias("obs_id"), "content",
         source("seq", "mem_id", F.col("mem_type"), F.col("occurred_at")).alias("source"))
+    if observations.isStreaming:  # grouping would need a watermark; each row is its own text
+        return observed.unionByName(remembered).select(
+            "scope_id", "content", F.array("source").alias("sources"))
     # a group is an observation and what was extracted from it
     return observed.unionByName(remembered).groupBy("scope_id", "obs_id", "content").agg(
         F.collect_list("source").alias("sources")).drop("obs_id")
