@@ -152,8 +152,10 @@ def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             value = mix(value ^ found[:, :, k], 20 + k)
         value = mix(value + np.arange(BANDS, dtype=np.uint64), 30)
         ids = np.repeat(batch.column("rep").to_numpy(), BANDS)
+        bands = np.tile(np.arange(BANDS, dtype=np.int32), len(found))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array(value.ravel().view(np.int64))], names=["rep", "bucket"])
+            [pa.array(ids), pa.array(value.ravel().view(np.int64)), pa.array(bands)],
+            names=["rep", "bucket", "band"])
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -212,7 +214,10 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             keep = [similarity(set_of(a), set_of(b)) >= threshold - 1e-12 for a, b in texts]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(verified, "a long, b long")
+    # skewed joins may split into very many small tasks
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.select("a", "b", "text_a", "text_b").coalesce(tasks).mapInArrow(
+        verified, "a long, b long")
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -277,9 +282,9 @@ def _mixed(buckets: DataFrame) -> DataFrame:
 def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of up to BLOCK rows of one part of a bucket: their classes, roots and sketches."""
     for batch in batches:
-        bucket, main, part, rep, root = (
+        bucket, band, main, part, rep, root = (
             batch.column(c).to_numpy(zero_copy_only=False)
-            for c in ("bucket", "is_main", "part", "rep", "root"))
+            for c in ("bucket", "band", "is_main", "part", "rep", "root"))
         raw = batch.column("sketch").to_pylist()
         new = (bucket[1:] != bucket[:-1]) | (main[1:] != main[:-1]) | (part[1:] != part[:-1])
         cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(rep)]
@@ -287,32 +292,39 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for x in range(a, b, BLOCK)]
         first = [a for a, _ in runs]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket[first]), pa.array(main[first].astype(bool)),
+            [pa.array(bucket[first]), pa.array(band[first]), pa.array(main[first].astype(bool)),
              pa.array([int(rep[a:b].min()) for a, b in runs], pa.int64()),
              *(pa.array([x[a:b].tobytes() for a, b in runs], pa.binary()) for x in (rep, root)),
              pa.array([b"".join(raw[a:b]) for a, b in runs], pa.binary())],
-            names=["bucket", "is_main", "pack", "reps", "roots", "sketches"])
+            names=["bucket", "band", "is_main", "pack", "reps", "roots", "sketches"])
 
 
 def _agreements(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of two packs whose roots differ and whose sketches agree often enough.
 
-    With ``best``, only the partner that agrees most of each class of the first pack.
+    A pair comes from the first band that its sketches share only.  With ``best``, only the
+    partner that agrees most of each class of the first pack.
     """
     for batch in batches:
         found = [np.zeros((0, 3), dtype=np.int64)]
         columns = (batch.column(c).to_pylist() for c in (
-            "reps", "roots", "sketches", "reps_2", "roots_2", "sketches_2"))
+            "reps", "roots", "sketches", "reps_2", "roots_2", "sketches_2", "band"))
         for row in zip(*columns):
             (reps, roots), (reps_2, roots_2) = (
                 [np.frombuffer(x, np.int64) for x in part] for part in (row[0:2], row[3:5]))
             one, two = (np.frombuffer(x, np.uint32).reshape(-1, COMPONENTS)
                         for x in (row[2], row[5]))
             for i in range(len(reps)):
-                agree = np.count_nonzero(two == one[i], axis=1)
+                same = two == one[i]
+                agree = np.count_nonzero(same, axis=1)
                 agree[roots_2 == roots[i]] = 0
-                hit = agree.argmax(keepdims=True) if best else np.arange(len(agree))
-                hit = hit[agree[hit] >= (BEST_AGREE if best else MIN_AGREE) * COMPONENTS]
+                if best:
+                    hit = agree.argmax(keepdims=True)
+                    hit = hit[agree[hit] >= BEST_AGREE * COMPONENTS]
+                else:
+                    hit = np.flatnonzero(agree >= MIN_AGREE * COMPONENTS)
+                    shared = same[hit].reshape(-1, BANDS, ROWS).all(axis=2)
+                    hit = hit[shared.argmax(axis=1) == row[6]]
                 if len(hit):
                     found.append(np.column_stack(
                         [np.full(len(hit), reps[i]), reps_2[hit], agree[hit]]))
@@ -334,14 +346,14 @@ def _packed_pairs(
         "bucket", "n", F.col("m.root").alias("main"))
     part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK))
     rows = buckets.join(sizes, "bucket").select(
-        "bucket", (F.col("root") == F.col("main")).alias("is_main"), part.alias("part"), "rep", "root")
+        "bucket", "band", (F.col("root") == F.col("main")).alias("is_main"), part.alias("part"), "rep", "root")
     key = ["bucket", "is_main", "part"]
-    dealt = rows.join(sketched, "rep").select(*key, "rep", "root", "sketch").repartition(*key)
+    dealt = rows.join(sketched, "rep").select(*key, "band", "rep", "root", "sketch").repartition(*key)
     packs = stored(dealt.sortWithinPartitions(*key).mapInArrow(
-        _packs, "bucket long, is_main boolean, pack long, reps binary, roots binary, "
+        _packs, "bucket long, band int, is_main boolean, pack long, reps binary, roots binary, "
                 "sketches binary"))
     second = packs.select(
-        "bucket", *[F.col(c).alias(f"{c}_2") for c in packs.columns if c != "bucket"])
+        "bucket", *[F.col(c).alias(f"{c}_2") for c in packs.columns if c not in ("bucket", "band")])
     met = packs.filter(~F.col("is_main")).join(second, "bucket")
     if not best:
         met = met.filter(F.col("is_main_2") | (F.col("pack") <= F.col("pack_2")))
@@ -349,7 +361,7 @@ def _packed_pairs(
     if best:
         pairs = pairs.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("m")).select(
             "a", F.col("m.b").alias("b"))
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     return pairs.join(done, ["a", "b"], "left_anti")
 
@@ -372,7 +384,7 @@ def group(
     sketched = stored(
         linkable.withColumnRenamed("doc_id", "rep").join(classes, ["digest", "rep"])
         .dropDuplicates(["rep", "digest"]).select("rep", "sketch"))
-    banded = stored(sketched.mapInArrow(_bucketed, "rep long, bucket long").distinct())
+    banded = stored(sketched.mapInArrow(_bucketed, "rep long, bucket long, band int").distinct())
     crowded = banded.groupBy("bucket").agg(
         F.count("*").alias("n"), F.min("rep").alias("pivot")).filter("n > 1").drop("n")
     buckets = stored(banded.join(crowded, "bucket"))
