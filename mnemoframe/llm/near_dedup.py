@@ -15,16 +15,17 @@ links.
 3. *Links.*  In each bucket, every class is compared with one pivot, not with all others, and
    pairs are verified on the texts.  Verified links join classes to components.  For buckets
    in which several components meet, members are packed into blocks of sketches and blocks
-   are compared with blocks.  First each class outside its bucket's largest component tries
-   the partner whose sketch agrees most with its own (from ``BEST_AGREE`` on); then all pairs
-   that still lie across components and agree on ``MIN_AGREE`` are verified.  A bucket of
-   many copies of one text costs a comparison per member.
+   are compared with blocks.  In rounds, each class outside its bucket's largest component
+   tries the partners whose sketches agree most with its own and that it has not tried, until
+   a round joins next to nothing.  Then all pairs that still lie across components and agree
+   on ``MIN_AGREE`` are verified, none left out.  A bucket of many copies of one text costs a
+   comparison per member; one of many texts that are near but not near enough costs a
+   verification per pair of components.
 4. *Components* by large-star/small-star over the verified links, to a fixpoint.
 
 At similarity 0.8 a pair shares no bucket with probability (1 - 0.8^5)^24 < 1e-4.  Pivots are
 verified whatever their sketches say.  The sketches of a pair at 0.8 agree on less than 0.64
-with probability below 2e-5 and on less than 0.72 with probability 0.014 (at 0.85: 1e-4); a
-document is missed only if that befalls all its links and its best partner is none of them.
+with probability below 2e-5.
 
 A text of one to four words is one shingle; texts without words are linked to nothing.  Null
 counts as empty.  Rows with a null doc_id are linked to nothing.  Rows that repeat a doc_id
@@ -40,7 +41,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoframe.llm.arrays import Words, lower_words, mix
@@ -50,9 +51,13 @@ from mnemoframe.operators.groups import stored
 SHINGLE = 5
 BANDS, ROWS = 24, 5
 COMPONENTS = BANDS * ROWS
-# share of sketch components that must agree: of a class's best partner, and of all others
-BEST_AGREE, MIN_AGREE = 0.64, 0.72
-HELD_SETS = 1024
+# share of sketch components that must agree
+MIN_AGREE = 0.64
+# partners that a class tries in one round
+TRIES = 4
+# rounds go on while they join more than this share of the pairs they verify
+ROUND_SHARE = 0.01
+HELD_BYTES = 32 << 20
 BLOCK = 256
 SKETCH_SCHEMA = "doc_id long, digest binary, sketch binary"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -164,7 +169,11 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     Sum over common elements i of 1 / sum over all j of max(a_j / a_i, b_j / b_i), where the
     elements with equal pairs of weights are counted together.
     """
-    _, at_a, at_b = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    if not len(a[0]) or not len(b[0]):
+        return 0.0
+    at_b = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    at_a = np.flatnonzero(b[0][at_b] == a[0])
+    at_b = at_b[at_a]
     if not len(at_a):
         return 0.0
     if a[1].max() == b[1].max() == 1:
@@ -201,17 +210,16 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple] = {}  # texts that many pairs share are cut up once
-
-        def set_of(text: str) -> tuple:
-            if text not in held:
-                if len(held) >= HELD_SETS:
-                    held.pop(next(iter(held)))
-                held[text] = weighted_sets([text])[0]
-            return held[text]
-
+        size = 0
         for batch in batches:
-            texts = zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())
-            keep = [similarity(set_of(a), set_of(b)) >= threshold - 1e-12 for a, b in texts]
+            texts = [batch.column(c).to_pylist() for c in ("text_a", "text_b")]
+            new = [t for t in dict.fromkeys(texts[0] + texts[1]) if t not in held]
+            for text, found in zip(new, weighted_sets(new)):
+                held[text] = found
+                size += len(text) + found[0].nbytes + found[1].nbytes
+            keep = [similarity(held[a], held[b]) >= threshold - 1e-12 for a, b in zip(*texts)]
+            if size > HELD_BYTES:
+                held, size = {}, 0
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     # skewed joins may split into very many small tasks
@@ -259,14 +267,6 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _near_roots(links: DataFrame) -> DataFrame:
-    """(node, root) after two hops to the smallest neighbour; a start, not yet the components."""
-    low = _both_ways(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).groupBy("u").agg(
-        F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("near"))
-    further = low.select(F.col("node").alias("near"), F.col("near").alias("root"))
-    return low.join(further, "near").select("node", "root")
-
-
 def _with_root(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     known = roots.select(F.col("node").alias("rep"), "root")
     return buckets.join(known, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
@@ -285,7 +285,7 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, band, main, part, rep, root = (
             batch.column(c).to_numpy(zero_copy_only=False)
             for c in ("bucket", "band", "is_main", "part", "rep", "root"))
-        raw = batch.column("sketch").to_pylist()
+        raw, tried = batch.column("sketch").to_pylist(), batch.column("tried").to_pylist()
         new = (bucket[1:] != bucket[:-1]) | (main[1:] != main[:-1]) | (part[1:] != part[:-1])
         cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(rep)]
         runs = [(x, min(x + BLOCK, b)) for a, b in zip(cuts[:-1], cuts[1:])
@@ -293,22 +293,23 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = [a for a, _ in runs]
         yield pa.RecordBatch.from_arrays(
             [pa.array(bucket[first]), pa.array(band[first]), pa.array(main[first].astype(bool)),
+             pa.array([tried[a:b] for a, b in runs], pa.list_(pa.list_(pa.int64()))),
              pa.array([int(rep[a:b].min()) for a, b in runs], pa.int64()),
              *(pa.array([x[a:b].tobytes() for a, b in runs], pa.binary()) for x in (rep, root)),
              pa.array([b"".join(raw[a:b]) for a, b in runs], pa.binary())],
-            names=["bucket", "band", "is_main", "pack", "reps", "roots", "sketches"])
+            names=["bucket", "band", "is_main", "tried", "pack", "reps", "roots", "sketches"])
 
 
 def _agreements(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of two packs whose roots differ and whose sketches agree often enough.
 
     A pair comes from the first band that its sketches share only.  With ``best``, only the
-    partner that agrees most of each class of the first pack.
+    partners that agree most of each class of the first pack, without those it has tried.
     """
     for batch in batches:
         found = [np.zeros((0, 3), dtype=np.int64)]
         columns = (batch.column(c).to_pylist() for c in (
-            "reps", "roots", "sketches", "reps_2", "roots_2", "sketches_2", "band"))
+            "reps", "roots", "sketches", "reps_2", "roots_2", "sketches_2", "band", "tried"))
         for row in zip(*columns):
             (reps, roots), (reps_2, roots_2) = (
                 [np.frombuffer(x, np.int64) for x in part] for part in (row[0:2], row[3:5]))
@@ -318,13 +319,13 @@ def _agreements(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.Re
                 same = two == one[i]
                 agree = np.count_nonzero(same, axis=1)
                 agree[roots_2 == roots[i]] = 0
+                if best and row[7][i]:
+                    agree[np.isin(reps_2, row[7][i])] = 0
+                hit = np.flatnonzero(agree >= MIN_AGREE * COMPONENTS)
+                shared = same[hit].reshape(-1, BANDS, ROWS).all(axis=2)
+                hit = hit[shared.argmax(axis=1) == row[6]]
                 if best:
-                    hit = agree.argmax(keepdims=True)
-                    hit = hit[agree[hit] >= BEST_AGREE * COMPONENTS]
-                else:
-                    hit = np.flatnonzero(agree >= MIN_AGREE * COMPONENTS)
-                    shared = same[hit].reshape(-1, BANDS, ROWS).all(axis=2)
-                    hit = hit[shared.argmax(axis=1) == row[6]]
+                    hit = hit[np.argsort(-agree[hit], kind="stable")[:TRIES]]
                 if len(hit):
                     found.append(np.column_stack(
                         [np.full(len(hit), reps[i]), reps_2[hit], agree[hit]]))
@@ -335,11 +336,12 @@ def _agreements(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.Re
 def _packed_pairs(
     buckets: DataFrame, sketched: DataFrame, tried: DataFrame, best: bool
 ) -> DataFrame:
-    """Pairs across components that meet in a bucket, if their sketches agree.
+    """Pairs (a, b) across components that meet in a bucket, if their sketches agree.
 
-    All of them; with ``best``, one for each class outside the largest component of its
-    bucket.  Members of that component are never compared with one another.  Rows become
-    packs before they meet, so a bucket joins a row per pair of packs.
+    All of them, the larger class first; with ``best``, ``TRIES`` at most for each class a
+    outside the largest component of its bucket, and none that ``tried`` holds in this order.
+    Members of that component are never compared with one another.  Rows become packs before
+    they meet, so a bucket joins a row per pair of packs.
     """
     sizes = buckets.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(
         F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("m")).select(
@@ -348,22 +350,33 @@ def _packed_pairs(
     rows = buckets.join(sizes, "bucket").select(
         "bucket", "band", (F.col("root") == F.col("main")).alias("is_main"), part.alias("part"), "rep", "root")
     key = ["bucket", "is_main", "part"]
-    dealt = rows.join(sketched, "rep").select(*key, "band", "rep", "root", "sketch").repartition(*key)
+    if best:
+        own = tried.groupBy("a").agg(F.collect_set("b").alias("tried"))
+        sketched = sketched.join(own.withColumnRenamed("a", "rep"), "rep", "left")
+    else:
+        sketched = sketched.withColumn("tried", F.lit(None).cast("array<long>"))
+    dealt = rows.join(sketched, "rep").select(
+        *key, "band", "rep", "root", "sketch", "tried").repartition(*key)
     packs = stored(dealt.sortWithinPartitions(*key).mapInArrow(
-        _packs, "bucket long, band int, is_main boolean, pack long, reps binary, roots binary, "
-                "sketches binary"))
-    second = packs.select(
-        "bucket", *[F.col(c).alias(f"{c}_2") for c in packs.columns if c not in ("bucket", "band")])
+        _packs, "bucket long, band int, is_main boolean, tried array<array<long>>, pack long, "
+                "reps binary, roots binary, sketches binary"))
+    second = packs.select("bucket", *[
+        F.col(c).alias(f"{c}_2") for c in packs.columns if c not in ("bucket", "band", "tried")])
     met = packs.filter(~F.col("is_main")).join(second, "bucket")
     if not best:
         met = met.filter(F.col("is_main_2") | (F.col("pack") <= F.col("pack_2")))
     pairs = met.mapInArrow(partial(_agreements, best=best), "a long, b long, agree long")
     if best:
-        pairs = pairs.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("m")).select(
-            "a", F.col("m.b").alias("b"))
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return pairs.join(done, ["a", "b"], "left_anti")
+        order = Window.partitionBy("a").orderBy(F.desc("agree"), "b")
+        return pairs.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= TRIES).select("a", "b")
+    return _untried(pairs, tried)
+
+
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    """Distinct pairs, the larger class first, without those tried in either order."""
+    pairs, done = (
+        x.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")) for x in (pairs, tried))
+    return pairs.distinct().join(done, ["a", "b"], "left_anti")
 
 
 def group(
@@ -395,11 +408,16 @@ def group(
         F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
     buckets = buckets.drop("pivot")
     tried, links = pairs, stored(_verify(pairs, texts, threshold))
-    mixed = stored(_mixed(_with_root(buckets, _near_roots(links))))
-    pairs = stored(_packed_pairs(mixed, sketched, tried, best=True))
-    tried = tried.unionByName(pairs)
-    links = stored(links.unionByName(_verify(pairs, texts, threshold)))
-    mixed = stored(_mixed(_with_root(buckets, components(links))))
+    mixed, goes_on = stored(_mixed(_with_root(buckets, components(links)))), True
+    while goes_on:
+        best = stored(_packed_pairs(mixed, sketched, tried, best=True))
+        pairs = stored(_untried(best, tried))
+        more = stored(_verify(pairs, texts, threshold))
+        tried, links = tried.unionByName(best), links.unionByName(more)
+        joined = more.count()
+        if joined:
+            mixed = stored(_mixed(_with_root(buckets, components(links))))
+        goes_on = joined > ROUND_SHARE * pairs.count()
     pairs = stored(_packed_pairs(mixed, sketched, tried, best=False))
     links = links.unionByName(_verify(pairs, texts, threshold))
 

@@ -120,6 +120,19 @@ def test_blocks_find_links_that_pivots_miss(spark):
     assert {r["doc_id"]: r["group_id"] for r in found} == brute(rows)
 
 
+def test_last_round_takes_pairs_with_few_agreements():
+    """A pair at 0.8 may agree on 80 of 120 components; it is verified, not dropped."""
+    one = np.arange(1, N.COMPONENTS + 1, dtype=np.uint32)
+    two = one.copy()
+    two[80:] += 1000
+    ids = [np.array([k]).tobytes() for k in (7, 3)]
+    packs = pa.RecordBatch.from_pylist([{
+        "reps": ids[0], "roots": ids[0], "sketches": one.tobytes(), "reps_2": ids[1],
+        "roots_2": ids[1], "sketches_2": two.tobytes(), "band": 0, "tried": None}])
+    rows = next(N._agreements(iter([packs]), best=False)).to_pylist()
+    assert rows == [{"a": 7, "b": 3, "agree": 80}]
+
+
 def test_components_of_a_long_chain(spark):
     order = list(range(80))
     random.Random(1).shuffle(order)
