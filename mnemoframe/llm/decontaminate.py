@@ -10,11 +10,13 @@ a place in the items where it starts, a direction, and ``SAMPLED`` steps whose s
 samples.  Windows start at every word of every document; a window and an item collide when
 all sampled symbols agree.  The walk of a window is followed only as long as the symbols
 sampled so far lie in the table of some item, so nearly all windows end at the first sample.
-Collisions give windows of the item's size, and these are verified by exact edit distance
-(bit-parallel, over the window and as far around it as the edits allow).
+Collisions give windows of the item's size and as far around as the edits allow.  Windows with
+fewer character runs of the item than the edits must leave are dropped, which loses nothing;
+the others are verified by exact edit distance (bit-parallel).
 
 The number of repetitions is the smallest with which copies of the items, edited at random up
-to the limit, reach ``target_recall``; it depends on the benchmark alone.
+to the limit, by words and by characters, reach ``target_recall`` each; it depends on the
+benchmark alone.  A warning tells if ``MAX_REPETITIONS`` do not suffice.
 
 Items under ``SHORT`` words must occur word for word.  Items without words match nothing, nor
 do null or empty texts.  An item set beyond ``MAX_INDEX_BYTES`` is handled block by block,
@@ -24,6 +26,7 @@ each against all documents.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,13 +41,15 @@ from mnemoframe.llm.arrays import Words, lower_words, mix
 from mnemoframe.llm.rows import in_small_batches
 
 MAX_INDEX_BYTES = 16 << 20
-SAMPLED = 4
-STEPS = 16  # the last sample is at this step or before
+SAMPLED = 3
+STEPS = 8  # the last sample is at this step or before
 LANES = 64 // STEPS
 EARLY = 1
 SHORT = 8
 GRAM = 5
-MAX_REPETITIONS = 64
+MAX_REPETITIONS = 256
+MAX_GRAM_TABLE = 1 << 26
+NEAR = 8
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,10 +66,10 @@ class Repetition:
     def draw(number: int) -> Repetition:
         rng = np.random.default_rng(7_000 + number)
         # samples lie apart, as a walk may stay at a word for a few steps
-        steps = np.cumsum([rng.integers(0, EARLY + 1), *rng.integers(3, 6, SAMPLED - 1)])
+        steps = np.cumsum([rng.integers(0, EARLY + 1), *rng.integers(2, 4, SAMPLED - 1)])
         forward = number % 2 == 0
-        # starts lie all over the half of the item that leaves room for the walk
-        share = 0.55 * ((number // 2 * 0.618) % 1.0)
+        # starts lie all over the part of the item that leaves room for the walk
+        share = 0.85 * ((number // 2 * 0.618) % 1.0)
         return Repetition(number, forward, share if forward else 1 - share,
                           tuple(steps.tolist()))
 
@@ -196,7 +201,8 @@ class Index:
         long = np.array([i for i, n in enumerate(self.n_words) if n >= SHORT], dtype=np.int64)
         own = [hashes[i] for i in long]
         self.table_size = 1 << min(20, max(16, math.ceil(math.log2(64 * len(long) + 1))))
-        self.tables, self.keys, self.items = [], [], []
+        self.tables, self.keys, self.items, self.anchors = [], [], [], []
+        offsets = [np.cumsum([0, *(len(x) + 1 for x in self.texts[i].split(" "))]) for i in long]
         for repetition in repetitions:
             tables = []
             for samples in range(1, SAMPLED + 1):
@@ -208,16 +214,43 @@ class Index:
             self.tables.append(tuple(tables))
             self.keys.append(keys[order])
             self.items.append(long[items][order])
+            # characters before the word where the walk starts
+            self.anchors.append(np.array(
+                [offsets[i][repetition.anchor(len(own[i]))] for i in items[order].tolist()],
+                dtype=np.int64))
+        # a table of the character runs of all items
+        self.item_grams = grams = [_grams(_points(t)) for t in self.texts]
+        size = 64 * sum(map(len, grams)) + 1
+        self.grams = np.zeros(min(MAX_GRAM_TABLE, 1 << math.ceil(math.log2(size + 1))), dtype=bool)
+        for i, g in enumerate(grams):
+            self.grams[self.gram_slots(i, g)] = True
         self.short: dict[int, dict[int, list[int]]] = {}
         for i, h in enumerate(hashes):
             if 0 < len(h) < SHORT:
                 key = int(_run_hash(h, len(h))[0])
                 self.short.setdefault(len(h), {}).setdefault(key, []).append(i)
 
+    def gram_slots(self, item, grams: np.ndarray) -> np.ndarray:
+        value = (grams + np.uint64(item)) * _FACTOR
+        return ((value >> np.uint64(30)) & np.uint64(len(self.grams) - 1)).astype(np.int64)
+
     def __reduce__(self):
         return Index, self.given
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _grams(points: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of ``GRAM`` characters."""
+    n = max(len(points) - GRAM + 1, 0)
+    value = np.zeros(n, dtype=np.uint64)
+    for k in range(GRAM):
+        value = value * _FACTOR + points[k:n + k]
+    return mix(value, 4)
+
+
 def _item_words(texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
     hashes, joined = [], []
     for row, end, w in lower_words(pa.array(texts, pa.large_string())):
@@ -237,6 +270,14 @@ def _joined(w: Words, a: int, b: int) -> str:
         for x, y in zip(w.starts[a:b].tolist(), w.ends[a:b].tolist())).decode()
 
 
+def _begins(text: str, n_words: int) -> np.ndarray:
+    """Where each word of a joined text begins, and where one after the last would."""
+    begins = np.zeros(n_words + 1, dtype=np.int64)
+    begins[1:n_words] = np.flatnonzero(_points(text) == 32) + 1
+    begins[n_words] = len(text) + 1 if n_words else 0
+    return begins
+
+
 def _run_hash(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of ``size`` words."""
     n = max(len(hashes) - size + 1, 0)
@@ -278,19 +319,23 @@ def needed_repetitions(
     """Draw repetitions until edited copies of the items collide as often as asked for.
 
     Uses ``sample`` items at most.  Half of the copies have ``max_ratio`` of their words
-    edited, half have half that share of their characters edited all over, which hits more
-    words.  One more repetition never lowers recall.
+    edited, half have that share of their characters edited all over, which hits most words;
+    each half must reach ``target_recall`` by itself.  One more repetition never lowers recall.
     """
     rng = np.random.default_rng(5)
     chosen: list[Repetition] = []
     if not texts:
         return chosen
     texts = [texts[i] for i in rng.permutation(len(texts))[:sample]]
-    pairs = [(t, _edited(t, max_ratio / (1 if w else 2), w, rng)) for t in texts for w in (True, False)]
+    pairs = [(t, _edited(t, max_ratio, w, rng)) for t in texts for w in (True, False)]
     sizes, _ = _item_words([t for t, _ in pairs])
     copies, _ = _item_words([c for _, c in pairs])
     found = np.zeros(len(pairs), dtype=bool)
-    while len(chosen) < 4 or found.mean() < target_recall and len(chosen) < MAX_REPETITIONS:
+    recall = 0.0
+    while len(chosen) < 4 or recall < target_recall:
+        if len(chosen) == MAX_REPETITIONS:
+            warnings.warn(f"recall {recall:.2f} instead of {target_recall} on edited copies")
+            break
         repetition = Repetition.draw(len(chosen))
         chosen.append(repetition)
         items, keys = _item_keys(repetition, sizes)
@@ -299,6 +344,7 @@ def needed_repetitions(
                 copy = copies[item]
                 found[item] = key in repetition.walk(
                     copy, np.arange(len(copy)), 0, len(copy))[1].tolist()
+        recall = min(found[0::2].mean(), found[1::2].mean())
     return chosen
 
 
@@ -311,8 +357,12 @@ def build_index(
     return Index(ids, texts, max_ratio, needed_repetitions(long, max_ratio, target_recall))
 
 
-def candidates(index: Index, w: Words) -> np.ndarray:
-    """Distinct (item, first word of its window) pairs of a block that collide."""
+def candidates(index: Index, w: Words, text: str, begins: np.ndarray) -> np.ndarray:
+    """Distinct (item, character where it would begin) pairs of a block that collide.
+
+    ``text``: all words of the block joined, ``begins``: where each of them begins.  Windows
+    with fewer character runs of the item than the edits must leave are left out.
+    """
     found = [np.zeros((0, 2), dtype=np.int64)]
     block = Block(w.hashes, index.table_size)
     for number, repetition in enumerate(index.repetitions):
@@ -324,38 +374,78 @@ def candidates(index: Index, w: Words) -> np.ndarray:
         count = np.searchsorted(keys, own, side="right") - low
         hit = np.repeat(np.arange(len(own)), count)
         which = low[hit] + np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count)
-        items = index.items[number][which]
-        anchor = np.array([repetition.anchor(index.n_words[i]) for i in items.tolist()],
-                          dtype=np.int64)
-        found.append(np.column_stack([items, place[hit] - anchor]))
+        # where the item would begin, to the next multiple of NEAR
+        start = begins[place[hit]] - index.anchors[number][which]
+        found.append(np.column_stack([index.items[number][which], start // NEAR * NEAR]))
+    pairs = np.concatenate(found)
+    # one number per pair is sorted faster
+    base = int(pairs[:, 1].min(initial=0))
+    span = int(pairs[:, 1].max(initial=0)) - base + 1
+    code = np.unique(pairs[:, 0] * span + pairs[:, 1] - base)
+    pairs = np.column_stack([code // span, code % span + base])
+    if len(pairs):
+        pairs = pairs[_have_runs(index, _points(text), pairs)]
+    found = [pairs]
     for size, known in index.short.items():
         for at, value in enumerate(_run_hash(w.hashes, size).tolist()):
             for item in known.get(value, ()):
-                found.append(np.array([[item, at]]))
-    return np.unique(np.concatenate(found), axis=0)
+                found.append(np.array([[item, begins[at]]]))
+    return np.concatenate(found)
+
+
+def _have_runs(index: Index, points: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Whether the windows hold as many character runs of their items as edits must leave."""
+    grams = _grams(points)
+    few = np.uint64((1 << 16) - 1)
+    bits, seen = (grams & few).astype(np.int64), np.zeros(1 << 16, dtype=bool)
+    out = np.zeros(len(pairs), dtype=bool)
+    cuts = np.flatnonzero(np.diff(pairs[:, 0], prepend=-1)).tolist() + [len(pairs)]
+    for x, y in zip(cuts[:-1], cuts[1:]):
+        item, start = int(pairs[x, 0]), pairs[x:y, 1]
+        size, limit = len(index.texts[item]), index.limits[item]
+        low = np.clip(start - limit, 0, len(grams))
+        high = np.clip(start + NEAR + size + limit - GRAM + 1, 0, len(grams))
+        need = size - GRAM + 1 - limit * GRAM
+        wide = int((high - low).max())
+        for at in range(0, y - x, 256):
+            where = low[at:at + 256, None] + np.arange(wide)
+            inside = where < high[at:at + 256, None]
+            where[~inside] = 0
+            if len(grams):
+                same = index.grams[index.gram_slots(item, grams[where])] & inside
+                out[x + at:x + at + len(where)] = np.count_nonzero(same, axis=1) >= need
+            else:
+                out[x + at:x + at + len(where)] = need <= 0
+        # runs that a window repeats count once
+        own = (index.item_grams[item] & few).astype(np.int64)
+        for k in (x + np.flatnonzero(out[x:y])).tolist():
+            there = bits[low[k - x]:high[k - x]]
+            seen[there] = True
+            out[k] = np.count_nonzero(seen[own]) >= need
+            seen[there] = False
+    return out
 
 
-def verify(index: Index, w: Words, pairs: np.ndarray) -> dict[tuple[int, int], int]:
+def verify(
+    index: Index, w: Words, text: str, begins: np.ndarray, pairs: np.ndarray
+) -> dict[tuple[int, int], int]:
     """Fewest edits of the (row, item) pairs that hold."""
     best: dict[tuple[int, int], int] = {}
     for item, start in pairs.tolist():
-        n, limit = index.n_words[item], index.limits[item]
-        middle = min(max(start + n // 2, 0), len(w.hashes) - 1)
-        row = int(np.searchsorted(w.bounds, middle, side="right")) - 1
+        passage, limit = index.texts[item], index.limits[item]
+        middle = min(max(start + len(passage) // 2, 0), len(text) - 1)
+        word = int(np.searchsorted(begins, middle, side="right")) - 1
+        row = int(np.searchsorted(w.bounds, word, side="right")) - 1
         if best.get((row, item)) == 0:
             continue
-        more = limit // 2 + 1 if limit else 0  # a word and its space are two characters at least
-        a = max(start - more, int(w.bounds[row]))
-        b = min(start + n + more, int(w.bounds[row + 1]))
-        if b <= a:
-            continue
-        text, around = index.texts[item], _joined(w, a, b)
+        a = max(start - limit, int(begins[w.bounds[row]]))
+        b = min(start + len(passage) + limit + (NEAR if limit else 0),
+                int(begins[w.bounds[row + 1]]) - 1)
+        around = text[a:b]
         if not limit:
-            edits = 0 if f" {text} " in f" {around} " else 1
-        elif _may_hold(text, around, limit):
-            edits = edits_within(text, around, limit)
+            edits = 0 if passage == around else 1
         else:
-            continue
+            edits = edits_within(passage, around, limit)
         if edits <= limit:
             best[row, item] = min(edits, best.get((row, item), edits))
     return best
@@ -364,7 +454,10 @@ def verify(index: Index, w: Words, pairs: np.ndarray) -> dict[tuple[int, int], i
 def contaminated(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, int]]:
     """(row, item, edits) of all texts that an item contaminates."""
     for row, _, w in lower_words(texts):
-        for (own, item), edits in sorted(verify(index, w, candidates(index, w)).items()):
+        text = _joined(w, 0, len(w.hashes))
+        begins = _begins(text, len(w.hashes))
+        pairs = candidates(index, w, text, begins)
+        for (own, item), edits in sorted(verify(index, w, text, begins, pairs).items()):
             yield row + own, item, edits
 
 

@@ -59,6 +59,20 @@ def test_recall_against_brute_force(by_words, ratio):
         assert distance(normal(texts[item]), normal(docs[row])) <= index.limits[item]
 
 
+@pytest.mark.parametrize("ratio", [0.1, 0.14])
+def test_recall_on_characters_edited_up_to_the_limit(ratio):
+    import numpy as np
+    rng, vocabulary, texts = items(200, seed=5)
+    index = D.build_index(list(range(len(texts))), texts)
+    noise = np.random.default_rng(6)
+    docs = [" ".join([*rng.choices(vocabulary, k=40), D._edited(t, ratio, False, noise),
+                      *rng.choices(vocabulary, k=40)]) for t in texts]
+    within = {(i, i) for i, d in enumerate(docs)
+              if D.edits_within(normal(texts[i]), normal(d), index.limits[i]) <= index.limits[i]}
+    found = {(row, item) for row, item, _ in D.contaminated(index, pa.array(docs))}
+    assert len(within) > 150 and len(found & within) >= 0.93 * len(within)
+
+
 def test_verbatim_passages_are_all_found_and_nothing_else(spark):
     folder = FOLDER.replace("sf0.001", "sf0.1")
     docs = spark.read.parquet(f"{folder}/documents.parquet")
