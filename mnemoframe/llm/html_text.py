@@ -5,8 +5,10 @@ text, how much of it is link text, how many tags it holds, and where it lies.  C
 that name themselves navigation, header, footer, sidebar, notice, advert, form or comments
 (by tag, role, class or id), and scripts and styles, yield no line.  The text-to-tag ratio
 per line is smoothed by a Gaussian along the page; lines above the threshold form the content
-clusters.  Where a page marks its article (<article>, <main>), only lines in it count, and
-one that is not mostly links belongs to the cluster whatever its length.
+clusters.  Marks bound the lines that this is done on: those in <article> where there is one,
+else those in <main>, else all.  An <article> with a cluster is content up to its bounds
+whatever the length of its lines, unless they are mostly links, and one without is left out;
+of <main>, which may wrap other parts of the page, only the clusters are content.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 joined in page order by one space.  Null html gives an empty text, and so does a page
@@ -29,6 +31,7 @@ from mnemoframe.llm.rows import in_small_batches
 
 SIGMA = 2.0
 LINK_SHARE = 0.5
+MAIN = -1
 
 # fixed values: element names of HTML, and the words by which pages name their parts
 BLOCKS = frozenset(
@@ -80,13 +83,16 @@ def _set_aside(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
 
 
 class PageLines(HTMLParser):
-    """Collects lines: (text, characters outside links, characters in links, tags, in article)."""
+    """Collects lines: (text, characters outside links, characters in links, tags, part).
+
+    The part is the number of the outermost article, ``MAIN``, or 0 outside of both.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool]] = []
-        self.open: list[tuple[str, bool, bool]] = []  # tag, set aside, in article
-        self.aside = self.article = False
+        self.lines: list[tuple[str, int, int, int, int]] = []
+        self.open: list[tuple[str, bool, int]] = []  # tag, set aside, part
+        self.aside, self.article, self.articles = False, 0, 0
         self.silent = self.link = 0
         self._fresh()
 
@@ -110,11 +116,16 @@ class PageLines(HTMLParser):
             if left:
                 del self.open[left[0]:]
         above_aside, above_article = (self.open[-1][1], self.open[-1][2]) if self.open else (
-            False, False)
-        article = above_article or tag in ("article", "main")
+            False, 0)
+        article = above_article
+        if tag == "article" and article <= 0:
+            self.articles += 1
+            article = self.articles
+        elif tag == "main" and not article:
+            article = MAIN
         aside = above_aside or _set_aside(tag, attributes) or tag == "header" and not article
-        self.open.append((tag, aside, article and not aside))
-        self.aside, self.article = aside, article and not aside
+        self.open.append((tag, aside, 0 if aside else article))
+        self.aside, self.article = aside, 0 if aside else article
         self.link = 0
 
     def _leave(self, tag: str) -> None:
@@ -122,7 +133,7 @@ class PageLines(HTMLParser):
             if self.open[at][0] == tag:
                 del self.open[at:]
                 break
-        _, self.aside, self.article = self.open[-1] if self.open else ("", False, False)
+        _, self.aside, self.article = self.open[-1] if self.open else ("", False, 0)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS or tag in CONTAINERS:
@@ -172,17 +183,17 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return whole(ratios) / whole(np.ones(len(ratios)))
 
 
-def content_lines(lines: list[tuple[str, int, int, int, bool]]) -> np.ndarray:
+def content_lines(lines: list[tuple[str, int, int, int, int]]) -> np.ndarray:
     """Which lines are content: clusters of smoothed ratios over the threshold."""
-    own = np.array([line[1] for line in lines], dtype=float)
-    linked = np.array([line[2] for line in lines], dtype=float)
-    tags = np.array([line[3] for line in lines], dtype=float)
-    marked = np.array([line[4] for line in lines], dtype=bool)
-    ratios = smoothed(own / tags)
-    threshold = min(ratios.mean(), ratios.std()) if len(lines) > 1 else 0.0
+    own, linked, tags, part = (np.array([line[k] for line in lines]) for k in (1, 2, 3, 4))
+    bounded = part > 0 if (part > 0).any() else part == part.min()
+    ratios = smoothed((own / tags)[bounded])
+    threshold = min(ratios.mean(), ratios.std()) if len(ratios) > 1 else 0.0
     linky = linked > LINK_SHARE * (own + linked)
-    clustered = (ratios >= threshold) & ~linky
-    return marked & ~linky if marked.any() else clustered
+    clustered = np.zeros(len(lines), dtype=bool)
+    clustered[bounded] = ratios >= threshold
+    whole = np.isin(part, part[clustered & (part > 0)])
+    return (clustered | whole) & ~linky
 
 
 def _whole_markup(html: str) -> str:

@@ -1,5 +1,6 @@
 import html
 import re
+from collections import Counter
 
 import pytest
 from conftest import FOLDER
@@ -31,6 +32,26 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+def test_clusters_decide_inside_main():
+    far = [f"far{i}" for i in range(20)]
+    lines = "".join(f"<p>{x}</p>" for x in far)
+    found = main_text(f"<main>{lines}{f'<p>{BODY}</p>' * 4}{lines}</main>")
+    assert found.count(BODY.strip()) == 4
+    # smoothing lets a few lines beside the cluster in
+    assert not set(far[6:14]) & set(found.split())
+
+
+def test_clusters_find_the_articles_without_their_tags(spark):
+    kept = missed = more = 0
+    for r in spark.read.parquet(f"{FOLDER}/pages.parquet").collect():
+        want = Counter(main_text(r["html"]).split())
+        found = Counter(main_text(re.sub(r"(</?)article\b", r"\1div", r["html"])).split())
+        kept += (want & found).total()
+        missed += (want - found).total()
+        more += (found - want).total()
+    assert kept > 0.97 * (kept + missed) and kept > 0.97 * (kept + more)
+
+
 def test_smoothing_is_a_mean():
     import numpy as np
     assert np.allclose(html_text.smoothed(np.full(7, 3.0)), 3.0)
