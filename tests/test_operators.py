@@ -14,7 +14,6 @@ from mnemoframe.operators import agentic, cache, extract, groups, reconcile, ret
 from mnemoframe.operators import concepts as concept_ops
 from mnemoframe.settings import DEFAULTS
 from mnemoframe.sources import conversations, fingerprint, store
-from mnemoframe.streaming.reconcile import ReconcileSink
 
 NAMES = ["ana lives", "bo owns", "the fund"]
 WORDS = "rome bonn oslo red blue green big small one two three four five six seven".split()
@@ -317,17 +316,6 @@ def test_alias_groups_equal_brute_force(spark):
     assert grouped == set(got)
 
 
-def test_late_rows_go_aside(spark, tmp_path):
-    memories = groups.materialize(random_memories(spark, 12, seed=9, scopes=1))
-    sink = ReconcileSink(spark, str(tmp_path / "s"), memories.schema)
-    sink.take_memories(memories.filter("seq > 6"), 0)
-    sink.take_memories(memories.filter("seq <= 6 or seq > 12"), 1)
-    assert sink.late().count() == 6 and sink.memories().count() == 6
-    first = sorted(sink.changes().collect())
-    sink.take_memories(memories.filter("seq <= 6 or seq > 12"), 1)  # a repeated micro-batch
-    assert sink.late().count() == 6 and sorted(sink.changes().collect()) == first
-
-
 def test_store_round_trip_and_fingerprints(spark, tmp_path):
     old = spark.createDataFrame([("r", "a", "done", 1.0)],
                                 "run_id string, question_id string, status string, updated_at double")
