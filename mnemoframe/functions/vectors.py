@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,27 +30,32 @@ def cosine_similarity(a: Column, b: Column) -> Column:
     return F.when(usable, parts).otherwise(F.lit(0.0))
 
 
-def cosine_batch(left: pd.Series, right: pd.Series) -> pd.Series:
+def _flat(vectors: pa.Array) -> np.ndarray:
+    return pc.list_flatten(vectors).to_numpy(zero_copy_only=False).astype(np.float64)
+
+
+def cosine_batch(left: pa.Array, right: pa.Array) -> np.ndarray:
     """The same for a batch of vector pairs."""
     out = np.zeros(len(left))
-    sizes = np.array([0 if v is None else len(v) for v in left])
-    same = (sizes > 0) & (sizes == np.array([0 if v is None else len(v) for v in right]))
-    for size in np.unique(sizes[same]):
-        at = np.flatnonzero(same & (sizes == size))
-        a = np.vstack(left.iloc[at].to_numpy()).astype(np.float64)
-        b = np.vstack(right.iloc[at].to_numpy()).astype(np.float64)
+    sizes = pc.fill_null(pc.list_value_length(left), 0).to_numpy(zero_copy_only=False)
+    other = pc.fill_null(pc.list_value_length(right), 0).to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes[(sizes > 0) & (sizes == other)]):
+        at = np.flatnonzero((sizes == size) & (other == size))
+        a = _flat(left.take(pa.array(at))).reshape(-1, size)
+        b = _flat(right.take(pa.array(at))).reshape(-1, size)
         norms = np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1))
         dots = (a * b).sum(axis=1)
         out[at] = np.divide(dots, norms, out=np.zeros(len(at)), where=norms > 0)
-    return pd.Series(out)
+    return out
 
 
 def cosine_similarity_arrow(a: Column, b: Column) -> Column:
     """Cosine similarity on Arrow batches: the faster form for many pairs."""
-    def similarity(x: pd.Series, y: pd.Series) -> pd.Series:
-        return cosine_batch(x, y)
+    @F.arrow_udf("double")
+    def similarity(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array(cosine_batch(x, y))
 
-    return F.pandas_udf(similarity, "double")(a, b)
+    return similarity(a, b)
 
 
 def _md5_hash(token: str) -> int:
@@ -63,19 +69,24 @@ def _blake2b_hash(token: str) -> int:
 TOKEN_HASHES = {"md5": _md5_hash, "blake2b": _blake2b_hash}
 
 
-def hash_embed_batch(token_lists, dim: int = EMBED_DIM, hash_name: str = "md5") -> np.ndarray:
-    """Unit-length signed bag-of-hashes, one row per token list."""
-    lengths = np.fromiter((0 if t is None else len(t) for t in token_lists), dtype=np.int64)
-    rows = np.repeat(np.arange(len(lengths)), lengths)
-    tokens = [tok for toks in token_lists if toks is not None for tok in toks]
-    codes, vocabulary = pd.factorize(np.array(tokens, dtype=object))
+def hash_embed_batch(
+    tokens: pa.Array, dim: int = EMBED_DIM, hash_name: str = "md5"
+) -> np.ndarray:
+    """Unit-length signed bag-of-hashes, one row per token list; null counts as no tokens.
+
+    Each distinct token of the batch is hashed once; the rest is array arithmetic.
+    """
+    rows = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+    encoded = pc.list_flatten(tokens).dictionary_encode()
+    codes = encoded.indices.to_numpy(zero_copy_only=False)
     hash_of = TOKEN_HASHES[hash_name]
+    vocabulary = encoded.dictionary.to_pylist()
     hashes = np.fromiter((hash_of(t) for t in vocabulary), dtype=np.int64, count=len(vocabulary))
     slot, sign = hashes % dim, np.where((hashes >> 8) & 1, 1.0, -1.0)
     flat = np.bincount(
-        rows * dim + slot[codes], weights=sign[codes], minlength=len(lengths) * dim
-    ) if len(tokens) else np.zeros(len(lengths) * dim)
-    matrix = flat.reshape(len(lengths), dim)
+        rows * dim + slot[codes], weights=sign[codes], minlength=len(tokens) * dim
+    ) if len(rows) else np.zeros(len(tokens) * dim)
+    matrix = flat.reshape(len(tokens), dim)
     norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     norms[norms == 0] = 1.0
     return matrix / norms
@@ -88,8 +99,10 @@ def hash_embedding(tokens: Column, dim: int = EMBED_DIM, hash_name: str = "md5")
     hash used by the published vectors.
     """
 
-    @F.pandas_udf("array<double>")
-    def embed(batch: pd.Series) -> pd.Series:
-        return pd.Series(list(hash_embed_batch(batch.tolist(), dim, hash_name)))
+    @F.arrow_udf("array<double>")
+    def embed(batch: pa.Array) -> pa.Array:
+        matrix = hash_embed_batch(batch, dim, hash_name)
+        offsets = np.arange(len(batch) + 1, dtype=np.int32) * dim
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()))
 
     return embed(tokens)

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,15 +23,10 @@ from mnemoframe.functions.text import (
 )
 from mnemoframe.functions.vectors import EMBED_DIM, cosine_similarity_arrow, hash_embedding
 from mnemoframe.operators.groups import top_k
+from mnemoframe.operators.scan import SCORE_DIGITS, best_of_tasks, distinct_tokens, never_shown
 from mnemoframe.settings import DEFAULTS, Settings
 
-# scores are rounded before ranking so that summation order never decides a tie
-SCORE_DIGITS = 9
 VECTOR_WEIGHT = 0.6
-# questions whose vectors may be sent to every task: 2,000 x 64 doubles is about 1 MB
-MAX_SHARED_QUESTIONS = 2_000
-# with many scopes a batch falls into small pieces, and a join on the scope is better
-MAX_SHARED_SCOPES = 16
 
 
 # ------------------------------------------------------------ planning
@@ -77,18 +71,21 @@ def plan_retrieval(queries: DataFrame, settings: Settings = DEFAULTS) -> DataFra
 
 def with_embedding(
     df: DataFrame, text: str, embed: Callable[[Column], Column] | None = None,
-    name: str = "embedding",
+    name: str = "embedding", tokens: str | None = None,
 ) -> DataFrame:
-    """Add a vector column; ``embed`` maps a text Column to an array Column."""
-    vector = embed(F.col(text)) if embed else hash_embedding(tokenize(F.col(text)), EMBED_DIM)
-    return df.withColumn(name, vector)
+    """Add a vector column; ``embed`` maps a text Column to an array Column.
 
-
-# ------------------------------------------------------------ visibility
+    ``tokens`` names a column to keep the tokens in, so that scoring finds them there
+    instead of cutting up the text again.
+    """
+    words = tokenize(F.col(text))
+    if tokens:
+        df = df.withColumn(tokens, words)
+        words = F.col(tokens)
+    return df.withColumn(name, embed(F.col(text)) if embed else hash_embedding(words, EMBED_DIM))
 
 
-def _never_shown() -> Column:
-    return F.coalesce(F.col("status").isin(*C.ALWAYS_HIDDEN), F.lit(False))
+# ------------------------------------------------------------ visibility
 
 
 def _visible_to(status: str, show: str, mem_type: str, types: str) -> Column:
@@ -110,7 +107,7 @@ def keyword_matches(memories: DataFrame, plans: DataFrame) -> DataFrame:
     asked = plans.select(
         "query_id", "scope_id", "types", "show_superseded",
         F.size("keywords").alias("n_keywords"), F.explode("keywords").alias("token"))
-    stored = memories.filter(~_never_shown()).select(
+    stored = memories.filter(~never_shown()).select(
         "scope_id", "mem_id", "mem_type", "status",
         # the outer form keeps Spark from tokenizing once more in a filter of its own
         F.explode_outer(F.array_distinct(tokenize(F.col("content")))).alias("token"),
@@ -121,112 +118,25 @@ def keyword_matches(memories: DataFrame, plans: DataFrame) -> DataFrame:
         (F.count("*") / F.first("n_keywords")).alias("score"))
 
 
-def keyword_search(memories: DataFrame, plans: DataFrame, limit: int = 10) -> DataFrame:
-    return top_k(
-        keyword_matches(memories, plans), ["query_id"],
-        [F.desc("score"), F.asc("mem_id")], limit)
-
-
-# ------------------------------------------------------------ vector leg
-
-
-def _shared_questions(plans: DataFrame, max_questions: int) -> pd.DataFrame | None:
-    """The question vectors when few enough, in few scopes, to send to every task."""
-    head = plans.select("query_id", "scope_id", "embedding", "types", "show_superseded")
-    rows = head.limit(max_questions + 1).toArrow().to_pandas()
-    few = len(rows) <= max_questions and rows["scope_id"].nunique() <= MAX_SHARED_SCOPES
-    return rows if few else None
-
-
-def _unit_rows(vectors) -> np.ndarray:
-    matrix = np.asarray(np.vstack(vectors), dtype=np.float64)
-    norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-    norms[norms == 0] = 1.0
-    return matrix / norms
-
-
-def _best_in_batch(scores: np.ndarray, ids: np.ndarray, limit: int) -> np.ndarray:
-    """Positions of the ``limit`` best positive scores, ties by id."""
-    positive = np.flatnonzero(scores > 0)
-    if len(positive) > limit:
-        cutoff = np.partition(scores[positive], len(positive) - limit)[len(positive) - limit]
-        positive = positive[scores[positive] >= cutoff]
-    return positive[np.lexsort((ids[positive], -scores[positive]))][:limit]
-
-
-def _scan_with_shared_questions(memories: DataFrame, questions: pd.DataFrame, limit: int):
-    """Score memory batches against all questions of their scope with one matrix
-    product and keep each batch's best; nothing else leaves the task."""
-    packs = {}
-    for scope, group in questions.groupby("scope_id", sort=False):
-        usable = group[group["embedding"].map(lambda v: v is not None and len(v) > 0)]
-        if len(usable):
-            packs[scope] = (
-                usable["query_id"].tolist(), _unit_rows(usable["embedding"]),
-                [set(t) for t in usable["types"]], usable["show_superseded"].tolist())
-    shared = memories.sparkSession.sparkContext.broadcast(packs)
-
-    def scan(batches):
-        for batch in batches:
-            out = []
-            for scope, group in batch.groupby("scope_id", sort=False):
-                if scope not in shared.value:
-                    continue
-                query_ids, vectors, types, shows = shared.value[scope]
-                group = group[group["embedding"].map(len) == vectors.shape[1]]
-                if group.empty:
-                    continue
-                scores = np.round(_unit_rows(group["embedding"]) @ vectors.T, SCORE_DIGITS)
-                ids = group["mem_id"].to_numpy(dtype=str)
-                superseded = (group["status"] == C.SUPERSEDED).to_numpy()
-                for q, query_id in enumerate(query_ids):
-                    hidden = ~group["mem_type"].isin(types[q]).to_numpy()
-                    if not shows[q]:
-                        hidden |= superseded
-                    column = np.where(hidden, 0.0, scores[:, q])
-                    best = _best_in_batch(column, ids, limit)
-                    out.append(pd.DataFrame({
-                        "query_id": query_id, "scope_id": scope,
-                        "mem_id": ids[best], "score": column[best]}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    id_types = {f.name: f.dataType.simpleString() for f in memories.schema.fields}
-    query_type = "bigint" if pd.api.types.is_integer_dtype(questions["query_id"]) else "string"
-    return memories.mapInPandas(
-        scan,
-        f"query_id {query_type}, scope_id {id_types['scope_id']}, mem_id string, score double")
+def _top_of_legs(best: DataFrame, limit: int) -> DataFrame:
+    order = [F.desc("score"), F.asc("mem_id")]
+    return top_k(best, ["query_id", "leg"], order, limit)
 
 
-def vector_search(
-    memories: DataFrame, plans: DataFrame, limit: int = 10,
-    max_shared: int = MAX_SHARED_QUESTIONS,
+def keyword_search(
+    memories: DataFrame, plans: DataFrame, limit: int = 10, **tuning
 ) -> DataFrame:
-    """Exact cosine top-k of every question within its scope; scores above 0.
+    """Top-k of every question by the share of its keywords that a memory holds."""
+    best = best_of_tasks(memories, plans, limit, vector=False, **tuning)
+    return _top_of_legs(best, limit).drop("leg")
 
-    Up to ``max_shared`` questions are sent to the tasks that scan the memories.
-    More than that are joined on the scope; Spark then splits a skewed scope, and
-    the per-task cut of the top-k keeps the shuffle small in both ways.
-    """
-    stored = memories.filter(
-        ~_never_shown() & (F.coalesce("content", F.lit("")) != "")
-        & (F.size("embedding") > 0)
-    ).select("scope_id", "mem_id", "mem_type", "status", "embedding")
-    questions = _shared_questions(plans, max_shared)
-    if questions is not None and len(questions):
-        scored = _scan_with_shared_questions(stored, questions, limit)
-    else:
-        asked = plans.select(
-            "query_id", "scope_id", "types", "show_superseded",
-            F.col("embedding").alias("question_vector"))
-        scored = stored.join(asked, "scope_id").filter(
-            _visible_to("status", "show_superseded", "mem_type", "types")
-        ).select(
-            "query_id", "scope_id", "mem_id",
-            F.round(cosine_similarity_arrow(F.col("embedding"), F.col("question_vector")),
-                    SCORE_DIGITS).alias("score"),
-        ).filter("score > 0")
-    return top_k(scored, ["query_id"], [F.desc("score"), F.asc("mem_id")], limit)
+
+def vector_search(
+    memories: DataFrame, plans: DataFrame, limit: int = 10, **tuning
+) -> DataFrame:
+    """Exact cosine top-k of every question within its scope; scores above 0."""
+    best = best_of_tasks(memories, plans, limit, keyword=False, **tuning)
+    return _top_of_legs(best, limit).drop("leg")
 
 
 # ------------------------------------------------------------ blending
@@ -235,36 +145,37 @@ def vector_search(
 def flat_retrieve(
     memories: DataFrame, plans: DataFrame, settings: Settings = DEFAULTS, **tuning
 ) -> DataFrame:
-    """Both legs cut to the limit, then max(keyword, 0.6 * vector), then the limit."""
+    """Both legs, of one scan, cut to the limit, then max(keyword, 0.6 * vector), then the limit."""
     limit = settings.retrieval_limit
-    legs = []
-    if settings.enable_keyword_retrieval:
-        legs.append(keyword_search(memories, plans, limit).drop("rank"))
-    if settings.enable_vector_retrieval:
-        vector = vector_search(memories, plans, limit, **tuning).drop("rank")
-        legs.append(vector.withColumn("score", VECTOR_WEIGHT * F.col("score")))
-    merged = legs[0] if len(legs) == 1 else legs[0].unionByName(legs[1])
-    best = merged.groupBy("query_id", "scope_id", "mem_id").agg(F.max("score").alias("score"))
-    return top_k(best, ["query_id"], [F.desc("score"), F.asc("mem_id")], limit)
+    best = _top_of_legs(best_of_tasks(
+        memories, plans, limit, settings.enable_keyword_retrieval,
+        settings.enable_vector_retrieval, **tuning), limit)
+    weighed = F.when(F.col("leg") == "vector", VECTOR_WEIGHT * F.col("score")).otherwise(
+        F.col("score"))
+    blended = best.groupBy("query_id", "scope_id", "mem_id").agg(F.max(weighed).alias("score"))
+    return top_k(blended, ["query_id"], [F.desc("score"), F.asc("mem_id")], limit)
 
 
 def score_candidates(candidates: DataFrame, memories: DataFrame, plans: DataFrame) -> DataFrame:
     """max(keyword, 0.6 * vector) of given (query_id, mem_id) pairs; above 0 only."""
-    stored = memories.select("scope_id", "mem_id", "mem_type", "status", "content", "embedding")
+    stored = memories.select(
+        "scope_id", "mem_id", "mem_type", "status", distinct_tokens(memories).alias("tokens"),
+        "embedding")
     asked = plans.select(
         "query_id", "scope_id", "keywords", "show_superseded",
         F.col("embedding").alias("question_vector"))
-    tokens = F.array_distinct(tokenize(F.col("content")))
+    tokens = F.col("tokens")
     hits = F.size(F.array_intersect("keywords", tokens))
     keyword = F.when(F.size("keywords") > 0, hits / F.size("keywords")).otherwise(0.0)
     vector = F.round(
         cosine_similarity_arrow(F.col("embedding"), F.col("question_vector")), SCORE_DIGITS)
     return (
         candidates.join(stored, ["scope_id", "mem_id"]).join(asked, ["query_id", "scope_id"])
-        .filter(~_never_shown() & ((F.col("status") != C.SUPERSEDED) | F.col("show_superseded")))
+        .filter(~never_shown() & (
+            F.coalesce(F.col("status") != C.SUPERSEDED, F.lit(True)) | F.col("show_superseded")))
         .withColumn("score", F.greatest(keyword, VECTOR_WEIGHT * vector))
         .filter("score > 0")
-        .drop("content", "embedding", "question_vector", "keywords", "show_superseded", "status")
+        .drop("tokens", "embedding", "question_vector", "keywords", "show_superseded", "status")
     )
 
 

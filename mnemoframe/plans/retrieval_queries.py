@@ -14,7 +14,8 @@ from mnemoframe.settings import DEFAULTS
 
 def _documents(spark, d):
     """Documents with vectors as memories, benchmark passages as planned questions."""
-    memories = retrieve.with_embedding(V.document_memories(spark, d), "content")
+    memories = retrieve.with_embedding(
+        V.document_memories(spark, d), "content", tokens="tokens")
     plans = retrieve.with_embedding(
         retrieve.plan_retrieval(V.benchmark_questions(spark, d)), "question")
     return memories, plans
@@ -22,7 +23,8 @@ def _documents(spark, d):
 
 def _conversations(spark, d):
     observed = V.conversation_observations(spark, d)
-    memories = retrieve.with_embedding(extract.extract_memories(observed), "content")
+    memories = retrieve.with_embedding(
+        extract.extract_memories(observed), "content", tokens="tokens")
     plans = retrieve.with_embedding(
         retrieve.plan_retrieval(V.conversation_questions(spark, d)), "question")
     return observed, memories, plans

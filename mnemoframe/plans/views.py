@@ -208,7 +208,7 @@ class CustomerLifecycle:
     def current(self) -> DataFrame:
         """Memories with status and vector, kept as a table for the many readers."""
         current = reconcile.with_status(self.memories, self.changes)
-        return materialize(retrieve.with_embedding(current, "content"))
+        return materialize(retrieve.with_embedding(current, "content", tokens="tokens"))
 
     def relations(self, observations: DataFrame, memories: DataFrame) -> DataFrame:
         refs = enrich.temporal_refs(observations, memories)

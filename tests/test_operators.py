@@ -145,12 +145,77 @@ def embedded(spark, n=40, seed=5):
     return stored, plans
 
 
-def test_vector_search_paths_agree(spark):
+@pytest.mark.parametrize("per_round", [1, 2, 10_000])
+def test_scan_equals_all_pairs(spark, per_round):
+    """Both legs against every pair scored one by one, in one round and in many."""
     stored, plans = embedded(spark)
-    shared = retrieve.vector_search(stored, plans, 7)
-    joined = retrieve.vector_search(stored, plans, 7, max_shared=0)
-    columns = ["query_id", "mem_id", "score", "rank"]
-    assert sorted(shared.select(*columns).collect()) == sorted(joined.select(*columns).collect())
+    rows, asked = stored.collect(), plans.collect()
+    for limit in (2, 7):
+        want = {"keyword": [], "vector": []}
+        for q in asked:
+            scores = {"keyword": [], "vector": []}
+            for m in rows:
+                if (m.scope_id != q.scope_id or m.mem_type not in q.types
+                        or m.status in ("archived", "deleted")
+                        or (m.status == "superseded" and not q.show_superseded)):
+                    continue
+                shared = len(set(q.keywords) & set(m.content.lower().split()))
+                scores["keyword"].append((-shared / max(1, len(q.keywords)), m.mem_id))
+                cosine = sum(a * b for a, b in zip(q.embedding, m.embedding))
+                scores["vector"].append((-round(cosine, 9), m.mem_id))
+            for leg, found in scores.items():
+                first = sorted(x for x in found if x[0] < 0)[:limit]
+                want[leg] += [(q.query_id, i, round(-s, 9), r) for r, (s, i) in enumerate(first, 1)]
+        for leg, search in (("keyword", retrieve.keyword_search), ("vector", retrieve.vector_search)):
+            got = search(stored, plans, limit, per_round=per_round).collect()
+            assert sorted((r.query_id, r.mem_id, round(r.score, 9), r["rank"]) for r in got) == sorted(
+                want[leg])
+        assert want["keyword"] and want["vector"]
+
+
+def test_null_status_is_visible_in_both_legs_and_for_candidates(spark):
+    stored, plans = embedded(spark)
+    plain = stored.withColumn("status", F.lit(None).cast("string"))
+    pairs = plans.select("query_id", "scope_id").join(plain.select("scope_id", "mem_id"), "scope_id")
+    named = {(r.query_id, r.mem_id) for r in
+             retrieve.score_candidates(pairs, plain, plans).collect()}
+    found = {(r.query_id, r.mem_id) for r in retrieve.keyword_search(plain, plans).collect()}
+    assert found and found <= named
+
+
+def test_pivots_leave_groups_out_and_lose_nothing():
+    """Questions in tight clusters: most pairs are not scored, the top-k stays exact."""
+    import numpy as np
+    import pyarrow as pa
+
+    from mnemoframe.operators import scan
+
+    rng = np.random.default_rng(4)
+    centres = scan.unit_rows(rng.normal(size=(20, 16)).ravel(), 16)
+    asked = scan.unit_rows((np.repeat(centres, 30, 0) + 0.01 * rng.normal(size=(600, 16))).ravel(), 16)
+    held = scan.unit_rows((centres[rng.integers(0, 20, 4000)]
+                           + 0.3 * rng.normal(size=(4000, 16))).ravel(), 16)
+    n = len(asked)
+    pack = scan.pack_questions(pa.table({
+        "query_id": pa.array(range(n)), "scope_id": pa.array([1] * n),
+        "types": pa.array([["memory_claim"]] * n), "show_superseded": pa.array([True] * n),
+        "embedding": pa.array(asked.tolist())}))
+    work = scan.Scan(pack, 5)
+    for at in range(0, len(held), 500):
+        part = held[at:at + 500]
+        work.batch(pa.RecordBatch.from_pydict({
+            "scope_id": pa.array([1] * len(part)),
+            "mem_id": pa.array([f"m{i:05d}" for i in range(at, at + len(part))]),
+            "mem_type": pa.array(["memory_claim"] * len(part)),
+            "status": pa.array([None] * len(part), pa.string()),
+            "embedding": pa.array(part.tolist())}))
+        work.vector.cut()
+    question, score, ids = work.vector.cut()
+    every = np.round(asked @ held.T, 9)
+    for q in range(0, n, 7):
+        best = sorted((-s, f"m{i:05d}") for i, s in enumerate(every[q]) if s > 0)[:5]
+        assert [(-s, i) for s, i in zip(score[question == q], ids[question == q])] == best
+    assert work.scored < 0.4 * work.possible
 
 
 def loop(question, hits, links, scores, direct, overlap, s):
