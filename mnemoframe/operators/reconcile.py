@@ -8,8 +8,12 @@ that is needed; no pair list of a group is ever built.
 
 1. Duplicates: the next memory with the same signature (a chunked ``lead``).
 2. Conflicts, near: a window looks a few memories ahead within the subject key.
-3. Conflicts, far: the rows that the window could not settle are searched block
-   by block, each block a bounded number of rows; one row per found successor.
+3. Conflicts, far: rows the window could not settle search the rest of their chunk of
+   ``block_rows`` numbers in one bounded task, and then cells of doubling size: at each level a
+   row of an even cell searches the whole next cell.  Settled rows drop out before the next
+   level, and the levels come in the order of the numbers, so the first hit is the first
+   successor.  Within a cell candidates come from a set-overlap join on rare tokens (see
+   ``_overlap_entries``), not from pairs of rows.
 """
 
 from __future__ import annotations
@@ -89,31 +93,137 @@ def _fresh(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in columns])
 
 
-def _far_conflicts(unsettled: DataFrame, rows: DataFrame, block_rows: int) -> DataFrame:
-    """Search the rest of each group for rows the look-ahead could not settle."""
-    survivors = unsettled.withColumn("s_block", F.floor(F.col("seq") / block_rows))
-    later = _fresh(rows, *_GROUP, "seq", "sig", "tokens", "replaces").withColumn(
-        "l_block", F.floor(F.col("seq") / block_rows))
-    pairs = (
-        survivors.select(*_GROUP, "s_block").distinct()
-        .join(later.select(*_GROUP, "l_block").distinct(), _GROUP)
-        .filter(F.col("l_block") >= F.col("s_block"))
-    )
-    left = survivors.join(pairs, [*_GROUP, "s_block"]).select(
-        *_GROUP, "s_block", "l_block", "seq", "sig", "tokens", "seen_to", "stop_at")
-    right = _fresh(
-        later.join(pairs, [*_GROUP, "l_block"]),
-        *_GROUP, "s_block", "l_block", "seq", "sig", "tokens", "replaces")
-    keys = [*_GROUP, "s_block", "l_block"]
+def _chunk_conflicts(survivors: DataFrame, rows: DataFrame, block_rows: int) -> DataFrame:
+    """Search the rest of its chunk for every row the look-ahead could not settle."""
+    keys = [*_GROUP, "block"]
+    block = F.floor(F.col("seq") / block_rows).alias("block")
+    left = survivors.select(*_GROUP, block, "seq", "sig", "tokens", "seen_to", "stop_at")
+    right = _fresh(rows.select(*_GROUP, block, "seq", "sig", "tokens", "replaces"),
+                   *keys, "seq", "sig", "tokens", "replaces")
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = (
         f"scope_id {types['scope_id']}, mem_type string, seq {types['seq']}, "
         f"killer_seq {types['seq']}, overlap double, replaces boolean"
     )
+    # chunks without a survivor are left out before the texts move
+    right = right.join(left.select(*keys).distinct(), keys, "left_semi")
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
         _search_block, schema)
 
 
+def _sized(rows: DataFrame) -> DataFrame:
+    """Add the number of tokens and how many a smaller set must share beyond the subject.
+
+    Rows of a subject share its tokens.  A row that needs no more (``needed`` <= 0) conflicts
+    with every row of its subject that is at least as long and has another signature.
+    """
+    subject = F.array_distinct(F.split("subject", " "))
+    n = F.size("tokens")
+    least = F.expr("(2 * size(tokens) + 4) div 5")  # the smallest share of 0.4
+    return rows.withColumns({
+        "n": n, "needed": least - F.size(subject), "rest": F.array_except("tokens", subject)})
+
+
+def _overlap_entries(rows: DataFrame) -> DataFrame:
+    """One row per memory and token beyond the subject: group, seq, n, token, rare.
+
+    The smaller of two overlapping sets shares ``needed`` tokens with the larger, so any
+    choice of all but ``needed - 1`` of its tokens holds a shared one.  ``rare`` marks that
+    choice: the tokens that fewest rows of the group hold.  A pair is a candidate where a
+    rare token of its smaller set occurs in the larger one.
+    """
+    exploded = rows.filter("needed > 0").select(
+        *_GROUP, "seq", "n", "needed", F.size("rest").alias("n_rest"),
+        F.explode("rest").alias("token"))
+    frequency = exploded.groupBy(*_GROUP, "token").agg(F.count("*").alias("frequency"))
+    by_rarity = Window.partitionBy("scope_id", "seq").orderBy("frequency", "token")
+    return exploded.join(frequency, [*_GROUP, "token"]).select(
+        *_GROUP, "seq", "n", "token",
+        (F.row_number().over(by_rarity) <= F.col("n_rest") - F.col("needed") + 1).alias("rare"))
+
+
+def _first_two(rows: DataFrame) -> DataFrame:
+    """Per group and cell: the first row, and the first one of another signature."""
+    keys = [*_GROUP, "cell"]
+    row = F.struct("seq", "sig", "tokens", "replaces")
+    first = rows.groupBy(*keys).agg(F.min_by(row, "seq").alias("first"))
+    return rows.join(first, keys).groupBy(*keys).agg(
+        F.min("first").alias("first"),
+        F.min_by(F.when(F.col("sig") != F.col("first.sig"), row),
+                 F.when(F.col("sig") != F.col("first.sig"), F.col("seq"))).alias("other"))
+
+
+def _sharing_pairs(survivors: DataFrame, entries: DataFrame) -> DataFrame:
+    """(scope_id, older, seq): rows of the named cell whose overlap may be large enough."""
+    asked = survivors.select("scope_id", "seq", "cell")
+    left = entries.drop("cell").join(asked, ["scope_id", "seq"]).select(
+        *_GROUP, "cell", "token", F.col("seq").alias("older"), F.col("n").alias("older_n"),
+        F.col("rare").alias("older_rare"))
+    right = _fresh(entries, *_GROUP, "cell", "token", "seq", "n", "rare")
+    shared = left.join(right, [*_GROUP, "cell", "token"]).filter(
+        F.when(F.col("n") >= F.col("older_n"), F.col("older_rare")).otherwise(F.col("rare")))
+    return shared.select("scope_id", "older", "seq").distinct()
+
+
+def _cell_conflicts(survivors: DataFrame, rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """First conflicts of ``survivors`` with rows of the cell they name.
+
+    Candidates: rows that share a rare token; the first rows short enough to conflict with
+    all of the subject; and for a short survivor the first rows of the cell.
+    """
+    pairs = _sharing_pairs(survivors, entries)
+    later = _fresh(rows, "scope_id", "seq", "sig", "tokens", "replaces")
+    offered = pairs.join(later, ["scope_id", "seq"]).select(
+        "scope_id", F.col("older").alias("older_seq"),
+        F.struct("seq", "sig", "tokens", "replaces").alias("c"))
+    named = survivors.select("scope_id", F.col("seq").alias("older_seq"), *_GROUP[1:], "cell",
+                             "sig", "tokens", "needed", "stop_at")
+    for firsts, fits in ((_first_two(rows.filter("needed <= 0")), F.lit(True)),
+                         (_first_two(rows), F.col("needed") <= 0)):
+        either = named.filter(fits).join(_fresh(firsts, *firsts.columns), [*_GROUP, "cell"])
+        offered = offered.unionByName(either.select(
+            "scope_id", "older_seq", F.explode(F.array("first", "other")).alias("c")))
+    overlap = token_overlap(F.col("c.tokens"), F.col("tokens"))
+    return offered.filter("c is not null").join(named, ["scope_id", "older_seq"]).filter(
+        (F.col("c.sig") != F.col("sig")) & (F.col("c.seq") < F.col("stop_at"))
+        & (overlap >= MIN_OVERLAP)
+    ).groupBy("scope_id", "mem_type", F.col("older_seq").alias("seq")).agg(
+        F.min(F.struct("c.seq", overlap.alias("overlap"), "c.replaces")).alias("f")).select(
+        "scope_id", "mem_type", "seq", F.col("f.seq").alias("killer_seq"), "f.overlap",
+        "f.replaces")
+
+
+def _far_conflicts(
+    survivors: DataFrame, rows: DataFrame, block_rows: int, last_seq: int
+) -> DataFrame:
+    """First conflicts beyond the look-ahead: chunk first, then cells of doubling size."""
+    found = [materialize(_chunk_conflicts(survivors, rows, block_rows))]
+    half = block_rows
+    if half > last_seq:
+        return found[0]
+    left = materialize(_sized(survivors.join(
+        found[0].select("scope_id", "seq"), ["scope_id", "seq"], "left_anti").filter(
+        F.col("stop_at") > (F.floor(F.col("seq") / half) + 1) * half)))
+    # only groups that still have unsettled rows
+    rows = materialize(_sized(rows.join(
+        left.select(*_GROUP).distinct(), _GROUP, "left_semi")))
+    entries = materialize(_overlap_entries(rows))
+    while half <= last_seq:
+        cell = F.floor(F.col("seq") / half)
+        asking = left.withColumn("cell", cell + 1).filter(
+            (cell % 2 == 0) & (F.col("stop_at") > (cell + 1) * half))
+        hits = materialize(_cell_conflicts(
+            asking, rows.withColumn("cell", cell), entries.withColumn("cell", cell)))
+        found.append(hits)
+        left = materialize(left.join(
+            hits.select("scope_id", "seq"), ["scope_id", "seq"], "left_anti"))
+        half *= 2
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def first_successors(
     memories: DataFrame, settings: Settings = DEFAULTS,
     look_ahead: int = LOOK_AHEAD, block_rows: int = BLOCK_ROWS,
@@ -169,13 +279,10 @@ def first_successors(
     candidates = looked.filter(
         F.col("n_ahead").isNotNull() & F.col("near_seq").isNull()
         & (open_ended > F.col("seen_to")))
-    if (looked.agg(F.max("chunk")).first()[0] or 0) > 0:
-        # groups may go on past the chunk where the window stopped
-        last_chunk = looked.groupBy(*_GROUP).agg(F.max("chunk").alias("last_chunk"))
-        unsettled = candidates.join(last_chunk, _GROUP).filter(
-            (F.col("n_ahead") == look_ahead) | (F.col("last_chunk") > F.col("chunk")))
-    else:
-        unsettled = candidates.filter(F.col("n_ahead") == look_ahead)
+    # groups may go on past the chunk where the window stopped
+    last_chunk = looked.groupBy(*_GROUP).agg(F.max("chunk").alias("last_chunk"))
+    unsettled = materialize(candidates.join(last_chunk, _GROUP).filter(
+        (F.col("n_ahead") == look_ahead) | (F.col("last_chunk") > F.col("chunk"))))
     by_near = F.col("near_seq") < open_ended
     settled = looked.select(
         "scope_id", "mem_type", F.col("seq").alias("older_seq"),
@@ -184,17 +291,16 @@ def first_successors(
         F.when(by_near, F.col("overlap")).otherwise(1.0).alias("overlap"),
         F.coalesce(by_near & F.col("replaces"), F.lit(False)).alias("replaces"),
     ).filter("newer_seq is not null")
-    if unsettled.isEmpty():
+    last_seq = unsettled.agg(F.max((F.col("last_chunk") + 1) * block_rows - 1)).first()[0]
+    if last_seq is None:  # nothing unsettled, nothing to search
         return settled
 
     searched = unsettled.select("scope_id", "seq", "seen_to", open_ended.alias("stop_at")).join(
         rows, ["scope_id", "seq"])
-    far = _far_conflicts(searched, rows.filter("subject != ''"), block_rows).groupBy(
-        "scope_id", "mem_type", F.col("seq").alias("older_seq")
-    ).agg(F.min(F.struct("killer_seq", "overlap", "replaces")).alias("f")).select(
-        "scope_id", "mem_type", "older_seq", F.col("f.killer_seq").alias("newer_seq"),
-        F.lit("conflict").alias("kind"), F.col("f.overlap").alias("overlap"),
-        F.col("f.replaces").alias("replaces"))
+    far = _far_conflicts(searched, rows.filter("subject != ''"), block_rows, last_seq).select(
+        "scope_id", "mem_type", F.col("seq").alias("older_seq"),
+        F.col("killer_seq").alias("newer_seq"), F.lit("conflict").alias("kind"), "overlap",
+        "replaces")
     # a far conflict comes before the duplicate of the same memory, so it replaces it
     far = materialize(far)
     return settled.join(

@@ -86,6 +86,49 @@ def test_reconcile_equals_replay(spark, tail, tuning):
     assert {(r.scope_id, r.mem_id): r.status for r in current} == status
 
 
+def hot_subject(n, seed=0, tail=12, short_from=None):
+    """One subject of ``n`` texts that hardly match: mostly unique words, a few shared ones."""
+    rng = random.Random(seed)
+    rows = []
+    for seq in range(1, n + 1):
+        words = [f"u{seed}x{seq}y{i}" for i in range(tail - 4)] + [
+            f"w{rng.randrange(3 * n)}" for _ in range(4)]
+        if seq % 40 == 0:  # a text much like one long before
+            words = rows[rng.randrange(len(rows))][2].split()[2:8] + words[:6]
+        if short_from and seq >= short_from and seq % 9 == 0:
+            words = [f"s{seq % 2}"]
+        rows.append((0, seq, "ana lives " + " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("short_from", [None, 150])
+def test_far_conflicts_of_a_hot_subject(spark, short_from):
+    rows = hot_subject(260, short_from=short_from)
+    observed = spark.createDataFrame(rows, "scope_id long, seq long, content string").withColumns({
+        "obs_id": F.concat(F.lit("memory_observation#"), "seq"), "actor": F.lit("user"),
+        "source": F.lit("chat"), "occurred_at": F.lit(None).cast("timestamp")})
+    memories = groups.materialize(extract.extract_memories(observed))
+    _, changes = replay(memories.collect())
+    found = reconcile.reconcile(memories, look_ahead=2, block_rows=16).collect()
+    assert {(r.scope_id, r.older_id): (r.newer_seq, r.rel) for r in found} == changes
+    assert any(r.newer_seq - r.older_seq > 40 for r in found)
+
+
+def test_twice_the_hot_subject_at_most_twice_the_work(spark):
+    """Candidates and index entries of a subject whose texts do not match grow linearly."""
+    work = []
+    for n in (200, 400):
+        rows = spark.createDataFrame(
+            [(0, "memory_claim", s, "ana lives", t.split(), str(s)) for _, s, t in hot_subject(n, 1)],
+            "scope_id long, mem_type string, seq long, subject string, tokens array<string>, sig string")
+        sized = reconcile._sized(rows)
+        half = F.floor(F.col("seq") / (n // 2 + 1))
+        entries = groups.materialize(reconcile._overlap_entries(sized).withColumn("cell", half))
+        asking = sized.filter(half == 0).withColumn("cell", F.lit(1).cast("long"))
+        work.append((entries.count(), reconcile._sharing_pairs(asking, entries).count()))
+    assert work[1][0] <= 2.1 * work[0][0] and work[1][1] <= 2.5 * max(work[0][1], 20)
+
+
 def test_requests_equal_replay(spark):
     memories = groups.materialize(random_memories(spark, 60, seed=3))
     rows = memories.collect()
