@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoframe import constants as C
@@ -140,59 +140,103 @@ def entity_overlap(facts: DataFrame, edges: DataFrame, plans: DataFrame) -> Data
         0, subset=["n_shared"])
 
 
+# rows that one call compares, in as many keys as that takes
+ROWS_PER_CALL = 4096
+
+
 def _close_pairs(limit: float):
-    def compare(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["scope_id", "a", "b", "similarity"]
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=columns)
-        similarity = np.round(np.vstack(left["v"]) @ np.vstack(right["v"]).T, SCORE_DIGITS)
-        i, j = np.nonzero(similarity >= limit)
-        found = pd.DataFrame({
-            "scope_id": left["scope_id"].to_numpy()[i], "a": left["id"].to_numpy()[i],
-            "b": right["id"].to_numpy()[j], "similarity": similarity[i, j]})
-        return found[found["a"] < found["b"]]
+    """Pairs under the same key, each at the first key that both vectors have."""
+    keys = ["scope_id", "key", "i", "j"]
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(left) and len(right):
+            v, w = np.vstack(left["v"]), np.vstack(right["v"])
+            ids, others = left["id"].to_numpy(), right["id"].to_numpy()
+            prefixes, theirs = left["prefix"].to_numpy(), right["prefix"].to_numpy()
+            of_right = right.groupby(keys, sort=False).indices
+            for (scope, key, x, y), rows in left.groupby(keys, sort=False).indices.items():
+                cols = of_right.get((scope, key, x, y), ())
+                if not len(cols):
+                    continue
+                similarity = np.round(v[rows] @ w[cols].T, SCORE_DIGITS)
+                for m, n in zip(*np.nonzero(similarity >= limit)):
+                    a, b = ids[rows[m]], others[cols[n]]
+                    if a == b or (x == y and a > b):
+                        continue
+                    shared = set(theirs[cols[n]])
+                    if next(k for k in prefixes[rows[m]] if k in shared) == key:
+                        found.append((scope, min(a, b), max(a, b), similarity[m, n]))
+        return pd.DataFrame(found, columns=["scope_id", "a", "b", "similarity"])
 
     return compare
 
 
+def prefix_keys(vectors: DataFrame, limit: float) -> DataFrame:
+    """Add ``prefix``: the keys under which a vector can meet one of cosine >= ``limit``.
+
+    A key is a coordinate and its sign.  Coordinates are ordered by how few vectors of the
+    scope use them.  What follows the prefix has a norm below ``limit``, so it alone cannot
+    reach the limit with any unit vector (Cauchy-Schwarz); two vectors that do reach it share
+    a key of both prefixes.
+    """
+    entries = vectors.select("scope_id", "id", F.posexplode("v").alias("at", "w")).filter("w != 0")
+    used = entries.groupBy("scope_id", "at").agg(F.count("*").alias("n"))
+    rarest = Window.partitionBy("scope_id", "id").orderBy("n", "at")
+    following = rarest.rowsBetween(0, Window.unboundedFollowing)
+    # the slack covers rounding of the sums
+    kept = entries.join(used, ["scope_id", "at"]).withColumn(
+        "rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(following))
+    ).filter(F.col("rest") >= limit - 1e-6)
+    key = F.col("at") * 2 + (F.col("w") > 0).cast("int")
+    prefixes = kept.groupBy("scope_id", "id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("n", "at", key.alias("key")))), lambda e: e["key"]
+    ).alias("prefix"))
+    return vectors.join(prefixes, ["scope_id", "id"])
+
+
 def similar_concepts(
     concepts: DataFrame, threshold: float | None = None, block_rows: int = 2048
 ) -> DataFrame:
-    """same_entity_as pairs: concepts of a scope whose name vectors nearly agree.
+    """same_entity_as pairs: concepts of a scope whose name vectors nearly agree, each once.
 
-    Concepts with the very same vector are linked to the first of them only, never
-    to each other.  The distinct vectors are compared block against block, one
-    matrix product per pair of bounded blocks; only pairs above the threshold leave.
+    Concepts with the very same vector are linked to the first of them only, never to each
+    other.  Distinct vectors meet only under the keys of their prefixes; a key that many
+    vectors have is cut into blocks, and each pair of blocks is one bounded matrix product.
+    Vectors of zeros (names whose token hashes cancel) are like no other.
     """
     limit = DEFAULTS.concept_dedup_similarity if threshold is None else threshold
-    vectors = with_embedding(
+    # read by five branches below
+    vectors = materialize(with_embedding(
         concepts.select("scope_id", "concept_id", "normalized"), "normalized"
-    ).withColumn("v", F.transform("embedding", lambda x: F.round(x, 12)))
+    ).select("scope_id", "concept_id", F.transform("embedding", lambda x: F.round(x, 12)).alias("v"))
+        .filter(F.exists("v", lambda x: x != 0)))
     firsts = vectors.groupBy("scope_id", "v").agg(F.min("concept_id").alias("id"))
     same = vectors.join(firsts, ["scope_id", "v"]).filter("concept_id != id").select(
         "scope_id", F.col("id").alias("a"), F.col("concept_id").alias("b"),
         F.lit(1.0).alias("similarity"))
-    blocks = firsts.groupBy("scope_id").agg(
-        F.ceil(F.count("*") / block_rows).cast("int").alias("n_blocks"))
-    placed = firsts.join(blocks, "scope_id").withColumn(
+    met = materialize(prefix_keys(firsts, limit)).withColumn("key", F.explode("prefix"))
+    # a key that one vector has alone makes no pair
+    blocks = met.groupBy("scope_id", "key").agg(
+        F.count("*").alias("n"), F.ceil(F.count("*") / block_rows).cast("int").alias("n_blocks")
+    ).filter("n > 1")
+    placed = met.join(blocks, ["scope_id", "key"]).withColumn(
         "block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
     left = placed.select(
-        "scope_id", "id", "v", F.col("block").alias("i"),
+        "scope_id", "key", "id", "v", "prefix", F.col("block").alias("i"),
         F.explode(F.sequence("block", F.col("n_blocks") - 1)).alias("j"))
     right = placed.select(
-        "scope_id", "id", "v", F.explode(F.sequence(F.lit(0), "block")).alias("i"),
-        F.col("block").alias("j"))
+        "scope_id", "key", "id", "v", "prefix",
+        F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"))
+    # columns get new identities, because both sides come from the same rows
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
-    keys = ["scope_id", "i", "j"]
+    total = blocks.agg(F.sum(F.col("n") * F.col("n_blocks"))).first()[0] or 0
+    call = F.pmod(F.xxhash64("scope_id", "key", "i", "j"), F.lit(total // ROWS_PER_CALL + 1))
+    left, right = left.withColumn("call", call), right.withColumn("call", call)
     scope_type = dict(concepts.dtypes)["scope_id"]
-    # pairs inside a block meet once; across blocks the order of ids may be reversed
-    # columns get new identities, because both sides come from the same rows
-    forward = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        _close_pairs(limit), f"scope_id {scope_type}, a string, b string, similarity double")
-    across = left.filter("i < j").groupBy(*keys)
-    backward = right.filter("i < j").groupBy(*keys).cogroup(across).applyInPandas(
+    close = left.groupBy("call").cogroup(right.groupBy("call")).applyInPandas(
         _close_pairs(limit), f"scope_id {scope_type}, a string, b string, similarity double")
-    return same.unionByName(forward).unionByName(backward)
+    return same.unionByName(close)
 
 
 def merge_groups(pairs: DataFrame) -> DataFrame:
@@ -201,7 +245,8 @@ def merge_groups(pairs: DataFrame) -> DataFrame:
     Each round takes the smallest root among the neighbours, then the root of that root, so
     labels travel twice as far each time; the loop ends when nothing moves.
     """
-    edges = materialize(pairs.select("scope_id", "a", "b").unionByName(
+    pairs = materialize(pairs.select("scope_id", "a", "b"))
+    edges = materialize(pairs.unionByName(
         pairs.select("scope_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = edges.select("scope_id", F.col("a").alias("concept_id")).distinct().withColumn(
         "root", F.col("concept_id"))

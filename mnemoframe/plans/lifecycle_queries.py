@@ -8,6 +8,7 @@ from mnemoframe import constants as C
 from mnemoframe import schemas
 from mnemoframe.operators import concepts as concept_ops
 from mnemoframe.operators import enrich, extract, policy, reconcile, stats
+from mnemoframe.plans import oracle as O
 from mnemoframe.plans import views as V
 from mnemoframe.plans.catalog import query
 from mnemoframe.settings import DEFAULTS
@@ -334,8 +335,23 @@ def about_entity_edges(spark, d):
         "scope_id", "src_id", "dst_id")
 
 
-@query("C6")
+O.define("concept_nvec", O.embed_sql(
+    "(SELECT DISTINCT scope_id, normalized, 'memory_concept#' || md5(normalized) AS concept_id "
+    "FROM concept_mentions)", "scope_id, concept_id", "normalized"))
+O.define("concept_pairs", """
+SELECT x.scope_id, x.concept_id AS a, y.concept_id AS b
+FROM concept_nvec x JOIN concept_nvec y
+  ON x.scope_id = y.scope_id AND x.idx = y.idx AND x.concept_id <> y.concept_id
+GROUP BY ALL HAVING round(sum(x.w * y.w), 9) >= 0.92""")
+
+
+@query("C6", """
+SELECT scope_id, concept_id, min(root) AS root FROM (
+  WITH RECURSIVE reached(scope_id, concept_id, root) AS (
+    SELECT scope_id, a, a FROM concept_pairs
+    UNION SELECT r.scope_id, p.b, r.root FROM reached r
+    JOIN concept_pairs p ON p.scope_id = r.scope_id AND p.a = r.concept_id)
+  SELECT * FROM reached) GROUP BY ALL""")
 def concept_alias_groups(spark, d):
-    """Iterative label propagation; checked against brute force in the tests."""
     found = concept_ops.build_concepts(_memories(spark, d))
     return concept_ops.merge_groups(concept_ops.similar_concepts(found))

@@ -424,6 +424,26 @@ def test_alias_groups_equal_brute_force(spark):
     assert grouped == set(got)
 
 
+def test_prefixes_keep_every_close_pair(spark):
+    """Random vectors with near copies: every pair above the limit shares a key of both."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(40, 12)) * (rng.random((40, 12)) < 0.4)
+    near = base[rng.integers(0, 40, 60)] + 0.12 * rng.normal(size=(60, 12)) * (rng.random((60, 12)) < 0.5)
+    rows = np.vstack([base, near])
+    rows = rows[np.linalg.norm(rows, axis=1) > 0]
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    df = spark.createDataFrame(
+        [(1, f"c{i:03d}", [float(x) for x in v]) for i, v in enumerate(rows)],
+        "scope_id long, id string, v array<double>")
+    prefix = {r.id: r.prefix for r in concept_ops.prefix_keys(df, 0.92).collect()}
+    close = [(f"c{i:03d}", f"c{j:03d}") for i in range(len(rows)) for j in range(i)
+             if rows[i] @ rows[j] >= 0.92]
+    assert len(close) > 20 and all(set(prefix[a]) & set(prefix[b]) for a, b in close)
+    assert sum(map(len, prefix.values())) < 0.7 * (rows != 0).sum()
+
+
 def test_store_round_trip_and_fingerprints(spark, tmp_path):
     old = spark.createDataFrame([("r", "a", "done", 1.0)],
                                 "run_id string, question_id string, status string, updated_at double")
