@@ -16,6 +16,11 @@ from mnemoframe.operators.groups import materialize
 from mnemoframe.operators.retrieve import SCORE_DIGITS, vector_search, with_embedding
 from mnemoframe.settings import DEFAULTS, Settings
 
+# memory numbers of a scope that one cell of a concept spans
+CELL_ROWS = 4096
+# rows that one call compares, in as many keys as that takes
+ROWS_PER_CALL = 4096
+
 
 def provided_concepts(
     memories: DataFrame, extractor: Callable[[pd.Series, pd.Series], pd.Series],
@@ -116,12 +121,26 @@ def lookup_concepts(concepts: DataFrame, plans: DataFrame) -> DataFrame:
         "query_id", "scope_id", "concept_id").distinct()
 
 
+def meet_links(asked: DataFrame, links: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Join question rows with memory rows on (scope_id, concept_id), whatever its size.
+
+    ``links`` has ``seq``, so a concept that every memory of a scope names is cut into cells of
+    at most ``cell_rows`` numbers without counting it first; the question rows are repeated for
+    the cells that exist, which is one summary row per concept and cell.
+    """
+    key = ["scope_id", "concept_id"]
+    celled = links.withColumn("_cell", F.floor(F.col("seq") / cell_rows))
+    cells = celled.select(*key, "_cell").distinct()
+    cells = cells.select(*[F.col(c).alias(c) for c in cells.columns])
+    return asked.join(cells, key).join(celled, [*key, "_cell"]).drop("_cell")
+
+
 def facts_for_concepts(concept_hits: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct (query, fact) rows linked to the hit concepts."""
     links = edges.filter(F.col("rel") == "about_entity").select(
-        "scope_id", F.col("src_id").alias("mem_id"), F.col("dst_id").alias("concept_id"))
-    return concept_hits.join(links, ["scope_id", "concept_id"]).select(
-        "query_id", "scope_id", "mem_id").distinct()
+        "scope_id", F.col("src_id").alias("mem_id"), F.col("dst_id").alias("concept_id"), "seq")
+    hits = concept_hits.select("query_id", "scope_id", "concept_id")
+    return meet_links(hits, links).select("query_id", "scope_id", "mem_id").distinct()
 
 
 def entity_overlap(facts: DataFrame, edges: DataFrame, plans: DataFrame) -> DataFrame:
@@ -140,10 +159,6 @@ def entity_overlap(facts: DataFrame, edges: DataFrame, plans: DataFrame) -> Data
         0, subset=["n_shared"])
 
 
-# rows that one call compares, in as many keys as that takes
-ROWS_PER_CALL = 4096
-
-
 def _close_pairs(limit: float):
     """Pairs under the same key, each at the first key that both vectors have."""
     keys = ["scope_id", "key", "i", "j"]

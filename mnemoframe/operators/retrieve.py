@@ -156,6 +156,16 @@ def flat_retrieve(
     return top_k(blended, ["query_id"], [F.desc("score"), F.asc("mem_id")], limit)
 
 
+def blended_score(
+    keywords: Column, tokens: Column, embedding: Column, question_vector: Column
+) -> Column:
+    """max(keyword, 0.6 * vector) of one question and one memory with its distinct tokens."""
+    hits = F.size(F.array_intersect(keywords, tokens))
+    keyword = F.when(F.size(keywords) > 0, hits / F.size(keywords)).otherwise(0.0)
+    vector = F.round(cosine_similarity_arrow(embedding, question_vector), SCORE_DIGITS)
+    return F.greatest(keyword, VECTOR_WEIGHT * vector)
+
+
 def score_candidates(candidates: DataFrame, memories: DataFrame, plans: DataFrame) -> DataFrame:
     """max(keyword, 0.6 * vector) of given (query_id, mem_id) pairs; above 0 only."""
     stored = memories.select(
@@ -164,16 +174,12 @@ def score_candidates(candidates: DataFrame, memories: DataFrame, plans: DataFram
     asked = plans.select(
         "query_id", "scope_id", "keywords", "show_superseded",
         F.col("embedding").alias("question_vector"))
-    tokens = F.col("tokens")
-    hits = F.size(F.array_intersect("keywords", tokens))
-    keyword = F.when(F.size("keywords") > 0, hits / F.size("keywords")).otherwise(0.0)
-    vector = F.round(
-        cosine_similarity_arrow(F.col("embedding"), F.col("question_vector")), SCORE_DIGITS)
     return (
         candidates.join(stored, ["scope_id", "mem_id"]).join(asked, ["query_id", "scope_id"])
         .filter(~never_shown() & (
             F.coalesce(F.col("status") != C.SUPERSEDED, F.lit(True)) | F.col("show_superseded")))
-        .withColumn("score", F.greatest(keyword, VECTOR_WEIGHT * vector))
+        .withColumn("score", blended_score(
+            F.col("keywords"), F.col("tokens"), F.col("embedding"), F.col("question_vector")))
         .filter("score > 0")
         .drop("tokens", "embedding", "question_vector", "keywords", "show_superseded", "status")
     )

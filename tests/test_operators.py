@@ -444,6 +444,22 @@ def test_prefixes_keep_every_close_pair(spark):
     assert sum(map(len, prefix.values())) < 0.7 * (rows != 0).sum()
 
 
+def test_concept_on_every_fact_is_met_in_cells(spark):
+    links = spark.range(900).select(
+        F.lit(1).alias("scope_id"), F.concat(F.lit("m#"), "id").alias("mem_id"), F.col("id").alias("seq"),
+        F.when(F.col("id") % 9 == 0, F.concat(F.lit("c"), F.col("id") % 5)).otherwise("hot")
+        .alias("concept_id"))
+    asked = spark.createDataFrame(
+        [("q1", 1, "hot"), ("q2", 1, "hot"), ("q2", 1, "c3"), ("q3", 2, "hot")],
+        "query_id string, scope_id int, concept_id string")
+    plain = asked.join(links, ["scope_id", "concept_id"])
+    met = concept_ops.meet_links(asked, links, cell_rows=50)
+    columns = ["query_id", "concept_id", "mem_id", "seq"]
+    assert sorted(met.select(*columns).collect()) == sorted(plain.select(*columns).collect())
+    exchanged = met._jdf.queryExecution().toString()
+    assert "_cell" in exchanged
+
+
 def test_store_round_trip_and_fingerprints(spark, tmp_path):
     old = spark.createDataFrame([("r", "a", "done", 1.0)],
                                 "run_id string, question_id string, status string, updated_at double")
