@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from mnemoframe.operators import cache, runs, sample
@@ -19,8 +20,8 @@ def scratch(spark) -> str:
     return f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
-def _write_split(spark, d) -> str:
-    """Conversations as nested instances, one JSON object per line."""
+def _nested_split(spark, d):
+    """Conversations as nested instances."""
     turns = V.conversation_turns(spark, d)
     one = F.struct("role", "content", "has_answer")
     sessions = turns.groupBy("scope_id", "session_pos", "session_id", "session_date").agg(
@@ -29,8 +30,7 @@ def _write_split(spark, d) -> str:
         F.array_sort(F.collect_list(
             F.struct("session_pos", "session_id", "session_date", "turns"))).alias("s"))
     abstention = F.when(F.col("scope_id") % 10 == 3, "_abs").otherwise("")
-    path = scratch(spark)
-    nested.select(
+    return nested.select(
         F.concat(F.lit("c"), "scope_id", abstention).alias("question_id"),
         F.lit("single").alias("question_type"), F.lit("what?").alias("question"),
         F.col("scope_id").alias("answer"), F.lit("2023/06/01").alias("question_date"),
@@ -40,7 +40,36 @@ def _write_split(spark, d) -> str:
         F.transform("s.session_date", lambda x: F.coalesce(x, F.lit("")))
         .alias("haystack_dates"),
         F.col("s.turns").alias("haystack_sessions"),
-    ).write.json(path)
+    )
+
+
+def _write_split(spark, d) -> str:
+    """One JSON object per line."""
+    path = scratch(spark)
+    _nested_split(spark, d).write.json(path)
+    return path
+
+
+def _array_lines(batches):
+    """The rows of a task as the lines of one JSON array."""
+    begin = "["
+    for batch in batches:
+        yield pd.DataFrame({"value": [begin + batch["value"].iloc[0], *("," + batch["value"].iloc[1:])]})
+        begin = ","
+    yield pd.DataFrame({"value": ["]" if begin == "," else "[]"]})
+
+
+def _write_arrays(spark, d) -> str:
+    """One JSON array per file; session dates in all three forms, by session."""
+    nested = _nested_split(spark, d)
+    hour = F.lpad((F.ascii(F.substring("question_id", -1, 1)) % 24).cast("string"), 2, "0")
+    dates = F.transform(F.col("haystack_dates"), lambda x, i: F.when(
+        (x == "") | (i % 3 == 0), x).when(i % 3 == 1, F.concat(x, F.lit(" "), hour, F.lit(":05")))
+        .otherwise(F.concat(x, F.lit(" (Sat) "), hour, F.lit(":05"))))
+    rows = nested.withColumn("haystack_dates", dates)
+    path = scratch(spark)
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).mapInPandas(
+        _array_lines, "value string").write.text(path)
     return path
 
 
@@ -75,6 +104,21 @@ def nested_split_questions(spark, d):
         F.get("answer_session_ids", F.lit(0)).alias("answer_session"))
 
 
+@query("S1 S2", r"""
+SELECT 'c' || t.scope_id || CASE WHEN t.scope_id % 10 = 3 THEN '_abs' ELSE '' END AS scope_id,
+  t.turn_index % 4 AS turn_index, t.session_pos,
+  strftime(try_strptime(t.session_date, '%Y/%m/%d') + CASE WHEN t.session_pos % 3 > 0 THEN to_minutes(
+    5 + 60 * ((CASE WHEN t.scope_id % 10 = 3 THEN ascii('s') ELSE ascii(right(t.scope_id::VARCHAR, 1)) END) % 24)::INT)
+    ELSE to_minutes(0) END, '%Y-%m-%d %H:%M') AS at, md5(t.content) AS digest FROM conv_turns t""")
+def array_split_turns(spark, d):
+    """The split as JSON arrays, which are read by byte ranges."""
+    turns = conversations.turns(conversations.read_split(spark, _write_arrays(spark, d)))
+    return turns.select(
+        "scope_id", F.col("turn_index").cast("long").alias("turn_index"), "session_pos",
+        F.date_format(conversations.parse_session_date(F.col("session_date")), "yyyy-MM-dd HH:mm")
+        .alias("at"), F.md5("content").alias("digest"))
+
+
 @query("S3", """
 SELECT kind, count(*) AS n, count(DISTINCT content) AS n_texts, max(strftime(day, '%Y-%m-%d')) AS last_day,
   sum(required)::BIGINT AS n_required FROM (

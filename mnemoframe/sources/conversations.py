@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from mnemoframe import schemas
 from mnemoframe.operators.groups import number_in_group
+from mnemoframe.sources.json_array import read_array
 
 
 def read_split(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
     """Read nested instances: one JSON array per file, or one instance per line.
 
-    A JSON array is one unsplittable record, so large data should be stored as
-    JSON lines.
+    Either form is read by byte ranges, so one large file makes many tasks.
     """
-    reader = spark.read.schema(schemas.INSTANCE)
-    return reader.option("multiLine", not json_lines).json(path)
+    if json_lines:
+        return spark.read.schema(schemas.INSTANCE).json(path)
+    return read_array(spark, path, schemas.INSTANCE)
 
 
 def instances(nested: DataFrame) -> DataFrame:
