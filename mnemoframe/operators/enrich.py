@@ -9,34 +9,53 @@ from mnemoframe import constants as C
 from mnemoframe.functions.numeric import describe_quantities, quantity_matches
 from mnemoframe.functions.temporal import find_temporal_refs, resolve_mentions
 from mnemoframe.functions.text import strip
+from mnemoframe.operators.extract import extracted_type
+from mnemoframe.settings import Settings
 
 
-def _texts(observations: DataFrame, memories: DataFrame | None) -> DataFrame:
+def _texts(
+    observations: DataFrame, memories: DataFrame | None, extraction: Settings | None
+) -> DataFrame:
     """Each text that enrichment reads, with the rows it is the text of.
 
-    These are observations, claims and episodics.  A memory that repeats the text of its
-    observation shares its row here, so a text is searched once.  The anchor of a row is
-    occurred_at, else observed_at; claims carry neither.
+    These are observations, claims and episodics.  The anchor of a row is occurred_at, else
+    observed_at; claims carry neither.  With ``extraction`` the memories are those that
+    deterministic extraction makes: they follow from the observation's own row, so their
+    mentions are found there, together, and no text is shuffled.  Other memories are searched
+    as rows of their own.
     """
     def source(seq, src_id, src_type, anchor):
         return F.struct(
-            F.col(seq).alias("seq"), F.col(src_id).alias("src_id"),
-            src_type.alias("src_type"), anchor.alias("anchor"))
-
-    observed = observations.select("scope_id", "obs_id", "content", source(
-        "seq", "obs_id", F.lit(C.OBSERVATION), F.coalesce("occurred_at", "observed_at"))
-        .alias("source"))
+            seq.alias("seq"), src_id.alias("src_id"), src_type.alias("src_type"),
+            anchor.alias("anchor"))
+
+    observed = source(
+        F.col("seq"), F.col("obs_id"), F.lit(C.OBSERVATION),
+        F.coalesce("occurred_at", "observed_at"))
+    if extraction is not None:
+        text = strip(F.col("content"))
+        kind = extracted_type(text, extraction)
+        remembered = source(
+            F.col("seq"), F.concat_ws("#", kind, "seq"), kind,
+            F.when(kind == C.EPISODIC, F.col("occurred_at")))
+
+        def entry(content, *sources):
+            return F.struct(content.alias("content"), F.array(*sources).alias("sources"))
+
+        own = F.col("content")
+        texts = F.when(
+            kind.isNull() | (kind == C.PROCEDURAL), F.array(entry(own, observed))
+        ).when(text == own, F.array(entry(own, observed, remembered))).otherwise(
+            F.array(entry(own, observed), entry(text, remembered)))
+        return observations.select("scope_id", F.explode(texts).alias("t")).select(
+            "scope_id", "t.content", "t.sources")
+    alone = observations.select("scope_id", "content", F.array(observed).alias("sources"))
     if memories is None:
-        return observed.select("scope_id", "content", F.array("source").alias("sources"))
-    remembered = memories.filter(F.col("mem_type") != C.PROCEDURAL).select(
-        "scope_id", F.coalesce("obs_id", "mem_id").alias("obs_id"), "content",
-        source("seq", "mem_id", F.col("mem_type"), F.col("occurred_at")).alias("source"))
-    if observations.isStreaming:  # grouping would need a watermark; each row is its own text
-        return observed.unionByName(remembered).select(
-            "scope_id", "content", F.array("source").alias("sources"))
-    # a group is an observation and what was extracted from it
-    return observed.unionByName(remembered).groupBy("scope_id", "obs_id", "content").agg(
-        F.collect_list("source").alias("sources")).drop("obs_id")
+        return alone
+    return alone.unionByName(memories.filter(F.col("mem_type") != C.PROCEDURAL).select(
+        "scope_id", "content", F.array(source(
+            F.col("seq"), F.col("mem_id"), F.col("mem_type"), F.col("occurred_at"))
+        ).alias("sources")))
 
 
 def _per_source(mentions: DataFrame) -> DataFrame:
@@ -44,12 +63,15 @@ def _per_source(mentions: DataFrame) -> DataFrame:
         "*", "_source.*").drop("sources", "_source")
 
 
-def temporal_refs(observations: DataFrame, memories: DataFrame | None = None) -> DataFrame:
-    """One row per mention with its resolution."""
+def temporal_refs(
+    observations: DataFrame, memories: DataFrame | None = None,
+    extraction: Settings | None = None,
+) -> DataFrame:
+    """One row per mention with its resolution; see ``_texts`` for the sources."""
     mentioned = (
         # the outer form keeps Spark from adding a filter on the array, which would
         # evaluate the whole search a second time
-        _texts(observations, memories)
+        _texts(observations, memories, extraction)
         .select("scope_id", "sources",
                 F.posexplode_outer(find_temporal_refs(F.col("content"))).alias("pos", "m"))
         .filter("m is not null")
@@ -62,11 +84,12 @@ def temporal_refs(observations: DataFrame, memories: DataFrame | None = None) ->
 
 
 def quantities(
-    observations: DataFrame, memories: DataFrame | None = None, strict_units: bool = False
+    observations: DataFrame, memories: DataFrame | None = None, strict_units: bool = False,
+    extraction: Settings | None = None,
 ) -> DataFrame:
-    """One row per quantity mention with owner, property and summability."""
+    """One row per quantity mention with owner, property and summability; sources as above."""
     found = (
-        _texts(observations, memories).filter(F.col("content").rlike(r"\d"))
+        _texts(observations, memories, extraction).filter(F.col("content").rlike(r"\d"))
         .select("scope_id", "sources", "content",
                 F.posexplode_outer(quantity_matches(F.col("content"), strict_units))
                 .alias("pos", "m"))

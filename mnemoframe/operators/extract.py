@@ -61,6 +61,22 @@ def _typed(candidates: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
+def extracted_type(text: Column, settings: Settings = DEFAULTS) -> Column:
+    """Type of the memory that ``extract_memories`` makes of a stripped text; null if none."""
+    kind = classify_observation(text)
+    enabled = {
+        "procedural": (settings.enable_procedural_memory, C.PROCEDURAL),
+        "episodic": (settings.enable_episodic_memory, C.EPISODIC),
+        "semantic": (settings.enable_semantic_memory, C.CLAIM),
+    }
+    kept = DEFAULT_CONFIDENCE >= settings.extraction_confidence_threshold
+    out = F.lit(None).cast("string")
+    for name, (on, stored) in enabled.items():
+        if on and kept:
+            out = F.when(kind == name, stored).otherwise(out)
+    return F.when(text != "", out)
+
+
 def extract_memories(observations: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """One memory per non-blank observation, typed by its cues."""
     content = strip(F.col("content"))

@@ -13,6 +13,7 @@ from mnemoframe.operators.retrieve import vector_search
 from mnemoframe.plans import oracle as O
 from mnemoframe.plans import views as V
 from mnemoframe.plans.catalog import query
+from mnemoframe.settings import DEFAULTS
 
 
 @query("T1 T4 T14 T17", f"""
@@ -280,13 +281,13 @@ def _flat_refs(refs):
 @query("D1 D2 D3 D4 D5 D6 D7 D8", f"SELECT {_REF_COLUMNS} FROM refs_shipments")
 def temporal_refs_shipments(spark, d):
     observed = V.shipment_observations(spark, d)
-    return _flat_refs(enrich.temporal_refs(observed, extract.extract_memories(observed)))
+    return _flat_refs(enrich.temporal_refs(observed, extraction=DEFAULTS))
 
 
 @query("D8", f"SELECT {_REF_COLUMNS} FROM refs_orders")
 def temporal_refs_orders(spark, d):
     observed = V.order_observations(spark, d)
-    return _flat_refs(enrich.temporal_refs(observed, extract.extract_memories(observed)))
+    return _flat_refs(enrich.temporal_refs(observed, extraction=DEFAULTS))
 
 
 @query("D9", """
@@ -299,7 +300,7 @@ GROUP BY ALL""")
 def resolved_date_labels(spark, d):
     observed = V.shipment_observations(spark, d)
     return enrich.resolved_date_labels(
-        enrich.temporal_refs(observed, extract.extract_memories(observed)))
+        enrich.temporal_refs(observed, extraction=DEFAULTS))
 
 
 _QTY_COLUMNS = """scope_id, src_id, pos, raw_value, value, unit, exactness, owner, property,
@@ -316,7 +317,7 @@ def _flat_quantities(rows):
 @query("N1 N2 N3 N4 N5 N6 N7", f"SELECT {_QTY_COLUMNS} FROM qty_shipments")
 def quantities_shipments(spark, d):
     observed = V.shipment_observations(spark, d)
-    return _flat_quantities(enrich.quantities(observed, extract.extract_memories(observed)))
+    return _flat_quantities(enrich.quantities(observed, extraction=DEFAULTS))
 
 
 @query("N8", """
@@ -325,7 +326,7 @@ SELECT owner, property, unit, sum(CASE WHEN can_sum_exactly THEN value END) AS t
 FROM qty_shipments GROUP BY ALL""")
 def safe_sums(spark, d):
     observed = V.shipment_observations(spark, d)
-    return enrich.safe_sum(enrich.quantities(observed, extract.extract_memories(observed)))
+    return enrich.safe_sum(enrich.quantities(observed, extraction=DEFAULTS))
 
 
 @query("D8 N7 S9", """
@@ -334,10 +335,10 @@ SELECT rel, src_type, count(*) AS n FROM (
   UNION ALL SELECT 'has_quantity', src_type FROM qty_shipments) GROUP BY ALL""")
 def mention_edge_counts(spark, d):
     observed = V.shipment_observations(spark, d)
-    memories = extract.extract_memories(observed)
     edges = enrich.mention_edges(
-        enrich.temporal_refs(observed, memories), "has_temporal_ref"
-    ).unionByName(enrich.mention_edges(enrich.quantities(observed, memories), "has_quantity"))
+        enrich.temporal_refs(observed, extraction=DEFAULTS), "has_temporal_ref"
+    ).unionByName(enrich.mention_edges(
+        enrich.quantities(observed, extraction=DEFAULTS), "has_quantity"))
     return edges.groupBy("rel", "src_type").agg(F.count("*").alias("n"))
 
 

@@ -10,6 +10,7 @@ from mnemoframe.functions.text import estimate_tokens
 from mnemoframe.operators import concepts as concept_ops
 from mnemoframe.operators import enrich, extract, reconcile, retrieve
 from mnemoframe.operators.groups import materialize, number_in_group
+from mnemoframe.settings import DEFAULTS
 from mnemoframe.sources import conversations
 
 
@@ -211,8 +212,8 @@ class CustomerLifecycle:
         return materialize(retrieve.with_embedding(current, "content", tokens="tokens"))
 
     def relations(self, observations: DataFrame, memories: DataFrame) -> DataFrame:
-        refs = enrich.temporal_refs(observations, memories)
-        amounts = enrich.quantities(observations, memories)
+        refs = enrich.temporal_refs(observations, extraction=DEFAULTS)
+        amounts = enrich.quantities(observations, extraction=DEFAULTS)
         edges = (
             extract.provenance_edges(memories),
             enrich.mention_edges(refs, "has_temporal_ref"),

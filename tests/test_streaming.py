@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from mnemoframe.operators import groups, reconcile
+from mnemoframe.operators import enrich, extract, groups, reconcile
 from mnemoframe.settings import DEFAULTS
 from mnemoframe.streaming import ingest
 from mnemoframe.streaming.reconcile import Reconciler, current_records, start_reconcile
@@ -175,3 +175,45 @@ def test_streams_equal_batch(spark, tmp_path):
     assert sorted(got.filter("newer_seq is not null").select(*change).collect()) == sorted(
         wanted.collect())
     assert len({r.status for r in got.collect()}) >= 4
+
+
+TEXTS = ["  we met yesterday about $5k\n", "Always pay 20% by 2024-02-03", "", "   ", None,
+         "Tokyo Fund target is $3M-$5M, last month", "three days ago it had 40 customers "]
+
+
+def observed_texts(spark, texts):
+    return spark.createDataFrame(
+        [(i % 2, i, f"memory_observation#{i}", t) for i, t in enumerate(texts)],
+        "scope_id long, seq long, obs_id string, content string").withColumns({
+            "actor": F.lit("user"), "source": F.lit("chat"),
+            "occurred_at": F.lit("2024-03-05 10:00:00").cast("timestamp"),
+            "observed_at": F.lit("2024-03-06 10:00:00").cast("timestamp")})
+
+
+@pytest.mark.parametrize("settings", [
+    DEFAULTS, DEFAULTS.but(enable_episodic_memory=False),
+    DEFAULTS.but(extraction_confidence_threshold=0.9)])
+def test_mentions_of_a_row_equal_mentions_of_its_memories(spark, settings):
+    observed = groups.materialize(observed_texts(spark, TEXTS))
+    memories = extract.extract_memories(observed, settings)
+    for find in (enrich.temporal_refs, enrich.quantities):
+        apart = find(observed, memories).collect()
+        together = find(observed, extraction=settings).collect()
+        assert sorted(map(str, together)) == sorted(map(str, apart)) and together
+
+
+def test_a_batch_played_again_changes_nothing(spark, tmp_path):
+    observed = groups.materialize(observed_texts(spark, TEXTS * 3))
+    sink = ingest.IngestSink(str(tmp_path / "out"))
+    parts = [observed.filter(F.col("seq") % 3 == k) for k in range(3)]
+    for k, part in [*enumerate(parts), (1, parts[1]), (2, parts[2])]:
+        sink.take(part, k)
+    memories = extract.extract_memories(observed)
+    want = {
+        "memories": memories, "provenance": extract.provenance_edges(memories),
+        "temporal_refs": enrich.temporal_refs(observed, memories),
+        "quantities": enrich.quantities(observed, memories)}
+    for name, rows in want.items():
+        got = sink.table(spark, name)
+        assert {r.batch_id for r in got.select("batch_id").distinct().collect()} == {0, 1, 2}
+        assert sorted(map(str, got.drop("batch_id").collect())) == sorted(map(str, rows.collect()))
