@@ -210,6 +210,99 @@ def endpoint_violations(spark, d):
     return schemas.endpoint_violations(wrong).select("scope_id", "seq", "src_id", "dst_id", "rel")
 
 
+# a row that keeps all rules, and one value that breaks each
+_VALID = {
+    "confidence": 0.5, "status": "active", "mem_type": C.CLAIM, "mode": "deep", "memory_types": ["semantic"],
+    "exactness": "exact", "resolution_method": "unresolved", "outcome": "helpful",
+    "extraction_confidence_threshold": 0.0, "contradiction_confidence_threshold": 1.0,
+    "retrieval_limit": 1, "retrieval_mode_default": "standard", "action": "archive", "kind": "topic"}
+_BREAKS = {
+    "content_required": ("content", None), "confidence_range": ("confidence", 1.5),
+    "status_known": ("status", "gone"), "type_known": ("mem_type", "odd"),
+    "question_required": ("question", None), "mode_known": ("mode", "odd"),
+    "types_known": ("memory_types", ["semantic", "odd"]), "query_required": ("query_id", None),
+    "answer_required": ("answer", None), "raw_required": ("raw_value", None),
+    "exactness_known": ("exactness", "odd"), "text_required": ("text", None),
+    "method_known": ("resolution_method", "odd"), "sources_required": ("source_memory_ids", None),
+    "reason_required": ("reason", None), "outcome_known": ("outcome", "odd"),
+    "name_required": ("name", None), "extraction_range": ("extraction_confidence_threshold", -0.1),
+    "contradiction_range": ("contradiction_confidence_threshold", 1.1),
+    "limit_positive": ("retrieval_limit", 0), "target_required": ("mem_id", None),
+    "action_known": ("action", "odd"), "kind_known": ("kind", "odd")}
+
+
+def _rows_breaking_rules(orders, table):
+    """Per order one row of a table: by key it keeps all rules or breaks one of them."""
+    rules = list(schemas.CONSTRAINTS[table])
+    breaks = {}
+    for k, rule in enumerate(rules, 1):
+        column, bad = _BREAKS[rule]
+        if table == "policies" and rule == "mode_known":
+            column = "retrieval_mode_default"
+        breaks[column] = k, bad
+
+    def value(x, kind):
+        if isinstance(x, list):
+            return F.array(*[F.lit(i) for i in x])
+        return F.lit(x).cast(kind)
+
+    turn = F.col("o_orderkey") % (len(rules) + 1)
+    columns = []
+    for field in getattr(schemas, table.upper()).fields:
+        kind = field.dataType.simpleString()
+        good = _VALID.get(field.name, [] if kind.startswith("array") else None if kind.startswith("map") else "1")
+        out = F.array().cast(kind) if good == [] else value(good, kind)
+        if field.name in breaks:
+            k, bad = breaks[field.name]
+            out = F.when(turn == k, value(bad, kind)).otherwise(out)
+        columns.append(out.alias(field.name))
+    return orders.select("o_orderkey", *columns)
+
+
+@query("S8", f"""
+SELECT name, CASE k WHEN 0 THEN 0 ELSE 1 << (k - 1)::INT END AS mask, count(*) AS n,
+  sum(o_orderkey)::BIGINT AS keys
+FROM (SELECT name, o_orderkey, o_orderkey % (n_rules + 1) AS k FROM orders, (VALUES
+  {', '.join(f"('{t}', {len(r)})" for t, r in schemas.CONSTRAINTS.items())}) v(name, n_rules))
+GROUP BY ALL""")
+def constraint_masks(spark, d):
+    """Every rule of every table, each broken by some rows."""
+    orders = V.table(spark, d, "orders")
+    out = None
+    for name in schemas.CONSTRAINTS:
+        rows = _rows_breaking_rules(orders, name).select(
+            F.lit(name).alias("name"), "o_orderkey", schemas.rule_mask(name).alias("mask"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("name", "mask").agg(
+        F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+_RELATIONS = list(C.RELATION_ENDPOINTS)
+
+
+@query("S9", f"""
+SELECT rel, CASE WHEN rel = 'odd' THEN 1 WHEN v = 1 AND rel <> 'governed_by_policy' THEN 2
+  WHEN v = 2 THEN 4 WHEN v = 3 THEN CASE WHEN rel = 'governed_by_policy' THEN 4 ELSE 6 END
+  ELSE 0 END AS mask, count(*) AS n, sum(o_orderkey)::BIGINT AS keys
+FROM (SELECT o_orderkey, (o_orderkey // 15) % 4 AS v,
+  {O.listed([*_RELATIONS, 'odd'])}[1 + o_orderkey % 15] AS rel FROM orders) GROUP BY ALL""")
+def endpoint_masks(spark, d):
+    """All relations, each with right ends, a wrong source, a wrong target, or both."""
+    variant = F.floor(F.col("o_orderkey") / 15) % 4
+    rel = F.element_at(F.array(*[F.lit(r) for r in [*_RELATIONS, "odd"]]),
+                       (F.col("o_orderkey") % 15 + 1).cast("int"))
+    ends = {"src_type": F.lit("odd"), "dst_type": F.lit("odd")}
+    for name, (sources, targets) in C.RELATION_ENDPOINTS.items():
+        for column, types, wrong in (("src_type", sources or ("any",), (1, 3)),
+                                     ("dst_type", targets, (2, 3))):
+            ends[column] = F.when(
+                F.col("rel") == name, F.when(variant.isin(*wrong), "odd").otherwise(types[-1])
+            ).otherwise(ends[column])
+    edges = V.table(spark, d, "orders").withColumn("rel", rel).withColumns(ends)
+    return edges.groupBy("rel", schemas.endpoint_mask().alias("mask")).agg(
+        F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
 # ------------------------------------------------------------ measures over the edges
 
 

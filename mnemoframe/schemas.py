@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -205,18 +205,42 @@ def _broken(rule: str):
     return ~F.coalesce(F.expr(rule), F.lit(True))
 
 
+def rule_mask(table: str) -> Column:
+    """All rules of a table in one number: bit k is set where its rule k is broken."""
+    bits = [F.when(_broken(rule), F.lit(1 << k)).otherwise(F.lit(0))
+            for k, rule in enumerate(CONSTRAINTS[table].values())]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+
+def broken_rules(mask: Column, table: str) -> Column:
+    """Names of the rules whose bits are set, in the order of the rules."""
+    names = [F.when(mask.bitwiseAND(F.lit(1 << k)) != 0, F.lit(name))
+             for k, name in enumerate(CONSTRAINTS[table])]
+    return F.array_compact(F.array(*names))
+
+
 def check_rows(df: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
     """(valid rows, violations): a violation row carries the broken constraint."""
-    rules = CONSTRAINTS[table]
-    broken = F.array_compact(
-        F.array(*[F.when(_broken(r), F.lit(n)) for n, r in rules.items()])
-    )
-    checked = df.withColumn("_broken", broken)
-    valid = checked.filter(F.size("_broken") == 0).drop("_broken")
-    violations = checked.withColumn("constraint", F.explode("_broken")).drop("_broken")
+    checked = df.withColumn("_broken", rule_mask(table))
+    valid = checked.filter("_broken = 0").drop("_broken")
+    violations = checked.filter("_broken <> 0").withColumn(
+        "constraint", F.explode(broken_rules(F.col("_broken"), table))).drop("_broken")
     return valid, violations
 
 
+def observed_rows(df: DataFrame, table: str) -> tuple[DataFrame, Observation]:
+    """The valid rows, and an observation of all: ``n_rows`` and a count per broken rule.
+
+    The counts are there once the valid rows have been written; the table is read once.
+    """
+    seen = Observation(f"rules of {table}")
+    counts = [F.count_if(F.col("_broken").bitwiseAND(F.lit(1 << k)) != 0).alias(name)
+              for k, name in enumerate(CONSTRAINTS[table])]
+    checked = df.withColumn("_broken", rule_mask(table)).observe(
+        seen, F.count(F.lit(1)).alias("n_rows"), *counts)
+    return checked.filter("_broken = 0").drop("_broken"), seen
+
+
 def require_rows(df: DataFrame, table: str) -> DataFrame:
     """Fail the job on the first row that breaks a constraint."""
     bad = reduce(
@@ -226,27 +250,30 @@ def require_rows(df: DataFrame, table: str) -> DataFrame:
     return df.filter(F.coalesce(guard.cast("boolean"), F.lit(True)))
 
 
-def allowed_endpoints(spark: SparkSession) -> DataFrame:
-    """All allowed (relation, source type, target type) rows; '*' is any source."""
-    rows = [
-        (rel, src, dst)
-        for rel, (sources, targets) in C.RELATION_ENDPOINTS.items()
-        for src in (sources or ("*",))
-        for dst in targets
-    ]
-    return spark.createDataFrame(rows, "rel string, src_type string, dst_type string")
+UNKNOWN_RELATION, WRONG_SOURCE, WRONG_TARGET = 1, 2, 4
+
+
+def endpoint_mask() -> Column:
+    """Faults of an edge in one number: unknown relation, wrong source type, wrong target type.
+
+    A relation without source types takes any source.
+    """
+    def types(end: int) -> Column:
+        pairs = [(F.lit(rel), F.array(*[F.lit(t) for t in ends[end]]).cast("array<string>"))
+                 for rel, ends in C.RELATION_ENDPOINTS.items()]
+        return F.try_element_at(F.create_map(*[x for pair in pairs for x in pair]), F.col("rel"))
+
+    def wrong(end: int, column: str, bit: int) -> Column:
+        fits = F.coalesce(F.array_contains(types(end), F.col(column)), F.lit(False))
+        if end == 0:
+            fits = fits | (F.size(types(end)) == 0)
+        return F.when(~fits, F.lit(bit)).otherwise(F.lit(0))
+
+    known = F.coalesce(F.col("rel").isin(*C.RELATION_ENDPOINTS), F.lit(False))
+    return F.when(~known, F.lit(UNKNOWN_RELATION)).otherwise(
+        wrong(0, "src_type", WRONG_SOURCE).bitwiseOR(wrong(1, "dst_type", WRONG_TARGET)))
 
 
 def endpoint_violations(relations: DataFrame) -> DataFrame:
-    """Edges whose endpoint types are not allowed; the pair table is fixed and tiny."""
-    allowed = allowed_endpoints(relations.sparkSession)
-    checked_source = F.when(F.col("rel") == "governed_by_policy", F.lit("*")).otherwise(
-        F.col("src_type"))
-    return (
-        relations.withColumn("_src", checked_source)
-        .join(
-            F.broadcast(allowed.withColumnRenamed("src_type", "_src")),
-            ["rel", "_src", "dst_type"], "left_anti",
-        )
-        .drop("_src")
-    )
+    """Edges whose relation is unknown or whose endpoint types it does not allow."""
+    return relations.filter(endpoint_mask() != 0)

@@ -398,6 +398,19 @@ def test_constraints_and_required(spark):
         schemas.require_rows(rows, "memories").collect()
 
 
+def test_rules_are_counted_while_the_valid_rows_are_written(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("x", 0.5, "active", "memory_claim"), (None, 2.0, "gone", "other"), ("y", None, "gone", None)],
+        "content string, confidence double, status string, mem_type string")
+    valid, seen = schemas.observed_rows(rows, "memories")
+    valid.write.parquet(str(tmp_path / "valid"))
+    assert seen.get == {"n_rows": 3, "content_required": 1, "confidence_range": 1,
+                        "status_known": 2, "type_known": 1}
+    assert [r.content for r in spark.read.parquet(str(tmp_path / "valid")).collect()] == ["x"]
+    masks = [r[0] for r in rows.select(schemas.rule_mask("memories")).collect()]
+    assert masks == [0, 15, 4]
+
+
 def test_alias_groups_equal_brute_force(spark):
     stored, _ = embedded(spark, 30)
     concepts = retrieve.with_embedding(
