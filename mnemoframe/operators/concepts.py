@@ -13,6 +13,7 @@ from mnemoframe import constants as C
 from mnemoframe.functions.concepts import cap_concepts, deterministic_concepts
 from mnemoframe.functions.text import normalize_concept
 from mnemoframe.operators.groups import materialize
+from mnemoframe.operators.hooks import call_once
 from mnemoframe.operators.retrieve import SCORE_DIGITS, vector_search, with_embedding
 from mnemoframe.settings import DEFAULTS, Settings
 
@@ -23,13 +24,16 @@ ROWS_PER_CALL = 4096
 
 
 def provided_concepts(
-    memories: DataFrame, extractor: Callable[[pd.Series, pd.Series], pd.Series],
-    settings: Settings = DEFAULTS,
+    memories: DataFrame, extractor: Callable[[list, list], list],
+    settings: Settings = DEFAULTS, **options,
 ) -> DataFrame:
-    """Names from ``extractor(contents, types)``, capped and de-duplicated."""
-    call = F.pandas_udf(extractor, "array<string>")
-    names = call(F.col("content"), F.col("mem_type"))
-    return memories.withColumn("concepts", names).withColumn(
+    """Names from ``extractor(contents, types)``, capped and de-duplicated.
+
+    Equal (content, type) is one call; a memory whose call fails has no concepts.
+    """
+    called = call_once(
+        memories, ["content", "mem_type"], extractor, "array<string>", "concepts", **options)
+    return called.drop("failure").withColumn(
         "concepts", cap_concepts(F.col("concepts"), settings.max_concepts_per_memory))
 
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemoframe import constants as C
 from mnemoframe.functions.text import classify_observation, content_key, strip
 from mnemoframe.operators.groups import number_in_group
+from mnemoframe.operators.hooks import call_once
 from mnemoframe.settings import DEFAULTS, Settings
 
 DEFAULT_CONFIDENCE = 0.85
@@ -141,16 +141,18 @@ def extract_from_payload(
 
 
 def provider_payload(
-    observations: DataFrame, extractor: Callable[[pd.Series, pd.Series], pd.Series],
-    output: str = "payload",
+    observations: DataFrame, extractor: Callable[[list, list], list],
+    output: str = "payload", **options,
 ) -> DataFrame:
-    """Call ``extractor(contents, roles) -> JSON strings`` on Arrow batches.
+    """Add the JSON strings of ``extractor(contents, roles)``; null where the call failed.
 
-    Null marks a failed call; see ``cache.enrich_once`` for calling it only once per
-    distinct text.
+    Equal (content, role) is one call; see ``hooks`` for retries and ``cache.refresh`` for
+    keeping the answers.
     """
-    call = F.pandas_udf(extractor, "string")
-    return observations.withColumn(output, call(strip(F.col("content")), F.col("role")))
+    asked = observations.withColumn("_content", strip(F.col("content"))).withColumn(
+        "_role", F.coalesce(F.col("actor"), F.lit("")))
+    return call_once(asked, ["_content", "_role"], extractor, "string", output, **options).drop(
+        "_content", "_role", "failure")
 
 
 def extraction_namespace(

@@ -23,6 +23,7 @@ from mnemoframe.functions.text import (
 )
 from mnemoframe.functions.vectors import EMBED_DIM, cosine_similarity_arrow, hash_embedding
 from mnemoframe.operators.groups import top_k
+from mnemoframe.operators.hooks import call_once
 from mnemoframe.operators.scan import SCORE_DIGITS, best_of_tasks, distinct_tokens, never_shown
 from mnemoframe.settings import DEFAULTS, Settings
 
@@ -85,6 +86,37 @@ def with_embedding(
     return df.withColumn(name, embed(F.col(text)) if embed else hash_embedding(words, EMBED_DIM))
 
 
+def with_provided_embedding(
+    df: DataFrame, text: str, provider: Callable[[list], list], name: str = "embedding",
+    **options,
+) -> DataFrame:
+    """Add the vectors of ``provider(texts)``, each distinct text called once.
+
+    A text whose call fails has no vector: the keyword leg still finds it.
+    """
+    return call_once(df, [text], provider, "array<double>", name, **options).drop("failure")
+
+
+def controlled_hits(
+    controller: Callable[[DataFrame, DataFrame], DataFrame], memories: DataFrame,
+    plans: DataFrame, keep: int | None = None,
+) -> DataFrame:
+    """Hits that ``controller(plans, memories)`` chose: (query_id, ids array) in its order.
+
+    Only ids of memories of the question's scope that it may see count, each once; a question
+    for which nothing usable comes back has no hits.
+    """
+    returned = controller(plans, memories).select("query_id", "ids")
+    asked = plans.select("query_id", "scope_id", "types", "show_superseded")
+    named = returned.join(asked, "query_id").select(
+        "*", F.posexplode("ids").alias("_place", "mem_id"))
+    seen = memories.filter(~never_shown()).select("scope_id", "mem_id", "mem_type", "status")
+    offered = named.join(seen, ["scope_id", "mem_id"]).filter(
+        _visible_to("status", "show_superseded", "mem_type", "types")).groupBy(
+        "query_id", "mem_id").agg(F.min("_place").alias("rank"))
+    return keep_trusted(returned, offered, keep, empty_means_original=False)
+
+
 # ------------------------------------------------------------ visibility
 
 

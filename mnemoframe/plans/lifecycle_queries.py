@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from mnemoframe import constants as C
@@ -90,6 +92,48 @@ def extract_from_provider(spark, d):
         "scope_id", "mem_type", "content", "confidence")
 
 
+def refuses_announcements(contents, _):
+    """A stand-in extractor: one announced text in a call makes the whole call fail."""
+    if any("announced" in c for c in contents):
+        raise TimeoutError("no answer")
+    return [json.dumps({"memories": [
+        {"memory_type": "semantic", "content": c},
+        {"memory_type": "episodic", "content": "note " + c, "confidence": 0.9},
+        {"memory_type": "procedural", "content": "unsure " + c, "confidence": 0.1}]})
+        for c in contents]
+
+
+@query("U1 X2 X3 J10", """
+SELECT scope_id, mem_type, mem_type || '#' || seq AS mem_id, seq, md5(content) AS digest FROM (
+  SELECT scope_id, mem_type, confidence, row_number() OVER (PARTITION BY scope_id ORDER BY o.seq, pos) AS seq,
+    head || content AS content
+  FROM obs_orders o, (VALUES (0, 'memory_claim', '', 0.85), (1, 'episodic_memory', 'note ', 0.9),
+    (2, 'procedural_memory', 'unsure ', 0.1)) v(pos, mem_type, head, confidence)
+  WHERE NOT contains(content, 'announced')) WHERE confidence >= 0.65""")
+def extract_with_failing_provider(spark, d):
+    """Many observations per scope; rows the provider refuses give nothing."""
+    observed = extract.provider_payload(
+        V.order_observations(spark, d), refuses_announcements, batch_rows=16, attempts=2)
+    return extract.extract_from_payload(observed, "payload").select(
+        "scope_id", "mem_type", "mem_id", "seq", F.md5("content").alias("digest"))
+
+
+def names_of(contents, types):
+    """A stand-in concept extractor: names, repeats and blanks; claims only."""
+    if "procedural_memory" in types:
+        raise ValueError("rules have no names")
+    return [["Account", " account. ", "", c.split("priority ")[1].split(" ")[0]] for c in contents]
+
+
+@query("U4 T15 C1", """
+SELECT scope_id, name, count(*) AS mention_count FROM (
+  SELECT scope_id, unnest(['Account', split_part(split_part(content, 'priority ', 2), ' ', 1)]) AS name
+  FROM mem_orders WHERE mem_type <> 'procedural_memory') GROUP BY ALL""")
+def concepts_from_provider(spark, d):
+    named = concept_ops.provided_concepts(_memories(spark, d), names_of, attempts=1)
+    return concept_ops.build_concepts(named).select("scope_id", "name", "mention_count")
+
+
 # ------------------------------------------------------------ reconciliation
 
 

@@ -134,6 +134,53 @@ def reranked_documents(spark, d):
     return kept.select("query_id", "mem_id", F.col("rank").cast("long").alias("rank"))
 
 
+def length_vectors(texts):
+    """A stand-in embedding: refuses texts whose length ends in 7."""
+    if any(len(t) % 10 == 7 for t in texts):
+        raise ConnectionError("refused")
+    return [[float(len(t) % 7 + 1), float(len(t) % 5), 1.0] for t in texts]
+
+
+_LENGTHS = "[length(text) % 7 + 1, length(text) % 5, 1]::DOUBLE[]"
+
+
+@query("U2 K2", f"""
+SELECT 'b' || item_id AS query_id, 0 AS scope_id, 'memory_claim#' || doc_id AS mem_id,
+  round(list_cosine_similarity(q, v), 9) AS score
+FROM (SELECT item_id, {_LENGTHS} AS q FROM benchmark WHERE length(text) % 10 <> 7),
+  (SELECT doc_id, {_LENGTHS} AS v FROM documents WHERE length(text) % 10 <> 7 AND text <> '')
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, mem_id) <= 5""")
+def search_provided_vectors(spark, d):
+    """Texts the provider refuses have no vector, as questions and as memories."""
+    memories = retrieve.with_provided_embedding(
+        V.document_memories(spark, d), "content", length_vectors, attempts=1)
+    plans = retrieve.with_provided_embedding(
+        retrieve.plan_retrieval(V.benchmark_questions(spark, d)), "question", length_vectors, attempts=1)
+    return _scores(retrieve.vector_search(memories, plans, 5))
+
+
+def every_third(plans, memories):
+    """A stand-in controller: made-up ids, repeats, and nothing for some questions."""
+    number = F.substring("query_id", 2, 9).cast("int")
+    ids = F.array(F.lit("memory_claim#-1"), *[
+        F.concat(F.lit("memory_claim#"), x) for x in (number * 3, number + 1, number * 3)])
+    return plans.select("query_id", F.when(number % 4 == 0, F.array().cast("array<string>")).when(
+        number % 4 == 1, F.array(F.lit("odd"))).otherwise(ids).alias("ids"))
+
+
+@query("U5 J11", """
+SELECT query_id, mem_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM (
+  SELECT 'b' || item_id AS query_id, 'memory_claim#' || doc_id AS mem_id, min(place) AS place
+  FROM (SELECT item_id, unnest([item_id * 3, item_id + 1]) AS doc_id, unnest([1, 2]) AS place
+        FROM benchmark WHERE item_id % 4 > 1)
+  JOIN documents USING (doc_id) GROUP BY ALL)""")
+def controlled_documents(spark, d):
+    memories = V.document_memories(spark, d)
+    plans = retrieve.plan_retrieval(V.benchmark_questions(spark, d))
+    hits = retrieve.controlled_hits(every_third, memories, plans)
+    return hits.select("query_id", "mem_id", F.col("rank").cast("long").alias("rank"))
+
+
 @query("K12", """
 SELECT query_id, mem_id, used_tokens::BIGINT AS used_tokens FROM (
   SELECT f.query_id, f.mem_id, sum(length(m.content) // 4 + length(o.content) // 4)

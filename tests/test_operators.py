@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mnemoframe import schemas
-from mnemoframe.operators import agentic, cache, extract, groups, reconcile, retrieve, stats
+from mnemoframe.operators import agentic, cache, extract, groups, hooks, reconcile, retrieve, stats
 from mnemoframe.operators import concepts as concept_ops
 from mnemoframe.settings import DEFAULTS
 from mnemoframe.sources import conversations, fingerprint, store
@@ -364,6 +364,80 @@ def test_cache_keeps_empty_but_not_failed(spark, tmp_path):
     assert spark.read.parquet(path).count() == 1
 
 
+def test_refresh_opens_touched_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    texts = spark.range(600).select(F.concat(F.lit("t"), "id").alias("text")).withColumn(
+        "key", F.sha2("text", 256))
+    def provider(batch):
+        return batch.map(lambda t: None if t == "t13" else t.upper())
+
+    first = cache.refresh(spark, path, texts.filter("text < 't5'"), "text", provider)
+    assert first.filter("payload is null").count() == 1
+    few = texts.filter("text in ('t13', 't20', 't500', 't501')")
+    buckets = sorted(r[0] for r in few.select(F.substring("key", 1, 2)).collect())
+    read = cache.read_buckets(spark, path, buckets)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and len(buckets) <= 4
+    opened = {r[0].split("bucket=")[1][:2] for r in
+              read.select(F.input_file_name()).distinct().collect()}
+    assert opened <= set(buckets)
+    wanted = cache.wanted_texts(few, "text")
+    missing = {r.text for r in cache.misses(wanted, read).collect()}
+    assert missing == {"t13", "t500", "t501"}  # a failed call is not cached
+    words = cache.key_filter(wanted)
+    let_through = texts.filter(cache.maybe_in(words, F.col("key"))).count()
+    assert 4 <= let_through < 20
+    # the same key stored twice counts once, and compaction drops the repeat
+    texts.filter("text = 't20'").select("key", F.lit("T20").alias("payload"), F.substring(
+        "key", 1, 2).alias("bucket")).write.mode("append").partitionBy("bucket").parquet(path)
+    before = spark.read.parquet(path).count()
+    got = {r.text: r.payload for r in cache.refresh(spark, path, few, "text", provider).collect()}
+    assert got == {"t13": None, "t20": "T20", "t500": "T500", "t501": "T501"}
+    assert len(cache.compact(spark, path)) == 1
+    assert spark.read.parquet(path).count() == before + 2 - 1
+    assert cache.compact(spark, path) == []
+
+
+def test_provider_calls_are_bounded_retried_and_fail_by_row():
+    calls = []
+
+    def provider(texts):
+        calls.append(len(texts))
+        if "bad" in texts:
+            raise ValueError("no")
+        if len(calls) == 1:
+            raise TimeoutError("once")
+        return [None if t == "none" else t.upper() for t in texts]
+
+    found, why = hooks.results_of(
+        provider, [["a", "b", "none", "c", "bad", "d"]], batch_rows=3, attempts=2)
+    assert found == ["A", "B", None, "C", None, "D"]
+    assert why == [None, None, "no result", None, "ValueError: no", None]
+    assert max(calls) == 3 and calls == [3, 3, 3, 3, 1, 1, 1, 1]
+    assert hooks.results_of(lambda t: ["x"], [["a", "b"]], attempts=1)[0] == ["x", "x"]
+    assert hooks.results_of(lambda t: [], [["a"]])[1] == ["0 results for 1 rows"]
+
+
+def test_equal_inputs_are_one_call(spark, tmp_path):
+    log = tmp_path / "calls"
+    log.mkdir()
+    folder = str(log)
+
+    def provider(texts):
+        import os
+        import uuid
+
+        for t in texts:
+            open(os.path.join(folder, f"{t}-{uuid.uuid4().hex}"), "w").close()
+        return [f"{t}!" for t in texts]
+
+    df = spark.createDataFrame([("a",), ("a",), ("b",), (None,), ("a",)], "text string")
+    called = hooks.call_once(df, ["text"], provider, "string")
+    assert sorted(str(r.payload) for r in called.collect()) == ["None", "a!", "a!", "a!", "b!"]
+    called.count()
+    assert sorted(f.name[0] for f in log.iterdir()) == ["a", "b"]
+
+
 def test_exact_mcnemar(spark):
     pairs = [(0, 0), (1, 14), (27, 141), (14, 17), (29, 36), (3, 3), (0, 9)]
     df = spark.createDataFrame(pairs, "b long, c long")
