@@ -106,14 +106,17 @@ def rank_facts_customers(spark, d):
 
 
 @query("Q7", """
-SELECT g.query_id, count(*) AS n_gold, count(f.mem_id) AS n_found,
-  count(f.mem_id) / count(*) AS recall FROM gold_docs g
+SELECT g.query_id, count(*) AS n_gold, count(f.mem_id) AS n_found, count(f.mem_id) / count(*) AS recall,
+  round(count(f.mem_id) / any_value(n_retrieved), 9) AS precision
+FROM gold_docs g JOIN (
+  SELECT query_id, count(*) AS n_retrieved FROM docs_flat WHERE rank <= 5 GROUP BY ALL) per
+  ON per.query_id = g.query_id
 LEFT JOIN (SELECT * FROM docs_flat WHERE rank <= 5) f
-  ON f.query_id = g.query_id AND f.mem_id = g.mem_id GROUP BY ALL""")
+  ON f.query_id = g.query_id AND f.mem_id = g.mem_id GROUP BY g.query_id""")
 def recall_at_5_documents(spark, d):
     hits = retrieve.flat_retrieve(*_documents(spark, d))
     return stats.precision_recall_at_k(hits, V.gold_documents(spark, d), 5).select(
-        "query_id", "n_gold", "n_found", "recall")
+        "query_id", "n_gold", "n_found", "recall", F.round("precision", 9).alias("precision"))
 
 
 def reverse_by_length(question, candidates, keep):

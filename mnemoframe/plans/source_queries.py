@@ -194,17 +194,19 @@ def column_codec(spark, d):
 
 
 @query("S13", """
-SELECT question_id, question_type, is_abstention::INT AS is_abstention, hypothesis,
-  judge_correct::INT AS judge_correct FROM records WHERE run_id = 'flat' AND status = 'done'""")
+SELECT question_id, question_type, is_abstention::INT AS is_abstention, md5(question) AS question,
+  gold_answer, hypothesis, judge_correct::INT AS judge_correct, turn_hit::INT AS turn_hit,
+  session_hit::INT AS session_hit FROM records WHERE run_id = 'flat' AND status = 'done'""")
 def hypotheses_sink(spark, d):
+    """All nine written fields, read back."""
     path = scratch(spark)
     store.write_hypotheses(V.run_records(spark, d).filter("run_id = 'flat'"), path)
-    schema = ("question_id string, question_type string, is_abstention boolean, "
-              "hypothesis string, judge_correct boolean")
-    return spark.read.schema(schema).json(path).select(
-        "question_id", "question_type", F.col("is_abstention").cast("int")
-        .alias("is_abstention"), "hypothesis",
-        F.col("judge_correct").cast("int").alias("judge_correct"))
+    schema = ("question_id string, question_type string, is_abstention boolean, question string, "
+              "gold_answer string, hypothesis string, judge_correct boolean, turn_hit boolean, "
+              "session_hit boolean")
+    flags = ["is_abstention", "judge_correct", "turn_hit", "session_hit"]
+    return spark.read.schema(schema).json(path).withColumns(
+        {c: F.col(c).cast("int") for c in flags}).withColumn("question", F.md5("question"))
 
 
 @query("S14 G1", """

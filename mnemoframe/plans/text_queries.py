@@ -209,6 +209,10 @@ _NOTE = "CASE qt " + " ".join(
 SELECT doc_id, md5('Conversation history:' || chr(10) || text || chr(10) || chr(10)
     || 'Today''s date: ' || coalesce(CASE WHEN doc_id % 3 > 0 THEN '2023/05/0' || doc_id % 3 END, 'unknown')
     || chr(10) || 'Question: ' || source || chr(10) || 'Answer:') AS reader,
+  md5('Conversation history:' || chr(10) || text || chr(10) || chr(10) || 'Today''s date: '
+    || coalesce(CASE WHEN doc_id % 3 > 0 THEN '2023/05/0' || doc_id % 3 END, 'unknown') || chr(10)
+    || 'Question: ' || source || chr(10) || chr(10) || 'Reason step by step using the steps above, '
+    || 'then end with a single line ''ANSWER: <concise answer>''.') AS scaffolded,
   md5(CASE WHEN doc_id % 17 = 0 THEN {_filled(T.JUDGE_ABSTENTION)}
     WHEN qt = 'single-session-preference' THEN {_filled(T.JUDGE_PREFERENCE)}
     ELSE {_filled(T.JUDGE_DEFAULT, _NOTE)} END) AS judge
@@ -223,6 +227,8 @@ def request_texts(spark, d):
     return V.table(spark, d, "documents").select(
         "doc_id",
         F.md5(T.reader_request(F.col("text"), date, F.col("source"))).alias("reader"),
+        F.md5(T.reader_request(F.col("text"), date, F.col("source"), scaffolded=True))
+        .alias("scaffolded"),
         F.md5(T.judge_request(kind, F.col("doc_id") % 17 == 0, F.col("source"), F.col("lang"),
                               F.col("text"))).alias("judge"))
 
