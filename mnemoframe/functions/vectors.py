@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,23 @@ def cosine_similarity_arrow(a: Column, b: Column) -> Column:
     return similarity(a, b)
 
 
+# list elements that one step of array arithmetic takes
+ELEMENTS_AT_ONCE = 1 << 18
+
+
+def row_slices(lists: pa.Array, most: int = ELEMENTS_AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Runs of rows (first, number) of at most about ``most`` elements, one row at least."""
+    before = np.zeros(len(lists) + 1, dtype=np.int64)
+    np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False),
+              out=before[1:])
+    first = 0
+    while first < len(lists):
+        end = int(np.searchsorted(before, before[first] + most, side="right")) - 1
+        end = max(end, first + 1)
+        yield first, end - first
+        first = end
+
+
 def _md5_hash(token: str) -> int:
     return int.from_bytes(hashlib.md5(token.encode("utf-8")).digest()[:4], "big")
 
@@ -101,7 +119,8 @@ def hash_embedding(tokens: Column, dim: int = EMBED_DIM, hash_name: str = "md5")
 
     @F.arrow_udf("array<double>")
     def embed(batch: pa.Array) -> pa.Array:
-        matrix = hash_embed_batch(batch, dim, hash_name)
+        parts = [hash_embed_batch(batch.slice(*rows), dim, hash_name) for rows in row_slices(batch)]
+        matrix = np.concatenate(parts) if parts else np.zeros((0, dim))
         offsets = np.arange(len(batch) + 1, dtype=np.int32) * dim
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()))
 

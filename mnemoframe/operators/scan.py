@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from mnemoframe import constants as C
 from mnemoframe.functions.text import tokenize
+from mnemoframe.functions.vectors import row_slices
 from mnemoframe.operators.groups import stored
 
 # scores are rounded before ranking so that summation order never decides a tie
@@ -32,7 +33,7 @@ SCORE_DIGITS = 9
 # questions of a round: with vectors of 64 doubles and 20 keywords about 16 MB
 QUESTIONS_PER_ROUND = 16_384
 # (token, question) matches that are counted at once
-MATCHES_AT_ONCE = 4_000_000
+MATCHES_AT_ONCE = 500_000
 # rows waiting for the next cut of a running top-k
 PENDING_ROWS = 50_000
 
@@ -202,7 +203,10 @@ class Scan:
             zero_copy_only=False)
         ids = np.array(batch.column("mem_id").to_pylist(), dtype=str)
         if "tokens" in batch.schema.names and len(self.pack.keys):
-            self._keywords(batch.column("tokens"), scope, kind, superseded, ids)
+            for first, n in row_slices(batch.column("tokens")):
+                own = slice(first, first + n)
+                self._keywords(batch.column("tokens").slice(first, n), scope[own], kind[own],
+                               superseded[own], ids[own])
         if "embedding" in batch.schema.names and self.pack.groups:
             self._vectors(batch.column("embedding"), scope, kind, superseded, ids)
 
