@@ -3,11 +3,16 @@
 Base kinds: email, ip, card, phone, each leftmost and non-overlapping.  The patterns below
 match what the published ones match, but possessively and only where a run begins (or where
 the last match ended), so a long run without a match costs linear time.  Card numbers must
-pass Luhn, address parts are at most 255; what fails is dropped without a retry.  One more
-kind is added: iban, confirmed by mod 97.
+pass Luhn, address parts are at most 255; what fails is dropped without a retry.
+
+Added kinds: iban, confirmed by mod 97; local_phone, ten digits in the groups 3-3-4 without a
+country code; secret, 32 to 64 hexadecimal digits with letters and digits among them; routing,
+nine digits confirmed by the weights 3, 7, 1.
 
 Every span gets a score from 0 to 1: the kind's own, more if a word that names the kind is
-near.  Base spans are always reported; added ones from ``min_score`` on.
+near.  Base spans are always reported; added ones from ``min_score`` on.  An account number's
+checksum is proof enough; the other added kinds look like many other things and count only
+beside such a word.  Spans of different kinds may overlap.
 
 Positions are code points, end exclusive.  Null counts as empty.  Rows are returned one for
 one, whatever their ids.
@@ -21,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban")
+KINDS = (*BASE, "iban", "local_phone", "secret", "routing")
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -29,17 +34,25 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?:\x20[A-Z0-9]{4}){2,7}+(?:\x20[A-Z0-9]{1,3})?+"
             r"|[A-Z0-9]{11,30}+)(?![A-Za-z0-9])",
+    "local_phone": r"(?<![A-Za-z0-9(.+-])(?<!\+[0-9]{1,3}[\x20.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])"
+                   r"[0-9]{3}[\x20.-][0-9]{4}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])",
+    "routing": r"(?<![A-Za-z0-9.-])[0-9]{9}(?![A-Za-z0-9])",
 }
 # a text without any of these has no match; looked for first, as that costs little
 NEEDS = {"email": "@", "phone": "+"}
 # own score of a kind, and the words near a span that raise it
-SCORES = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8}
+SCORES = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8,
+          "local_phone": 0.6, "secret": 0.6, "routing": 0.6}
 CONTEXT = {
     "email": r"(?i)mail|contact|write to|correo|courriel|kontakt",
     "ip": r"(?i)\bip\b|address|server|host|adresse|direcci",
     "card": r"(?i)card|visa|credit|debit|payment|karte|carte|tarjeta",
     "phone": r"(?i)phone|call|tel|mobile|fax|anruf|appel|llam",
     "iban": r"(?i)iban|account|bank|transfer|konto|compte|cuenta",
+    "local_phone": r"(?i)phone|call|\btel\b|mobile|cell|fax|dial|text me|reach|contact|anruf|appel|llam",
+    "secret": r"(?i)token|secret|passw|api.?key|\bkey\b|credential|bearer|auth",
+    "routing": r"(?i)routing|\baba\b|\brtn\b|transit",
 }
 NEAR = 40
 BOOST = 0.2
@@ -75,6 +88,12 @@ def confirmed(kind: str, text: Column) -> Column:
         return F.length(_digits(text)).between(8, 15)
     if kind == "iban":
         return _mod97(text) == 1
+    if kind == "secret":
+        return text.rlike("[0-9]") & text.rlike("[A-Fa-f]")
+    if kind == "routing":
+        digit = lambda i: F.substring(text, i, 1).cast("int")
+        total = reduce(lambda a, b: a + b, [digit(i + 1) * (3, 7, 1)[i % 3] for i in range(9)])
+        return (total > 0) & (total % 10 == 0)
     return F.lit(True)
 
 
@@ -96,7 +115,7 @@ def _proposals(df: DataFrame, kind: str) -> DataFrame:
     return df.withColumn(f"{kind}_found", found)
 
 
-def _spans(kind: str) -> Column:
+def _spans(kind: str, boost: float) -> Column:
     """Confirmed spans of a kind, from its columns."""
     found, pieces, lengths, blocks = (
         F.col(f"{kind}_{c}") for c in ("found", "pieces", "lengths", "blocks"))
@@ -106,7 +125,7 @@ def _spans(kind: str) -> Column:
         near = F.concat_ws(
             " ", F.right(F.get(pieces, i), F.lit(NEAR)),
             F.left(F.get(pieces, i + 1), F.lit(NEAR)))
-        score = F.lit(SCORES[kind]) + F.when(near.rlike(CONTEXT[kind]), BOOST).otherwise(0.0)
+        score = F.lit(SCORES[kind]) + F.when(near.rlike(CONTEXT[kind]), boost).otherwise(0.0)
         return F.struct(
             F.lit(kind).alias("kind"), start.alias("start"),
             (start + F.length(match)).alias("end"), match.alias("text"), score.alias("score"),
@@ -116,10 +135,10 @@ def _spans(kind: str) -> Column:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-         min_score: float = 0.8) -> DataFrame:
-    """The id and one array of spans per kind: email, ip, card, phone, iban.
+         min_score: float = 0.8, boost: float = BOOST) -> DataFrame:
+    """The id and one array of spans per kind, in the order of ``KINDS``.
 
-    A span is a struct of kind, start, end, text, score.
+    A span is a struct of kind, start, end, text, score.  ``boost`` is what a word near it adds.
     """
     df = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -141,7 +160,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.sequence(F.lit(0), F.floor(F.size(c) / BLOCK).cast("int")),
         lambda b: F.aggregate(F.slice(c, b * BLOCK + 1, F.lit(BLOCK)), F.lit(0), lambda a, x: a + x))
     df = df.select(*columns, *[sums(F.col(f"{k}_lengths")).alias(f"{k}_blocks") for k in KINDS])
-    spans = {k: _spans(k) for k in KINDS}
+    spans = {k: _spans(k, boost) for k in KINDS}
     added = {k: F.filter(spans[k], lambda s: s["score"] >= min_score) for k in KINDS if k not in BASE}
     return df.select("doc_id", *[(spans | added)[k].alias(k) for k in KINDS])
 

@@ -16,6 +16,13 @@ BASE = {
 }
 IBAN = (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})"
         r"(?![A-Za-z0-9])")
+ADDED = {
+    "iban": IBAN,
+    "local_phone": r"(?<![A-Za-z0-9(.+-])(?<!\+\d[ .-])(?<!\+\d\d[ .-])(?<!\+\d\d\d[ .-])"
+                   r"(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])",
+    "routing": r"(?<![A-Za-z0-9.-])\d{9}(?![A-Za-z0-9])",
+}
 
 
 def holds(kind, text):
@@ -30,14 +37,26 @@ def holds(kind, text):
     if kind == "iban":
         bare = text.replace(" ", "")
         return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+    if kind == "secret":
+        return bool(re.search("[0-9]", text) and re.search("[A-Fa-f]", text))
+    if kind == "routing":
+        return any(digits) and sum(d * (3, 7, 1)[i % 3] for i, d in enumerate(digits)) % 10 == 0
     return True
 
 
 def spans(text):
-    out = []
-    for kind, pattern in (BASE | {"iban": IBAN}).items():
-        out.append([f"{kind}:{m.start()}:{m.end()}" for m in re.finditer(pattern, text or "")
-                    if holds(kind, m[0])])
+    out, text = [], text or ""
+    for kind, pattern in (BASE | ADDED).items():
+        found = list(re.finditer(pattern, text, re.A))
+        ends = [0, *(m.end() for m in found)]
+        starts = [*(m.start() for m in found), len(text)]
+        kept = []
+        for i, m in enumerate(found):
+            near = text[max(ends[i], m.start() - 40):m.start()] + " " + text[m.end():starts[i + 1]][:40]
+            certain = kind in BASE or kind == "iban" or re.search(pii.CONTEXT[kind], near)
+            if certain and holds(kind, m[0]):
+                kept.append(f"{kind}:{m.start()}:{m.end()}")
+        out.append(kept)
     return out
 
 
@@ -49,6 +68,11 @@ TEXTS = [
     "ñ😀 a@b.cd 😀 10.0.0.1 IBAN GB82 WEST 1234 5698 7654 32 and DE89370400440532013000, GB82WEST12345698765433",
     "a@b.co " * 700, "9" * 60_000, "a" * 60_000 + "@", "a@b" + ".c" * 30_000, "1." * 20_000, "+" * 30_000,
     "call +1 555 010 99 99 or mail: x@y.zz; card 4111111111111111",
+    "phone (743) 555-3824, 743-555-3825 or +1 743 555 3826; part 743.555.3827 1743 555 3828",
+    "order 743 555 3824 shipped " + "and more of the same " * 5 + "call 743 555 3829",
+    'token = "0123456789abcdef0123456789abcdef01234567" ' + "x " * 40 + "f" * 40 + " md5 " + "0a" * 16,
+    "secret " + "1" * 40 + " key " + "0A" * 32 + " key " + "0A" * 33 + " 0aA0" * 9,
+    "routing 021000021, 021000022 aba 000000000 and transit no. 11-021000021",
 ]
 
 
@@ -93,6 +117,19 @@ def test_context_raises_the_score(spark):
     assert score == {1: pytest.approx(0.8), 2: pytest.approx(0.6)}
 
 
+def test_context_decides_over_added_kinds(spark):
+    hexes = "0a1b" * 10
+    rows = spark.createDataFrame([
+        (1, f"Phone: (743) 555-3824. token = \"{hexes}\" routing 021000021"),
+        (2, f"Order (743) 555-3824. commit {hexes} item 021000021"),
+    ], "doc_id long, text string")
+    kinds = ("local_phone", "secret", "routing")
+    count = lambda found: {r["doc_id"]: [len(r[k]) for k in kinds] for r in found.collect()}
+    assert count(pii.find(rows)) == {1: [1, 1, 1], 2: [0, 0, 0]}
+    assert count(pii.find(rows, boost=0.0)) == {1: [0, 0, 0], 2: [0, 0, 0]}
+    assert count(pii.find(rows, min_score=0.6)) == {1: [1, 1, 1], 2: [1, 1, 1]}
+
+
 def test_plan_is_native(spark):
     plan = pii.find(documents(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
