@@ -123,3 +123,12 @@ def test_held_out_accuracy(spark, name, label, modulus, remainder, least):
         spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("held_out").collect()
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % modulus == remainder for r in rows)
     assert np.mean([r["predicted"] == r[label] for r in rows]) > least
+
+
+def test_ranking_ignores_the_order_of_rows(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    models = [quality.train(d, labels, F.lit(True)) for d in (
+        docs.coalesce(1).orderBy("doc_id"), docs.repartition(5, F.xxhash64("text")))]
+    assert (models[0].weights == models[1].weights).all()
+    assert models[0].threshold == models[1].threshold
