@@ -1,14 +1,17 @@
 """Main text of web pages by text-to-tag ratios.
 
 Events of the standard library's parser stream into lines, one per block of the page: its
-text, how much of it is link text, how many tags it holds, and where it lies.  Containers
-that name themselves navigation, header, footer, sidebar, notice, advert, form or comments
-(by tag, role, class or id), and scripts and styles, yield no line.  The text-to-tag ratio
-per line is smoothed by a Gaussian along the page; lines above the threshold form the content
-clusters.  Marks bound the lines that this is done on: those in <article> where there is one,
-else those in <main>, else all.  An <article> with a cluster is content up to its bounds
-whatever the length of its lines, unless they are mostly links, and one without is left out;
-of <main>, which may wrap other parts of the page, only the clusters are content.
+text, how much of it is link text, how many tags it holds, and where it lies.  Scripts, styles
+and hidden parts yield no line.  The text-to-tag ratio per line is smoothed by a Gaussian along
+the lines of its part of the page, and lines above a threshold form the content clusters.
+
+Marks weigh the lines.  Containers that name themselves navigation, header, footer, sidebar,
+notice, advert, form or comments (by tag, role, class or id) weigh nothing, or little where the
+page has an <article>.  There everything outside of it weighs little, the logarithm of a ratio
+counts, and the threshold is a small share of the page's highest value: an article's short lines
+and link lists stay, while no advert's length makes up for its mark.  Without an <article>, links
+count as no text and the threshold is the smaller of mean and standard deviation, over the lines
+in <main> if there are any.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 joined in page order by one space.  Null html gives an empty text, and so does a page
@@ -31,7 +34,9 @@ from mnemoframe.llm.rows import in_small_batches
 
 SIGMA = 2.0
 LINK_SHARE = 0.5
-MAIN = -1
+MAIN, ASIDE = -1, -2
+# where a page has an article: the weight of lines outside, and the share of the highest value
+OUTSIDE, SHARE = 0.02, 0.08
 
 # fixed values: element names of HTML, and the words by which pages name their parts
 BLOCKS = frozenset(
@@ -62,6 +67,9 @@ NAMES = frozenset(
 CONTENT_NAMES = frozenset("article post entry content story main".split())
 _NAME = re.compile(r"[a-z0-9]+")
 _CUT = re.compile(r"<[A-Za-z/!?]")
+# scripts, styles and comments as wholes; a comment without an end lasts to the end of the page
+_COMMENTS = re.compile(
+    r"<(script|style)\b[^>]*>.*?(?:</\1\b|\Z)|<!--(?:-?>|.*?(?:--!?>|\Z))", re.S | re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -72,7 +80,7 @@ def _set_aside(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
     for name, value in attributes:
         if not value:
             continue
-        if name == "role" and value.strip().lower() in ROLES or name == "hidden":
+        if name == "role" and value.strip().lower() in ROLES:
             return True
         if name in ("class", "id"):
             for single in value.split():
@@ -82,17 +90,23 @@ def _set_aside(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
     return False
 
 
+def _hidden(attributes: list[tuple[str, str | None]]) -> bool:
+    return any(name == "hidden" and (value or "").strip().lower() != "until-found"
+               for name, value in attributes)
+
+
 class PageLines(HTMLParser):
     """Collects lines: (text, characters outside links, characters in links, tags, part).
 
-    The part is the number of the outermost article, ``MAIN``, or 0 outside of both.
+    The part is the number of the outermost article, ``MAIN``, 0 outside of both, or ``ASIDE``
+    in a container that names itself as something other than content.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int, int]] = []
-        self.open: list[tuple[str, bool, int]] = []  # tag, set aside, part
-        self.aside, self.article, self.articles = False, 0, 0
+        self.open: list[tuple[str, bool, int, bool]] = []  # tag, set aside, part, hidden
+        self.aside, self.article, self.articles, self.hidden = False, 0, 0, False
         self.silent = self.link = 0
         self._fresh()
 
@@ -105,18 +119,17 @@ class PageLines(HTMLParser):
             text = " ".join("".join(self.pieces).split())
             if text:
                 linked = min(self.linked, len(text))
-                self.lines.append(
-                    (text, len(text) - linked, linked, max(self.tags, 1), self.article))
+                self.lines.append((text, len(text) - linked, linked, max(self.tags, 1),
+                                   ASIDE if self.aside else self.article))
         self._fresh()
 
     def _enter(self, tag: str, attributes: list) -> None:
         if tag in ("article", "main", "body") and not _set_aside(tag, attributes):
             # what a part before the article left open does not reach into it
-            left = [at for at, (name, aside, _) in enumerate(self.open) if aside and name in NO_ARTICLE]
+            left = [at for at, (name, aside, *_) in enumerate(self.open) if aside and name in NO_ARTICLE]
             if left:
                 del self.open[left[0]:]
-        above_aside, above_article = (self.open[-1][1], self.open[-1][2]) if self.open else (
-            False, 0)
+        _, above_aside, above_article, hidden = self.open[-1] if self.open else ("", False, 0, False)
         article = above_article
         if tag == "article" and article <= 0:
             self.articles += 1
@@ -124,8 +137,9 @@ class PageLines(HTMLParser):
         elif tag == "main" and not article:
             article = MAIN
         aside = above_aside or _set_aside(tag, attributes) or tag == "header" and not article
-        self.open.append((tag, aside, 0 if aside else article))
-        self.aside, self.article = aside, 0 if aside else article
+        _, self.aside, self.article, self.hidden = top = (
+            tag, aside, 0 if aside else article, hidden or _hidden(attributes))
+        self.open.append(top)
         self.link = 0
 
     def _leave(self, tag: str) -> None:
@@ -133,7 +147,8 @@ class PageLines(HTMLParser):
             if self.open[at][0] == tag:
                 del self.open[at:]
                 break
-        _, self.aside, self.article = self.open[-1] if self.open else ("", False, 0)
+        _, self.aside, self.article, self.hidden = (
+            self.open[-1] if self.open else ("", False, 0, False))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS or tag in CONTAINERS:
@@ -163,7 +178,7 @@ class PageLines(HTMLParser):
             self._leave(tag)
 
     def handle_data(self, data: str) -> None:
-        if self.aside or self.silent:
+        if self.hidden or self.silent:
             return
         self.pieces.append(data)
         if self.link:
@@ -183,24 +198,40 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return whole(ratios) / whole(np.ones(len(ratios)))
 
 
-def content_lines(lines: list[tuple[str, int, int, int, int]]) -> np.ndarray:
-    """Which lines are content: clusters of smoothed ratios over the threshold."""
+def line_values(lines: list[tuple[str, int, int, int, int]]) -> tuple[np.ndarray, float]:
+    """Smoothed and weighted ratio of every line, and the threshold for them."""
     own, linked, tags, part = (np.array([line[k] for line in lines]) for k in (1, 2, 3, 4))
-    bounded = part > 0 if (part > 0).any() else part == part.min()
-    ratios = smoothed((own / tags)[bounded])
-    threshold = min(ratios.mean(), ratios.std()) if len(ratios) > 1 else 0.0
-    linky = linked > LINK_SHARE * (own + linked)
-    clustered = np.zeros(len(lines), dtype=bool)
-    clustered[bounded] = ratios >= threshold
-    whole = np.isin(part, part[clustered & (part > 0)])
-    return (clustered | whole) & ~linky
+    marked = part > 0
+    if marked.any():
+        ratios = np.log1p(np.where(marked, own + linked, own) / tags)
+        weights = np.where(marked, 1.0, OUTSIDE)
+    else:
+        ratios = own / tags
+        weights = np.where(part == part[part != ASIDE].min(initial=0), 1.0, 0.0)
+    values = np.empty(len(lines))
+    for one in np.unique(part):
+        values[part == one] = smoothed(ratios[part == one])
+    values *= weights
+    if marked.any():
+        return values, SHARE * values.max()
+    inside = values[weights > 0]
+    return values, min(inside.mean(), inside.std()) if len(inside) > 1 else 0.0
+
+
+def content_lines(lines: list[tuple[str, int, int, int, int]]) -> np.ndarray:
+    """Which lines are content: clusters of values over the threshold.
+
+    On a page without an article, a line that is mostly links is none.
+    """
+    own, linked, part = (np.array([line[k] for line in lines]) for k in (1, 2, 4))
+    values, threshold = line_values(lines)
+    linky = (linked > LINK_SHARE * (own + linked)) & ~(part > 0).any()
+    return (values >= threshold) & (values > 0) & ~linky
 
 
 def _whole_markup(html: str) -> str:
-    """The page without a comment or tag that its end cuts off."""
-    comment = html.find("<!--", html.rfind("-->") + 1)
-    if comment >= 0:
-        html = html[:comment]
+    """The page without comments, and without a comment or tag that its end cuts off."""
+    html = _COMMENTS.sub(lambda m: m[0] if m[1] else "", html)
     tag = html.rfind("<")
     return html[:tag] if tag > html.rfind(">") and _CUT.match(html, tag) else html
 
