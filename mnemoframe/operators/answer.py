@@ -27,6 +27,8 @@ def answers(
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """One answer per result; a first result with gaps is left to the fallback."""
+    if not settings.enable_answer_generation:
+        results = results.filter(F.lit(False))
     if settings.enable_fallback_retrieval:
         results = results.filter(F.col("is_fallback") | (F.size("missing_data") == 0))
     base = results.withColumn("result_id", retrieval_id())
@@ -244,34 +246,39 @@ def cut_context(df: DataFrame, text: str, max_tokens: int) -> DataFrame:
             F.slice("_lines", 1, head),
             F.slice("_lines", n - tail + 1, tail)), "\n")
 
-    # lengths of both ends as running sums, so that each r is tested in constant time
-    def running(items: Column) -> Column:
-        return F.aggregate(
-            items, F.array(F.lit(0)),
-            lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))))
+    # lines in the order in which they are kept: first, last, second, last but one, ...  Their
+    # lengths grow the text, so a running total that stops at the budget gives r, in one pass
+    # without an array that grows
+    def kept(i: Column) -> Column:
+        half = F.floor(i / 2).cast("int")
+        return F.get("_lines", F.when(i % 2 == 0, half).otherwise(n - 1 - half))
 
-    fits = lambda r: F.floor((
-        F.get("_head", F.ceil(r / 2).cast("int")) + F.get("_tail", F.floor(r / 2).cast("int"))
-        + F.greatest(r - 1, F.lit(0))) / 4) <= max_tokens
     whole = F.floor(F.length(text) / 4) <= max_tokens
-    measured = df.withColumn("_lines", lines).withColumns({
-        "_head": F.when(~whole, running(F.col("_lines"))),
-        "_tail": F.when(~whole, running(F.reverse("_lines"))),
-    })
-    best = F.array_max(F.filter(F.sequence(F.lit(0), n), fits))
+    measured = df.withColumn("_lines", lines)
+    start = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).alias("r"), F.lit(True).alias("fits"))
+
+    def take(acc: Column, i: Column) -> Column:
+        size = acc["size"] + F.length(kept(i)) + F.when(i > 0, 1).otherwise(0)
+        fits = acc["fits"] & (F.floor(size / 4) <= max_tokens)
+        return F.struct(size.alias("size"), F.when(fits, i + 1).otherwise(acc["r"]).alias("r"),
+                        fits.alias("fits"))
+
+    best = F.aggregate(F.sequence(F.lit(0), n - 1), start, take, lambda acc: acc["r"])
     cut = measured.withColumn("_r", F.when(whole, n).otherwise(best))
     return cut.withColumns({
         "truncated": ~whole,
         "cut_text": F.when(whole, F.col(text)).otherwise(outer(F.col("_r"))),
         "kept_lines": F.col("_r"),
-    }).drop("_lines", "_head", "_tail", "_r")
+    }).drop("_lines", "_r")
 
 
 # ------------------------------------------------------------ evaluation
 
 
-def evaluations(answer_rows: DataFrame) -> DataFrame:
+def evaluations(answer_rows: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Conservative baseline outcome of every answer."""
+    if not settings.enable_memory_evaluation:
+        answer_rows = answer_rows.filter(F.lit(False))
     outcome = (
         F.when(F.size("used_ids") == 0, "unsupported")
         .when(F.size("missing_data") > 0, "partially_helpful")
