@@ -48,10 +48,12 @@ def _column_or(df: DataFrame, name: str, default: Column) -> Column:
 
 
 def plan_retrieval(queries: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Keywords, mode, types and required data of every non-blank question."""
+    """Keywords, mode, types and required data of every non-blank question; no row where
+    planning is turned off."""
     no_names = F.array().cast("array<string>")
     question = strip(F.col("question"))
-    planned = queries.withColumn("question", question).filter(F.col("question") != "")
+    planned = queries.withColumn("question", question).filter(
+        (F.col("question") != "") & F.lit(settings.enable_retrieval_planning))
     mode = query_mode(F.col("question"))
     if "mode" in queries.columns:
         mode = F.coalesce(F.nullif(F.col("mode"), F.lit("")), mode)

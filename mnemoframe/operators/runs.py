@@ -7,7 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemoframe.functions.text import gold_coverage, shorten
+from mnemoframe.functions.text import (
+    estimate_tokens,
+    gold_coverage,
+    shorten,
+    verdict_is_yes,
+)
 from mnemoframe.operators.groups import top_k
 
 OVERALL = "OVERALL"
@@ -25,6 +30,32 @@ def _true(name: str) -> Column:
 # ------------------------------------------------------------ one run
 
 
+def evaluated_records(
+    run_id: str, questions: DataFrame, scores: DataFrame, contexts: DataFrame, read: DataFrame
+) -> DataFrame:
+    """The run records of one evaluation loop, one row per question.
+
+    ``questions``: query_id, question_type, is_abstention; ``scores``: the retrieval scores;
+    ``contexts``: query_id, context.  ``read`` has a row per question that a reader answered:
+    query_id, hypothesis, judge_text (null if no judge saw it), reader_total_tokens,
+    judge_total_tokens.  A question without such a row is an error.
+    """
+    scored = scores.drop("is_abstention")
+    context = contexts.select(
+        "query_id", F.col("context").alias("assembled_context"),
+        estimate_tokens(F.col("context")).alias("context_tokens"))
+    judged = read.select(
+        "query_id", "hypothesis",
+        F.when(F.col("judge_text").isNotNull(), verdict_is_yes(F.col("judge_text")))
+        .alias("judge_correct"),
+        "reader_total_tokens", "judge_total_tokens", F.lit("done").alias("status"))
+    return (
+        questions.join(scored, "query_id", "left").join(context, "query_id", "left")
+        .join(judged, "query_id", "left")
+        .withColumns({"run_id": F.lit(run_id), "status": F.coalesce("status", F.lit("error"))})
+        .withColumnRenamed("query_id", "question_id"))
+
+
 def metrics(records: DataFrame, by: tuple[str, ...] = ("run_id",)) -> DataFrame:
     """Accuracy, recall, hit rates, errors and tokens, in one pass per run."""
     done = F.col("status") == "done"

@@ -180,9 +180,11 @@ def edge_precision(edges: DataFrame, gold_pairs: DataFrame) -> DataFrame:
         (1 - F.count("right") / F.count("*")).alias("false_positive_rate"))
 
 
-def extraction_rate(gold: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    """Share of gold mentions that were extracted."""
+def extraction_rate(
+    gold: DataFrame, found: DataFrame, keys: list[str], by: list[str] | None = None
+) -> DataFrame:
+    """Share of gold mentions that were extracted; ``by`` names keys to report apart."""
     seen = found.select(*keys).distinct().withColumn("seen", F.lit(1))
-    return gold.select(*keys).distinct().join(seen, keys, "left").agg(
+    return gold.select(*keys).distinct().join(seen, keys, "left").groupBy(*(by or [])).agg(
         F.count("*").alias("n_gold"), F.count("seen").alias("n_found"),
         (F.count("seen") / F.count("*")).alias("rate"))

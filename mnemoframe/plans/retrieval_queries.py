@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mnemoframe.operators import agentic, answer, enrich, extract, retrieve, stats
+from mnemoframe.operators import (
+    agentic,
+    answer,
+    enrich,
+    extract,
+    reconcile,
+    retrieve,
+    runs,
+    stats,
+    strategies,
+)
 from mnemoframe.operators import concepts as concept_ops
 from mnemoframe.plans import oracle as O
 from mnemoframe.plans import views as V
@@ -219,32 +229,37 @@ FROM {plans} p LEFT JOIN (
 
 
 _results_sql("res_first", "plan_customers", "cust_flat", "f.rank")
-O.define("fb_plans", """
+def _fallback_sql(p: str, first: str, second: str) -> None:
+    """The second results that follow the first ones, over tables with prefix p."""
+    O.define(p + "fb_plans", f"""
 SELECT query_id, scope_id, ids AS previous, missing AS required, question || ' ' || array_to_string(
   list_transform(missing, lambda r: CASE r WHEN 'numeric_value' THEN 'amount number target size reserves'
     WHEN 'temporal_value' THEN 'date when year' ELSE r END), ' ') AS question,
   true AS show_superseded
-FROM res_first WHERE len(missing) > 0""")
-O.define("fb_kws", f"""
+FROM {first} WHERE len(missing) > 0""")
+    O.define(p + "fb_kws", f"""
 SELECT query_id, scope_id, len(kw) AS n_kw, unnest(kw) AS tok
-FROM (SELECT *, {O.keywords('question')} AS kw FROM fb_plans)""")
-O.define("fb_hits", """
+FROM (SELECT *, {O.keywords('question')} AS kw FROM {p}fb_plans)""")
+    O.define(p + "fb_hits", f"""
 SELECT * FROM (
   SELECT p.query_id, p.scope_id, m.mem_id, count(*)::DOUBLE / any_value(n_kw) AS score
-  FROM fb_kws p JOIN cust_toks m ON m.scope_id = p.scope_id AND m.tok = p.tok
+  FROM {p}fb_kws p JOIN cust_toks m ON m.scope_id = p.scope_id AND m.tok = p.tok
   WHERE m.status NOT IN ('archived', 'deleted') GROUP BY ALL)
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, mem_id) <= 20""")
-O.define("fb_combined", """
+    O.define(p + "fb_combined", f"""
 SELECT query_id, scope_id, mem_id, row_number() OVER (PARTITION BY query_id ORDER BY part, k) AS rank
 FROM (
   SELECT query_id, scope_id, unnest(previous) AS mem_id, 0 AS part, generate_subscripts(previous, 1) AS k
-  FROM fb_plans
+  FROM {p}fb_plans
   UNION ALL
   SELECT h.query_id, h.scope_id, h.mem_id, 1, row_number() OVER (
     PARTITION BY h.query_id ORDER BY h.score DESC, h.mem_id)
-  FROM fb_hits h JOIN fb_plans p ON p.query_id = h.query_id
+  FROM {p}fb_hits h JOIN {p}fb_plans p ON p.query_id = h.query_id
   WHERE NOT list_contains(p.previous, h.mem_id))""")
-_results_sql("res_second", "fb_plans", "fb_combined", "f.rank")
+    _results_sql(second, f"{p}fb_plans", f"{p}fb_combined", "f.rank")
+
+
+_fallback_sql("", "res_first", "res_second")
 
 
 class _Customers:
@@ -303,23 +318,27 @@ def retrieved_for_edges(spark, d):
 
 # ------------------------------------------------------------ answers
 
-O.define("answered", """
-SELECT *, false AS fb, query_id || '/memory_retrieval_result#1' AS result_id FROM res_first WHERE len(missing) = 0
-UNION ALL SELECT *, true, query_id || '/memory_retrieval_result#2' FROM res_second""")
-O.define("answer_rows", """
+def _answers_sql(p: str, first: str, second: str) -> None:
+    O.define(p + "answered", f"""
+SELECT *, false AS fb, query_id || '/memory_retrieval_result#1' AS result_id FROM {first} WHERE len(missing) = 0
+UNION ALL SELECT *, true, query_id || '/memory_retrieval_result#2' FROM {second}""")
+    O.define(p + "answer_rows", f"""
 SELECT a.query_id, a.scope_id, a.result_id, a.fb, a.ids, a.missing,
   CASE WHEN len(a.ids) = 0 THEN 'I don''t have any stored memory that answers this question.'
     ELSE concat_ws(' ', 'Style preferences: ' || p.rules, p.facts,
       CASE WHEN len(a.missing) > 0 THEN '(Missing: ' || array_to_string(a.missing, ', ') || '.)' END)
   END AS answer
-FROM answered a LEFT JOIN (
+FROM {p}answered a LEFT JOIN (
   SELECT u.result_id, string_agg(CASE WHEN m.mem_type = 'procedural_memory' THEN m.content END, ' ' ORDER BY k) AS rules,
     string_agg(CASE WHEN m.mem_type <> 'procedural_memory' THEN m.content END, ' ' ORDER BY k) AS facts
-  FROM (SELECT result_id, scope_id, unnest(ids) AS mem_id, generate_subscripts(ids, 1) AS k FROM answered) u
+  FROM (SELECT result_id, scope_id, unnest(ids) AS mem_id, generate_subscripts(ids, 1) AS k FROM {p}answered) u
   JOIN mem_status m ON m.scope_id = u.scope_id AND m.mem_id = u.mem_id GROUP BY ALL) p
   ON p.result_id = a.result_id""")
 
 
+_answers_sql("", "res_first", "res_second")
+
+
 @query("A1 A2", """
 SELECT query_id, result_id || '/memory_answer' AS answer_id, answer, array_to_string(ids, ',') AS used,
   array_to_string([replace(replace(replace(i, 'memory_claim', 'memory_observation'),
@@ -397,6 +416,16 @@ class _ConversationContext:
         self.turns = V.materialize(
             answer.context_turns(ids, self.relations, self.observations))
 
+    def questions(self):
+        return self.plans.select(
+            "query_id", F.concat(F.lit("t"), F.col("scope_id") % 3).alias("question_type"),
+            (F.col("scope_id") % 10 == 3).alias("is_abstention"))
+
+    def scores(self, spark, d):
+        gold = V.conversation_turns(spark, d).filter("has_answer").select(
+            F.col("scope_id").cast("string").alias("query_id"), "session_id", "turn_index")
+        return answer.score_retrieval(self.questions(), gold, gold, self.turns)
+
     def context(self):
         shown = answer.shown_observations(self.turns, self.observations)
         labels = enrich.resolved_date_labels(enrich.temporal_refs(self.observations))
@@ -421,7 +450,7 @@ JOIN mem_conv m ON m.scope_id = t.scope_id AND m.mem_id = t.mem_id
 JOIN obs_conversations o ON o.scope_id = m.scope_id AND o.seq = m.seq""")
 
 
-@query("J5 A8", """
+O.define("conv_scores", """
 SELECT q.query_id,
   CASE WHEN t.n > 0 THEN t.found / t.n END AS turn_recall, (t.found = t.n)::INT AS turn_hit,
   CASE WHEN s.n > 0 THEN s.found / s.n END AS session_recall, (s.found = s.n)::INT AS session_hit,
@@ -436,15 +465,12 @@ LEFT JOIN (
   LEFT JOIN (SELECT DISTINCT scope_id, session_id FROM conv_seen) c
     ON c.scope_id = g.scope_id AND c.session_id = g.session_id GROUP BY ALL) s
   ON s.scope_id = q.scope_id""")
+
+
+@query("J5 A8", "SELECT * FROM conv_scores")
 def retrieval_scores_conversations(spark, d):
     """Gold is turn 1; every tenth conversation counts as an abstention question."""
-    stage = _ConversationContext(spark, d)
-    gold = V.conversation_turns(spark, d).filter("has_answer").select(
-        F.col("scope_id").cast("string").alias("query_id"), "session_id", "turn_index")
-    questions = stage.plans.select(
-        "query_id", (F.col("scope_id") % 10 == 3).alias("is_abstention"))
-    scored = answer.score_retrieval(questions, gold, gold, stage.turns)
-    return scored.select(
+    return _ConversationContext(spark, d).scores(spark, d).select(
         "query_id", "turn_recall", F.col("turn_hit").cast("int").alias("turn_hit"),
         "session_recall", F.col("session_hit").cast("int").alias("session_hit"),
         F.col("n_gold_turns").cast("long").alias("n_gold_turns"))
@@ -480,6 +506,55 @@ def assembled_contexts(spark, d):
         "query_id", F.md5("context").alias("digest"), F.length("context").alias("n_chars"))
 
 
+O.define("conv_read", """
+SELECT query_id, CASE WHEN query_id::BIGINT % 11 <> 5 THEN
+    CASE WHEN length(context) % 2 = 0 THEN ' "Yes, it does.' ELSE 'No.' END END AS judge_text,
+  length(context) // 4 + 100 AS reader_total_tokens, query_id::BIGINT % 70 AS judge_total_tokens
+FROM conv_context WHERE query_id::BIGINT % 13 <> 6""")
+O.define("conv_records", """
+SELECT 't' || q.scope_id % 3 AS question_type, q.scope_id % 10 = 3 AS is_abstention, s.*,
+  length(c.context) // 4 AS context_tokens, r.query_id IS NOT NULL AS done,
+  CASE WHEN r.judge_text IS NOT NULL THEN r.judge_text LIKE '%Yes%' END AS judge_correct,
+  r.reader_total_tokens, r.judge_total_tokens
+FROM plan_conv q JOIN conv_scores s ON s.query_id = q.query_id
+JOIN conv_context c ON c.query_id = q.query_id LEFT JOIN conv_read r ON r.query_id = q.query_id""")
+
+
+@query("A8 G1 G2 T19", """
+SELECT coalesce(question_type, 'OVERALL') AS slice, count(*) FILTER (done) AS n_questions,
+  count(*) FILTER (judge_correct IS NOT NULL) AS n_judged,
+  round(count(*) FILTER (judge_correct) / count(*) FILTER (judge_correct IS NOT NULL), 9) AS overall_accuracy,
+  round(avg(turn_recall) FILTER (done AND NOT is_abstention), 9) AS turn_recall,
+  round(avg(session_recall) FILTER (done AND NOT is_abstention), 9) AS session_recall,
+  round(count(*) FILTER (done AND NOT is_abstention AND turn_hit = 1)
+    / count(*) FILTER (done AND NOT is_abstention AND turn_hit IS NOT NULL), 9) AS turn_hit_rate,
+  count(*) FILTER (NOT done) AS n_errors, sum(reader_total_tokens)::BIGINT AS reader_total_tokens,
+  sum(judge_total_tokens)::BIGINT AS judge_total_tokens,
+  sum(context_tokens)::BIGINT AS context_tokens
+FROM conv_records GROUP BY GROUPING SETS ((question_type), ())""")
+def conversation_run_metrics(spark, d):
+    """From retrieval scores, contexts and a stand-in reader and judge to the run's report."""
+    stage = _ConversationContext(spark, d)
+    contexts = V.materialize(stage.context())
+    key, size = F.col("query_id").cast("long"), F.length("context")
+    read = contexts.filter(key % 13 != 6).select(
+        "query_id", F.lit("ANSWER: x").alias("hypothesis"),
+        F.when(key % 11 != 5, F.when(size % 2 == 0, ' "Yes, it does.').otherwise("No."))
+        .alias("judge_text"),
+        (F.floor(size / 4) + 100).alias("reader_total_tokens"), (key % 70).alias("judge_total_tokens"))
+    records = V.materialize(runs.evaluated_records(
+        "flat", stage.questions(), stage.scores(spark, d), contexts, read))
+    overall = records.withColumn("question_type", F.lit(runs.OVERALL))
+    rows = records.unionByName(overall)
+    sizes = rows.groupBy("question_type").agg(F.sum("context_tokens").alias("context_tokens"))
+    report = runs.metrics(rows, ("question_type",)).join(sizes, "question_type")
+    rates = ("overall_accuracy", "turn_recall", "session_recall", "turn_hit_rate")
+    return report.select(
+        F.col("question_type").alias("slice"), "n_questions", "n_judged",
+        *[F.round(c, 9).alias(c) for c in rates], "n_errors", "reader_total_tokens",
+        "judge_total_tokens", "context_tokens")
+
+
 @query("A6", """
 SELECT doc_id, (length(text) // 4 > 300)::INT AS truncated, r AS kept_lines,
   md5(array_to_string(lines[1:((r + 1) // 2)] || lines[n - r // 2 + 1:n], chr(10))) AS digest
@@ -599,3 +674,131 @@ def agentic_decisions(spark, d):
     _, decision = _agentic(spark, d)
     return decision.select(
         "query_id", "iterations", F.round("confidence", 9).alias("confidence"))
+
+
+# ------------------------------------------------------------ strategies
+
+O.define("agentic_top", """
+SELECT query_id, p.scope_id, mem_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, mem_id) AS rank
+FROM agentic_pool p JOIN agentic_decision x USING (query_id)
+WHERE coalesce(p.round <= x.iterations, false) OR (p.direct AND x.with_direct)
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, mem_id) <= 40""")
+_results_sql("res_agentic", "plan_customers", "agentic_top", "f.rank")
+_fallback_sql("a_", "res_agentic", "res_agentic_second")
+_answers_sql("a_", "res_agentic", "res_agentic_second")
+
+O.define("reranked_top", """
+SELECT f.query_id, f.scope_id, f.mem_id, row_number() OVER (
+  PARTITION BY f.query_id ORDER BY length(m.content) DESC, f.mem_id) AS rank
+FROM cust_flat f JOIN mem_status m ON m.scope_id = f.scope_id AND m.mem_id = f.mem_id
+QUALIFY row_number() OVER (PARTITION BY f.query_id ORDER BY length(m.content) DESC, f.mem_id) <= 2""")
+_results_sql("res_reranked", "plan_customers", "reranked_top", "f.rank")
+_fallback_sql("r_", "res_reranked", "res_reranked_second")
+
+
+def _strategy(spark, d, reranker=None, **changes):
+    cycle = V.CustomerLifecycle(spark, d)
+    memories = cycle.current()
+    relations = V.materialize(cycle.relations(cycle.observations, memories))
+    return strategies.answer_questions(
+        memories, V.materialize(cycle.plans()), relations, DEFAULTS.but(**changes), reranker)
+
+
+@query("K6 K9 K10 J8", """
+SELECT r.query_id, false AS is_fallback, array_to_string(ids, ',') AS ids, array_to_string(missing, ',') AS missing,
+  round(CASE WHEN len(missing) > 0 THEN least(own, 0.5) ELSE own END, 9)::DOUBLE AS confidence
+FROM (SELECT r.*, CASE WHEN len(ids) > 0 THEN greatest(0.0, least(1.0, x.conf)) ELSE 0.2 END AS own
+  FROM res_agentic r LEFT JOIN agentic_decision x USING (query_id)) r
+UNION ALL
+SELECT query_id, true, array_to_string(ids, ','), array_to_string(missing, ','),
+  CASE WHEN len(ids) > 0 AND len(missing) = 0 THEN 0.7 ELSE 0.4 END::DOUBLE FROM res_agentic_second""")
+def agentic_results(spark, d):
+    results = _strategy(spark, d, retrieval_strategy="agentic").results
+    return results.select(
+        "query_id", "is_fallback", F.array_join("retrieved_ids", ",").alias("ids"),
+        F.array_join("missing_data", ",").alias("missing"),
+        F.round("confidence", 9).alias("confidence"))
+
+
+@query("K6 A1 A7", """
+SELECT query_id, result_id || '/memory_answer' AS answer_id, answer,
+  CASE WHEN len(ids) = 0 THEN 'unsupported' WHEN len(missing) > 0
+    THEN 'partially_helpful' ELSE 'unknown' END AS outcome FROM a_answer_rows""")
+def agentic_answers(spark, d):
+    outcome = _strategy(spark, d, retrieval_strategy="agentic")
+    judged = outcome.evaluations.select("answer_id", "outcome")
+    return outcome.answers.join(judged, "answer_id").select(
+        "query_id", "answer_id", "answer", "outcome")
+
+
+@query("K5 U3 J8 K10", """
+SELECT query_id, array_to_string(ids, ',') AS ids, array_to_string(missing, ',') AS missing,
+  CASE WHEN len(ids) > 0 AND len(missing) = 0 THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence
+FROM res_reranked
+UNION ALL SELECT query_id, array_to_string(ids, ','), array_to_string(missing, ','),
+  CASE WHEN len(ids) > 0 AND len(missing) = 0 THEN 0.7 ELSE 0.4 END::DOUBLE FROM res_reranked_second""")
+def reranked_results(spark, d):
+    """Two facts are left per question, so signals go missing and the fallback seeks them."""
+    return _flat_results(
+        _strategy(spark, d, reverse_by_length, enable_rerank=True, rerank_keep=2).results)
+
+
+@query("R5 K11 A2 A7", """
+SELECT m.scope_id, m.mem_id, m.status, coalesce(r.n, 0) AS n_retrievals, coalesce(a.n, 0) AS n_answers,
+  coalesce(a.n, 0) AS n_evaluations
+FROM mem_status m LEFT JOIN (
+  SELECT scope_id, mem_id, sum(k)::BIGINT AS n FROM (
+    SELECT scope_id, unnest(ids) AS mem_id, 2 AS k FROM res_first
+    UNION ALL SELECT scope_id, unnest(ids), 1 FROM res_second) GROUP BY ALL) r
+  ON r.scope_id = m.scope_id AND r.mem_id = m.mem_id
+LEFT JOIN (SELECT scope_id, mem_id, count(*) AS n FROM (
+    SELECT scope_id, unnest(ids) AS mem_id FROM answer_rows) GROUP BY ALL) a
+  ON a.scope_id = m.scope_id AND a.mem_id = m.mem_id""")
+def lifecycle_audit_of_use(spark, d):
+    """How often each memory was retrieved, used in an answer and judged with it."""
+    outcome = _strategy(spark, d)
+    relations = (
+        retrieve.retrieved_for_edges(outcome.results)
+        .unionByName(answer.used_in_answer_edges(outcome.answers))
+        .unionByName(answer.evaluation_edges(outcome.evaluations)))
+    memories = V.CustomerLifecycle(spark, d).current()
+    return reconcile.lifecycle_audit(memories, V.materialize(relations)).select(
+        "scope_id", "mem_id", "status", "n_retrievals", "n_answers", "n_evaluations")
+
+
+_BOOST, _RATIO = 0.1, 0.7
+O.define("weighted_pool", f"""
+SELECT p.*, p.score + {_BOOST}::DOUBLE * coalesce(s.n, 0) AS final, split_part(p.mem_id, '#', 2)::BIGINT AS num
+FROM agentic_pool p LEFT JOIN (
+  SELECT n.query_id, c.mem_id, count(DISTINCT n.normalized) AS n FROM question_names n
+  JOIN concept_mentions c ON c.scope_id = n.scope_id AND c.normalized = n.normalized GROUP BY ALL) s
+  ON s.query_id = p.query_id AND s.mem_id = p.mem_id""")
+O.define("weighted_stages", " UNION ALL ".join(
+    f"SELECT query_id, {i} AS stage, {k} AS iterations, {str(direct).lower()} AS with_direct, "
+    f"first(score ORDER BY final DESC, num DESC) AS top, count(*) FILTER (score >= 0.3) AS strong, "
+    f"count(*) AS n FROM weighted_pool WHERE coalesce(round <= {k}, false)"
+    + (" OR direct" if direct else "") + " GROUP BY query_id"
+    for i, (k, direct) in enumerate(_STAGES)))
+O.define("weighted_decision", """
+SELECT query_id, iterations, with_direct FROM (
+  SELECT *, 0.5 * top + 0.5 * least(strong / 3.0, 1.0) AS conf FROM weighted_stages)
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY
+  CASE WHEN least(1.0, conf) >= 0.75 AND n >= 3 THEN stage WHEN stage = 4 THEN 90 ELSE 100 END, stage) = 1""")
+
+
+@query("K6 K8 C4", f"""
+SELECT query_id, mem_id, round(score, 9) AS score, row_number() OVER (
+  PARTITION BY query_id ORDER BY final DESC, num DESC, mem_id) AS rank
+FROM (SELECT p.*, max(final) OVER (PARTITION BY query_id) AS best
+  FROM weighted_pool p JOIN weighted_decision x USING (query_id)
+  WHERE coalesce(p.round <= x.iterations, false) OR (p.direct AND x.with_direct))
+WHERE final >= best * {_RATIO}::DOUBLE
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY final DESC, num DESC, mem_id) <= 5""")
+def agentic_weighted(spark, d):
+    """Facts that share the question's entities first, those far below the best left out."""
+    outcome = _strategy(
+        spark, d, retrieval_strategy="agentic", agentic_entity_overlap_weight=_BOOST,
+        agentic_rerank_keep_ratio=_RATIO, agentic_rerank_limit=5)
+    return outcome.hits.select(
+        "query_id", "mem_id", F.round("score", 9).alias("score"),
+        F.col("rank").cast("long").alias("rank"))

@@ -34,6 +34,7 @@ class Settings:
     max_concepts_per_memory: int = 6
     concept_dedup_similarity: float = 0.92
     # agentic retrieval
+    retrieval_strategy: str = "flat"
     agentic_max_iterations: int = 4
     agentic_confidence_threshold: float = 0.75
     agentic_max_facts: int = 40
@@ -44,6 +45,7 @@ class Settings:
     agentic_rerank_keep_ratio: float = 0.0
     agentic_rerank_limit: int = 40
     # reranking
+    enable_rerank: bool = False
     rerank_keep: int = 12
     default_policy_name: str = "default"
 

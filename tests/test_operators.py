@@ -10,7 +10,19 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mnemoframe import schemas
-from mnemoframe.operators import agentic, cache, extract, groups, hooks, reconcile, retrieve, stats
+from mnemoframe.operators import (
+    agentic,
+    answer,
+    cache,
+    extract,
+    groups,
+    hooks,
+    reconcile,
+    retrieve,
+    runs,
+    stats,
+    strategies,
+)
 from mnemoframe.operators import concepts as concept_ops
 from mnemoframe.settings import DEFAULTS
 from mnemoframe.sources import conversations, fingerprint, store
@@ -580,3 +592,76 @@ def test_undated_session_keeps_source_order(spark):
     rows[1] = (*rows[1][:3], "unknown", *rows[1][4:])
     mixed = conversations.observations(spark.createDataFrame(rows, turns)).orderBy("seq")
     assert [r.content for r in mixed.collect()] == ["t0", "t1"]
+
+
+def test_strategies_follow_the_settings(spark):
+    stored, plans = embedded(spark)
+    stored, plans = groups.materialize(stored), groups.materialize(plans)
+    relations = groups.materialize(extract.provenance_edges(
+        stored.withColumn("obs_id", F.concat(F.lit("memory_observation#"), "seq"))
+    ).unionByName(concept_ops.about_entity_edges(stored)))
+
+    def run(reranker=None, **changes):
+        return strategies.answer_questions(
+            stored, plans, relations, DEFAULTS.but(**changes), reranker)
+
+    n = plans.count()
+    whole = run()
+    assert whole.results.filter("not is_fallback").count() == n
+    assert whole.evaluations.count() == whole.answers.count() > 0
+    assert run(enable_answer_generation=False).answers.count() == 0
+    silent = run(enable_memory_evaluation=False)
+    assert silent.evaluations.count() == 0 and silent.answers.count() == whole.answers.count()
+    assert run(enable_fallback_retrieval=False).results.filter("is_fallback").count() == 0
+    backwards = lambda q, c, k: [i for i, _ in c][::-1]
+    order = lambda x: {(r.query_id, r["rank"]): r.mem_id for r in x.hits.collect()}
+    assert order(run(backwards)) == order(whole)
+    kept = order(run(backwards, enable_rerank=True, rerank_keep=2))
+    last = {q: max(r for p, r in order(whole) if p == q) for q, _ in order(whole)}
+    assert kept == {(q, r): order(whole)[q, end - r + 1] for q, end in last.items()
+                    for r in (1, 2) if end - r + 1 > 0}
+    agentic_hits = run(retrieval_strategy="agentic").hits
+    expected, _ = agentic.agentic_retrieve(stored, concept_ops.build_concepts(stored), relations, plans)
+    rows = lambda df: sorted((r.query_id, r["rank"], r.mem_id) for r in df.collect())
+    assert rows(agentic_hits) == rows(expected)
+    with pytest.raises(ValueError):
+        run(retrieval_strategy="guess")
+    asked = plans.select("query_id", "scope_id", "question")
+    assert retrieve.plan_retrieval(asked, DEFAULTS.but(enable_retrieval_planning=False)).count() == 0
+
+
+def test_cut_context_by_deleting_the_middle(spark):
+    rng = random.Random(5)
+    texts = ["", "x" * 50, "\n" * 30, *("\n".join("y" * rng.randint(0, 12) for _ in range(k))
+                                        for k in range(1, 30)), "\n".join(["z"] * 3000)]
+
+    def cut(text, limit):
+        lines, n = text.split("\n"), len(text.split("\n"))
+        while lines and len("\n".join(lines)) // 4 > limit:
+            del lines[len(lines) // 2]
+        return "\n".join(lines), len(lines)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for limit in (0, 3, 10):
+        for r in answer.cut_context(df, "text", limit).collect():
+            assert (r.cut_text, r.kept_lines) == cut(r.text, limit), (r.i, limit)
+
+
+def test_evaluated_records_keep_every_question(spark):
+    questions = spark.createDataFrame(
+        [("a", "t", False), ("b", "t", True), ("c", "u", False)],
+        "query_id string, question_type string, is_abstention boolean")
+    scores = spark.createDataFrame(
+        [("a", 1.0, True, 1.0, True), ("c", 0.5, False, 1.0, True)], "query_id string, turn_recall double, "
+        "turn_hit boolean, session_recall double, session_hit boolean")
+    contexts = spark.createDataFrame([("a", "x" * 9), ("b", "")], "query_id string, context string")
+    read = spark.createDataFrame(
+        [("a", "h", "Yes.", 5, 6), ("b", "h", None, 7, None)], "query_id string, hypothesis string, "
+        "judge_text string, reader_total_tokens long, judge_total_tokens long")
+    rows = {r.question_id: r for r in runs.evaluated_records(
+        "r", questions, scores, contexts, read).collect()}
+    assert [(rows[k].status, rows[k].judge_correct, rows[k].context_tokens) for k in "abc"] == [
+        ("done", True, 2), ("done", None, 0), ("error", None, None)]
+    report = runs.metrics(runs.evaluated_records("r", questions, scores, contexts, read)).first()
+    assert (report.n_questions, report.n_judged, report.overall_accuracy, report.n_errors,
+            report.turn_recall, report.reader_total_tokens) == (2, 1, 1.0, 1, 1.0, 12)
