@@ -447,6 +447,18 @@ def extraction_rates(spark, d):
     return stats.extraction_rate(gold, dates.unionByName(amounts), keys, by=["what"])
 
 
+@query("Q10", """
+SELECT count(*) AS n_gold, count(f.src_id) AS n_found, count(f.src_id) / count(*) AS rate
+FROM obs_shipments o LEFT JOIN (SELECT DISTINCT scope_id, src_id FROM refs_shipments) f
+  ON f.scope_id = o.scope_id AND f.src_id = 'memory_observation#' || o.seq""")
+def temporal_extraction_rate(spark, d):
+    """Gold: every shipment text carries one time expression."""
+    observed = V.shipment_observations(spark, d)
+    gold = observed.select("scope_id", F.col("obs_id").alias("src_id"))
+    found = enrich.temporal_refs(observed).select("scope_id", "src_id")
+    return stats.extraction_rate(gold, found, ["scope_id", "src_id"])
+
+
 # ------------------------------------------------------------ policies
 
 _POLICIES = [("conservative", 0.85), ("aggressive", 0.4), ("strict", 0.95)]
