@@ -665,3 +665,47 @@ def test_evaluated_records_keep_every_question(spark):
     report = runs.metrics(runs.evaluated_records("r", questions, scores, contexts, read)).first()
     assert (report.n_questions, report.n_judged, report.overall_accuracy, report.n_errors,
             report.turn_recall, report.reader_total_tokens) == (2, 1, 1.0, 1, 1.0, 12)
+
+
+def test_alias_search_broadcasts_no_vectors(spark, monkeypatch):
+    """Rows with vectors look small to Spark; none of them may pass through the driver."""
+    plans, keep = [], concept_ops.materialize
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(concept_ops, "materialize", watched)
+    found = spark.createDataFrame(
+        [(1, f"c{i}", f"alpha beta w{i % 7}") for i in range(40)],
+        "scope_id long, concept_id string, normalized string")
+    pairs = concept_ops.similar_concepts(found)
+    plans.append(pairs._jdf.queryExecution().executedPlan().toString())
+    concept_ops.merge_groups(pairs)
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
+
+
+def test_named_concepts_are_those_of_cleaning_every_name(spark):
+    """Against the plain form: every phrase and keyword cleaned, then the first of each form."""
+    from mnemoframe import constants as C
+    from mnemoframe.functions import concepts as N
+    from mnemoframe.functions.text import extract_keywords, first_distinct, normalize, unicode_pattern
+
+    texts = ["The Acme Corp. met Acme corp in Berlin", "so then THE", "", None, "x y", "A-B & C_D 'Q.'",
+             "\u0130stanbul \u03a3\u039f\u03a3 caf\u00e9 Zo\u00eb", "Also Bob's [Data] Team, bob's data", "___ a_b _x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    body = F.coalesce("t", F.lit(""))
+    leads = "|".join(C.SENTENCE_LEADS)
+    phrases = F.transform(
+        F.regexp_extract_all(body, F.lit(unicode_pattern(C.CAPITALISED_PHRASE)), 1),
+        lambda p: F.regexp_replace(
+            F.regexp_replace(p, unicode_pattern(r"\s+"), " "), rf"^(?i)(?:(?:{leads})(?: |$))+", ""))
+    names = F.filter(F.transform(F.concat(phrases, extract_keywords(body)), N._clean),
+                     lambda n: (F.length(n) >= 2) & (normalize(n) != ""))
+    plain = F.slice(first_distinct(names, normalize), 1, 6)
+    rows = df.select(plain.alias("want"), N.deterministic_concepts(F.col("t")).alias("got"),
+                     N.named_concepts(F.col("t")).alias("both"),
+                     F.transform(plain, normalize).alias("normal")).collect()
+    for r in rows:
+        assert r.got == r.want and [n.normalized for n in r.both] == r.normal
+    assert any(len(r.want) > 2 for r in rows)
