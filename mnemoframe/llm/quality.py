@@ -1,22 +1,25 @@
 """Quality scores learned from preferences (Bradley-Terry).
 
 Every text becomes a short vector of its own measures: shares of character classes, word
-lengths, repetition of words and of runs of words.  Preference pairs are drawn from labelled
+lengths, repetition of words and of runs of words.  Preference pairs are made of labelled
 documents, the better one first; a pair's logistic loss on the difference of the two vectors
 teaches one weight per measure, where each measure is cut into ranges at its quantiles so
 that too little and too much can both be bad.  The threshold is the quantile of the training
 scores below which the training share of rejected documents lies; it is mapped to the score
 ``cut``.
 
-Training reads at most ``max_labels`` labelled documents, the first by a hash of their id,
-and draws at most ``max_pairs`` pairs.  Null and empty texts have a vector and a score as
-well.  Labels that are null or contradict one another for one id are not learned from.
-Without both kinds of labels every text scores ``cut``.
+Training reads every labelled document: quantiles, pairs and threshold are over all of them.
+Each document of the commoner kind is in a pair at least once, those of the rarer kind take
+turns, so the pairs grow with the documents and no faster.  Quantiles come from counts of
+values shortened to 12 bits of their mantissa, and Newton's sums are of whole numbers, so the
+ranking is the same however the rows are spread; only the sums reach the driver.  Null and
+empty texts have a vector and a score as well.  Labels that are null or contradict one another
+for one id are not learned from.  Without both kinds of labels every text scores ``cut``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 
 from mnemoframe.llm.arrays import Words, per_row, row_blocks, utf8, words
 from mnemoframe.llm.rows import in_small_batches
+from mnemoframe.operators.groups import by_shuffle, number_in_group, stored
 
 CLASSES = {
     "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": "abcdefghijklmnopqrstuvwxyz",
@@ -38,6 +42,10 @@ MEASURES = [
     "top_word", "distinct_2", "distinct_5", "words_per_line", "words_per_stop", "words_per_sign",
 ]
 RANGES = 12
+# pairs that few documents are put into at least, if they have so many
+MIN_PAIRS = 60_000
+# whole numbers that make 1 in Newton's sums, and in raw scores when their quantile is sought
+SCALE, GRADES = 1 << 20, 1 << 12
 
 
 def _table(chars: str) -> np.ndarray:
@@ -133,64 +141,130 @@ class Ranking:
             self.raw(x) - self.threshold + np.log(self.cut / (1 - self.cut)), -50, 50)))
 
 
-def learn(
-    x: np.ndarray, good: np.ndarray, cut: float = 0.3, max_pairs: int = 60_000, ridge: float = 5.0,
-    seed: int = 11,
-) -> Ranking:
-    """Fit the weights on pairs (better, worse) by Newton's method."""
+def _short(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the measures (none is negative), 12 bits of mantissa each."""
+    return (x.astype(np.float32).view(np.int32) >> 12).astype(np.int64)
+
+
+def _long(short: np.ndarray) -> np.ndarray:
+    return (np.asarray(short, dtype=np.int64) << 12).astype(np.int32).view(np.float32).astype(float)
+
+
+def _at_levels(values: np.ndarray, counts: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The smallest values that at least the given shares of the counted rows do not exceed."""
+    order = np.argsort(values)
+    upto = np.cumsum(counts[order])
+    at = np.searchsorted(upto, np.ceil(levels * upto[-1]), side="left")
+    return values[order][np.minimum(at, len(order) - 1)]
+
+
+def _edges(better: list, worse: list) -> np.ndarray:
+    """Borders of the ranges, from the (values, counts) that either kind has of each measure.
+
+    Both kinds alike, so that ranges lie where the rarer kind lies, too.
+    """
+    first = np.linspace(0, 1, (RANGES + 1) // 2 + 1)[1:-1]
+    second = np.linspace(0, 1, RANGES - len(first) + 1)[1:-1]
+    return np.array([np.sort(_long(np.concatenate([
+        _at_levels(*b, first), _at_levels(*w, second)]))) for b, w in zip(better, worse)])
+
+
+def _turns(n_better: int, n_worse: int) -> tuple[int, int]:
+    """How often each document of the commoner kind is paired, and the step between partners."""
+    many, few = max(n_better, n_worse), min(n_better, n_worse)
+    turns = min(few, -(-MIN_PAIRS // many))
+    return turns, few // turns
+
+
+def _sums(better: np.ndarray, worse: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Gradient and curvature of pairs, one after the other, as whole numbers of 1/SCALE."""
+    size = len(weights)
+    gradient, curve = np.zeros(size), np.zeros((size, size))
+    for at in range(0, len(better), 4096):
+        up, down = better[at:at + 4096], worse[at:at + 4096]
+        d = np.zeros((len(up), size))
+        row = np.arange(len(up))[:, None]
+        d[row, up] += 1
+        d[row, down] -= 1
+        margin = weights[up].sum(axis=1) - weights[down].sum(axis=1)
+        p = 1 / (1 + np.exp(np.clip(margin, -50, 50)))  # chance of the wrong order
+        gradient += d.T @ np.rint(p * SCALE)
+        curve += (d * np.rint(p * (1 - p) * SCALE)[:, None]).T @ d
+    return np.concatenate([gradient, curve.ravel()]).astype(np.int64)
+
+
+def _newton(sums: Callable[[np.ndarray], np.ndarray], ridge: float) -> np.ndarray:
+    """Weights of least loss, where ``sums`` adds up ``_sums`` over all pairs."""
     size = len(MEASURES) * RANGES
-    better, worse = np.flatnonzero(good), np.flatnonzero(~good)
-    if not len(better) or not len(worse):
-        return Ranking(np.zeros((len(MEASURES), RANGES - 1)), np.zeros(size), 0.0, cut)
-    # quantiles of both kinds alike, so that ranges lie where the rarer kind lies, too
-    levels = np.linspace(0, 1, (RANGES + 1) // 2 + 1)[1:-1]
-    edges = np.sort(np.concatenate([
-        np.quantile(x[better], levels, axis=0),
-        np.quantile(x[worse], np.linspace(0, 1, RANGES - len(levels) + 1)[1:-1], axis=0)]), axis=0).T
-    model = Ranking(edges, np.zeros(size), 0.0, cut)
-    places = model.ranges(x)
-    draw = np.random.default_rng(seed)
-    n = min(max_pairs, len(better) * len(worse))
-    # every document of the rarer kind comes equally often
-    first = better[np.resize(draw.permutation(len(better)), n)]
-    second = worse[draw.permutation(np.resize(np.arange(len(worse)), n))]
-    hot = np.zeros((len(x), size), dtype=np.float32)
-    hot[np.arange(len(x))[:, None], places] = 1
     weights = np.zeros(size)
     for _ in range(12):
-        gradient, curve = ridge * weights, ridge * np.eye(size)
-        for at in range(0, n, 4096):
-            d = (hot[first[at:at + 4096]] - hot[second[at:at + 4096]]).astype(float)
-            p = 1 / (1 + np.exp(np.clip(d @ weights, -50, 50)))  # chance of the wrong order
-            gradient -= d.T @ p
-            curve += (d * (p * (1 - p))[:, None]).T @ d
-        step = np.linalg.solve(curve, gradient)
+        found = sums(weights) / SCALE
+        gradient = ridge * weights - found[:size]
+        step = np.linalg.solve(ridge * np.eye(size) + found[size:].reshape(size, size), gradient)
         weights -= step
         if np.abs(step).max() < 1e-4:
             break
-    model.weights = weights
-    model.threshold = float(np.quantile(model.raw(x), len(worse) / len(x)))
+    return weights
+
+
+def _nothing(cut: float) -> Ranking:
+    return Ranking(
+        np.zeros((len(MEASURES), RANGES - 1)), np.zeros(len(MEASURES) * RANGES), 0.0, cut)
+
+
+def learn(x: np.ndarray, good: np.ndarray, cut: float = 0.3, ridge: float = 5.0) -> Ranking:
+    """The ranking of vectors at hand: what ``train`` does, without Spark.
+
+    Partners follow from the order of the rows.
+    """
+    better, worse = np.flatnonzero(good), np.flatnonzero(~good)
+    if not len(better) or not len(worse):
+        return _nothing(cut)
+    model = _nothing(cut)
+    model.edges = _edges(*(
+        [np.unique(v, return_counts=True) for v in _short(x[rows]).T] for rows in (better, worse)))
+    places = model.ranges(x)
+    turns, step = _turns(len(better), len(worse))
+    many, few = (better, worse) if len(better) >= len(worse) else (worse, better)
+    own = np.tile(many, turns)
+    other = few[(np.arange(len(many)) + np.arange(turns)[:, None] * step).ravel() % len(few)]
+    first, second = (own, other) if many is better else (other, own)
+    model.weights = _newton(lambda w: _sums(places[first], places[second], w), ridge)
+    model.threshold = float(_at_levels(
+        *np.unique(_graded(model, x), return_counts=True), np.array([len(worse) / len(x)]))[0] / GRADES)
     return model
 
 
+def _graded(model: Ranking, x: np.ndarray) -> np.ndarray:
+    return np.floor(model.raw(x) * GRADES).astype(np.int64)
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether an id is kept from training: by the CRC-32 of its decimal text."""
     return F.coalesce(
         F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def labelled(
-    docs: DataFrame, labels: DataFrame, label: str, learnable: Column, max_labels: int
-) -> DataFrame:
-    """Text and label of at most ``max_labels`` labelled documents, first by hash of their id.
+def clear_labels(labels: DataFrame, label: str, learnable: Column) -> DataFrame:
+    """label_id and good of every id that may be learned from and has one label only.
 
-    ``learnable`` is over the labels' ``doc_id``.  The chosen ids are few by that bound.
+    ``learnable`` is over the labels' ``doc_id``.
     """
-    clear = (
+    return (
         labels.filter(learnable & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
         .groupBy("doc_id").agg(F.min(label).alias("low"), F.max(label).alias("high"))
         .filter("low = high").select(F.col("doc_id").alias("label_id"), (F.col("low") == 1).alias("good"))
     )
+
+
+def labelled(
+    docs: DataFrame, labels: DataFrame, label: str, learnable: Column, max_labels: int
+) -> DataFrame:
+    """Text and label of at most ``max_labels`` labelled documents, first by hash of their id.
+
+    The chosen ids are few by that bound.
+    """
+    clear = clear_labels(labels, label, learnable)
     chosen = clear.orderBy(F.xxhash64("label_id"), "label_id").limit(max_labels)
     return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select(
         "doc_id", "text", "good")
@@ -199,26 +273,116 @@ def labelled(
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = measures(batch.column("text"))
-        flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(MEASURES))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), flat.cast(pa.list_(pa.float64())), batch.column("good")],
-            names=["doc_id", "x", "good"])
+            [batch.column("doc_id"), _lists(x, pa.float64())], names=["doc_id", "x"])
+
+
+def _lists(rows: np.ndarray, kind: pa.DataType) -> pa.Array:
+    flat = pa.array(rows.ravel(), kind)
+    return pa.FixedSizeListArray.from_arrays(flat, rows.shape[1]).cast(pa.list_(kind))
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    return np.asarray(pc.list_flatten(lists).to_numpy(zero_copy_only=False)).reshape(
+        -1, len(MEASURES))
+
+
+def _counts(rows: DataFrame, keys: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Distinct rows of whole numbers that ``keys`` makes of (x, good), the count last."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = batch.column("good").to_numpy(zero_copy_only=False).astype(bool)
+            found, n = np.unique(keys(_matrix(batch.column("x")), good), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in (*found.T, n)], names=["kind", "measure", "value", "n"])
+
+    totals = rows.mapInArrow(counted, "kind long, measure long, value long, n long").groupBy(
+        "kind", "measure", "value").agg(F.sum("n").alias("n")).toArrow()
+    return np.column_stack([c.to_numpy() for c in totals.columns])
+
+
+def _by_measure(x: np.ndarray, good: np.ndarray) -> np.ndarray:
+    kind, measure = np.broadcast_arrays(good[:, None], np.arange(x.shape[1]))
+    return np.column_stack([kind.ravel(), measure.ravel(), _short(x).ravel()]).astype(np.int64)
+
+
+def _pairs(rows: DataFrame, model: Ranking, n_better: int, n_worse: int) -> DataFrame:
+    """``better`` and ``worse`` (places of the ranges) of all pairs, partners by number."""
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([
+                batch.column("number"), batch.column("good"),
+                _lists(model.ranges(_matrix(batch.column("x"))), pa.int16())],
+                names=["number", "good", "places"])
+
+    numbered = number_in_group(rows, ["good"], [F.col("doc_id"), F.col("x")], "number")
+    places = stored(numbered.select("number", "good", "x").mapInArrow(
+        placed, "number long, good boolean, places array<short>"))
+    turns, step = _turns(n_better, n_worse)
+    more_good = n_better >= n_worse
+    many = places.filter(F.col("good") == more_good).select(
+        F.col("places").alias("own"), F.explode(F.transform(
+            F.sequence(F.lit(0), F.lit(turns - 1)),
+            lambda t: (F.col("number") - 1 + t * step) % min(n_better, n_worse))).alias("partner"))
+    few = places.filter(F.col("good") != more_good).select(
+        (F.col("number") - 1).alias("partner"), F.col("places").alias("other"))
+    better, worse = ("own", "other") if more_good else ("other", "own")
+    return stored(many.join(by_shuffle(few), "partner").select(
+        F.col(better).alias("better"), F.col(worse).alias("worse")))
+
+
+def _summed(pairs: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """``_sums`` over all pairs: each task adds up its own, Spark the tasks."""
+    size = len(MEASURES) * RANGES
+
+    def total(weights: np.ndarray) -> np.ndarray:
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(size + size * size, dtype=np.int64)
+            for batch in batches:
+                sums += _sums(
+                    _matrix(batch.column("better")), _matrix(batch.column("worse")), weights)
+            at = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at), pa.array(sums[at])], names=["at", "value"])
+
+        rows = pairs.mapInArrow(part, "at long, value long").groupBy("at").agg(
+            F.sum("value").alias("value")).toArrow()
+        sums = np.zeros(size + size * size)
+        sums[rows["at"].to_numpy()] = rows["value"].to_numpy()
+        return sums
+
+    return total
 
 
 def train(
     docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "quality",
-    cut: float = 0.3, max_labels: int = 20_000,
+    cut: float = 0.3, ridge: float = 5.0,
 ) -> Ranking:
-    """A ranking learned from labelled documents; ``docs`` has doc_id and text.
+    """A ranking learned from all labelled documents; ``docs`` has doc_id and text.
 
-    Pairs are drawn from the rows in the order of ids and measures, so the ranking does not
-    depend on how the rows are spread over files and tasks.
+    Vectors are joined with the labels, so no text is shuffled.  Partners follow from the order
+    of ids and measures, not from how the rows are spread over files and tasks.
     """
-    rows = labelled(docs, labels, label, learnable, max_labels).mapInArrow(
-        _vectors, "doc_id long, x array<double>, good boolean").toArrow()
-    x = np.asarray(pc.list_flatten(rows["x"]).to_numpy()).reshape(-1, len(MEASURES))
-    order = np.lexsort([*x.T[::-1], rows["doc_id"].to_numpy()])
-    return learn(x[order], rows["good"].to_numpy().astype(bool)[order], cut)
+    clear = clear_labels(labels, label, learnable)
+    vectors = docs.filter("doc_id is not null").mapInArrow(_vectors, "doc_id long, x array<double>")
+    rows = stored(vectors.join(
+        by_shuffle(clear), F.col("doc_id") == F.col("label_id")).select("doc_id", "x", "good"))
+    sizes = {r["good"]: r["count"] for r in rows.groupBy("good").count().collect()}
+    n_better, n_worse = sizes.get(True, 0), sizes.get(False, 0)
+    model = _nothing(cut)
+    if not n_better or not n_worse:
+        return model
+    seen = _counts(rows, _by_measure)
+    of = lambda kind, m: seen[(seen[:, 0] == kind) & (seen[:, 1] == m), 2:].T
+    model.edges = _edges(*([of(k, m) for m in range(len(MEASURES))] for k in (1, 0)))
+    model.weights = _newton(_summed(_pairs(rows, model, n_better, n_worse)), ridge)
+    grades = _counts(rows, lambda x, good: np.column_stack(
+        [np.zeros((len(x), 2), dtype=np.int64), _graded(model, x)]))
+    model.threshold = float(_at_levels(
+        grades[:, 2], grades[:, 3], np.array([n_worse / (n_better + n_worse)]))[0] / GRADES)
+    return model
 
 
 def score(docs: DataFrame, model: Ranking) -> DataFrame:

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from conftest import FOLDER
 from messy import ROWS, documents
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mnemoframe.llm import quality, toxicity
@@ -132,3 +133,37 @@ def test_ranking_ignores_the_order_of_rows(spark):
         docs.coalesce(1).orderBy("doc_id"), docs.repartition(5, F.xxhash64("text")))]
     assert (models[0].weights == models[1].weights).all()
     assert models[0].threshold == models[1].threshold
+
+
+def test_every_label_is_learned_from(spark):
+    """More labels than the 20,000 that training once stopped at, against the arrays at hand."""
+    n = 21_000
+    docs = spark.range(n).select(
+        F.col("id").alias("doc_id"), F.concat_ws(
+            " ", F.lit("word"), F.col("id") % 7, F.when(F.col("id") % 3 == 0, "SPAM!! $$$"),
+            F.repeat(F.lit("text here, "), (F.col("id") % 11).cast("int"))).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 > 0).cast("int").alias("quality"))
+    model = quality.train(docs, labels, F.lit(True))
+    rows = docs.orderBy("doc_id").toArrow()
+    x = quality.measures(rows["text"].combine_chunks())
+    whole = quality.learn(x, rows["doc_id"].to_numpy() % 3 > 0)
+    assert (model.edges == whole.edges).all() and (model.weights == whole.weights).all()
+    assert model.threshold == whole.threshold
+    turns, _ = quality._turns(14_000, 7_000)
+    assert turns * 14_000 >= quality.MIN_PAIRS and quality._turns(10**6, 10**5)[0] == 1
+
+
+def test_no_label_is_left_out_by_its_hash(spark):
+    """The only bad texts are those whose ids hash last: once they were never seen."""
+    n = 20_200
+    ids = spark.range(n).select(
+        F.col("id").alias("doc_id"), F.row_number().over(
+            Window.orderBy(F.xxhash64("id"), "id")).alias("place")).localCheckpoint()
+    bad = F.col("place") > 20_000
+    docs = ids.select("doc_id", F.when(bad, "$$$ !!! $$$").otherwise("a plain text").alias("text"))
+    labels = ids.select("doc_id", F.when(bad, 0).otherwise(1).alias("quality"))
+    model = quality.train(docs, labels, F.lit(True))
+    worst = quality.score(docs, model).join(ids, "doc_id").groupBy(bad.alias("bad")).agg(
+        F.min("score").alias("low"), F.max("score").alias("high")).collect()
+    found = {r["bad"]: r for r in worst}
+    assert found[True]["high"] < found[False]["low"]
