@@ -20,7 +20,9 @@ links.
    a round joins next to nothing.  Then all pairs that still lie across components and agree
    on ``MIN_AGREE`` are verified, none left out.  A bucket of many copies of one text costs a
    comparison per member; one of many texts that are near but not near enough costs a
-   verification per pair of components.
+   verification per pair of components.  That one runs inside blocks: pairs are numbers in a
+   chunk, a chunk gets each of its texts once, and what leaves it are the links that join
+   components, not the pairs.
 4. *Components* by large-star/small-star over the verified links, to a fixpoint.
 
 At similarity 0.8 a pair shares no bucket with probability (1 - 0.8^5)^24 < 1e-4.  Pivots are
@@ -41,6 +43,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,8 +61,11 @@ TRIES = 4
 # rounds go on while they join more than this share of the pairs they verify
 ROUND_SHARE = 0.01
 HELD_BYTES = 32 << 20
-BLOCK = 256
-SKETCH_SCHEMA = "doc_id long, digest binary, sketch binary"
+BLOCK = 1024
+# bytes of text and number of pairs that are verified together in the last round
+CHUNK_BYTES = 4 << 20
+CHUNK_PAIRS = 1 << 18
+SKETCH_SCHEMA = "doc_id long, digest binary, sketch binary, size long"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -132,8 +138,9 @@ def sketches(value: np.ndarray, rows: np.ndarray, weight: np.ndarray, n_rows: in
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("doc_id")
-        for row, end, w in lower_words(batch.column("text")):
+        ids, text = batch.column("doc_id"), batch.column("text")
+        size = pc.fill_null(pc.binary_length(text), 0).cast(pa.int64())
+        for row, end, w in lower_words(text):
             value, of = shingles(w)
             found = sketches(*weighted(value, of), end - row).astype(np.uint32)
             some = np.diff(w.bounds) > 0
@@ -143,8 +150,8 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(row, end - row), pa.array(digests, pa.binary()),
                  pa.array([s.tobytes() if k else None for s, k in zip(found, some.tolist())],
-                          pa.binary())],
-                names=["doc_id", "digest", "sketch"])
+                          pa.binary()), size.slice(row, end - row)],
+                names=["doc_id", "digest", "sketch", "size"])
 
 
 def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,9 +289,9 @@ def _mixed(buckets: DataFrame) -> DataFrame:
 def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of up to BLOCK rows of one part of a bucket: their classes, roots and sketches."""
     for batch in batches:
-        bucket, band, main, part, rep, root = (
+        bucket, band, main, part, rep, root, size = (
             batch.column(c).to_numpy(zero_copy_only=False)
-            for c in ("bucket", "band", "is_main", "part", "rep", "root"))
+            for c in ("bucket", "band", "is_main", "part", "rep", "root", "size"))
         raw, tried = batch.column("sketch").to_pylist(), batch.column("tried").to_pylist()
         new = (bucket[1:] != bucket[:-1]) | (main[1:] != main[:-1]) | (part[1:] != part[:-1])
         cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(rep)]
@@ -295,9 +302,9 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(bucket[first]), pa.array(band[first]), pa.array(main[first].astype(bool)),
              pa.array([tried[a:b] for a, b in runs], pa.list_(pa.list_(pa.int64()))),
              pa.array([int(rep[a:b].min()) for a, b in runs], pa.int64()),
-             *(pa.array([x[a:b].tobytes() for a, b in runs], pa.binary()) for x in (rep, root)),
+             *(pa.array([x[a:b].tobytes() for a, b in runs], pa.binary()) for x in (rep, root, size)),
              pa.array([b"".join(raw[a:b]) for a, b in runs], pa.binary())],
-            names=["bucket", "band", "is_main", "tried", "pack", "reps", "roots", "sketches"])
+            names=["bucket", "band", "is_main", "tried", "pack", "reps", "roots", "sizes", "sketches"])
 
 
 def _agreements(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBatch]:
@@ -333,13 +340,9 @@ def _agreements(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.Re
             [pa.array(c) for c in np.concatenate(found).T], names=["a", "b", "agree"])
 
 
-def _packed_pairs(
-    buckets: DataFrame, sketched: DataFrame, tried: DataFrame, best: bool
-) -> DataFrame:
-    """Pairs (a, b) across components that meet in a bucket, if their sketches agree.
+def _meeting_packs(buckets: DataFrame, sketched: DataFrame, tried: DataFrame) -> DataFrame:
+    """Packs of a bucket's classes outside its largest component, with every pack of the bucket.
 
-    All of them, the larger class first; with ``best``, ``TRIES`` at most for each class a
-    outside the largest component of its bucket, and none that ``tried`` holds in this order.
     Members of that component are never compared with one another.  Rows become packs before
     they meet, so a bucket joins a row per pair of packs.
     """
@@ -350,26 +353,122 @@ def _packed_pairs(
     rows = buckets.join(sizes, "bucket").select(
         "bucket", "band", (F.col("root") == F.col("main")).alias("is_main"), part.alias("part"), "rep", "root")
     key = ["bucket", "is_main", "part"]
-    if best:
-        own = tried.groupBy("a").agg(F.collect_set("b").alias("tried"))
-        sketched = sketched.join(own.withColumnRenamed("a", "rep"), "rep", "left")
-    else:
-        sketched = sketched.withColumn("tried", F.lit(None).cast("array<long>"))
+    own = tried.groupBy("a").agg(F.collect_set("b").alias("tried"))
+    sketched = sketched.join(own.withColumnRenamed("a", "rep"), "rep", "left")
     dealt = rows.join(sketched, "rep").select(
-        *key, "band", "rep", "root", "sketch", "tried").repartition(*key)
+        *key, "band", "rep", "root", "size", "sketch", "tried").repartition(*key)
     packs = stored(dealt.sortWithinPartitions(*key).mapInArrow(
         _packs, "bucket long, band int, is_main boolean, tried array<array<long>>, pack long, "
-                "reps binary, roots binary, sketches binary"))
+                "reps binary, roots binary, sizes binary, sketches binary"))
     second = packs.select("bucket", *[
-        F.col(c).alias(f"{c}_2") for c in packs.columns if c not in ("bucket", "band", "tried")])
-    met = packs.filter(~F.col("is_main")).join(second, "bucket")
-    if not best:
-        met = met.filter(F.col("is_main_2") | (F.col("pack") <= F.col("pack_2")))
-    pairs = met.mapInArrow(partial(_agreements, best=best), "a long, b long, agree long")
-    if best:
-        order = Window.partitionBy("a").orderBy(F.desc("agree"), "b")
-        return pairs.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= TRIES).select("a", "b")
-    return _untried(pairs, tried)
+        F.col(c).alias(f"{c}_2") for c in packs.columns if c not in ("bucket", "band")])
+    return packs.filter(~F.col("is_main")).join(second, "bucket")
+
+
+def _best_pairs(buckets: DataFrame, sketched: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs (a, b) across components that meet in a bucket: ``TRIES`` at most for each class a
+    outside the largest component of its bucket, and none that ``tried`` holds in this order."""
+    met = _meeting_packs(buckets, sketched, tried).drop("tried_2")
+    pairs = met.mapInArrow(partial(_agreements, best=True), "a long, b long, agree long")
+    order = Window.partitionBy("a").orderBy(F.desc("agree"), "b")
+    return pairs.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= TRIES).select("a", "b")
+
+
+def _cut(at: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of positions in parts of a bounded number, whose texts have bounded bytes."""
+    named = [np.unique(c) for c in at.T]
+    total = size[np.union1d(*named)].sum()
+    if len(at) == 1 or (total <= CHUNK_BYTES and len(at) <= CHUNK_PAIRS):
+        yield at
+        return
+    side = int(len(named[1]) > len(named[0]))
+    low = at[:, side] < named[side][len(named[side]) // 2]
+    yield from _cut(at[low], size)
+    yield from _cut(at[~low], size)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All untried pairs of two packs that agree often enough, in chunks: the classes of a chunk,
+    their roots, and pairs of places among them."""
+    for batch in batches:
+        found: list[tuple] = []
+        for k in range(batch.num_rows):
+            pair = batch.slice(k, 1)
+            a, b, _ = (c.to_numpy() for c in next(_agreements(iter([pair]), best=False)).columns)
+            if not len(a):
+                continue
+            row = pair.to_pylist()[0]
+            reps, roots, sizes = (
+                np.concatenate([np.frombuffer(row[c + x], np.int64) for x in ("", "_2")])
+                for c in ("reps", "roots", "sizes"))
+            reps, first = np.unique(reps, return_index=True)
+            roots, sizes = roots[first], sizes[first]
+            at = np.searchsorted(reps, np.column_stack([a, b]))
+            at = np.unique(np.sort(at, axis=1), axis=0)  # a pack meets itself in both orders
+            own = np.frombuffer(row["reps"], np.int64), np.frombuffer(row["reps_2"], np.int64)
+            done = np.array([(r, t) for x, c in zip(own, ("tried", "tried_2"))
+                             for r, ts in zip(x.tolist(), row[c]) for t in ts or ()],
+                            dtype=np.int64).reshape(-1, 2)
+            place = np.minimum(np.searchsorted(reps, done), len(reps) - 1)
+            place = np.sort(place[(reps[place] == done).all(axis=1)], axis=1)
+            at = at[~np.isin(at @ [len(reps), 1], place @ [len(reps), 1])]
+            for part, own_pairs in enumerate(_cut(at, sizes) if len(at) else ()):
+                named, places = np.unique(own_pairs, return_inverse=True)
+                found.append((row["bucket"], row["pack"], row["pack_2"], part, reps[named],
+                              roots[named], places.astype(np.int32).tobytes()))
+        columns = zip(*found) if found else [[]] * 7
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()),
+                 pa.list_(pa.int64()), pa.binary()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, kinds)],
+            names=["bucket", "pack", "pack_2", "part", "reps", "roots", "pairs"])
+
+
+def _joining(chunk: pa.Table, threshold: float) -> pa.Table:
+    """The links of a chunk that join components: the others follow from them."""
+    head = chunk.filter(pc.is_valid(chunk["pairs"])).to_pylist()[0]
+    texts = chunk.filter(pc.is_valid(chunk["text"])).select(["rep", "text"]).to_pydict()
+    distinct = list(dict.fromkeys(texts["text"]))
+    sets = dict(zip(distinct, weighted_sets(distinct)))
+    own: dict[int, dict] = {}
+    for rep, text in zip(texts["rep"], texts["text"]):
+        own.setdefault(rep, {})[text] = sets[text]
+    parent = {r: r for r in head["roots"]}
+
+    def top(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = r = parent[parent[r]]
+        return r
+
+    links = []
+    for i, j in np.frombuffer(head["pairs"], np.int32).reshape(-1, 2).tolist():
+        one, two = top(head["roots"][i]), top(head["roots"][j])
+        a, b = head["reps"][i], head["reps"][j]
+        if one != two and any(
+                similarity(x, y) >= threshold - 1e-12
+                for x in own.get(a, {}).values() for y in own.get(b, {}).values()):
+            parent[one] = two
+            links.append((a, b))
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()),
+                     "b": pa.array([b for _, b in links], pa.int64())})
+
+
+def _last_links(
+    buckets: DataFrame, sketched: DataFrame, tried: DataFrame, texts: DataFrame, threshold: float
+) -> DataFrame:
+    """Links among all untried pairs across components whose sketches agree, none left out.
+
+    Texts go to the chunks that name them, once each, however many pairs they are in.
+    """
+    met = _meeting_packs(buckets, sketched, tried).filter(
+        F.col("is_main_2") | (F.col("pack") <= F.col("pack_2")))
+    chunks = stored(met.mapInArrow(
+        _chunks, "bucket long, pack long, pack_2 long, part int, reps array<long>, "
+                 "roots array<long>, pairs binary"))
+    key = ["bucket", "pack", "pack_2", "part"]
+    sent = chunks.select(*key, F.explode("reps").alias("rep")).join(texts, "rep")
+    return chunks.unionByName(sent, allowMissingColumns=True).groupBy(*key).applyInArrow(
+        lambda chunk: _joining(chunk, threshold), "a long, b long")
 
 
 def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
@@ -396,8 +495,8 @@ def group(
     # a doc_id that repeats with several texts has a sketch for each
     sketched = stored(
         linkable.withColumnRenamed("doc_id", "rep").join(classes, ["digest", "rep"])
-        .dropDuplicates(["rep", "digest"]).select("rep", "sketch"))
-    banded = stored(sketched.mapInArrow(_bucketed, "rep long, bucket long, band int").distinct())
+        .dropDuplicates(["rep", "digest"]).select("rep", "sketch", "size"))
+    banded = stored(sketched.select("rep", "sketch").mapInArrow(_bucketed, "rep long, bucket long, band int").distinct())
     crowded = banded.groupBy("bucket").agg(
         F.count("*").alias("n"), F.min("rep").alias("pivot")).filter("n > 1").drop("n")
     buckets = stored(banded.join(crowded, "bucket"))
@@ -410,7 +509,7 @@ def group(
     tried, links = pairs, stored(_verify(pairs, texts, threshold))
     mixed, goes_on = stored(_mixed(_with_root(buckets, components(links)))), True
     while goes_on:
-        best = stored(_packed_pairs(mixed, sketched, tried, best=True))
+        best = stored(_best_pairs(mixed, sketched, tried))
         pairs = stored(_untried(best, tried))
         more = stored(_verify(pairs, texts, threshold))
         tried, links = tried.unionByName(best), links.unionByName(more)
@@ -418,8 +517,7 @@ def group(
         if joined:
             mixed = stored(_mixed(_with_root(buckets, components(links))))
         goes_on = joined > ROUND_SHARE * pairs.count()
-    pairs = stored(_packed_pairs(mixed, sketched, tried, best=False))
-    links = links.unionByName(_verify(pairs, texts, threshold))
+    links = links.unionByName(_last_links(mixed, sketched, tried, texts, threshold))
 
     members = stored(linkable.join(classes, "digest").groupBy("doc_id", "rep").agg(F.lit(1)).select(
         "doc_id", "rep"))

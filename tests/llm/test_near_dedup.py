@@ -153,3 +153,50 @@ def test_messy_table(spark):
     assert kept.columns == docs.columns
     assert kept.count() == len(ROWS) - 2
     assert N.group(documents(spark, rows=[])).count() == 0
+
+
+def packs_of(reps, tried=None):
+    """A pair of packs of classes that agree on every component, each its own root."""
+    own = np.array(reps, dtype=np.int64)
+    pack = {"reps": own.tobytes(), "roots": own.tobytes(), "pack": int(own.min()),
+            "sizes": np.full(len(own), 100, dtype=np.int64).tobytes(),
+            "sketches": np.ones((len(own), N.COMPONENTS), dtype=np.uint32).tobytes(),
+            "tried": [(tried or {}).get(r) for r in reps]}
+    return pa.RecordBatch.from_pylist([{
+        "bucket": 5, "band": 0, **pack, **{f"{c}_2": v for c, v in pack.items()}}])
+
+
+def pairs_in(chunks):
+    out = []
+    for c in chunks:
+        at = np.frombuffer(c["pairs"], np.int32).reshape(-1, 2)
+        out += [tuple(sorted((c["reps"][i], c["reps"][j]))) for i, j in at.tolist()]
+    return out
+
+
+def test_last_round_makes_chunks_and_no_row_per_pair(monkeypatch):
+    """1,770 pairs, two of them tried before: one row, and bounded ones that hold each pair once."""
+    reps = list(range(100, 160))
+    tried = {103: [101], 110: [140, 999]}
+    want = {(a, b) for a in reps for b in reps if a < b} - {(101, 103), (110, 140)}
+    chunks = next(N._chunks(iter([packs_of(reps, tried)]))).to_pylist()
+    assert len(chunks) == 1 and sorted(pairs_in(chunks)) == sorted(want)
+    monkeypatch.setattr(N, "CHUNK_BYTES", 2_000)
+    small = next(N._chunks(iter([packs_of(reps, tried)]))).to_pylist()
+    assert sorted(pairs_in(small)) == sorted(want)
+    assert all(len(c["reps"]) <= 20 for c in small)
+    assert len({c["part"] for c in small}) == len(small)
+
+
+def test_chunks_return_the_links_that_join_components():
+    rng = random.Random(3)
+    centre = [f"c{i}" for i in range(200)]
+    near = [" ".join(edited(centre, 1, rng)) for _ in range(6)]
+    far = [" ".join(edited(centre, 60, rng)) for _ in range(6)]
+    reps = list(range(12))
+    chunk = next(N._chunks(iter([packs_of(reps)]))).to_pylist()[0]
+    rows = [{**chunk, "rep": None, "text": None}]
+    rows += [{"rep": r, "text": t, "pairs": None} for r, t in zip(reps, near + far)]
+    links = N._joining(pa.Table.from_pylist(rows), 0.8).to_pylist()
+    # five links join six near texts; the fifteen between them are not all returned
+    assert len(links) == 5 and {x for p in links for x in p.values()} == set(range(6))
