@@ -6,20 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemoframe.operators.groups import stored
-
-
-BATCH_BYTES = "4m"
-
-
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """Have the session hand texts to Python in Arrow batches of about 4 MB.
-
-    The batches that a task holds at once, in the JVM and in Python, are what grows with the
-    length of texts; Spark's own bound is 64 MB.
-    """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df
+from mnemoframe.operators.groups import in_small_batches, stored  # noqa: F401
 
 
 def free_name(df: DataFrame, name: str) -> str:

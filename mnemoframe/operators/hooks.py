@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemoframe.operators.groups import materialize
+from mnemoframe.operators.groups import in_small_batches, materialize
 
 BATCH_ROWS = 64
 ATTEMPTS = 3
@@ -70,7 +70,8 @@ def call_provider(
         return pd.DataFrame({"result": pd.Series(found, dtype=object),
                              "reason": pd.Series(why, dtype=object)})
 
-    called = df.withColumn("_called", call(*[F.col(c) for c in inputs]))
+    # texts may be long, so that the rows of a batch do not bound its size
+    called = in_small_batches(df).withColumn("_called", call(*[F.col(c) for c in inputs]))
     return called.withColumn(result, F.col("_called.result")).withColumn(
         reason, F.col("_called.reason")).drop("_called")
 
