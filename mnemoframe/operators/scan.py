@@ -169,9 +169,14 @@ class RunningTop:
             self.waiting.append((question[useful], score[useful], ids[useful]))
             self.n_waiting += int(useful.sum())
             if self.n_waiting > max(PENDING_ROWS, len(self.held[0])):
-                self.cut()
+                self.trim()
 
     def cut(self) -> tuple:
+        """Questions, scores and ids of what is held."""
+        question, score, ids = self.trim()
+        return question, score, np.char.decode(ids, "utf-8")
+
+    def trim(self) -> tuple:
         if self.waiting:
             question, score, ids = (
                 np.concatenate(c) for c in zip(self.held, *self.waiting))
@@ -290,7 +295,7 @@ class Scan:
     def results(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         for leg, top in (("keyword", self.keyword), ("vector", self.vector)):
             pack = self.pack
-            held = top.cut()
+            held = top.trim()
             for at in range(0, len(held[0]), RESULT_ROWS):
                 question, score, ids = (c[at:at + RESULT_ROWS] for c in held)
                 yield pa.RecordBatch.from_arrays([
