@@ -36,6 +36,11 @@ for _first, _last in ("09", "AZ", "az"):
     _WORD[ord(_first):ord(_last) + 1] = True
 
 
+def in_words(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to words."""
+    return _WORD[data]
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """Spread 64-bit values over all bits; another seed gives another function."""
     x = np.asarray(x, dtype=np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 1) % (1 << 64))

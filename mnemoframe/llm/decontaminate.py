@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType, StructField, StructType
 
-from mnemoframe.llm.arrays import Words, lower_words, mix
+from mnemoframe.llm.arrays import Words, in_words, lower_words, mix
 from mnemoframe.llm.rows import in_small_batches
 
 MAX_INDEX_BYTES = 16 << 20
@@ -48,8 +48,12 @@ EARLY = 1
 SHORT = 8
 GRAM = 5
 MAX_REPETITIONS = 256
-MAX_GRAM_TABLE = 1 << 26
 NEAR = 8
+# character runs are numbered by hash; the last number is that of none
+GRAM_CODES = 1 << 16
+NO_GRAM = GRAM_CODES - 1
+WINDOW_CHARS = 1 << 14
+MAX_RUN_PAIRS = 1 << 20
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -112,11 +116,17 @@ class Repetition:
 
         A walk ends when its samples so far are not in the table of that sample.
         """
-        at = np.arange(STEPS, len(block.hashes) - STEPS)
-        for step in range(self.sampled[0]):
-            at = at + self._moves(bits[at] if step else bits[STEPS:-STEPS], step)
-        place = np.flatnonzero(tables[0][block.slots[at]])
-        at = at[place]
+        known = tables[0].take(block.slots, mode="clip")
+        end = len(known) - STEPS
+        at_first = known[STEPS:end]
+        if self.sampled[0]:  # one step before the first sample
+            side = 1 if self.forward else -1
+            moves = (bits[STEPS:end] >> np.uint64(self.shift)) & np.uint64(1) != 0
+            at_first = np.where(moves, known[STEPS + side:end + side], at_first)
+        place = np.flatnonzero(at_first)
+        at = place + STEPS
+        if self.sampled[0]:
+            at += side * moves[place]
         key = block.first[at]
         for step in range(self.sampled[0], self.sampled[-1]):
             at = at + self._moves(bits[at], step)
@@ -218,22 +228,13 @@ class Index:
             self.anchors.append(np.array(
                 [offsets[i][repetition.anchor(len(own[i]))] for i in items[order].tolist()],
                 dtype=np.int64))
-        # a table of the character runs of all items
-        self.item_grams = grams = [_grams(_points(t)) for t in self.texts]
-        size = 64 * sum(map(len, grams)) + 1
-        self.grams = np.zeros(min(MAX_GRAM_TABLE, 1 << math.ceil(math.log2(size + 1))), dtype=bool)
-        for i, g in enumerate(grams):
-            self.grams[self.gram_slots(i, g)] = True
+        self.grams = [_grams(_points(t)) for t in self.texts]
         self.short: dict[int, dict[int, list[int]]] = {}
         for i, h in enumerate(hashes):
             if 0 < len(h) < SHORT:
                 key = int(_run_hash(h, len(h))[0])
                 self.short.setdefault(len(h), {}).setdefault(key, []).append(i)
 
-    def gram_slots(self, item, grams: np.ndarray) -> np.ndarray:
-        value = (grams + np.uint64(item)) * _FACTOR
-        return ((value >> np.uint64(30)) & np.uint64(len(self.grams) - 1)).astype(np.int64)
-
     def __reduce__(self):
         return Index, self.given
 
@@ -243,12 +244,14 @@ def _points(text: str) -> np.ndarray:
 
 
 def _grams(points: np.ndarray) -> np.ndarray:
-    """Hashes of all runs of ``GRAM`` characters."""
+    """The numbers of all runs of ``GRAM`` characters."""
     n = max(len(points) - GRAM + 1, 0)
     value = np.zeros(n, dtype=np.uint64)
     for k in range(GRAM):
         value = value * _FACTOR + points[k:n + k]
-    return mix(value, 4)
+    value ^= value >> np.uint64(29)
+    value *= _FACTOR
+    return np.minimum(value >> np.uint64(48), np.uint64(NO_GRAM - 1)).astype(np.int64)
 
 
 def _item_words(texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
@@ -263,18 +266,22 @@ def _item_words(texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
 
 def _joined(w: Words, a: int, b: int) -> str:
     """The words a to b of a block, joined by single spaces."""
-    raw = w.data[w.starts[a]:w.ends[b - 1]].tobytes() if b > a else b""
-    first = int(w.starts[a]) if b > a else 0
-    return b" ".join(
-        raw[x - first:y - first]
-        for x, y in zip(w.starts[a:b].tolist(), w.ends[a:b].tolist())).decode()
-
-
-def _begins(text: str, n_words: int) -> np.ndarray:
+    if a == b:
+        return ""
+    raw = w.data[w.starts[a]:w.ends[b - 1]]
+    after = np.cumsum(w.ends[a:b] - w.starts[a:b] + 1)
+    out = np.full(after[-1] - 1, ord(" "), dtype=np.uint8)
+    of_words = np.ones(len(out), dtype=bool)
+    of_words[after[:-1] - 1] = False
+    out[of_words] = raw[in_words(raw)]
+    return out.tobytes().decode()
+
+
+def _begins(points: np.ndarray, n_words: int) -> np.ndarray:
     """Where each word of a joined text begins, and where one after the last would."""
     begins = np.zeros(n_words + 1, dtype=np.int64)
-    begins[1:n_words] = np.flatnonzero(_points(text) == 32) + 1
-    begins[n_words] = len(text) + 1 if n_words else 0
+    begins[1:n_words] = np.flatnonzero(points == 32) + 1
+    begins[n_words] = len(points) + 1 if n_words else 0
     return begins
 
 
@@ -357,11 +364,11 @@ def build_index(
     return Index(ids, texts, max_ratio, needed_repetitions(long, max_ratio, target_recall))
 
 
-def candidates(index: Index, w: Words, text: str, begins: np.ndarray) -> np.ndarray:
+def candidates(index: Index, w: Words, grams: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """Distinct (item, character where it would begin) pairs of a block that collide.
 
-    ``text``: all words of the block joined, ``begins``: where each of them begins.  Windows
-    with fewer character runs of the item than the edits must leave are left out.
+    ``grams``: the character runs of all words of the block joined, ``begins``: where each word
+    begins.  Windows with fewer runs of the item than the edits must leave are left out.
     """
     found = [np.zeros((0, 2), dtype=np.int64)]
     block = Block(w.hashes, index.table_size)
@@ -384,7 +391,7 @@ def candidates(index: Index, w: Words, text: str, begins: np.ndarray) -> np.ndar
     code = np.unique(pairs[:, 0] * span + pairs[:, 1] - base)
     pairs = np.column_stack([code // span, code % span + base])
     if len(pairs):
-        pairs = pairs[_have_runs(index, _points(text), pairs)]
+        pairs = pairs[_have_runs(index, grams, pairs)]
     found = [pairs]
     for size, known in index.short.items():
         for at, value in enumerate(_run_hash(w.hashes, size).tolist()):
@@ -393,61 +400,97 @@ def candidates(index: Index, w: Words, text: str, begins: np.ndarray) -> np.ndar
     return np.concatenate(found)
 
 
-def _have_runs(index: Index, points: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+def _have_runs(index: Index, grams: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """Whether the windows hold as many character runs of their items as edits must leave."""
-    grams = _grams(points)
-    few = np.uint64((1 << 16) - 1)
-    bits, seen = (grams & few).astype(np.int64), np.zeros(1 << 16, dtype=bool)
+    widest = max(len(t) + 2 * n for t, n in zip(index.texts, index.limits)) + NEAR
+    # windows may reach over both ends of the block
+    around = np.full(widest, NO_GRAM, dtype=np.int64)
+    grams = np.concatenate([around, grams, around])
+    known, seen = np.zeros(GRAM_CODES, dtype=np.uint8), np.zeros(GRAM_CODES, dtype=bool)
     out = np.zeros(len(pairs), dtype=bool)
     cuts = np.flatnonzero(np.diff(pairs[:, 0], prepend=-1)).tolist() + [len(pairs)]
     for x, y in zip(cuts[:-1], cuts[1:]):
-        item, start = int(pairs[x, 0]), pairs[x:y, 1]
-        size, limit = len(index.texts[item]), index.limits[item]
-        low = np.clip(start - limit, 0, len(grams))
-        high = np.clip(start + NEAR + size + limit - GRAM + 1, 0, len(grams))
+        item = int(pairs[x, 0])
+        size, limit, own = len(index.texts[item]), index.limits[item], index.grams[item]
         need = size - GRAM + 1 - limit * GRAM
-        wide = int((high - low).max())
-        for at in range(0, y - x, 256):
-            where = low[at:at + 256, None] + np.arange(wide)
-            inside = where < high[at:at + 256, None]
-            where[~inside] = 0
-            if len(grams):
-                same = index.grams[index.gram_slots(item, grams[where])] & inside
-                out[x + at:x + at + len(where)] = np.count_nonzero(same, axis=1) >= need
-            else:
-                out[x + at:x + at + len(where)] = need <= 0
-        # runs that a window repeats count once
-        own = (index.item_grams[item] & few).astype(np.int64)
-        for k in (x + np.flatnonzero(out[x:y])).tolist():
-            there = bits[low[k - x]:high[k - x]]
-            seen[there] = True
-            out[k] = np.count_nonzero(seen[own]) >= need
-            seen[there] = False
+        wide = max(NEAR + size + 2 * limit - GRAM + 1, 0)
+        if need <= 0 or not wide:
+            out[x:y] = need <= 0
+            continue
+        windows = np.ndarray((len(grams) - wide + 1, wide), np.int64, grams, 0, (8, 8))
+        low = np.clip(pairs[x:y, 1] - limit + widest, 0, len(windows) - 1)
+        known[own] = 1
+        step = WINDOW_CHARS // wide + 1
+        for at in range(0, y - x, step):
+            there = windows[low[at:at + step]]
+            count = known.take(there, mode="clip").sum(axis=1, dtype=np.uint32)
+            for k in np.flatnonzero(count >= need).tolist():
+                # runs that a window repeats count once
+                seen[there[k]] = True
+                out[x + at + k] = np.count_nonzero(seen[own]) >= need
+                seen[there[k]] = False
+        known[own] = 0
     return out
 
 
+def _in_step(own: np.ndarray, there: np.ndarray, limit: int) -> bool:
+    """Whether as many runs of an item as edits must leave are in step with those of a window.
+
+    Runs that edits leave keep their distance but for one character per edit, so the distances
+    of all of them differ by ``limit`` at most.
+    """
+    order = np.argsort(own, kind="stable")
+    known = own[order]
+    low = np.searchsorted(known, there, side="left")
+    count = np.searchsorted(known, there, side="right") - low
+    total = int(count.sum())
+    need = len(own) - limit * GRAM
+    if need <= 0 or total > MAX_RUN_PAIRS:
+        return True
+    hit = np.repeat(np.arange(len(there)), count)
+    which = order[low[hit] + np.arange(total) - np.repeat(np.cumsum(count) - count, count)]
+    span = len(own) + len(there)
+    run, apart = np.divmod(np.sort(which * span + hit - which + len(own)), span)
+    # a run counts once, from the distance after its last one on
+    since = np.maximum(apart - limit, 0)
+    again = np.flatnonzero(run[1:] == run[:-1]) + 1
+    since[again] = np.maximum(since[again], apart[again - 1] + 1)
+    steps = np.bincount(since, minlength=span + 1) - np.bincount(apart + 1, minlength=span + 1)
+    return bool(np.cumsum(steps).max() >= need)
+
+
 def verify(
-    index: Index, w: Words, text: str, begins: np.ndarray, pairs: np.ndarray
+    index: Index, w: Words, text: str, grams: np.ndarray, begins: np.ndarray, pairs: np.ndarray
 ) -> dict[tuple[int, int], int]:
     """Fewest edits of the (row, item) pairs that hold."""
-    best: dict[tuple[int, int], int] = {}
+    windows: dict[tuple[int, int], list[list[int]]] = {}
     for item, start in pairs.tolist():
-        passage, limit = index.texts[item], index.limits[item]
-        middle = min(max(start + len(passage) // 2, 0), len(text) - 1)
+        size, limit = len(index.texts[item]), index.limits[item]
+        middle = min(max(start + size // 2, 0), len(text) - 1)
         word = int(np.searchsorted(begins, middle, side="right")) - 1
         row = int(np.searchsorted(w.bounds, word, side="right")) - 1
-        if best.get((row, item)) == 0:
-            continue
         a = max(start - limit, int(begins[w.bounds[row]]))
-        b = min(start + len(passage) + limit + (NEAR if limit else 0),
-                int(begins[w.bounds[row + 1]]) - 1)
-        around = text[a:b]
-        if not limit:
-            edits = 0 if passage == around else 1
+        b = min(start + size + limit + (NEAR if limit else 0), int(begins[w.bounds[row + 1]]) - 1)
+        own = windows.setdefault((row, item), [])
+        # windows that overlap are gone through once; a passage found word for word is alone
+        if limit and own and a <= own[-1][1]:
+            own[-1][1] = max(own[-1][1], b)
         else:
-            edits = edits_within(passage, around, limit)
-        if edits <= limit:
-            best[row, item] = min(edits, best.get((row, item), edits))
+            own.append([a, b])
+    best: dict[tuple[int, int], int] = {}
+    for (row, item), own in windows.items():
+        passage, limit = index.texts[item], index.limits[item]
+        for a, b in own:
+            if best.get((row, item)) == 0:
+                break
+            if not limit:
+                edits = 0 if passage == text[a:b] else 1
+            elif _in_step(index.grams[item], grams[a:max(b - GRAM + 1, a)], limit):
+                edits = edits_within(passage, text[a:b], limit)
+            else:
+                continue
+            if edits <= limit:
+                best[row, item] = min(edits, best.get((row, item), edits))
     return best
 
 
@@ -455,9 +498,10 @@ def contaminated(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, int]
     """(row, item, edits) of all texts that an item contaminates."""
     for row, _, w in lower_words(texts):
         text = _joined(w, 0, len(w.hashes))
-        begins = _begins(text, len(w.hashes))
-        pairs = candidates(index, w, text, begins)
-        for (own, item), edits in sorted(verify(index, w, text, begins, pairs).items()):
+        points = _points(text)
+        begins, grams = _begins(points, len(w.hashes)), _grams(points)
+        pairs = candidates(index, w, grams, begins)
+        for (own, item), edits in sorted(verify(index, w, text, grams, begins, pairs).items()):
             yield row + own, item, edits
 
 

@@ -111,3 +111,32 @@ def test_blocks_of_items_and_messy_tables(spark):
     assert D.find(docs, benchmark.limit(0)).count() == 0
     assert D.clean_rows(docs, benchmark.limit(0)).count() == 9
     assert D.find(documents(spark, rows=[]), benchmark).count() == 0
+
+
+def test_runs_in_step_lose_nothing():
+    rng = random.Random(5)
+    for _ in range(300):
+        letters = rng.choice(["ab", "abcdefgh"])
+        item = "".join(rng.choices(letters, k=rng.randint(5, 90)))
+        copy = list(item)
+        for _ in range(rng.randint(0, 8)):
+            at = rng.randrange(len(copy))
+            copy[at:at + rng.randint(0, 1)] = rng.choices(letters, k=rng.randint(0, 1))
+        text = "".join(rng.choices(letters, k=rng.randint(0, 40)) + copy + rng.choices(letters, k=9))
+        limit = rng.randint(0, 8)
+        if distance(item, text) <= limit:
+            assert D._in_step(D._grams(D._points(item)), D._grams(D._points(text)), limit)
+
+
+def test_a_passage_is_measured_once_and_other_text_of_its_words_is_not(monkeypatch):
+    """Many walks meet at a copy; all of their windows are one."""
+    import numpy as np
+    rng, vocabulary, texts = items(40)
+    noise = np.random.default_rng(3)
+    docs = [f"{' '.join(rng.choices(vocabulary, k=300))} {D._edited(t, 0.05, True, noise)}" for t in texts]
+    index = D.build_index(list(range(len(texts))), texts)
+    calls = []
+    measure = D.edits_within
+    monkeypatch.setattr(D, "edits_within", lambda *given: calls.append(1) or measure(*given))
+    found = list(D.contaminated(index, pa.array(docs)))
+    assert len(found) >= 36 and len(calls) <= len(found) + 4
