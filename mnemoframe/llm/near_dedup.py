@@ -500,7 +500,8 @@ def group(
     crowded = banded.groupBy("bucket").agg(
         F.count("*").alias("n"), F.min("rep").alias("pivot")).filter("n > 1").drop("n")
     buckets = stored(banded.join(crowded, "bucket"))
-    wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
+    # written, so that Spark knows how few ids they are before it would shuffle the texts
+    wanted = stored(buckets.select(F.col("rep").alias("doc_id")).distinct())
     texts = stored(narrow.join(wanted, "doc_id").select(F.col("doc_id").alias("rep"), "text"))
 
     pairs = stored(buckets.filter("rep <> pivot").select(
@@ -536,6 +537,7 @@ def group(
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of one document per group, with all their columns."""
-    gone = group(docs, id_col=id_col, text_col=text_col).filter(~F.col("kept")).select(
-        F.col("doc_id").alias("gone_id")).distinct()
+    # written, so that Spark knows how few ids they are before it would shuffle the texts
+    gone = stored(group(docs, id_col=id_col, text_col=text_col).filter(~F.col("kept")).select(
+        F.col("doc_id").alias("gone_id")).distinct())
     return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")

@@ -200,3 +200,19 @@ def test_chunks_return_the_links_that_join_components():
     links = N._joining(pa.Table.from_pylist(rows), 0.8).to_pylist()
     # five links join six near texts; the fifteen between them are not all returned
     assert len(links) == 5 and {x for p in links for x in p.values()} == set(range(6))
+
+
+def test_kept_rows_shuffles_no_text_for_a_few_ids(spark):
+    """The ids that go are few and known to be, so the rows stay where they are."""
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(random.Random(i // 2).sample(words, 60))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        kept = N.kept_rows(docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+        assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 40, 2))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", held)
