@@ -23,7 +23,8 @@ links.
    verification per pair of components.  That one runs inside blocks: pairs are numbers in a
    chunk, a chunk gets each of its texts once, and what leaves it are the links that join
    components, not the pairs.
-4. *Components* by large-star/small-star over the verified links, to a fixpoint.
+4. *Components*: each task makes stars of its links; nodes move up to the roots of their roots
+   and the links of a node meet again, to a fixpoint.
 
 At similarity 0.8 a pair shares no bucket with probability (1 - 0.8^5)^24 < 1e-4.  Pivots are
 verified whatever their sketches say.  The sketches of a pair at 0.8 agree on less than 0.64
@@ -61,14 +62,28 @@ TRIES = 4
 # rounds go on while they join more than this share of the pairs they verify
 ROUND_SHARE = 0.01
 HELD_BYTES = 32 << 20
+# edges whose components a task finds at once
+HELD_EDGES = 1 << 20
 BLOCK = 1024
 # bytes of text and number of pairs that are verified together in the last round
 CHUNK_BYTES = 4 << 20
 CHUNK_PAIRS = 1 << 18
+# rows that are worth a task: of numbers, and with sketches or texts
+LIGHT_ROWS = 1 << 17
+HEAVY_ROWS = 1 << 13
 SKETCH_SCHEMA = "doc_id long, digest binary, sketch binary, size long"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _in_tasks(df: DataFrame, rows: int, per_task: int, per_core: int = 2) -> DataFrame:
+    """The rows in fewer tasks where ``rows``, about as many as they are, are not worth more.
+
+    Tables of ids are small beside the texts, and there is a price for each task and file.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(per_core * cores, rows // per_task + 1))
+
+
 def shingles(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of a block, and the row of each."""
     n_words = np.diff(w.bounds)
@@ -210,8 +225,8 @@ def weighted_sets(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) that are similar enough.  ``texts``: rep, text."""
+def _verify(pairs: DataFrame, texts: DataFrame, threshold: float, rows: int) -> DataFrame:
+    """The pairs (a, b) that are similar enough.  ``texts``: rep, text; ``rows``: of pairs, at most."""
     left = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -231,47 +246,88 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
     # skewed joins may split into very many small tasks
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return both.select("a", "b", "text_a", "text_b").coalesce(tasks).mapInArrow(
-        verified, "a long, b long")
-
+    dealt = both.select("a", "b", "text_a", "text_b").coalesce(tasks)
+    return _in_tasks(dealt, rows, HEAVY_ROWS, 8).mapInArrow(verified, "a long, b long")
+
+
+def _stars(edges: np.ndarray) -> np.ndarray:
+    """Rows (node, smallest node of its component) of the components of (u, v) rows; a component
+    has a row for each node but the smallest."""
+    nodes, at = np.unique(edges, return_inverse=True)
+    u, v = at.reshape(-1, 2).T
+    low = np.arange(len(nodes))
+    while True:
+        near = np.minimum(low[u], low[v])
+        before = low.copy()
+        # roots are hooked to the smaller ones, then paths are halved
+        for x in (u, v):
+            np.minimum.at(low, before[x], near)
+            np.minimum.at(low, x, near)
+        low = low[low]
+        if np.array_equal(low, before):
+            break
+    own = np.flatnonzero(low < np.arange(len(nodes)))
+    return np.column_stack([nodes[own], nodes[low[own]]])
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges as stars of the components that they make among ``HELD_EDGES`` or so.
+
+    The last node of a part goes into the next one too, so that all edges of a node u are
+    linked where they come in order of u.
+    """
+    def batch_of(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, pa.int64()) for c in np.ascontiguousarray(rows.T)], names=["u", "v"])
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    held: list[np.ndarray] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(np.column_stack([batch.column(c).to_numpy() for c in ("u", "v")]))
+        n += batch.num_rows
+        if n >= HELD_EDGES:
+            rows = _stars(np.concatenate(held))
+            yield batch_of(rows)
+            held = [rows[rows[:, 0] == held[-1][-1, 0]]]
+            n = len(held[0])
+    if held:
+        yield batch_of(_stars(np.concatenate(held)))
 
 
-def _is_settled(edges: DataFrame) -> bool:
-    """Whether every node has one root and no root has a root."""
-    nodes = edges.groupBy("u").agg(F.count("*").alias("n"))
-    roots = edges.select(F.col("v").alias("u"), F.lit(0).cast("long").alias("n")).distinct()
-    # a node with two roots, or one that is a root as well
-    odd = nodes.unionByName(roots).groupBy("u").agg(
-        F.count("*").alias("kinds"), F.max("n").alias("n")).filter("kinds > 1 or n > 1")
-    return odd.isEmpty()
+def _by_node(edges: DataFrame, rows: int) -> DataFrame:
+    """All edges of a node u meet in a task, which links whatever they connect."""
+    return stored(_in_tasks(edges.repartition("u"), rows, LIGHT_ROWS).sortWithinPartitions("u").mapInArrow(
+        _contracted, "u long, v long"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node of its component for every other node that has a link.
 
-    Large-star and small-star by turns until all components are stars; each round is
-    written to the shared folder.
+    Each task makes stars of the components among its own edges.  In rounds, a node goes from
+    its root to that one's root (all edges keep their components), then the edges of a node
+    meet in a task again, until every node has one root and no root has a root.  What is
+    shuffled has a row per node and task at most; each round is written to the shared folder.
     """
-    edges = stored(
+    rows = links.count()
+    edges = _by_node(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .filter("u <> v").distinct())
-    while not _is_settled(edges):
-        # a node's larger neighbours point to the smallest of its neighbours and itself
-        both = _both_ways(edges)
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select(
-            "u", F.least("u", "low").alias("low"))
-        edges = stored(
-            both.filter("v > u").join(low, "u")
-            .select(F.col("v").alias("u"), F.col("low").alias("v")).distinct())
-        # a node and its smaller neighbours point to the smallest of them
-        low = edges.groupBy("u").agg(F.min("v").alias("low"))
-        small = edges.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        edges = stored(small.unionByName(low.select("u", F.col("low").alias("v")))
-                       .filter("u <> v").distinct())
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        .filter("u <> v").mapInArrow(_contracted, "u long, v long"), rows)
+    while True:
+        none = F.lit(None).cast("long")
+        seen = edges.select("u", "v", F.lit(False).alias("is_root")).unionByName(
+            edges.select(F.col("v").alias("u"), none.alias("v"), F.lit(True).alias("is_root")))
+        # nodes with two roots, or one that are a root as well
+        odd = seen.groupBy("u").agg(
+            F.min("v").alias("low"), F.max("v").alias("high"), F.max("is_root").alias("is_root"),
+        ).filter("low < high or (low is not null and is_root)")
+        odd = stored(_in_tasks(odd, rows, LIGHT_ROWS))
+        if odd.isEmpty():
+            return edges.distinct().select(F.col("u").alias("node"), F.col("v").alias("root"))
+        above = odd.filter("is_root").select(F.col("u").alias("v"), "low")
+        edges = _by_node(edges.join(above, "v", "left").select(
+            "u", F.coalesce("low", "v").alias("v")), rows)
 
 
 def _with_root(buckets: DataFrame, roots: DataFrame) -> DataFrame:
@@ -280,9 +336,11 @@ def _with_root(buckets: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _mixed(buckets: DataFrame) -> DataFrame:
-    """Rows of buckets in which more than one component meets."""
-    mixed = buckets.groupBy("bucket").agg(
-        F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
+    """Rows of buckets in which more than one component meets, with the number of rows of the
+    bucket and its largest component."""
+    mixed = buckets.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots"),
+    ).filter("roots > 1").select("bucket", "n", F.col("m.root").alias("main"))
     return buckets.join(mixed, "bucket")
 
 
@@ -340,35 +398,33 @@ def _agreements(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.Re
             [pa.array(c) for c in np.concatenate(found).T], names=["a", "b", "agree"])
 
 
-def _meeting_packs(buckets: DataFrame, sketched: DataFrame, tried: DataFrame) -> DataFrame:
+def _meeting_packs(
+    buckets: DataFrame, sketched: DataFrame, tried: DataFrame, rows: int
+) -> DataFrame:
     """Packs of a bucket's classes outside its largest component, with every pack of the bucket.
 
     Members of that component are never compared with one another.  Rows become packs before
     they meet, so a bucket joins a row per pair of packs.
     """
-    sizes = buckets.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(
-        F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("m")).select(
-        "bucket", "n", F.col("m.root").alias("main"))
     part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK))
-    rows = buckets.join(sizes, "bucket").select(
+    members = buckets.select(
         "bucket", "band", (F.col("root") == F.col("main")).alias("is_main"), part.alias("part"), "rep", "root")
     key = ["bucket", "is_main", "part"]
-    own = tried.groupBy("a").agg(F.collect_set("b").alias("tried"))
-    sketched = sketched.join(own.withColumnRenamed("a", "rep"), "rep", "left")
-    dealt = rows.join(sketched, "rep").select(
+    own = tried.groupBy(F.col("a").alias("rep")).agg(F.collect_set("b").alias("tried"))
+    dealt = members.join(sketched, "rep").join(own, "rep", "left").select(
         *key, "band", "rep", "root", "size", "sketch", "tried").repartition(*key)
-    packs = stored(dealt.sortWithinPartitions(*key).mapInArrow(
+    packs = stored(_in_tasks(dealt, rows, HEAVY_ROWS).sortWithinPartitions(*key).mapInArrow(
         _packs, "bucket long, band int, is_main boolean, tried array<array<long>>, pack long, "
                 "reps binary, roots binary, sizes binary, sketches binary"))
     second = packs.select("bucket", *[
         F.col(c).alias(f"{c}_2") for c in packs.columns if c not in ("bucket", "band")])
-    return packs.filter(~F.col("is_main")).join(second, "bucket")
+    return _in_tasks(packs.filter(~F.col("is_main")).join(second, "bucket"), rows, HEAVY_ROWS, 8)
 
 
-def _best_pairs(buckets: DataFrame, sketched: DataFrame, tried: DataFrame) -> DataFrame:
+def _best_pairs(buckets: DataFrame, sketched: DataFrame, tried: DataFrame, rows: int) -> DataFrame:
     """Pairs (a, b) across components that meet in a bucket: ``TRIES`` at most for each class a
     outside the largest component of its bucket, and none that ``tried`` holds in this order."""
-    met = _meeting_packs(buckets, sketched, tried).drop("tried_2")
+    met = _meeting_packs(buckets, sketched, tried, rows).drop("tried_2")
     pairs = met.mapInArrow(partial(_agreements, best=True), "a long, b long, agree long")
     order = Window.partitionBy("a").orderBy(F.desc("agree"), "b")
     return pairs.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= TRIES).select("a", "b")
@@ -454,13 +510,14 @@ def _joining(chunk: pa.Table, threshold: float) -> pa.Table:
 
 
 def _last_links(
-    buckets: DataFrame, sketched: DataFrame, tried: DataFrame, texts: DataFrame, threshold: float
+    buckets: DataFrame, sketched: DataFrame, tried: DataFrame, texts: DataFrame, threshold: float,
+    rows: int,
 ) -> DataFrame:
     """Links among all untried pairs across components whose sketches agree, none left out.
 
     Texts go to the chunks that name them, once each, however many pairs they are in.
     """
-    met = _meeting_packs(buckets, sketched, tried).filter(
+    met = _meeting_packs(buckets, sketched, tried, rows).filter(
         F.col("is_main_2") | (F.col("pack") <= F.col("pack_2")))
     chunks = stored(met.mapInArrow(
         _chunks, "bucket long, pack long, pack_2 long, part int, reps array<long>, "
@@ -491,37 +548,55 @@ def group(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = stored(narrow.mapInArrow(_sketched, SKETCH_SCHEMA))
     linkable = rows.filter(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
-    classes = stored(linkable.groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    n_rows = rows.count()
+
+    def kept(df: DataFrame, n: int, per_task: int = LIGHT_ROWS) -> DataFrame:
+        return stored(_in_tasks(df, n, per_task))
+
+    classes = kept(linkable.groupBy("digest").agg(F.min("doc_id").alias("rep")), n_rows)
     # a doc_id that repeats with several texts has a sketch for each
-    sketched = stored(
+    sketched = kept(
         linkable.withColumnRenamed("doc_id", "rep").join(classes, ["digest", "rep"])
-        .dropDuplicates(["rep", "digest"]).select("rep", "sketch", "size"))
-    banded = stored(sketched.select("rep", "sketch").mapInArrow(_bucketed, "rep long, bucket long, band int").distinct())
+        .dropDuplicates(["rep", "digest"]).select("rep", "sketch", "size"), n_rows, HEAVY_ROWS)
+    banded = kept(
+        sketched.select("rep", "sketch").mapInArrow(_bucketed, "rep long, bucket long, band int")
+        .distinct(), n_rows * BANDS)
     crowded = banded.groupBy("bucket").agg(
         F.count("*").alias("n"), F.min("rep").alias("pivot")).filter("n > 1").drop("n")
-    buckets = stored(banded.join(crowded, "bucket"))
+    buckets = kept(banded.join(crowded, "bucket"), n_rows * BANDS)
+    n = buckets.count()
     # written, so that Spark knows how few ids they are before it would shuffle the texts
-    wanted = stored(buckets.select(F.col("rep").alias("doc_id")).distinct())
+    wanted = kept(buckets.select(F.col("rep").alias("doc_id")).distinct(), min(n, n_rows))
     texts = stored(narrow.join(wanted, "doc_id").select(F.col("doc_id").alias("rep"), "text"))
 
-    pairs = stored(buckets.filter("rep <> pivot").select(
-        F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
-    buckets = buckets.drop("pivot")
-    tried, links = pairs, stored(_verify(pairs, texts, threshold))
-    mixed, goes_on = stored(_mixed(_with_root(buckets, components(links)))), True
+    pairs = kept(buckets.filter("rep <> pivot").select(
+        F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), n)
+    tried, links = pairs, stored(_verify(pairs, texts, threshold, pairs.count()))
+    mixed, goes_on = buckets, True
+
+    def still_mixed() -> DataFrame:
+        # a bucket of one component stays one
+        left = mixed.select("rep", "bucket", "band")
+        return kept(_mixed(_with_root(left, components(links))), n)
+
+    mixed = still_mixed()
     while goes_on:
-        best = stored(_best_pairs(mixed, sketched, tried))
-        pairs = stored(_untried(best, tried))
-        more = stored(_verify(pairs, texts, threshold))
+        n = mixed.count()
+        best = kept(_best_pairs(mixed, sketched, tried, n), n * TRIES)
+        pairs = kept(_untried(best, tried), n * TRIES)
+        n_pairs = pairs.count()
+        more = stored(_verify(pairs, texts, threshold, n_pairs))
         tried, links = tried.unionByName(best), links.unionByName(more)
         joined = more.count()
         if joined:
-            mixed = stored(_mixed(_with_root(buckets, components(links))))
-        goes_on = joined > ROUND_SHARE * pairs.count()
-    links = links.unionByName(_last_links(mixed, sketched, tried, texts, threshold))
-
-    members = stored(linkable.join(classes, "digest").groupBy("doc_id", "rep").agg(F.lit(1)).select(
-        "doc_id", "rep"))
+            mixed = still_mixed()
+        goes_on = joined > ROUND_SHARE * n_pairs
+    n = mixed.count()
+    last = _last_links(mixed, sketched, tried, texts, threshold, n)
+    links = links.unionByName(stored(_in_tasks(last, n, HEAVY_ROWS, 8)))
+
+    members = kept(linkable.join(classes, "digest").groupBy("doc_id", "rep").agg(F.lit(1)).select(
+        "doc_id", "rep"), n_rows)
     by_id = members.groupBy("doc_id").agg(F.min("rep").alias("class_id"))
     several = members.join(by_id, "doc_id").filter("rep <> class_id").select(
         F.col("rep").alias("a"), F.col("class_id").alias("b"))

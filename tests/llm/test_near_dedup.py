@@ -141,6 +141,56 @@ def test_components_of_a_long_chain(spark):
     assert found == {**{i: 0 for i in range(1, 80)}, 201: 200}
 
 
+def test_components_of_a_chain_take_few_rounds(spark, monkeypatch):
+    """A round was two writes and five shuffles; tasks link what they hold before and after one."""
+    order = list(range(300))
+    random.Random(2).shuffle(order)
+    links = spark.createDataFrame([*zip(order[:-1], order[1:])], "a long, b long").repartition(6)
+    written = []
+
+    def counted(df):
+        written.append(1)
+        return stored(df)
+
+    stored = N.stored
+    monkeypatch.setattr(N, "stored", counted)
+    found = {r["node"]: r["root"] for r in N.components(links).collect()}
+    assert found == {i: 0 for i in range(1, 300)}
+    assert len(written) <= 8
+
+
+def test_components_in_small_parts(spark, monkeypatch):
+    """A part that is full hands its last node on, so parts never keep a component apart."""
+    rng = random.Random(3)
+    pairs = [(rng.randrange(-40, 40), rng.randrange(-40, 40)) for _ in range(70)] + [
+        (90, k) for k in range(60, 90)]
+    rows = np.array([[max(p), min(p)] for p in pairs if p[0] != p[1]])
+    monkeypatch.setattr(N, "HELD_EDGES", 4)
+    whole = {tuple(r) for r in N._stars(rows).tolist()}
+    while True:
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        batches = (pa.RecordBatch.from_arrays([pa.array(c) for c in rows[i:i + 3].T], names=["u", "v"])
+                   for i in range(0, len(rows), 3))
+        parts = [np.column_stack([c.to_numpy() for c in b.columns]) for b in N._contracted(batches)]
+        assert max(map(len, parts)) <= 4 + 3
+        rows = np.unique(np.concatenate(parts), axis=0)
+        assert {tuple(r) for r in N._stars(rows).tolist()} == whole
+        roots = dict(sorted(rows.tolist(), reverse=True))
+        moved = np.array([[u, roots.get(v, v)] for u, v in rows.tolist()])
+        if (moved == rows).all():
+            break
+        rows = moved
+    assert {tuple(r) for r in rows.tolist()} == whole
+
+
+def test_small_tables_take_few_tasks(spark):
+    rows = spark.range(1000).repartition(100)
+    cores = spark.sparkContext.defaultParallelism
+    assert N._in_tasks(rows, 1000, 500).rdd.getNumPartitions() == 2 * cores
+    assert N._in_tasks(rows, 1000, 20).rdd.getNumPartitions() == max(2 * cores, 51)
+    assert N._in_tasks(rows, 1000, 1).rdd.getNumPartitions() == 100
+
+
 def test_messy_table(spark):
     docs = documents(spark)
     rows = N.group(docs).collect()
