@@ -93,6 +93,18 @@ class Repetition:
         moves = ((bits >> np.uint64(self.shift + step)) & np.uint64(1)).astype(np.int64)
         return moves if self.forward else -moves
 
+    @property
+    def side(self) -> int:
+        return 1 if self.forward else -1
+
+    def _starts(self, bits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words from which the first step stays at, and goes to, one of the given words."""
+        bit = np.uint64(1 << self.shift)
+        stay = at[bits[at] & bit == 0]
+        before = at - self.side
+        before = before[(before >= 0) & (before < len(bits))]
+        return stay, before[bits[before] & bit != 0]
+
     def walk(self, hashes: np.ndarray, start: np.ndarray, low, high, samples: int = SAMPLED):
         """Walks from the given words: (those that stay in low to high, their keys).
 
@@ -118,15 +130,15 @@ class Repetition:
         """
         known = tables[0].take(block.slots, mode="clip")
         end = len(known) - STEPS
-        at_first = known[STEPS:end]
-        if self.sampled[0]:  # one step before the first sample
-            side = 1 if self.forward else -1
-            moves = (bits[STEPS:end] >> np.uint64(self.shift)) & np.uint64(1) != 0
-            at_first = np.where(moves, known[STEPS + side:end + side], at_first)
-        place = np.flatnonzero(at_first)
-        at = place + STEPS
+        at = np.flatnonzero(known)
         if self.sampled[0]:
-            at += side * moves[place]
+            # one step before the first sample: from that word or from the one beside it
+            stay, move = self._starts(bits, at)
+            start, at = np.concatenate([stay, move]), np.concatenate([stay, move + self.side])
+        else:
+            start = at
+        inside = (start >= STEPS) & (start < end)
+        place, at = start[inside] - STEPS, at[inside]
         key = block.first[at]
         for step in range(self.sampled[0], self.sampled[-1]):
             at = at + self._moves(bits[at], step)
@@ -404,8 +416,9 @@ def _have_runs(index: Index, grams: np.ndarray, pairs: np.ndarray) -> np.ndarray
     """Whether the windows hold as many character runs of their items as edits must leave."""
     widest = max(len(t) + 2 * n for t, n in zip(index.texts, index.limits)) + NEAR
     # windows may reach over both ends of the block
-    around = np.full(widest, NO_GRAM, dtype=np.int64)
-    grams = np.concatenate([around, grams, around])
+    around = np.full(widest, NO_GRAM, dtype=np.uint16)
+    # a quarter of the bytes to copy for the windows
+    grams = np.concatenate([around, grams.astype(np.uint16), around])
     known, seen = np.zeros(GRAM_CODES, dtype=np.uint8), np.zeros(GRAM_CODES, dtype=bool)
     out = np.zeros(len(pairs), dtype=bool)
     cuts = np.flatnonzero(np.diff(pairs[:, 0], prepend=-1)).tolist() + [len(pairs)]
@@ -417,7 +430,7 @@ def _have_runs(index: Index, grams: np.ndarray, pairs: np.ndarray) -> np.ndarray
         if need <= 0 or not wide:
             out[x:y] = need <= 0
             continue
-        windows = np.ndarray((len(grams) - wide + 1, wide), np.int64, grams, 0, (8, 8))
+        windows = np.ndarray((len(grams) - wide + 1, wide), np.uint16, grams, 0, (2, 2))
         low = np.clip(pairs[x:y, 1] - limit + widest, 0, len(windows) - 1)
         known[own] = 1
         step = WINDOW_CHARS // wide + 1
