@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemoframe import constants as C
-from mnemoframe.functions.text import bind, unicode_pattern
+from mnemoframe.functions.text import any_contained, bind, unicode_pattern
 
 # a code point that is no character; replaced by a blank should a text contain it
 MARK = "\uffff"
+# one of these is in every counted unit
+COUNTED_STEMS = ("investment", "companies", "reserves", "year", "month", "day", "hour", "people", "users", "customers")
 # lengths that are summed together when positions are counted
 RUN = 128
 
@@ -32,42 +34,47 @@ def _multiplier(letter: Column) -> Column:
 def _matches(text: Column, kind: str, pattern: str) -> Column:
     """array<struct(kind, raw, start)> of every match; ``start`` counts from 0.
 
-    Marking every match and splitting at the mark gives the gaps between matches, so
-    the start of a match is the total length of all gaps up to it and all matches
-    before it.  (Splitting at the pattern itself would compile it for every row.)
+    Marks around every match cut the text into gaps and matches in turn, so the start of a
+    match is the total length of the pieces before it.  Most texts have one match or two.
     """
     def total(items: Column) -> Column:
         return F.aggregate(items, F.lit(0), lambda acc, x: acc + x)
 
-    def measured(found: Column) -> Column:
-        # each match with the gap before it
-        lengths = F.zip_with(
-            found["raw"], F.slice(found["gaps"], F.lit(1), F.size(found["raw"])),
-            lambda m, gap: F.length(m) + F.length(gap))
+    def match(raw: Column, start: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), raw.alias("raw"), start.alias("start"))
+
+    def measured(pieces: Column) -> Column:
+        lengths = F.transform(pieces, lambda p: F.length(p))
         return bind(lengths, lambda steps: F.struct(
-            found["raw"].alias("raw"), steps.alias("steps"),
+            pieces.alias("pieces"), steps.alias("steps"),
             # sums of whole runs of steps, so that a place costs at most a run and the runs
             F.transform(
                 F.sequence(F.lit(0), F.floor(F.size(steps) / RUN).cast("int")),
                 lambda r: total(F.slice(steps, r * RUN + 1, F.lit(RUN)))).alias("runs")))
 
     def place(found: Column) -> Column:
-        def start(m: Column, i: Column) -> Column:
+        def start(i: Column) -> Column:
             run = F.floor(i / RUN).cast("int")
-            end = total(F.slice(found["runs"], F.lit(1), run)) + total(
-                F.slice(found["steps"], run * RUN + 1, i % RUN + 1))
-            return F.struct(
-                F.lit(kind).alias("kind"), m.alias("raw"), (end - F.length(m)).alias("start"))
+            before = total(F.slice(found["runs"], F.lit(1), run)) + total(
+                F.slice(found["steps"], run * RUN + 1, i % RUN))
+            return match(F.get(found["pieces"], i), before)
+
+        # at least two matches, so the sequence has no other direction
+        return F.transform(F.sequence(F.lit(1), F.size(found["pieces"]) - 2, F.lit(2)), start)
 
-        return F.transform(found["raw"], start)
+    def cut(pieces: Column) -> Column:
+        first, second = F.get(pieces, F.lit(1)), F.get(pieces, F.lit(3))
+        at = F.length(F.get(pieces, F.lit(0)))
+        between = F.length(first) + F.length(F.get(pieces, F.lit(2)))
+        size = F.size(pieces)
+        return (
+            F.when(size == 1, F.array().cast("array<struct<kind:string,raw:string,start:int>>"))
+            .when(size == 3, F.array(match(first, at)))
+            .when(size == 5, F.array(match(first, at), match(second, at + between)))
+            .otherwise(bind(bind(pieces, measured), place)))
 
-    return bind(
-        bind(
-            F.struct(
-                F.regexp_extract_all(text, F.lit(pattern), 0).alias("raw"),
-                F.split(F.regexp_replace(text, pattern, MARK), MARK, -1).alias("gaps")),
-            measured),
-        place)
+    marked = F.regexp_replace(text, pattern, f"{MARK}$0{MARK}")
+    return bind(F.split(marked, MARK, -1), cut)
 
 
 def _patterns(strict_units: bool) -> dict[str, str]:
@@ -90,9 +97,10 @@ def quantity_matches(text: Column, strict_units: bool = False) -> Column:
     body = F.when(F.contains(body, F.lit(MARK)), F.translate(body, MARK, " ")).otherwise(body)
     nothing = F.array().cast("array<struct<kind:string,raw:string,start:int>>")
 
+    # plain searches spare most texts the patterns
     possible = {
         "$": F.contains(body, F.lit("$")), "%": F.contains(body, F.lit("%")),
-        "digit": F.lit(True)}
+        "unit": bind(F.lower(body), lambda low: any_contained(low, COUNTED_STEMS))}
 
     def found(kind: str, needed: str) -> Column:
         return F.when(
@@ -107,7 +115,7 @@ def quantity_matches(text: Column, strict_units: bool = False) -> Column:
     money = bind(
         F.struct(found("range", "$").alias("ranges"), found("money", "$").alias("singles")),
         drop_range_heads)
-    return F.concat(money, found("percent", "%"), found("counted", "digit"))
+    return F.concat(money, found("percent", "%"), found("counted", "unit"))
 
 
 def describe_quantities(
