@@ -1,10 +1,14 @@
 """One scan of the memories that scores both retrieval legs for all questions.
 
-Questions go to the tasks in rounds of a bounded number; a round is packed once (keywords as
-an inverted index per scope, vectors grouped around pivots) and broadcast.  Every task reads
-its memories once, tokenized once, and keeps a running top-k per question and leg over all of
-its Arrow batches.  What leaves a task is at most k rows per question and leg: neither the
-memories nor matching pairs are shuffled, whatever the number of questions, scopes or matches.
+Questions are packed in bounded numbers (keywords as an inverted index per scope, vectors
+grouped around pivots).  Few questions are one pack that every task gets: a task reads its
+memories once, tokenized once, and keeps a running top-k per question and leg over all of its
+Arrow batches, and neither the memories nor matching pairs are shuffled.  Where there are more
+questions, whole scopes are dealt to parts by a hash, and memories are shuffled once to the part
+of their scope: a task takes a part's questions first and then its memories, so the work grows
+with the tables and not with their product.  Parts of many memories are cut into cells that each
+get the part's questions.  Only a scope that alone has very many questions is still scanned in
+rounds.  What leaves a task is at most k rows per question, leg and cell.
 
 The vector leg is exact without scoring all pairs.  The unit vectors of a scope's questions
 are grouped around the nearest of about sqrt(n) pivots.  By the triangle inequality on angles
@@ -28,10 +32,19 @@ from mnemoframe.functions.text import tokenize
 from mnemoframe.functions.vectors import row_slices
 from mnemoframe.operators.groups import in_small_batches, stored
 
+# what a pack needs of a question beside its legs, and the legs by the memories' columns
+ASKED = ["query_id", "scope_id", "types", "show_superseded"]
+LEGS = {"tokens": "keywords", "embedding": "embedding"}
 # scores are rounded before ranking so that summation order never decides a tie
 SCORE_DIGITS = 9
 # questions of a round: with vectors of 64 doubles and 20 keywords about 16 MB
 QUESTIONS_PER_ROUND = 16_384
+# memories of a part that meet its questions in one cell
+CELL_MEMORIES = 1 << 18
+# questions of a scope that are scored pair by pair, all scopes of a batch together
+FEW_QUESTIONS = 8
+# vector pairs that are scored at once
+PAIRS_AT_ONCE = 1 << 15
 # (token, question) matches that are counted at once
 MATCHES_AT_ONCE = 500_000
 # rows waiting for the next cut of a running top-k
@@ -61,6 +74,15 @@ class Group:
     vectors: np.ndarray
 
 
+@dataclass
+class Few:
+    """Questions of scopes that have few of them: unit vectors, sorted by scope."""
+
+    first: np.ndarray  # of each scope's questions, and the end
+    members: np.ndarray
+    vectors: np.ndarray
+
+
 @dataclass
 class Pack:
     """The questions of a round, sorted by scope."""
@@ -77,6 +99,7 @@ class Pack:
     bounds: np.ndarray  # of each key's questions
     asking: np.ndarray
     groups: dict[tuple[int, int], list[Group]]  # by scope and vector length
+    few: dict[int, Few]  # by vector length: scopes of few questions, which have no groups
 
 
 def _lists(column, n: int) -> list:
@@ -134,20 +157,29 @@ def pack_questions(table: pa.Table) -> Pack:
     codes = np.array([c for c, _ in asked], dtype=np.int64)
     keys, first = np.unique(codes, return_index=True)
     groups: dict[tuple[int, int], list[Group]] = {}
+    few: dict[int, Few] = {}
     if "embedding" in table.column_names:
-        vectors = _lists(table["embedding"], n)
-        by_key: dict[tuple[int, int], list[int]] = {}
-        for q, v in enumerate(vectors):
-            if any(v):
-                by_key.setdefault((int(scope_of[q]), len(v)), []).append(q)
-        for key, members in by_key.items():
-            flat = np.array([x for q in members for x in vectors[q]])
-            groups[key] = pivot_groups(unit_rows(flat, key[1]), np.array(members))
+        vectors = table["embedding"].combine_chunks()
+        lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+        for dim in np.unique(lengths[lengths > 0]).tolist():
+            members = np.flatnonzero(lengths == dim)
+            flat = pc.list_flatten(vectors.take(pa.array(members))).to_numpy(zero_copy_only=False)
+            used = (flat.reshape(-1, dim) != 0).any(axis=1)
+            members, unit = members[used], unit_rows(flat, dim)[used]
+            sizes = np.bincount(scope_of[members], minlength=len(scopes))
+            small = sizes <= FEW_QUESTIONS
+            own = small[scope_of[members]]
+            begin = np.concatenate([[0], np.cumsum(np.where(small, sizes, 0))])
+            few[dim] = Few(begin, members[own], unit[own])
+            ends = np.cumsum(sizes)
+            for scope in np.flatnonzero(~small):
+                rows = slice(ends[scope] - sizes[scope], ends[scope])
+                groups[int(scope), dim] = pivot_groups(unit[rows], members[rows])
     return Pack(
         table["query_id"].to_pylist(), scopes, scope_of, types, allowed,
         np.array([bool(x) for x in table["show_superseded"].to_pylist()], dtype=bool),
         np.array([len(row) for row in keywords], dtype=np.int64), vocabulary, keys,
-        np.append(first, len(asked)), np.array([q for _, q in asked], dtype=np.int64), groups)
+        np.append(first, len(asked)), np.array([q for _, q in asked], dtype=np.int64), groups, few)
 
 
 class RunningTop:
@@ -217,7 +249,7 @@ class Scan:
                 own = slice(first, first + n)
                 self._keywords(batch.column("tokens").slice(first, n), scope[own], kind[own],
                                superseded[own], ids[own])
-        if "embedding" in batch.schema.names and self.pack.groups:
+        if "embedding" in batch.schema.names and self.pack.few:
             self._vectors(batch.column("embedding"), scope, kind, superseded, ids)
 
     def _visible(self, question, kind, superseded) -> np.ndarray:
@@ -263,12 +295,15 @@ class Scan:
     def _vectors(self, vectors, scope, kind, superseded, ids) -> None:
         pack = self.pack
         sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
-        for dim in {d for _, d in pack.groups}:
+        for dim, few in pack.few.items():
             fitting = np.flatnonzero((sizes == dim) & (scope >= 0))
             if not len(fitting):
                 continue
             flat = pc.list_flatten(vectors.take(pa.array(fitting))).to_numpy(zero_copy_only=False)
             unit = unit_rows(flat, dim)
+            self._pairs(few, scope, unit, fitting, kind, superseded, ids)
+            if not pack.groups:
+                continue
             order = np.argsort(scope[fitting], kind="stable")
             own = scope[fitting][order]
             cuts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
@@ -277,6 +312,28 @@ class Scan:
                     rows = order[a:b]
                     self._group(group, unit[rows], fitting[rows], kind, superseded, ids)
 
+    def _pairs(self, few: Few, scope, unit, rows, kind, superseded, ids) -> None:
+        first = few.first[scope[rows]]
+        fan = few.first[scope[rows] + 1] - first
+        ends = np.cumsum(fan)
+        at = 0
+        while at < len(rows):
+            end = int(np.searchsorted(ends, ends[at] - fan[at] + PAIRS_AT_ONCE, side="right"))
+            end = max(end, at + 1)
+            own = np.repeat(np.arange(at, end), fan[at:end])
+            if len(own):
+                start = ends[at:end] - fan[at:end]
+                number = np.arange(len(own)) - np.repeat(start - start[0], fan[at:end])
+                place = np.repeat(first[at:end], fan[at:end]) + number
+                scores = np.round(
+                    np.einsum("ij,ij->i", unit[own], few.vectors[place]), SCORE_DIGITS)
+                self.possible += len(own)
+                self.scored += len(own)
+                row, question = rows[own], few.members[place]
+                seen = self._visible(question, kind[row], superseded[row])
+                self.vector.add(question[seen], scores[seen], ids[row[seen]])
+            at = end
+
     def _group(self, group: Group, unit, rows, kind, superseded, ids) -> None:
         cosine = unit @ group.pivot
         floor = float(self.vector.floor[group.members].min())
@@ -323,9 +380,75 @@ def _rounds(asked: DataFrame, per_round: int) -> Iterator[tuple[pa.Table, bool]]
             yield part, False
 
 
+def _scan_parts(columns: list[str], k: int, schema: pa.Schema, counted=None):
+    """Packs the questions of each part and cell as they come, then scans its memories."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, questions, work = None, [], None
+        for batch in batches:
+            part, cell, asked = (
+                batch.column(c).to_numpy(zero_copy_only=False) for c in ("_part", "_cell", "_asked"))
+            cuts = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (cell[1:] != cell[:-1])
+                                            | (asked[1:] != asked[:-1])))
+            for a, b in zip(cuts, [*cuts[1:], batch.num_rows]):
+                rows = batch.slice(a, b - a)
+                if (part[a], cell[a]) != key:
+                    if work is not None:
+                        yield from _finished(work, counted, schema)
+                    key, questions, work = (part[a], cell[a]), [], None
+                if asked[a]:
+                    questions.append(rows.select([*ASKED, *columns]))
+                elif questions or work is not None:
+                    if work is None:
+                        table = pa.Table.from_batches(questions)
+                        work, questions = Scan(pack_questions(table.rename_columns(
+                            [*ASKED, *[LEGS[c] for c in columns]])), k), []
+                    work.batch(rows)
+        if work is not None:
+            yield from _finished(work, counted, schema)
+
+    return scan
+
+
+def _finished(work: Scan, counted, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    if counted is not None:
+        counted[0].add(work.scored)
+        counted[1].add(work.possible)
+    yield from work.results(schema)
+
+
+def _best_of_parts(
+    shown: DataFrame, asked: DataFrame, columns: list[str], k: int, per_round: int,
+    schema: str, arrow: pa.Schema, counted=None, cell_memories: int = CELL_MEMORIES,
+) -> DataFrame:
+    """All scopes at once: memories and questions are shuffled to the part of their scope."""
+    # half full on average, so that an uneven hash does not overfill one; enough for all cores
+    n_parts = max(-(-asked.count() // max(1, per_round // 2)),
+                  4 * asked.sparkSession.sparkContext.defaultParallelism)
+    part = F.pmod(F.xxhash64("scope_id"), F.lit(n_parts)).alias("_part")
+    placed = shown.select("*", part)
+    # one row per part
+    cells = placed.groupBy("_part").agg(
+        F.ceil(F.count("*") / cell_memories).cast("int").alias("_cells"))
+    cells = F.broadcast(stored(cells))
+    none = {c: F.lit(None).cast(t) for c, t in (*asked.dtypes, *shown.dtypes)}
+    layout = ["_part", "_cell", "_asked", *ASKED, *columns, "mem_id", "mem_type", "status"]
+    questions = asked.select("*", part).join(cells, "_part").select(
+        "*", F.explode(F.sequence(F.lit(0), F.col("_cells") - 1)).alias("_cell"),
+        F.lit(True).alias("_asked"), *[F.col(LEGS[c]).alias(c) for c in columns if LEGS[c] != c],
+        *[none[c].alias(c) for c in ("mem_id", "mem_type", "status")]).select(*layout)
+    memories = placed.join(cells, "_part").select(
+        "*", F.pmod(F.xxhash64("mem_id"), F.col("_cells")).cast("int").alias("_cell"),
+        F.lit(False).alias("_asked"),
+        *[none[c].alias(c) for c in ASKED if c != "scope_id"]).select(*layout)
+    together = questions.unionByName(memories).repartition(
+        n_parts, "_part", "_cell").sortWithinPartitions(
+        "_part", "_cell", F.desc("_asked"), "scope_id")
+    return together.mapInArrow(_scan_parts(columns, k, arrow, counted), schema)
+
+
 def best_of_tasks(
     memories: DataFrame, plans: DataFrame, k: int, keyword: bool = True, vector: bool = True,
-    per_round: int = QUESTIONS_PER_ROUND, counted=None,
+    per_round: int = QUESTIONS_PER_ROUND, counted=None, cell_memories: int = CELL_MEMORIES,
 ) -> DataFrame:
     """query_id, scope_id, mem_id, leg and score: every task's best ``k`` of each question and leg.
 
@@ -343,31 +466,50 @@ def best_of_tasks(
     fields = dict(asked.dtypes) | {"leg": "string", "mem_id": "string", "score": "double"}
     schema = ", ".join(
         f"{c} {fields[c]}" for c in ("query_id", "scope_id", "mem_id", "leg", "score"))
+    arrow = pa.schema([(c, pa.int64() if fields[c] == "bigint" else pa.int32()
+                        if fields[c] == "int" else pa.float64() if c == "score"
+                        else pa.string())
+                       for c in ("query_id", "scope_id", "mem_id", "leg", "score")])
     context = memories.sparkSession.sparkContext
+    shown = shown.select(*stored_columns)
     found = []
-    for table, only in _rounds(asked, per_round):
-        # a round is bounded, see QUESTIONS_PER_ROUND
-        pack = context.broadcast(pack_questions(table))
-        arrow = pa.schema([(c, pa.int64() if fields[c] == "bigint" else pa.int32()
-                            if fields[c] == "int" else pa.float64() if c == "score"
-                            else pa.string())
-                           for c in ("query_id", "scope_id", "mem_id", "leg", "score")])
-
-        def scan(batches: Iterator[pa.RecordBatch], pack=pack) -> Iterator[pa.RecordBatch]:
-            work = Scan(pack.value, k)
-            for batch in batches:
-                work.batch(batch)
-            if counted is not None:
-                counted[0].add(work.scored)
-                counted[1].add(work.possible)
-            yield from work.results(arrow)
-
-        bounds = pc.min_max(table["scope_id"]).as_py()
-        if bounds["min"] is None:
-            continue
-        own = shown.filter(F.col("scope_id").between(F.lit(bounds["min"]), F.lit(bounds["max"])))
-        best = own.select(*stored_columns).mapInArrow(scan, schema)
-        found.append(best if only else stored(best))
+
+    def by_rounds(rounds: Iterator[tuple[pa.Table, bool]]) -> None:
+        for table, only in rounds:
+            # a round is bounded, see QUESTIONS_PER_ROUND
+            pack = context.broadcast(pack_questions(table))
+
+            def scan(batches: Iterator[pa.RecordBatch], pack=pack) -> Iterator[pa.RecordBatch]:
+                work = Scan(pack.value, k)
+                for batch in batches:
+                    work.batch(batch)
+                yield from _finished(work, counted, arrow)
+
+            bounds = pc.min_max(table["scope_id"]).as_py()
+            if bounds["min"] is None:
+                continue
+            own = shown.filter(
+                F.col("scope_id").between(F.lit(bounds["min"]), F.lit(bounds["max"])))
+            best = own.mapInArrow(scan, schema)
+            found.append(best if only else stored(best))
+
+    head = asked.limit(per_round + 1).toArrow()
+    if head.num_rows <= per_round:
+        by_rounds([(head, True)] if head.num_rows else [])
+    else:
+        asked, shown = stored(asked.filter("scope_id is not null")), shown.filter("scope_id is not null")
+        # at most four of these per round of questions
+        large = stored(asked.groupBy("scope_id").agg(F.count("*").alias("n")).filter(
+            F.col("n") > per_round // 4).select(F.col("scope_id").alias("_large")))
+        if large.isEmpty():
+            few, others = asked, shown
+        else:
+            known = F.broadcast(large), F.col("scope_id") == F.col("_large")
+            by_rounds(_rounds(asked.join(*known, "left_semi"), per_round))
+            few, others = asked.join(*known, "left_anti"), shown.join(*known, "left_anti")
+        columns = [c for c, on in (("tokens", keyword), ("embedding", vector)) if on]
+        found.append(_best_of_parts(
+            others, few, columns, k, per_round, schema, arrow, counted, cell_memories))
     if not found:
         return memories.sparkSession.createDataFrame([], schema)
     out = found[0]

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mnemoframe.functions import numeric
-from mnemoframe.operators import enrich, extract, groups, stats
+from mnemoframe.operators import enrich, extract, groups, retrieve, scan, stats
 from mnemoframe.settings import DEFAULTS
 
 
@@ -84,3 +84,34 @@ def test_all_kinds_on_need_no_filter_on_the_kind(spark):
     assert plan(extract.extract_memories(rows)).count("for future") == 1
     few = extract.extract_memories(rows, DEFAULTS.but(enable_procedural_memory=False))
     assert [r.mem_type for r in few.collect()] == ["memory_claim"]
+
+
+def test_many_questions_are_one_pass_over_the_memories(spark):
+    """Parts of whole scopes, cut into cells, and one scope in rounds give what one pack gives."""
+    words = "ana bo lives works rome bonn big small green blue fund team".split()
+    pick = [F.element_at(F.array(*map(F.lit, words)), (F.col("id") * p % 12 + 1).cast("int"))
+            for p in (1, 5, 7, 11)]
+    scope = F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 50 > 1, F.col("id") % 50)
+    rows = spark.range(600).select(
+        scope.cast("long").alias("scope_id"), F.concat(F.lit("m#"), F.col("id")).alias("mem_id"),
+        F.when(F.col("id") % 4 == 0, "memory_claim").otherwise("episodic_memory").alias("mem_type"),
+        F.when(F.col("id") % 5 == 0, "superseded").otherwise("active").alias("status"),
+        F.concat_ws(" ", *pick[:3]).alias("content"))
+    asked = spark.range(300).select(
+        scope.cast("long").alias("scope_id"), F.col("id").cast("string").alias("query_id"),
+        F.concat_ws(" ", F.lit("when"), *pick[1:]).alias("question"))
+    memories = groups.stored(retrieve.with_embedding(rows, "content"))
+    plans = groups.stored(retrieve.with_embedding(retrieve.plan_retrieval(asked), "question"))
+
+    def hits(**tuning):
+        return sorted(map(tuple, retrieve.flat_retrieve(memories, plans, **tuning).select(
+            "query_id", "scope_id", "mem_id", "rank", F.round("score", 9)).collect()))
+
+    want = hits()
+    assert len({row[1] for row in want}) > 30
+    calls = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    assert hits(per_round=64, cell_memories=7, counted=calls) == want
+    assert calls[0].value > 0
+    found = scan.best_of_tasks(memories, plans.filter("scope_id != 1"), 5, per_round=100)
+    # one scan of the memories, whatever the number of questions
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
