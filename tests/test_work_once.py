@@ -2,11 +2,13 @@
 
 from datetime import datetime
 
+from conftest import FOLDER
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mnemoframe.functions import numeric
-from mnemoframe.operators import enrich, extract, groups, retrieve, scan, stats
+from mnemoframe.operators import enrich, extract, groups, reconcile, retrieve, scan, stats
+from mnemoframe.plans import catalog
 from mnemoframe.settings import DEFAULTS
 
 
@@ -115,3 +117,19 @@ def test_many_questions_are_one_pass_over_the_memories(spark):
     found = scan.best_of_tasks(memories, plans.filter("scope_id != 1"), 5, per_round=100)
     # one scan of the memories, whatever the number of questions
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_successors_are_sought_once(spark, monkeypatch):
+    sought, search = [], reconcile.first_successors
+
+    def watched(memories, *args, **kwargs):
+        sought.append(memories)
+        return search(memories, *args, **kwargs)
+
+    monkeypatch.setattr(reconcile, "first_successors", watched)
+    catalog.load()["policy_differences"].run(spark, FOLDER)
+    assert len(sought) == 1
+    # linked facts and found concepts do not depend on any status
+    for name in ("linked_facts_with_overlap", "concept_search"):
+        catalog.load()[name].run(spark, FOLDER)
+    assert len(sought) == 1
