@@ -7,8 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mnemoframe.functions import numeric
-from mnemoframe.operators import enrich, extract, groups, reconcile, retrieve, scan, stats
-from mnemoframe.plans import catalog
+from mnemoframe.operators import agentic, concepts, enrich, extract, groups, reconcile, retrieve, scan, stats
+from mnemoframe.plans import catalog, views
 from mnemoframe.settings import DEFAULTS
 
 
@@ -133,3 +133,13 @@ def test_successors_are_sought_once(spark, monkeypatch):
     for name in ("linked_facts_with_overlap", "concept_search"):
         catalog.load()[name].run(spark, FOLDER)
     assert len(sought) == 1
+
+
+def test_hits_score_facts_once_beside_the_decision(spark):
+    cycle = views.CustomerLifecycle(spark, FOLDER)
+    memories, plans = cycle.current(), views.materialize(cycle.plans())
+    hits, decision = agentic.agentic_retrieve(
+        memories, concepts.build_concepts(memories), concepts.about_entity_edges(memories), plans,
+        DEFAULTS.but(agentic_entity_overlap_weight=0.1, agentic_rerank_keep_ratio=0.7))
+    # the cosine of linked facts is an Arrow function; direct facts come out of their scan
+    assert plan(hits).count("ArrowEvalPython") == 1 and plan(decision).count("ArrowEvalPython") == 0
